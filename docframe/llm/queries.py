@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docframe.llm import language, quality
+from docframe.llm.common import new_path
 from docframe.llm.exact_dedup import exact_groups
 from docframe.llm.mixing import mix_plan
+from docframe.llm.packing import pack
+from docframe.llm.token_files import read_token_files, write_token_files
+from docframe.llm.topk import exact_top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -20,6 +35,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP6_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
@@ -65,12 +95,32 @@ SELECT doc_id, size, source_size, target,
 FROM k JOIN e USING (grp)
 """
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_pack_windows": op2_pack_windows,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_exact_topk": OP8_SQL,
 }
