@@ -9,6 +9,7 @@ from docframe.llm import language, quality
 from docframe.llm.common import new_path
 from docframe.llm.exact_dedup import exact_groups
 from docframe.llm.mixing import mix_plan
+from docframe.llm.ngram_join import near_duplicates
 from docframe.llm.packing import pack
 from docframe.llm.token_files import read_token_files, write_token_files
 from docframe.llm.topk import exact_top_k
@@ -35,6 +36,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -97,9 +102,9 @@ FROM k JOIN e USING (grp)
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
@@ -114,6 +119,7 @@ QUERIES = {
     "op2_pack_windows": op2_pack_windows,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
