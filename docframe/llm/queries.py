@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docframe.llm import language, quality
 from docframe.llm.common import new_path
 from docframe.llm.exact_dedup import exact_groups
+from docframe.llm.licenses import scan_licenses
 from docframe.llm.mixing import mix_plan
 from docframe.llm.ngram_join import near_duplicates
 from docframe.llm.packing import pack
+from docframe.llm.phrases import remove_repeats
 from docframe.llm.token_files import read_token_files, write_token_files
 from docframe.llm.topk import exact_top_k
 
@@ -32,6 +35,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of files: source / thousands / hundreds / name, every 25th a licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 25 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), (F.col("doc_id") / 1000).cast("long").cast("string"), (F.col("doc_id") / 100).cast("long").cast("string"), name)
+    return scan_licenses(docs.select("doc_id", "text", path.alias("path"))).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -118,15 +134,18 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pack_windows": op2_pack_windows,
     "op3_mix_sources": op3_mix_sources,
+    "op4_repeated_phrases": op4_repeated_phrases,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_exact_topk": OP8_SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
