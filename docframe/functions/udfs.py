@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from docframe.functions.scalars import to_string
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(v: pd.Series) -> pd.Series:
     return v.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

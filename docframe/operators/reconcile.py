@@ -78,9 +78,10 @@ def merge_notes(df: DataFrame, table: str, columns: Sequence[Declared], order: S
     before = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     later = keyed.filter("_key IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(before))
     filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (F.count(F.col(f)).over(before) == 0), F.lit(f)) for f in fields]))
-    later = later.withColumn("_filled", filled).filter("_n > 0")
-    text = F.when(F.size("_filled") > 0, F.concat(F.lit(f"merge({table}): duplicate filled "), F.array_join("_filled", ", "))).otherwise(F.lit(f"merge({table}): duplicate had no new fields"))
-    nokey = keyed.filter("_key IS NULL").select(*order, F.lit(f"merge({table}): kept row without a key").alias("note"))
+    parts = [F.col(f"_key.k{n}").cast("string") for n in range(sum(c.pk for c in columns))]
+    later = later.withColumn("_filled", filled).filter("_n > 0").withColumn("_text", F.concat_ws("|", *parts))
+    text = F.when(F.size("_filled") > 0, F.concat(F.lit(f"merged {table} duplicate for key "), F.col("_text"), F.lit(": filled "), F.array_join("_filled", ", "))).otherwise(F.concat(F.lit(f"duplicate {table} row for key "), F.col("_text"), F.lit(" had no new fields")))
+    nokey = keyed.filter("_key IS NULL").select(*order, F.lit("row missing primary-key component(s) " + ", ".join(c.name for c in columns if c.pk)).alias("note"))
     return later.select(*order, text.alias("note")).unionByName(nokey)
 
 
