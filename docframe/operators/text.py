@@ -113,7 +113,8 @@ def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = C
     characters per gap, so they are near, not exact.  A paragraph is never cut.
     """
     text = F.col("full_text")
-    paras = F.split(F.concat(F.when(text.rlike(r"^--- Page \d+"), F.lit("\n\n")).otherwise(F.lit("")), text), r"\n{2,}|(?=--- Page \d+)")
+    paras = F.split(text, r"\n{2,}|(?=--- Page \d+)")
+    paras = F.when(text.rlike(r"^--- Page \d+"), F.concat(F.array(F.lit("")), paras)).otherwise(paras)  # a cut before the first character leaves an empty part
     zero = F.expr(f"named_struct('out', cast(array() as {_OUT}), 'cur', '', 'start', 0, 'pos', 0)")
 
     def flushed(acc, end):
