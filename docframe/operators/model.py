@@ -137,25 +137,26 @@ def render_ddl(models: DataFrame, relationships: DataFrame, dialect: str = "post
     return parts.groupBy("job_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), ";\n").alias("ddl"))
 
 
-def load_order(models: DataFrame, relationships: DataFrame, deepest: int = 32) -> DataFrame:
+def load_order(models: DataFrame, relationships: DataFrame) -> DataFrame:
     """MD6: job_id, table_name, table_no, depth, load_no: parents before children, then as declared.
 
-    Self references don't count.  Depth grows by one join per level until nothing moves; a job with a
-    cycle loads in the order of declaration (depth null).
+    Self references don't count.  Depth grows by one join per level, in a job for as many levels as it
+    has tables; one that is not done by then has a cycle and loads as declared (depth null).
     """
-    tables = model_tables(models).select("job_id", "table_name", "table_no").dropDuplicates(["job_id", "table_name"])
+    tables = model_tables(models).select("job_id", "table_name", "table_no").groupBy("job_id", "table_name").agg(F.min("table_no").alias("table_no"))
+    sizes = tables.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     edges = relationships.filter("enabled AND source_table <> references_table").select("job_id", F.col("source_table").alias("child"), F.col("references_table").alias("parent")).distinct()
-    edges = edges.join(tables.select("job_id", F.col("table_name").alias("child")), ["job_id", "child"], "left_semi").join(tables.select("job_id", F.col("table_name").alias("parent")), ["job_id", "parent"], "left_semi").cache()
+    known = tables.select("job_id", F.col("table_name").alias("child"))
+    edges = edges.join(known, ["job_id", "child"], "left_semi").join(known.withColumnRenamed("child", "parent"), ["job_id", "parent"], "left_semi").join(sizes, "job_id").cache()
     placed = tables.select("job_id", "table_name", F.lit(0).alias("depth"))
-    frontier = edges.select("job_id", F.col("child").alias("table_name")).distinct()
-    for level in range(1, deepest + 1):
-        if frontier.isEmpty():
-            break
+    level, frontier = 1, edges.select("job_id", F.col("child").alias("table_name")).distinct().cache()
+    while not frontier.isEmpty():
         placed = placed.unionByName(frontier.withColumn("depth", F.lit(level)))
-        frontier = edges.join(frontier.withColumnRenamed("table_name", "parent"), ["job_id", "parent"], "left_semi").select("job_id", F.col("child").alias("table_name")).distinct()
+        reached = frontier.withColumnRenamed("table_name", "parent")
+        frontier = edges.filter(F.col("n") > level).join(reached, ["job_id", "parent"], "left_semi").select("job_id", F.col("child").alias("table_name")).distinct().cache()
+        level += 1
     depth = placed.groupBy("job_id", "table_name").agg(F.max("depth").alias("depth"))
-    n = tables.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    out = tables.join(depth, ["job_id", "table_name"]).join(n, "job_id")
+    out = tables.join(depth, ["job_id", "table_name"]).join(sizes, "job_id")
     cyclic = F.max("depth").over(Window.partitionBy("job_id")) >= F.col("n")
     out = out.withColumn("depth", F.when(~cyclic, F.col("depth")))
     return out.select("job_id", "table_name", "table_no", "depth", F.row_number().over(Window.partitionBy("job_id").orderBy("depth", "table_no")).alias("load_no"))

@@ -1,0 +1,176 @@
+"""Queries over data models: one model per conversation, a table per turn; and models proposed from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docframe import schemas
+from docframe.operators import model as M
+from docframe.plans.registry import query, table
+from docframe.sources import readers
+
+KINDS = ("string", "integer", "float", "boolean", "date")
+
+
+def models(spark: SparkSession, d: str) -> DataFrame:
+    """A turn is a table named by its first word, its words are the columns, the first the key; each turn links to the one before."""
+    words = F.split("text", " ")
+    kind = lambda w: F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.length(w) % 5 + 1)
+    columns = F.transform(words, lambda w, n: F.struct(w.alias("name"), kind(w).alias("type"), F.lit(None).cast("string").alias("description"), (n == 0).alias("is_primary_key")))
+    turns = table(spark, d, "conversations").select(F.col("conv_id"), "turn", words[0].alias("first"), F.get(words, F.lit(1)).alias("second"), F.struct(words[0].alias("table_name"), F.col("role").alias("description"), columns.alias("columns")).alias("t"))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "first", "second", "t"))).alias("ts"))
+    links = F.transform(
+        F.filter(F.transform("ts", lambda x, n: F.struct(x.alias("x"), F.get(F.col("ts"), n - 1).alias("p"), n.alias("n"))), lambda y: y["n"] > 0),
+        lambda y: F.struct(
+            y["x"]["first"].alias("source_table"), y["x"]["second"].alias("source_column"), y["p"]["first"].alias("references_table"),
+            F.when(y["n"] % 3 == 0, y["p"]["second"]).otherwise(y["p"]["first"]).alias("references_column"), F.lit("natural_key").alias("link_basis"),
+            F.array(y["x"]["second"]).alias("composite_key_columns"), F.lit(True).alias("nullable"), F.lit(True).alias("enabled"),
+        ),
+    )
+    made = F.struct(F.lit("table_graph").alias("extraction_type"), F.transform("ts", lambda x: x["t"]).alias("tables"), links.alias("relationships"))
+    return per.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("job_id"), made.cast(schemas.MODEL).alias("model"))
+
+
+def snake(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+RAW = """
+tu AS (SELECT 'conv-' || conv_id AS job_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS table_no, role, string_split(text, ' ') AS w FROM conversations),
+tables_ AS (SELECT job_id, table_no, w[1] AS table_name, w[2] AS second, role FROM tu),
+c0 AS (SELECT job_id, table_no, w[1] AS table_name, unnest(w) AS column_name, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS column_no FROM tu),
+columns_ AS (SELECT *, ['string','integer','float','boolean','date'][length(column_name) % 5 + 1] AS type, column_no = 0 AS is_primary_key FROM c0),
+rels AS (SELECT a.job_id, a.table_no - 1 AS rel_no, a.table_name AS source_table, a.second AS source_column, b.table_name AS references_table,
+  CASE WHEN a.table_no % 3 = 0 THEN b.second ELSE b.table_name END AS references_column FROM tables_ a JOIN tables_ b ON a.job_id = b.job_id AND a.table_no = b.table_no + 1)"""
+NORMAL = f"""{RAW},
+nt AS (SELECT job_id, table_no, {snake('table_name')} AS table_name FROM tables_),
+nc AS (SELECT job_id, table_no, {snake('table_name')} AS table_name, column_no, {snake('column_name')} AS column_name, type, is_primary_key FROM columns_),
+nr AS (SELECT job_id, rel_no, {snake('source_table')} AS source_table, {snake('source_column')} AS source_column, {snake('references_table')} AS references_table, {snake('references_column')} AS references_column FROM rels)"""
+_RESERVED = ", ".join(f"'{w}'" for w in M.RESERVED)
+_BAD = "CASE WHEN coalesce({0}, '') = '' THEN 'empty' WHEN regexp_matches({0}, '^[0-9]') THEN 'starts with a digit' WHEN {0} IN (" + _RESERVED + ") THEN 'reserved word'{1} END"
+DOWNGRADED = f"""{NORMAL},
+pk AS (SELECT job_id, table_name, column_name, max(is_primary_key) AS pk FROM nc GROUP BY ALL),
+dr AS (SELECT nr.*, CASE
+  WHEN NOT EXISTS (SELECT 1 FROM nt t WHERE t.job_id = nr.job_id AND t.table_name = source_table) THEN 'relationship downgraded: source_table ''' || source_table || ''' not in model'
+  WHEN NOT EXISTS (SELECT 1 FROM nt t WHERE t.job_id = nr.job_id AND t.table_name = references_table) THEN 'relationship downgraded: references_table ''' || references_table || ''' not in model'
+  WHEN s.pk IS NULL THEN 'relationship downgraded: column ' || source_table || '.' || source_column || ' not declared'
+  WHEN r.pk IS NULL THEN 'relationship downgraded: column ' || references_table || '.' || references_column || ' not declared'
+  WHEN NOT r.pk THEN 'relationship downgraded: ' || references_table || '.' || references_column || ' is not is_primary_key=True (FKs must reference a unique natural key)' END AS note
+  FROM nr LEFT JOIN pk s ON s.job_id = nr.job_id AND s.table_name = source_table AND s.column_name = source_column
+  LEFT JOIN pk r ON r.job_id = nr.job_id AND r.table_name = references_table AND r.column_name = references_column)"""
+
+
+@query("MD1_columns", f"WITH {RAW} SELECT job_id, table_no, table_name, column_no, column_name, type, CAST(is_primary_key AS INTEGER) AS is_primary_key FROM columns_")
+def md1(spark, d):
+    return M.model_columns(models(spark, d)).withColumn("is_primary_key", F.col("is_primary_key").cast("int"))
+
+
+@query("MD1_relationships", f"WITH {RAW} SELECT * FROM rels")
+def md1_relationships(spark, d):
+    return M.model_relationships(models(spark, d)).select("job_id", "rel_no", "source_table", "source_column", "references_table", "references_column")
+
+
+@query("MD2_normalized", f"WITH {NORMAL} SELECT job_id, table_no, table_name, column_no, column_name FROM nc")
+def md2(spark, d):
+    return M.model_columns(M.normalize_identifiers(models(spark, d))).select("job_id", "table_no", "table_name", "column_no", "column_name")
+
+
+@query("MD3_identifier_errors", f"""WITH {NORMAL}, e AS (
+  SELECT job_id, 'table' AS kind, table_name, NULL AS column_name, {_BAD.format('table_name', '')} AS problem FROM nt
+  UNION ALL SELECT job_id, 'column', table_name, column_name, {_BAD.format('column_name', " WHEN column_name IN ('id', 'source_page_numbers', 'extraction_confidence', 'reconciliation_notes') THEN 'reserved for provenance'")} FROM nc
+  UNION ALL SELECT job_id, 'table', table_name, NULL, 'duplicate' FROM nt GROUP BY job_id, table_name HAVING count(*) > 1
+  UNION ALL SELECT job_id, 'column', table_name, column_name, 'duplicate' FROM nc GROUP BY job_id, table_no, table_name, column_name HAVING count(*) > 1
+) SELECT * FROM e WHERE problem IS NOT NULL""")
+def md3(spark, d):
+    return M.identifier_errors(M.normalize_identifiers(models(spark, d)))
+
+
+@query("MD4_downgrade", f"WITH {DOWNGRADED} SELECT job_id, rel_no, source_table, source_column, references_table, references_column, CAST(note IS NULL AS INTEGER) AS enabled, note FROM dr")
+def md4(spark, d):
+    return M.downgrade_relationships(M.normalize_identifiers(models(spark, d))).withColumn("enabled", F.col("enabled").cast("int"))
+
+
+@query("MD5_ddl", f"""WITH {DOWNGRADED}, s AS (
+  SELECT job_id, 0 AS part, table_no AS a, 0 AS b, 'CREATE TABLE "job_' || replace(job_id, '-', '_') || '"."' || table_name || '" (' || chr(10) || '    "id" BIGSERIAL PRIMARY KEY,' || chr(10) || '    ' ||
+    string_agg('"' || column_name || '" ' || CASE type WHEN 'integer' THEN 'BIGINT' WHEN 'float' THEN 'NUMERIC' WHEN 'boolean' THEN 'BOOLEAN' WHEN 'date' THEN 'DATE' ELSE 'TEXT' END, ',' || chr(10) || '    ' ORDER BY column_no)
+    || ',' || chr(10) || '    "source_page_numbers" JSONB,' || chr(10) || '    "extraction_confidence" NUMERIC,' || chr(10) || '    "reconciliation_notes" TEXT' || chr(10) || ')' AS line
+  FROM nc GROUP BY job_id, table_no, table_name
+  UNION ALL SELECT job_id, 1, table_no, column_no, 'ALTER TABLE "job_' || replace(job_id, '-', '_') || '"."' || table_name || '" ADD CONSTRAINT "uq_' || table_name || '_' || column_name || '" UNIQUE ("' || column_name || '")' FROM nc WHERE is_primary_key
+  UNION ALL SELECT job_id, 2, rel_no, 0, 'ALTER TABLE "job_' || replace(job_id, '-', '_') || '"."' || source_table || '" ADD CONSTRAINT "fk_' || source_table || '_' || source_column || '_' || rel_no || '" FOREIGN KEY ("' || source_column
+    || '") REFERENCES "job_' || replace(job_id, '-', '_') || '"."' || references_table || '" ("' || references_column || '")' FROM dr WHERE note IS NULL
+) SELECT job_id, md5(string_agg(line, ';' || chr(10) ORDER BY part, a, b)) AS ddl FROM s GROUP BY job_id""")
+def md5_ddl(spark, d):
+    m = M.normalize_identifiers(models(spark, d))
+    return M.render_ddl(m, M.downgrade_relationships(m)).withColumn("ddl", F.md5(F.col("ddl").cast("binary")))
+
+
+@query("MD6_load_order", f"""WITH RECURSIVE {DOWNGRADED}, t AS (SELECT job_id, table_name, min(table_no) AS table_no FROM nt GROUP BY ALL), n AS (SELECT job_id, count(*) AS n FROM t GROUP BY job_id),
+ed AS (SELECT DISTINCT job_id, source_table AS child, references_table AS parent FROM dr WHERE note IS NULL AND source_table <> references_table),
+de AS (SELECT job_id, table_name, 0 AS depth FROM t UNION SELECT ed.job_id, ed.child, depth + 1 FROM de JOIN ed ON ed.job_id = de.job_id AND ed.parent = de.table_name JOIN n ON n.job_id = de.job_id WHERE depth < n),
+m AS (SELECT job_id, table_name, max(depth) AS depth FROM de GROUP BY ALL),
+o AS (SELECT t.*, CASE WHEN max(depth) OVER (PARTITION BY t.job_id) < n THEN depth END AS depth FROM t JOIN m USING (job_id, table_name) JOIN n USING (job_id))
+SELECT job_id, table_name, table_no, depth, CAST(row_number() OVER (PARTITION BY job_id ORDER BY depth NULLS FIRST, table_no) AS INTEGER) AS load_no FROM o""")
+def md6(spark, d):
+    m = M.normalize_identifiers(models(spark, d))
+    return M.load_order(m, M.downgrade_relationships(m))
+
+
+@query("MD10_remove_table", f"""WITH {RAW}, f AS (SELECT job_id, table_name AS gone FROM tables_ WHERE table_no = 0)
+SELECT f.job_id, (SELECT count(*) FROM tables_ t WHERE t.job_id = f.job_id AND table_name <> gone) AS n_tables, (SELECT count(*) FROM rels r WHERE r.job_id = f.job_id AND source_table <> gone AND references_table <> gone) AS n_relationships FROM f""")
+def md10(spark, d):
+    m = M.remove_table(models(spark, d), F.col("model.tables")[0]["table_name"])
+    return m.select("job_id", F.size("model.tables").cast("long").alias("n_tables"), F.size("model.relationships").cast("long").alias("n_relationships"))
+
+
+@query("MD11_local_errors", f"""WITH {RAW}
+SELECT job_id, 'duplicate table' AS problem, lower(trim(table_name)) AS name FROM tables_ WHERE trim(table_name) <> '' GROUP BY job_id, lower(trim(table_name)) HAVING count(*) > 1
+UNION ALL SELECT job_id, 'duplicate column', table_name || '.' || lower(trim(column_name)) FROM columns_ WHERE trim(column_name) <> '' GROUP BY job_id, table_no, table_name, lower(trim(column_name)) HAVING count(*) > 1
+UNION ALL SELECT job_id, 'column without a name', table_name FROM columns_ WHERE trim(column_name) = ''
+UNION ALL SELECT job_id, 'table without a name', '' FROM tables_ WHERE trim(table_name) = ''""")
+def md11(spark, d):
+    return M.local_errors(models(spark, d))
+
+
+@query("SRC5_parse_models", f"WITH {RAW} SELECT job_id, CASE WHEN right(job_id, 1) = '3' THEN NULL ELSE count(*) END AS n_tables, CASE WHEN right(job_id, 1) = '3' THEN 'not json' END AS corrupt FROM tables_ GROUP BY job_id")
+def src5(spark, d):
+    text = models(spark, d).select("job_id", F.when(F.col("job_id").endswith("3"), "not json").otherwise(F.to_json("model")).alias("model"))
+    return readers.parse_models(text).select("job_id", F.when(F.col("corrupt").isNull(), F.size("parsed.tables")).cast("long").alias("n_tables"), "corrupt")
+
+
+@query("JN7_link_targets", f"WITH {DOWNGRADED} SELECT job_id, source_table AS table_name, source_column, references_table, references_column FROM dr WHERE note IS NULL")
+def jn7(spark, d):
+    from docframe.operators.extract import link_targets
+
+    return link_targets(M.downgrade_relationships(M.normalize_identifiers(models(spark, d))))
+
+
+SOURCES = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey"), "part": ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"),
+}
+
+
+def sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: table(spark, d, t).select(*cols) for t, cols in SOURCES.items()}
+
+
+_NUM = r"CASE WHEN regexp_matches(v, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(v AS DOUBLE) END"
+_FACTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS column_no, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cols in SOURCES.items() for k, c in enumerate(cols))
+
+
+@query("MD8_propose_model", rf"""WITH v AS ({_FACTS}), f AS (SELECT table_name, column_no, column_name, count(*) AS n, count(DISTINCT v) AS dv, count({_NUM}) AS nums, count(*) FILTER (({_NUM}) <> trunc({_NUM})) AS frac,
+  count(*) FILTER (lower(v) IN ('true','t','yes','y','1','false','f','no','n','0')) AS bools, count(*) FILTER (regexp_matches(v, '\d{{4}}-\d{{1,2}}-\d{{1,2}}')) AS dates FROM v GROUP BY ALL)
+SELECT table_name, column_name, CASE WHEN bools = n AND dv <= 2 AND NOT (nums = n AND frac = 0) THEN 'boolean' WHEN nums = n AND frac = 0 THEN 'integer' WHEN nums = n THEN 'float' WHEN dates = n THEN 'date' ELSE 'string' END AS type,
+  CAST(coalesce(column_no = min(CASE WHEN dv = n THEN column_no END) OVER (PARTITION BY table_name), false) AS INTEGER) AS is_primary_key FROM f""")
+def md8(spark, d):
+    return M.propose_columns(sources(spark, d)).select("table_name", "column_name", "type", F.col("is_primary_key").cast("int").alias("is_primary_key"))
+
+
+@query("MD8_propose_links", """SELECT 'nation' AS source_table, 'n_regionkey' AS source_column, 'region' AS references_table, 'r_regionkey' AS references_column WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))
+UNION ALL SELECT 'customer', 'c_nationkey', 'nation', 'n_nationkey' WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))
+UNION ALL SELECT 'supplier', 's_nationkey', 'nation', 'n_nationkey' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation))
+UNION ALL SELECT 'orders', 'o_custkey', 'customer', 'c_custkey' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))""")
+def md8_links(spark, d):
+    t = sources(spark, d)
+    return M.propose_relationships(t, M.propose_columns(t))
