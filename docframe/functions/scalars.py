@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("", "null", "none", "n/a", "na", "undefined")
 TRUE_TOKENS = ("true", "t", "yes", "y", "1")
 FALSE_TOKENS = ("false", "f", "no", "n", "0")
-CURRENCY = r"[$€£¥,\s]"
+CURRENCY = r"(?U)[$€£¥,\s]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 MARKER = r"--- Page (\d+) ---"
 #: Patterns that to_date looks for, and how each is read; month first.

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe import schemas
 from docframe.functions.scalars import namespace, snake_case, to_bool, to_date, to_float, to_int
 
 # Words that may not name a table or column, and columns that every table gets.
@@ -21,6 +20,7 @@ RESERVED = (
     "true", "union", "unique", "user", "using", "variadic", "when", "where", "window", "with",
 )
 PROVENANCE_NAMES = ("id", "source_page_numbers", "extraction_confidence", "reconciliation_notes")
+TYPES = {"string": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType()}
 SQL_TYPES = {"string": "TEXT", "integer": "BIGINT", "float": "NUMERIC", "boolean": "BOOLEAN", "date": "DATE"}
 SPARK_TYPES = {"string": "STRING", "integer": "BIGINT", "float": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
 PROVENANCE_SQL = (("source_page_numbers", "JSONB"), ("extraction_confidence", "NUMERIC"), ("reconciliation_notes", "TEXT"))
@@ -166,10 +166,10 @@ def model_to_schema(columns: Sequence[tuple[str, str]], link_columns: Sequence[s
     """MD7: a locked table as a schema; link columns that it doesn't declare come as text."""
     out = T.StructType()
     for name, kind in columns:
-        out = out.add(name, schemas.TYPES[kind], True)
+        out = out.add(name, TYPES[kind], True)
     for name in link_columns:
         if name not in {n for n, _ in columns}:
-            out = out.add(name, "string", True)
+            out = out.add(name, T.StringType(), True)
     return out
 
 
