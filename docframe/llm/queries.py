@@ -9,7 +9,7 @@ import corpus_pipeline
 from docframe.llm import language, quality
 from docframe.llm.common import new_path
 from docframe.llm.exact_dedup import exact_groups
-from docframe.llm.licenses import scan_licenses
+from docframe.llm.licenses import MARK, TEMPLATES, scan_licenses
 from docframe.llm.mixing import mix_plan
 from docframe.llm.ngram_join import near_duplicates
 from docframe.llm.packing import pack
@@ -116,6 +116,84 @@ SELECT doc_id, size, source_size, target,
 FROM k JOIN e USING (grp)
 """
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n, w FROM d
+), s AS (
+  SELECT r, i, word, CASE WHEN i + 34 <= n THEN md5(array_to_string(w[i:i + 34], ' ')) END AS span FROM p
+), c AS (
+  SELECT r, i, word, coalesce(span IS NOT NULL AND count(*) OVER (PARTITION BY span) > 1, false) AS again FROM s
+), g AS (
+  SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c
+), k AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, array_to_string(list(word ORDER BY i) FILTER (NOT gone), ' ') AS kept FROM g GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+OP5_SQL = rf"""
+WITH t AS (
+  SELECT * FROM (VALUES {", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))}) x(template, license, notice)
+), tw AS (
+  SELECT template, license, word, count(*) AS tf FROM (SELECT template, license, unnest(regexp_split_to_array(lower(notice), '[^a-z0-9]+')) AS word FROM t) WHERE word <> '' GROUP BY ALL
+), f AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE 'doc-' || doc_id || '.txt' END) AS path FROM documents
+), df AS (
+  SELECT word, count(*) AS df FROM (SELECT DISTINCT path, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM f) WHERE word IN (SELECT word FROM tw) GROUP BY 1
+), n AS (
+  SELECT count(text) AS n FROM f
+), idf AS (
+  SELECT v.word, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN df USING (word), n
+), known AS (
+  SELECT word, template, license, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM tw JOIN idf USING (word)
+), u AS (
+  SELECT DISTINCT path, unit FROM (
+    SELECT path, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT path, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM f UNION ALL SELECT path, text FROM f WHERE doc_id % 25 = 0
+  ) WHERE regexp_matches(unit, '{MARK}')
+), c AS (
+  SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS word FROM (SELECT DISTINCT unit FROM u)) WHERE word <> '' GROUP BY ALL
+), wt AS (
+  SELECT unit, word, tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1.0::DOUBLE) AS w FROM c LEFT JOIN idf USING (word), n
+), sc AS (
+  SELECT unit, license, round(sum(wt.w * known.w) / any_value(norm), 6) AS score FROM wt JOIN known USING (word) JOIN (SELECT unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY unit) USING (unit) GROUP BY unit, template, license
+), own AS (
+  SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score FROM u JOIN sc USING (unit) WHERE score >= 0.7 GROUP BY path
+), spread AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS above, arg_min(license, (-score, license)) AS license, max(score) AS score FROM own WHERE path LIKE '%/LICENSE' GROUP BY 1
+), up AS (
+  SELECT doc_id, arg_max(s.license, length(above)) AS license, arg_max(s.score, length(above)) AS score FROM f JOIN spread s ON starts_with(f.path, above || '/') GROUP BY doc_id
+)
+SELECT f.doc_id, f.path, coalesce(own.license, up.license) AS license, coalesce(own.score, up.score) AS license_score,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN up.license IS NOT NULL THEN 'inherited' END AS license_from
+FROM f LEFT JOIN own ON own.path = f.path LEFT JOIN up ON up.doc_id = f.doc_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), c AS (
+  SELECT array_to_string(w, ' ') AS body, min(doc_id) AS rep, count(*) AS copies, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY 1
+), g AS (
+  SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rep, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM c)
+), n AS (
+  SELECT rep, count(*) AS n FROM g GROUP BY rep
+), common AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM common JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 0.000000001
+), reach AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b
+), root AS (
+  SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a
+), links AS (
+  SELECT a, sum(copies) AS n FROM l JOIN c ON c.rep = b GROUP BY a
+)
+SELECT d.doc_id, coalesce(root, c.rep, d.doc_id) AS class_id, CAST(coalesce(coalesce(links.n, 0) + copies - 1, 0) AS BIGINT) AS n_links, coalesce(c.rep, d.doc_id) AS copy_of
+FROM d LEFT JOIN c ON array_to_string(d.w, ' ') = c.body AND len(d.w) > 0 LEFT JOIN root ON root.a = c.rep LEFT JOIN links ON links.a = c.rep
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -146,6 +224,9 @@ QUERIES = {
 
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
+    "op4_repeated_phrases": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
