@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docframe import schemas
 from docframe.functions.scalars import namespace, snake_case, to_bool, to_date, to_float, to_int
 
 # Words that may not name a table or column, and columns that every table gets.
@@ -226,6 +227,22 @@ def propose_relationships(tables: dict[str, DataFrame], columns: DataFrame) -> D
     return out.filter("misses = 0").drop("misses")
 
 
+def propose_model(tables: dict[str, DataFrame], job_id: str, proposer: Callable[[dict[str, DataFrame]], DataFrame] | None = None) -> DataFrame:
+    """UD2: job_id, model: by a user's proposer, or from the data's types, unique columns and inclusions."""
+    if proposer:
+        return proposer(tables)
+    columns = propose_columns(tables)
+    links = propose_relationships(tables, columns)
+    column = F.struct(F.col("column_name").alias("name"), "type", F.lit(None).cast("string").alias("description"), "is_primary_key")
+    per = columns.groupBy("table_no", "table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_no", column.alias("c")))), lambda x: x["c"]).alias("columns"))
+    nested = F.struct("table_name", F.lit(None).cast("string").alias("description"), "columns")
+    model = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", nested.alias("t")))), lambda x: x["t"]).alias("tables"))
+    rel = F.struct("source_table", "source_column", "references_table", "references_column", F.lit("natural_key"), F.lit(None).cast("array<string>"), F.lit(True), F.lit(True))
+    rels = links.agg(F.array_sort(F.collect_list(rel)).alias("relationships"))
+    kind = F.when(F.size("tables") > 1, "table_graph").otherwise("single_table")
+    return model.crossJoin(rels).select(F.lit(job_id).alias("job_id"), F.struct(kind, "tables", "relationships").cast(schemas.MODEL).alias("model"))  # one row each
+
+
 def remove_table(models: DataFrame, name: Column) -> DataFrame:
     """MD10: models without a table and without the relationships at either end of it."""
     rels = F.filter("model.relationships", lambda r: (r["source_table"] != name) & (r["references_table"] != name))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe import schemas
-from docframe.functions.scalars import COERCE, fingerprint, key_part, natural_key, token_set
+from docframe.functions.scalars import COERCE, fingerprint, key_part, natural_key, strip, token_set
+from docframe.session import stage
 
 ORDER = ("chunk_index", "row_no")
 
@@ -167,6 +169,28 @@ def entity_id(columns: Sequence[Declared]) -> Column:
     return F.when(some, F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def fuzzy_entities(names: DataFrame, column: str, threshold: float = 0.7, rounds: int = 20) -> DataFrame:
+    """UD5, option: column, entity_id: names whose letter trigrams are alike, and names alike to those.
+
+    Distinct names meet by MinHash; the least name of a component stands for it, spread by minima over
+    the pairs until nothing changes.
+    """
+    text = F.concat(F.lit("  "), F.lower(strip(F.col(column))), F.lit(" "))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+    kinds = names.select(column).filter(F.col(column).isNotNull()).distinct()
+    hashed = stage(HashingTF(inputCol="_g", outputCol="_f", numFeatures=1 << 18, binary=True).transform(kinds.withColumn("_g", grams)).drop("_g"))
+    near = MinHashLSH(inputCol="_f", outputCol="_h", numHashTables=8, seed=3).fit(hashed).approxSimilarityJoin(hashed, hashed, 1 - threshold)
+    pairs = stage(near.select(F.col(f"datasetA.{column}").alias("a"), F.col(f"datasetB.{column}").alias("b")))
+    label = stage(kinds.select(F.col(column).alias("a"), F.col(column).alias("label")))
+    for _ in range(rounds):
+        least = pairs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
+        now = stage(label.join(least, "a", "left").select("a", F.least("label", "least").alias("label")))
+        if now.join(label, ["a", "label"], "left_anti").isEmpty():
+            return now.select(F.col("a").alias(column), F.col("label").alias("entity_id"))
+        label = now
+    raise RuntimeError(f"fuzzy_entities: names chain through more than {rounds} rounds")
+
+
 def absorb_partial_rows(df: DataFrame, keys: Sequence[str] = ("chunk_index",), order: Sequence[str] = ("row_no",)) -> DataFrame:
     """WN6: rows without an entity take that of the nearest row before them in their chunk."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

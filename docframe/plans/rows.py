@@ -10,6 +10,8 @@ from docframe.operators import constraints, extract, graph, reconcile, vectors
 from docframe.operators.jobs import dense_index
 from docframe.operators.reconcile import Declared
 from docframe.plans.registry import query, table
+from docframe.session import shared_path, stage
+from docframe.sources import sinks
 
 LINEITEM = [Declared("l_orderkey", "integer", True), Declared("l_linenumber", "integer", True), Declared("l_partkey", "integer"), Declared("l_quantity", "float"), Declared("l_shipmode", "string")]
 
@@ -304,8 +306,6 @@ def con1(spark, d):
 @query("CON1_unique_columns")
 def con1_columns(spark, d):
     """Parts that load when name and size must each be unique: greedy by key, so without SQL twin (tests hold it against a loop)."""
-    from docframe.session import stage
-
     return constraints.unique_survivors(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), ["p_name", "p_size"], ["p_partkey"], stage)
 
 
@@ -423,3 +423,49 @@ def ud4(spark, d):
 @query("ST5_missing_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def st5(spark, d):
     return vectors.missing_vectors(table(spark, d, "documents").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+@query("SNK2_graph", f"WITH {NODES} SELECT t AS table_name, count(*) AS n FROM nodes GROUP BY 1")
+def snk2(spark, d):
+    """The graph as the sink stores it, written twice."""
+    t, path = node_tables(spark, d), shared_path(spark)
+    sink = sinks.GraphSink(spark, path)
+    for _ in range(2):
+        sink.provision_graph(graph.nodes(t, "job_1"), graph.graph_edges(t, "job_1"))
+    return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__table").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK6_drop_output", f"WITH {NODES} SELECT 'job_1' AS job_scope, count(*) AS n FROM nodes")
+def snk6(spark, d):
+    t, path = node_tables(spark, d), shared_path(spark)
+    sink = sinks.GraphSink(spark, path)
+    for scope in ("job_1", "job_2"):
+        sink.provision_graph(graph.nodes(t, scope), graph.graph_edges(t, scope))
+    sink.delete_output("job_2")
+    return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__job_scope").alias("job_scope")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK4_buckets", "SELECT CAST(l_suppkey AS VARCHAR) AS job_id, count(*) AS n FROM lineitem GROUP BY 1")
+def snk4(spark, d):
+    path = shared_path(spark)
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("job_id"), F.lit("lineitem").alias("table_name"), F.col("l_orderkey").alias("chunk_index"), F.col("l_linenumber").alias("row_no"))
+    sinks.write_buckets(rows, path)
+    return spark.read.schema("table_name string, job_id string").json(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK1_load_sql", """WITH p AS (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part) WHERE k = 1)
+SELECT 'part' AS table_name, count(*) AS n FROM p UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM p)""")
+def snk1(spark, d):
+    """What the relational sink loads: parts of a unique name, then line items whose part was loaded."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", F.lit(0).alias("chunk_index"), F.col("p_partkey").alias("row_no"))
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.lit(0).alias("chunk_index"), F.col("l_orderkey").alias("row_no"))
+    sink = sinks.SqlSink(spark, {"part": ["p_name"]}, [("lineitem", "l_partkey", "part", "p_partkey")], materialise=stage)
+    loaded = sink.survivors({"part": part, "lineitem": item})
+    counts = [df.select(F.lit(name).alias("table_name")) for name, df in loaded.items()]
+    return counts[0].unionByName(counts[1]).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("UD5_fuzzy_entities")
+def ud5_fuzzy(spark, d):
+    """Part names by likeness (tests hold small names against their groups)."""
+    return reconcile.fuzzy_entities(table(spark, d, "part"), "p_name")

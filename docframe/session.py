@@ -23,14 +23,18 @@ def session(name: str = "docframe", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back (a temporary one on a local master where that is unset)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one on a local master where that is unset)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="docframe-")
-    path = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: it cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,23 @@ def regions_from_html(pages: DataFrame) -> DataFrame:
     return regions.select("doc_id", F.lit(1).alias("page_number"), "region_no", *_region(F.col("r.kind"), F.col("r.text"), F.col("region_no")))
 
 
+def read_with(files: DataFrame, reader: Callable[[str, bytes], list[dict]]) -> DataFrame:
+    """UD1: regions by a user's reader (path, content) -> [{page_number, region_type, bbox, text, confidence}].
+
+    files: path, content (format binaryFile); the reader runs in the tasks, a file at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows = [(path, int(r["page_number"]), n, r.get("region_type"), list(r.get("bbox") or (0, 0, 0, 0)), r.get("text"), r.get("confidence")) for n, r in enumerate(reader(path, content))]
+                yield pd.DataFrame(rows, columns=["path", "page_number", "region_no", "region_type", "bbox", "text", "confidence"])
+
+    found = files.select("path", "content").mapInPandas(run, "path string, page_number int, region_no int, region_type string, bbox array<int>, text string, confidence double")
+    box = [F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return found.select("path", "page_number", "region_no", "region_type", *box, "text", "confidence")
+
+
 def parse_models(rows: DataFrame, column: str = "model") -> DataFrame:
     """SRC5: JSON text to a model; text that is none goes to ``corrupt``."""
     parsed = F.from_json(F.col(column).cast("string"), schemas.MODEL, {"mode": "PERMISSIVE"})

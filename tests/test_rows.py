@@ -76,3 +76,9 @@ def test_declared_projection(spark):
     r = reconcile.project_declared(df, COLS).first()
     assert r.a == '["x"]' and r.b is None and "__i" not in r.asDict() and r.source_page_numbers is None
     assert "__i" not in reconcile.finish_rows(df).columns
+
+
+def test_fuzzy_entities(spark):
+    names = spark.createDataFrame([(n,) for n in ("Acme Corporation", "acme corporation ", "Acme Corporations", "Globex Industries", None)], "name string")
+    got = {r.name: r.entity_id for r in reconcile.fuzzy_entities(names, "name").collect()}
+    assert len(set(got.values())) == 2 and got["Acme Corporation"] == got["acme corporation "] == got["Acme Corporations"]

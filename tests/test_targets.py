@@ -144,3 +144,20 @@ def test_run_files(spark, tmp_path):
     updates = spark.createDataFrame([("j", "RUNNING", None, 1), ("j", None, 5, 2)], "job_id string, status string, provisioned_rows int, updated_at int")
     sinks.audit_jobs(updates, str(tmp_path / "a"))
     assert tuple(sinks.read_audit(spark, str(tmp_path / "a")).first()) == ("j", "RUNNING", 5, 2)
+
+
+def test_proposed_model(spark):
+    tables = {"p": spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-02-01")], "p_key int, p_name string, p_day string"), "c": spark.createDataFrame([(7, 1, 0.5), (8, 1, 2.0)], "c_id int, c_key int, c_v double")}
+    model = M.propose_model(tables, "j").first().model
+    assert model.extraction_type == "table_graph"
+    assert {c.name: (c.type, c.is_primary_key) for t in model.tables for c in t.columns} == {"p_key": ("integer", True), "p_name": ("string", False), "p_day": ("date", False), "c_id": ("integer", True), "c_key": ("integer", False), "c_v": ("float", False)}
+    assert [(r.source_column, r.references_column) for r in model.relationships] == [("c_key", "p_key")]
+    assert M.propose_model(tables, "j", lambda t: t["p"]) is tables["p"]
+
+
+def test_user_reader(spark):
+    from docframe.sources.readers import read_with
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"x y"))], "path string, content binary")
+    got = read_with(files, lambda path, content: [{"page_number": 1, "region_type": "text", "text": w} for w in content.decode().split()]).collect()
+    assert [(r.region_no, r.text, r.x1) for r in got] == [(0, "x", 0), (1, "y", 0)]
