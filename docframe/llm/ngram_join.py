@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     placed = stage(placed.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).drop("n"), "ngram-placed")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    texts = slim.join(placed, F.col("d_id") == F.col("rep")).withColumn("other", other)
+    # the texts are shuffled at every size: a plan that turns to it as the table grows can't be foreseen
+    texts = slim.join(placed.hint("shuffle_hash"), F.col("d_id") == F.col("rep")).withColumn("other", other)
     groups = texts.select("rep", "digest", "copies", "block", "d_text", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     checked = stage(groups.groupBy("comp", "x", "y").applyInArrow(_verify(n, threshold), "rep long, links long, root long"), "ngram-links")
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("rep"), F.col("v").alias("root"))
