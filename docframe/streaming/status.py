@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from docframe.operators.jobs import TERMINAL, latest_status
+from docframe.session import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "job_id string, status string, progress double, error_message string, connection_string string, ts timestamp"
@@ -49,6 +50,7 @@ class _UntilTerminal(StatefulProcessor):
 
 def stream_until_terminal(events: DataFrame) -> DataFrame:
     """SM2 on a stream, for append mode; needs the RocksDB state store."""
+    ship(events.sparkSession)
     return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=_UntilTerminal(), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
