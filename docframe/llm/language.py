@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.common import fold_of
+from docframe.session import ship
 
 #: Bytes of a window; every text is read in as many as it fills, the last one padded with zeros.
 WINDOW = 256
@@ -126,6 +127,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
     Null texts and texts without letters are UNKNOWN with score 0, and so is all without a network.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

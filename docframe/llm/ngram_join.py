@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docframe.llm.common import stage
 from docframe.llm.components import components
 from docframe.llm.shingles import Words, mix, seeds
+from docframe.session import ship
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hash functions at most, bytes hashed at a time, documents and shingles of a block at most (about).
@@ -155,6 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different words count as linked by that id; rows with a null id take part under the id null: they
     get class_id null and no links, unless a copy of theirs has an id.
     """
+    ship(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     slim = docs.select(docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
     signed = stage(slim.mapInArrow(_sign(n, bands, rows), "d_id long, digest binary, n long, bands array<long>"), "ngram-signs")

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from docframe.llm.bpe import encoder, vocabulary_path
+from docframe.session import ship
 
 WINDOW = 2048
 PIECES = pa.schema(
@@ -108,6 +109,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, win
     an id are documents of their own; an empty table gives no pieces.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or vocabulary_path()).encode
         end = np.array([end_id], "<u4").tobytes()

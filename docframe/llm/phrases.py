@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.shingles import Words
+from docframe.session import ship
 
 WINDOW, ANCHOR = 35, 20
 #: Characters of a chunk, about; a single longer text is a chunk's excess.
@@ -190,6 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text has no words.  Rows that repeat an id are documents of their own; an empty table gives none.
     """
     spark = docs.sparkSession
+    ship(spark)
     chars = docs.agg(F.sum(F.length(docs[text_col]))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(2 * parts, -(-chars // chunk_chars))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.common import fold_of, stage
+from docframe.session import ship
 
 #: Bounds of the training sample: labelled rows, and characters of one random span of each.
 TRAIN_ROWS = 6000
@@ -164,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score, predicted of every whole text; null counts as empty, and empty texts have a score."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text scores THRESHOLD at least, with all their columns."""
+    ship(docs.sparkSession)
     model = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from docframe.llm import simple8b
 from docframe.llm.bpe import encoder, vocabulary_path
 from docframe.llm.common import stage
+from docframe.session import ship
 
 BLOCK_IDS = 1 << 16
 BLOCKS = "shard long, block long, first long, n_ids long, doc_ids binary, doc_null binary, doc_lens binary, words binary, raw binary"
@@ -74,6 +75,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     Null ids come first; rows that repeat an id come by a hash of their text, then by it.  An empty
     table gives files without rows.  vocabulary: a tokenizers file, else the public byte BPE.
     """
+    ship(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
     order = [F.col("d_id").asc_nulls_first(), F.xxhash64("d_text"), F.col("d_text")]
     ranged = slim.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
@@ -100,6 +102,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.llm.common import stage
+from docframe.session import ship
 
 SCALE = 256.0
 CANDIDATES = 8192
@@ -117,6 +118,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int =
         fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
         return df.select(df[id_col].cast("long").alias("v_id"), v.cast("array<double>").alias("vector")).filter(fine & F.col("v_id").isNotNull())
 
+    ship(vectors.sparkSession)
     asked = stage(valid(queries).groupBy("v_id").agg(F.min("vector").alias("vector")), "topk-queries")
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("v_id"), F.lit(blocks)))
