@@ -24,11 +24,19 @@ VOCABULARY = 20_000
 DIMS, NONZERO, REACH, HIDDEN = 64, 6, 2, 24
 THRESHOLD = 0.7
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+REPEATED = " again"
 #: Words that a worker remembers the row of.
 REMEMBERED = 300_000
 TEXTS = 64
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Words, numbers and runs of marks; a word that stands again one or two places on is REPEATED."""
+    found = _TOKENS.findall(text or "")
+    again = [REPEATED if (a == b or a == c) and a.isalpha() else a for a, b, c in zip(found[2:], found[1:], found)]
+    return found[:2] + again
+
+
 def form(token: str) -> str:
     """What is left of a word when its letters don't matter."""
     if token[0].isalpha():
@@ -66,7 +74,7 @@ class QualityModel:
         """The mean word vector of each text; zero for a text without words."""
         out = np.zeros((len(texts), DIMS), np.float32)
         for k, text in enumerate(texts):
-            tokens = _TOKENS.findall(text or "")
+            tokens = tokens_of(text)
             for at in range(0, len(tokens), 100_000):
                 part = tokens[at : at + 100_000]
                 if fresh := set(part).difference(seen):
@@ -92,7 +100,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Random indexing: a word's vector sums the index vectors of its neighbours and its own."""
-    tokens = [_TOKENS.findall(t) for t in texts]
+    tokens = [tokens_of(t) for t in texts]
     counts = Counter(w for ts in tokens for w in ts)
     common = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))[:VOCABULARY]
     names = common + sorted({form(w) for w in counts})
