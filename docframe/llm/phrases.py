@@ -21,6 +21,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ from docframe.session import ship
 WINDOW, ANCHOR = 35, 20
 #: Characters of a chunk, about; a single longer text is a chunk's excess.
 CHUNK_CHARS = 4_000_000
-BATCH_BYTES = 1 << 22
+#: Bytes hashed at a time: arrays of 8 bytes for each byte, and for powers of the base, stay small.
+BATCH_BYTES = 1 << 18
 _SIDE = "chunk long, kind int, h1 long, h2 long"
 
 
@@ -39,21 +41,20 @@ def anchors_of_windows(words: Words, k: int, anchor: int) -> tuple[np.ndarray, n
 
     Of equal hashes the last is the anchor, as in every equal window.
     """
-    runs, at = words.runs(anchor)
-    _, starts = words.runs(k)
+    at, starts = words.starts(anchor), words.starts(k)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), starts
+    # sliding minima by doubling: spans of 1, 2, 4 ... anchors, then two spans that cover the window's
+    best, arg, span, wanted = words.hash_runs(at, anchor, 0), np.arange(len(at)), 1, k - anchor + 1
+    while span < wanted:
+        step = min(span, wanted - span)
+        less = best[step:] <= best[:-step]
+        best, arg = np.where(less, best[step:], best[:-step]), np.where(less, arg[step:], arg[:-step])
+        span += step
     place = np.zeros(len(words.hashes), np.int64)
     place[at] = np.arange(len(at))
     first = place[starts]
-    best = runs[first].copy()
-    best_at = first.copy()
-    for step in range(1, k - anchor + 1):
-        other = runs[first + step]
-        less = other <= best
-        best[less] = other[less]
-        best_at[less] = first[less] + step
-    return starts, best, at[best_at]
+    return starts, best[first], at[arg[first]]
 
 
 def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -81,41 +82,56 @@ def _count_anchors(k: int, anchor: int):
                 starts, hashes, at = anchors_of_windows(words, k, anchor)
                 mine = chunks[done : done + len(some)]
                 done += len(some)
-                # an anchor of neighbouring windows stands once
-                once = np.unique(at, return_index=True)[1]
+                once = np.flatnonzero(np.diff(at, prepend=-1))  # neighbouring windows share their anchor
                 chunk = mine[np.searchsorted(words.ends, at[once], side="right")]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[once].view(np.int64)), pa.array(chunk)], names=["h1", "chunk"])
 
     return run
 
 
-def _hidden(side: pa.Table, kind: int) -> np.ndarray:
-    """The hashes of one kind that the chunk was told, as pairs of 64 bits."""
-    mine = side.filter(pa.compute.equal(side["kind"], kind))
-    both = np.empty(mine.num_rows, [("a", np.int64), ("b", np.int64)])
-    both["a"], both["b"] = mine["h1"].to_numpy(), mine["h2"].to_numpy()
-    return both
+def _told(side: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit hashes of one kind that the chunk was told, in order of their first halves."""
+    mine = side.filter(pc.equal(side["kind"], kind))
+    first, second = mine["h1"].to_numpy(), mine["h2"].to_numpy()
+    order = np.argsort(first, kind="stable")
+    return first[order], second[order]
 
 
-def _candidates(words: Words, second: Words, k: int, anchor: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and 128-bit hashes of the windows whose anchor isn't alone in the corpus."""
-    starts, hashes, _ = anchors_of_windows(words, k, anchor)
-    keep = ~np.isin(hashes.view(np.int64), alone)
-    both = np.empty(int(keep.sum()), [("a", np.int64), ("b", np.int64)])
-    both["a"], both["b"] = words.runs(k, 2)[0][keep].view(np.int64), second.runs(k, 3)[0][keep].view(np.int64)
-    return starts[keep], both
+def _among(first: np.ndarray, second: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of these hashes the chunk was told."""
+    hit = np.zeros(len(first), bool)
+    if len(told[0]):
+        at, more = np.searchsorted(told[0], first), len(first) > 0
+        while more:  # once, unless first halves are equal
+            k = np.minimum(at, len(told[0]) - 1)
+            same = told[0][k] == first
+            hit |= same & (told[1][k] == second)
+            at = at + 1
+            more = bool((same & ~hit & (at < len(told[0]))).any())
+    return hit
+
+
+def _candidates(words: Words, k: int, anchor: int, alone: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and both hash halves of the windows whose anchor isn't alone in the corpus."""
+    starts, hashes, at = anchors_of_windows(words, k, anchor)
+    new = np.flatnonzero(np.diff(at, prepend=-1))  # neighbouring windows share their anchor
+    heads = hashes[new].view(np.int64)
+    starts = starts[np.repeat(~_among(heads, np.zeros_like(heads), alone), np.diff(new, append=len(at)))]
+    return starts, words.hash_runs(starts, k, 2).view(np.int64), words.hash_runs(starts, k, 3).view(np.int64)
 
 
 def _count_windows(k: int, anchor: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("chunk", "h1", "h2", "n")})
-        alone, found = np.unique(_hidden(side, 0)["a"]), []
-        for some in _batches(_bytes(docs["d_text"])):
-            found.append(_candidates(Words(some), Words(some, 1), k, anchor, alone)[1])
-        windows, n = np.unique(np.concatenate(found), return_counts=True)
-        chunk = np.full(len(windows), docs["chunk"][0].as_py(), np.int64)
-        return pa.table({"chunk": chunk, "h1": np.ascontiguousarray(windows["a"]), "h2": np.ascontiguousarray(windows["b"]), "n": n.astype(np.int64)})
+        alone = _told(side, 0)
+        found = [_candidates(Words(some), k, anchor, alone)[1:] for some in _batches(_bytes(docs["d_text"]))]
+        first, second = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(first, kind="stable")
+        first, second = first[order], second[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)])) if len(first) else np.zeros(0, np.int64)
+        chunk = np.full(len(new), docs["chunk"][0].as_py(), np.int64)
+        return pa.table({"chunk": chunk, "h1": first[new], "h2": second[new], "n": np.diff(new, append=len(first)).astype(np.int64)})
 
     return run
 
@@ -153,12 +169,12 @@ def locate(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, passages: np
 def _remove(k: int, anchor: int, spans: bool):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         ids, texts = docs["d_id"].to_pylist(), _bytes(docs["d_text"])
-        alone, single = np.unique(_hidden(side, 0)["a"]), _hidden(side, 1)
+        alone, single = _told(side, 0), _told(side, 1)
         hashes, bounds, starts, done = [], [], [], 0
         for some in _batches(texts):
             words = Words(some)
-            at, windows = _candidates(words, Words(some, 1), k, anchor, alone)
-            starts.append(at[~np.isin(windows, single)] + done)
+            at, first, second = _candidates(words, k, anchor, alone)
+            starts.append(at[~_among(first, second, single)] + done)
             hashes.append(words.hashes)
             bounds.append(np.stack([words.begins, words.ends]) + done)
             done += len(words.hashes)

@@ -61,12 +61,14 @@ class Words:
         self.ends = np.searchsorted(begins, np.cumsum(lens))
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
-    def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words that lie in one text, and the index of their first words."""
-        n = len(self.hashes)
-        left = np.repeat(self.ends, self.ends - self.begins) - np.arange(n)
-        at = np.flatnonzero(left >= k)
-        return _run_hashes(self.hashes, at, at + k, seed + 1), at
+    def starts(self, k: int) -> np.ndarray:
+        """First words of all runs of k words that lie in one text."""
+        left = np.repeat(self.ends, self.ends - self.begins) - np.arange(len(self.hashes))
+        return np.flatnonzero(left >= k)
+
+    def hash_runs(self, at: np.ndarray, k: int, seed: int) -> np.ndarray:
+        """Hashes of the runs of k words that begin at these words."""
+        return _run_hashes(self.hashes, at, at + k, seed + 1)
 
     def shingles(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-word shingles of all texts, text by text, and how many each has.
