@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.llm.common import stage
+
 # Licence names and the notices that announce them.  Every notice has a MARK.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -35,8 +37,8 @@ def _words(text: Column) -> Column:
 
 
 def _templates(docs: DataFrame) -> DataFrame:
-    rows = docs.sparkSession.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, notice string")
-    return rows.select("template", "license", F.explode(_words(F.col("notice"))).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
+    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("notice")) for k, (name, text) in enumerate(TEMPLATES)])
+    return docs.sparkSession.range(1, numPartitions=1).select(F.inline(rows)).select("template", "license", F.explode(_words(F.col("notice"))).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _name(path: Column) -> Column:
@@ -64,13 +66,16 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     idf = vocabulary.join(df, "word", "left").crossJoin(n).select("word", "texts", (F.log((1.0 + F.col("texts")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
     known = per_template.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    known = known.select("word", "template", "license", "idf", (F.col("w") / norm).alias("tw"), F.log(1.0 + F.col("texts")).alias("rare"))
+    known = stage(known.select("word", "template", "license", "idf", "texts", (F.col("w") / norm).alias("tw")), "license-words")
     pieces = F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t]*\n"), F.when(_name(F.col("path")).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")))
-    marked = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, lambda u: u.rlike(MARK)))).alias("unit"))
-    counts = marked.select("unit").distinct().select("unit", F.explode(_words(F.col("unit"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    found = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, lambda u: u.rlike(MARK)))).alias("body"))
+    # a unit goes by its digest: its text isn't carried along with each of its words
+    found = stage(found.withColumn("unit", F.sha2(F.col("body").cast("binary"), 256)), "license-units")
+    marked = found.select("path", "unit")
+    counts = found.select("unit", "body").dropDuplicates(["unit"]).select("unit", F.explode(_words(F.col("body"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     per_word = F.broadcast(known.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "tw")).alias("in")))  # as many rows as the templates have words
     # unseen words weigh as much as a word of no text: the idf of df 0 is ln(1 + texts) + 1
-    rare = n.select((F.log(1.0 + F.col("texts")) + 1.0).alias("rare"))
+    rare = known.groupBy().agg((F.log(1.0 + F.max("texts")) + 1.0).alias("rare"))
     weighed = counts.join(per_word, "word", "left").crossJoin(F.broadcast(rare)).withColumn("w", F.col("tf") * F.coalesce("idf", "rare"))
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.select("unit", "w", F.explode("in").alias("t")).groupBy("unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
@@ -92,7 +97,7 @@ def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     share the best notice of all; ties go to the licence that comes first by name.
     """
     slim = files.select(F.col("path"), F.col("text"))
-    own = scan_notices(slim, cosine)
+    own = stage(scan_notices(slim, cosine), "license-own")
     spread = own.filter(_name(F.col("path")).rlike(LICENCE_FILE)).groupBy(_directory(F.col("path")).alias("above"))
     spread = spread.agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("spread"))
     folders = files.select(_directory(F.col("path")).alias("folder")).filter("folder IS NOT NULL").distinct()
