@@ -17,7 +17,7 @@ import numpy as np
 #: A space that may not open a pre-token: it ends the text or white space follows.
 _UNSURE = re.compile("  | [\\s\u180e\u200b\ufeff]| $")
 #: Pieces kept per worker; beyond it the cache starts again, so memory stays bounded.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 #: Pieces of letter runs and marks whose parts are pre-tokens on their own, whatever follows (a piece of other parts goes to the whole encoder).
 _PARTS = re.compile(r"[^\W\d_]+|[^\w\s']+\n?|\n(?=[^\W\d_])")
 
@@ -57,32 +57,38 @@ class PieceEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _part(self, part: str, lead: str) -> bytes:
-        """Ids of one pre-token; letter runs go straight to the merges."""
-        found = self._parts.get(lead + part)
+    def _merged(self, part: str) -> bytes:
+        """Ids of one pre-token of letters, straight from the merges."""
+        merged = self._merge(part.encode().decode("latin-1").translate(_BYTE_CHARS))
+        return array("I", [t.id for t in merged]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token that no space opens."""
+        found = self._parts.get(part)
         if found is None:
-            if part.isalpha():
-                merged = self._merge((lead + part).encode().decode("latin-1").translate(_BYTE_CHARS))
-                found = array("I", [t.id for t in merged]).tobytes()
-            else:
-                found = self._ids(lead + part).tobytes()
-            if len(self._parts) >= self._limit:
+            found = self._merged(part) if part.isalpha() else self._ids(part).tobytes()
+            if len(self._parts) >= self._limit // 4:
                 self._parts = {}
-            self._parts[lead + part] = found
+            self._parts[part] = found
         return found
 
     def _learn(self, pieces: list[str]) -> None:
         """Keep the ids of pieces, each as if a space stood before it."""
-        if len(self._cache) + len(pieces) > self._limit:
-            self._cache = {}
-        part, cache = self._part, self._cache
+        part, cache, merged = self._part, self._cache, self._merged
         for piece in pieces:
             if piece.isalpha():
-                cache[piece] = part(piece, " ")
+                cache[piece] = merged(" " + piece)
                 continue
             found = _PARTS.findall(piece)
-            if sum(map(len, found)) == len(piece) and found:
-                cache[piece] = part(found[0], " ") + b"".join([part(p, "") for p in found[1:]])
+            if found and sum(map(len, found)) == len(piece):
+                first = found[0]
+                if first.isalpha():
+                    if first not in cache:
+                        cache[first] = merged(" " + first)
+                    head = cache[first]
+                else:
+                    head = self._ids(" " + first).tobytes() if len(first) > 3 else self._part(" " + first)
+                cache[piece] = head + b"".join([part(p) for p in found[1:]])
             else:
                 cache[piece] = self._ids(" " + piece).tobytes()
 
@@ -93,15 +99,14 @@ class PieceEncoder:
             text = text or ""
             first, *pieces = text.split(" ")
             kinds = set(pieces)
-            if _UNSURE.search(text) or len(kinds) > self._limit // 2:
+            if _UNSURE.search(text) or len(kinds) > self._limit // 4:
                 out.append(self._ids(text).tobytes())
                 continue
-            if fresh := kinds.difference(self._cache):
-                before = self._cache
-                self._learn(list(fresh))
-                if self._cache is not before and (gone := kinds.difference(self._cache)):
-                    self._learn(list(gone))
-            head = self._part(first, "") if first.isalpha() else self._ids(first).tobytes() if first else b""
+            fresh = kinds.difference(self._cache)
+            if len(self._cache) + 2 * len(fresh) > self._limit:
+                self._cache, fresh = {}, kinds
+            self._learn(fresh)
+            head = self._part(first) if first.isalpha() else self._ids(first).tobytes() if first else b""
             out.append(head + b"".join(map(self._cache.__getitem__, pieces)))
         return out
 

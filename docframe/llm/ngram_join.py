@@ -18,7 +18,7 @@ from docframe.session import ship
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hash functions at most, bytes hashed at a time, documents and shingles of a block at most (about).
-HASHES, CHUNK_BYTES, BLOCK_DOCS, BLOCK_SHINGLES = 128, 1 << 21, 256, 1 << 20
+HASHES, CHUNK_BYTES, BLOCK_DOCS, BLOCK_SHINGLES = 128, 1 << 18, 256, 1 << 20
 COLUMNS = 4096
 
 
