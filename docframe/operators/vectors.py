@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +16,11 @@ from pyspark.sql.functions import pandas_udf
 
 from docframe.functions.scalars import page_header, point_id, row_text, to_payload
 from docframe.operators.jobs import dense_index
+from docframe.session import ship, stage
 
 EMBED_BATCH, TOP_K = 100, 10
-#: Queries of a retrieval at most; they are sent to all tasks.
-MAX_QUERIES = 10_000
+#: Rows and components of a block of vectors at most.
+BLOCK_ROWS, BLOCK_VALUES = 1024, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,20 +32,90 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id, vector), cut into blocks of one bucket and one dimension, each by ascending id; vectors of length 0 are left out."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).append_column("dims", pc.list_value_length(batch.column("vector")))
+        t = t.take(pc.sort_indices(t, sort_keys=[("bucket", "ascending"), ("dims", "ascending"), ("id", "ascending")], null_placement="at_start")).combine_chunks()
+        bucket, dims = t["bucket"].to_numpy(), t["dims"].to_numpy()
+        ends = np.append(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(dims) != 0)) + 1, len(dims))
+        at = 0
+        while at < len(dims):
+            size = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, int(dims[at]))))
+            end = min(at + size, int(ends[np.searchsorted(ends, at, "right")]))
+            part = t.slice(at, end - at).combine_chunks()
+            data = _matrix(part["vector"], int(dims[at]))
+            norms = np.sqrt((data * data).sum(axis=1))
+            kept = ~(norms <= 0)
+            if kept.any():
+                ids = part["id"].filter(pa.array(kept)).combine_chunks()
+                ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket[at]], pa.int32()), pa.array([dims[at]], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([norms[kept].tobytes()], pa.binary()), pa.array([data[kept].tobytes()], pa.binary())],
+                    names=["bucket", "dims", "ids", "norms", "data"],
+                )
+            at = end
+
+
+def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).astype(np.float64).reshape(-1, dims)
+
+
+def _best(k: int):
+    """The k best of each pair of blocks, by rounded cosine and id; no cosine (null) where the dimensions differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                cell = {name: batch.column(name)[n] for name in batch.schema.names}
+                (c, c_norms, c_ids), (q, q_norms, q_ids) = (
+                    (np.frombuffer(cell[f"{side}data"].as_buffer()).reshape(-1, cell[f"{side}dims"].as_py()), np.frombuffer(cell[f"{side}norms"].as_buffer()), cell[f"{side}ids"].values) for side in ("", "q_")
+                )
+                same = c.shape[1] == q.shape[1]
+                if same:
+                    with np.errstate(all="ignore"):
+                        cosines = (q @ c.T) / np.outer(q_norms, c_norms)
+                        cosines = np.copysign(np.floor(np.abs(cosines) * 1e6 + 0.5) / 1e6, cosines) + 0.0
+                    key = np.where(np.isnan(cosines), np.inf, cosines)
+                else:
+                    key = np.full((len(q), len(c)), -np.inf)
+                least = np.partition(key, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(q), -np.inf)
+                row, at = np.nonzero(key >= least[:, None])
+                order = np.lexsort((at, -key[row, at], row))
+                row, at = row[order], at[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[first], at[first]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(at)), pa.array(cosines[row, at]) if same else pa.nulls(len(row), pa.float64())], names=["query_id", "chunk_id", "similarity"])
+
+    return run
+
+
+def _vectors(df: DataFrame, name: str) -> DataFrame:
+    whole = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
+    return df.filter(whole).select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """Blocks of rows (bucket, id, vector), staged: they are read once per block that they meet."""
+    return stage(df.mapInArrow(_blocks, f"bucket int, dims int, ids array<{df.schema['id'].dataType.simpleString()}>, norms binary, data binary"))
+
+
+def _ranked(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double"
+    names = [f"{side}{c}" for side in ("", "q_") for c in ("dims", "ids", "norms", "data")]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
+    return pairs.select(*names).mapInArrow(_best(k), kinds).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """TK1: query_id, rank, chunk_id, similarity: the k nearest chunks of each query by cosine.
 
-    chunks: chunk_id, embedding; queries: query_id, embedding, at most MAX_QUERIES, counted first and
-    then broadcast.  Ranks are limited within each task before the shuffle.
+    chunks: chunk_id, embedding; queries: query_id, embedding, of any number.  Blocks of chunks meet
+    blocks of queries, and each pair of blocks keeps its k best of every query before the shuffle.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"retrieve takes at most {MAX_QUERIES} queries")
-    unit = lambda df, name: df.select(name, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).filter("norm > 0")
-    q = unit(queries, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    scored = unit(chunks, "chunk_id").join(F.broadcast(q), F.lit(True))
-    scored = scored.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ship(chunks.sparkSession)
+    c, q = (_packed(_vectors(df, name).select(F.lit(0).alias("bucket"), "id", "vector")) for df, name in ((chunks, "chunk_id"), (queries, "query_id")))
+    return _ranked(c.crossJoin(q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])), chunks, queries, k)
 
 
 def retrieve_approx(chunks: DataFrame, query: list[float], k: int = TOP_K, bucket: float = 0.5, tables: int = 8) -> DataFrame:
