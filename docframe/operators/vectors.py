@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -61,6 +61,30 @@ def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).astype(np.float64).reshape(-1, dims)
 
 
+def _assign(bits: int, probes: int, seed: int):
+    """Rows (id, vector) with the buckets nearest to each: a bucket is the vector's side of ``bits`` random planes.
+
+    A bucket is as far as the planes that must be crossed, so one probe is the vector's own bucket.
+    """
+    codes = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                lengths = pc.list_value_length(part.column("vector"))
+                for dims in pc.unique(lengths).to_pylist():
+                    own = pa.Table.from_batches([part]).filter(pc.equal(lengths, dims))
+                    side = _matrix(own["vector"], dims) @ np.random.default_rng([seed, dims]).normal(size=(dims, bits))
+                    far, up = side * side, side > 0
+                    cost = (far * up) @ (1 - codes).T + (far * ~up) @ codes.T
+                    near = np.argsort(cost, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    own = own.take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))
+                    yield from own.add_column(0, "bucket", pa.array(near.ravel())).combine_chunks().to_batches()
+
+    return run
+
+
 def _best(k: int):
     """The k best of each pair of blocks, by rounded cosine and id; no cosine (null) where the dimensions differ."""
 
@@ -118,14 +142,27 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame
     return _ranked(c.crossJoin(q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])), chunks, queries, k)
 
 
-def retrieve_approx(chunks: DataFrame, query: list[float], k: int = TOP_K, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """TK2: nearest chunks of one vector by random-projection hashing of unit vectors, ranked exactly."""
-    norm = Normalizer(inputCol="raw", outputCol="features")
-    data = norm.transform(chunks.select("chunk_id", array_to_vector("embedding").alias("raw")))
-    key = norm.transform(chunks.sparkSession.range(1).select(array_to_vector(F.array(*[F.lit(float(x)) for x in query])).alias("raw"))).first()["features"]
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(data)
-    near = model.approxNearestNeighbors(data, key, k)
-    return near.select("chunk_id", F.round(1 - F.col("distCol") * F.col("distCol") / 2, 6).alias("similarity"))
+def retrieve_approx(chunks: DataFrame, queries: DataFrame | list[float], k: int = TOP_K, bits: int = 6, share: float = 0.75, seed: int = 7) -> DataFrame:
+    """TK2: retrieve, where a query meets only the chunks of the ``share`` of hash buckets that are nearest to it.
+
+    A chunk is in one of 2^bits buckets, the side it has of random planes, so none is found twice;
+    found chunks are ranked by their exact cosines.  The share is that large because the neighbours
+    of vectors without clusters are hardly nearer than the rest.  Where queries is one vector, its
+    chunk_id and similarity only.
+    """
+    if not isinstance(queries, DataFrame):
+        one = chunks.sparkSession.createDataFrame([(0, [float(x) for x in queries])], "query_id int, embedding array<double>")
+        return retrieve_approx(chunks, one, k, bits, share, seed).select("chunk_id", "similarity")
+    ship(chunks.sparkSession)
+
+    def hashed(df: DataFrame, name: str, probes: int) -> DataFrame:
+        rows = _vectors(df, name)
+        rows = rows.mapInArrow(_assign(bits, probes, seed), f"bucket int, id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
+        return _packed(rows.repartition("bucket").sortWithinPartitions("bucket"))
+
+    c, q = hashed(chunks, "chunk_id", 1), hashed(queries, "query_id", max(1, round(share * (1 << bits))))
+    q = q.select("bucket", "dims", *[F.col(x).alias(f"q_{x}") for x in q.columns if x != "bucket"])
+    return _ranked(c.join(q, ["bucket", "dims"]), chunks, queries, k)
 
 
 def retrieval_context(ranked: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Retrieval by many queries."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docframe.operators import vectors
+from docframe.plans import QUERIES
 
 
 def test_retrieval_takes_any_number_of_queries(spark):
@@ -19,4 +21,12 @@ def test_retrieval_of_odd_rows(spark):
     queries = spark.createDataFrame([(7, [5.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "query_id long, embedding array<double>")
     got = sorted((r.rank, r.query_id, r.chunk_id, r.similarity) for r in vectors.retrieve(chunks, queries).collect())
     assert got == [(1, 7, None, 1.0), (2, 7, "a", 1.0), (3, 7, "b", 1.0), (4, 7, "a", 0.707107), (5, 7, "f", -1.0), (6, 7, "g", None)]
-    assert vectors.retrieve(chunks, queries.limit(0)).count() == 0
+    assert vectors.retrieve(chunks, queries.limit(0)).count() == vectors.retrieve_approx(chunks.limit(0), queries).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_over_all_queries(spark, sf):
+    exact, near = ({(r.query_id, r.chunk_id) for r in QUERIES[name](spark, f"/root/testdata/{sf}").collect()} for name in ("TK1_topk", "TK2_approx"))
+    assert len({q for q, _ in near}) == len({q for q, _ in exact}) == spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    print(sf, "mean recall", len(exact & near) / len(exact))
+    assert len(exact & near) >= 0.9 * len(exact)
