@@ -3,7 +3,8 @@
 A byte-level BPE never merges across its pre-tokens, and a space that is followed by anything but
 white space always opens a pre-token.  Texts are therefore cut before such spaces and each distinct
 piece is encoded once per worker; the joined ids equal those of the whole text.  A text with other
-spaces (doubled, before a line feed, at its end) is encoded in one go.
+spaces (doubled, before a line feed, at its end) is encoded in one go, and so is one that holds the
+content of an added token, which has the id of its own that the vocabulary file gives it.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        # only the whole text shows where an added token matches, and what it takes of the space around it
+        added = sorted({t.content for t in self._tok.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._merge = self._tok.model.tokenize
         self._cache: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
@@ -99,7 +102,7 @@ class PieceEncoder:
             text = text or ""
             first, *pieces = text.split(" ")
             kinds = set(pieces)
-            if _UNSURE.search(text) or len(kinds) > self._limit // 4:
+            if _UNSURE.search(text) or self._added and self._added.search(text) or len(kinds) > self._limit // 4:
                 out.append(self._ids(text).tobytes())
                 continue
             fresh = kinds.difference(self._cache)
