@@ -9,22 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.llm.common import stage
+from docframe.llm.license_notices import TEMPLATES
 
-# Licence names and the notices that announce them.  Every notice has a MARK.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
 #: A line or paragraph without one of these is no notice.
 MARK = r"(?i)licen[sc]e|permission|redistribut|copyright|spdx"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)(\.[^/]*)?$"
@@ -55,28 +41,25 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     files: path, text.  Units are the lines and the paragraphs of every whole text, and the whole text
     of a licence file, as far as they hold a MARK.  idf is ln((1 + texts) / (1 + texts with the word))
-    + 1, counted over all texts for the templates' words; other words count as in no text.
+    + 1, counted over all texts for every word of a unit or a template.
     """
-    per_template = _templates(files)
-    vocabulary = per_template.select("word").distinct()
-    words = sorted({w for _, text in TEMPLATES for w in _split_plain(text)})
-    held = F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(words)))
-    n = files.agg(F.count("text").alias("texts"))
-    df = files.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = vocabulary.join(df, "word", "left").crossJoin(n).select("word", "texts", (F.log((1.0 + F.col("texts")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
-    known = per_template.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    known = stage(known.select("word", "template", "license", "idf", "texts", (F.col("w") / norm).alias("tw")), "license-words")
     pieces = F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t]*\n"), F.when(_name(F.col("path")).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")))
     found = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, lambda u: u.rlike(MARK)))).alias("body"))
     # a unit goes by its digest: its text isn't carried along with each of its words
     found = stage(found.withColumn("unit", F.sha2(F.col("body").cast("binary"), 256)), "license-units")
     marked = found.select("path", "unit")
-    counts = found.select("unit", "body").dropDuplicates(["unit"]).select("unit", F.explode(_words(F.col("body"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
-    per_word = F.broadcast(known.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "tw")).alias("in")))  # as many rows as the templates have words
-    # unseen words weigh as much as a word of no text: the idf of df 0 is ln(1 + texts) + 1
-    rare = known.groupBy().agg((F.log(1.0 + F.max("texts")) + 1.0).alias("rare"))
-    weighed = counts.join(per_word, "word", "left").crossJoin(F.broadcast(rare)).withColumn("w", F.col("tf") * F.coalesce("idf", "rare"))
+    counts = stage(found.select("unit", "body").dropDuplicates(["unit"]).select("unit", F.explode(_words(F.col("body"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf")), "license-counts")
+    per_template = _templates(files)
+    n = files.agg(F.count("text").alias("texts"))
+    df = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = per_template.select("word").union(counts.select("word")).distinct()
+    idf = vocabulary.join(df, "word", "left").crossJoin(F.broadcast(n)).select("word", (F.log((1.0 + F.col("texts")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
+    idf = stage(idf, "license-idf")
+    known = per_template.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
+    known = stage(known.select("word", "template", "license", (F.col("w") / norm).alias("tw")), "license-words")
+    per_word = F.broadcast(known.groupBy("word").agg(F.collect_list(F.struct("template", "license", "tw")).alias("in")))  # as many rows as the templates have words
+    weighed = counts.join(idf, "word").join(per_word, "word", "left").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.select("unit", "w", F.explode("in").alias("t")).groupBy("unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
     scored = dots.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
@@ -84,10 +67,6 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     return marked.join(best, "unit").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
-def _split_plain(text: str) -> list[str]:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
-
-
 def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of files, with its columns and: license, license_score, license_from.
 
