@@ -13,14 +13,17 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 #: A space that may not open a pre-token: it ends the text or white space follows.
 _UNSURE = re.compile("  | [\\s\u180e\u200b\ufeff]| $")
 #: Pieces kept per worker; beyond it the cache starts again, so memory stays bounded.
 CACHE_PIECES = 500_000
+#: Pieces of more characters are encoded anew each time.
+LONGEST = 256
 #: Pieces of letter runs and marks whose parts are pre-tokens on their own, whatever follows (a piece of other parts goes to the whole encoder).
 _PARTS = re.compile(r"[^\W\d_]+|[^\w\s']+\n?|\n(?=[^\W\d_])")
+#: Marks that end a word most often.
+_MARKS = frozenset(".,;:!?")
+
 
 def _byte_chars() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
@@ -30,6 +33,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SPACE = _BYTE_CHARS[32]
 
 _loaded: dict[str, "PieceEncoder"] = {}
 
@@ -41,6 +45,22 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Remembered(dict):
+    """What a function gives for a text, kept for a bounded number of texts."""
+
+    def __init__(self, find, limit: int):
+        super().__init__()
+        self._find, self._limit = find, limit
+
+    def __missing__(self, text: str) -> bytes:
+        found = self._find(text)
+        if len(text) <= LONGEST:
+            if len(self) >= self._limit:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -53,64 +73,44 @@ class PieceEncoder:
         added = sorted({t.content for t in self._tok.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._merge = self._tok.model.tokenize
-        self._cache: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._limit = cache_pieces
+        self._pieces = _Remembered(self._piece, cache_pieces)
+        self._parts = _Remembered(self._part, max(1, cache_pieces // 4))
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str) -> bytes:
+        return array("I", self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _merged(self, part: str) -> bytes:
+    def _letters(self, before: str, part: str) -> bytes:
         """Ids of one pre-token of letters, straight from the merges."""
-        merged = self._merge(part.encode().decode("latin-1").translate(_BYTE_CHARS))
-        return array("I", [t.id for t in merged]).tobytes()
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self._merge(before + shown)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        """Ids of a pre-token that no space opens."""
-        found = self._parts.get(part)
-        if found is None:
-            found = self._merged(part) if part.isalpha() else self._ids(part).tobytes()
-            if len(self._parts) >= self._limit // 4:
-                self._parts = {}
-            self._parts[part] = found
-        return found
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Keep the ids of pieces, each as if a space stood before it."""
-        part, cache, merged = self._part, self._cache, self._merged
-        for piece in pieces:
-            if piece.isalpha():
-                cache[piece] = merged(" " + piece)
-                continue
-            found = _PARTS.findall(piece)
-            if found and sum(map(len, found)) == len(piece):
-                first = found[0]
-                if first.isalpha():
-                    if first not in cache:
-                        cache[first] = merged(" " + first)
-                    head = cache[first]
-                else:
-                    head = self._ids(" " + first).tobytes() if len(first) > 3 else self._part(" " + first)
-                cache[piece] = head + b"".join([part(p) for p in found[1:]])
-            else:
-                cache[piece] = self._ids(" " + piece).tobytes()
+        """Ids of a pre-token that no space opens, or of marks with the space before them."""
+        return self._letters("", part) if part.isalpha() else self._ids(part)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece as if a space stood before it."""
+        if piece.isalpha():
+            return self._letters(_SPACE, piece)
+        if piece[-1] in _MARKS and piece[:-1].isalpha():
+            return self._pieces[piece[:-1]] + self._parts[piece[-1]]
+        found = _PARTS.findall(piece)
+        if not found or sum(map(len, found)) != len(piece):
+            return self._ids(" " + piece)
+        head = self._pieces[found[0]] if found[0].isalpha() else self._parts[" " + found[0]]
+        return head + b"".join(map(self._parts.__getitem__, found[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; a null text counts as empty."""
         out = []
         for text in texts:
             text = text or ""
-            first, *pieces = text.split(" ")
-            kinds = set(pieces)
-            if _UNSURE.search(text) or self._added and self._added.search(text) or len(kinds) > self._limit // 4:
-                out.append(self._ids(text).tobytes())
+            if _UNSURE.search(text) or self._added and self._added.search(text):
+                out.append(self._ids(text))
                 continue
-            fresh = kinds.difference(self._cache)
-            if len(self._cache) + 2 * len(fresh) > self._limit:
-                self._cache, fresh = {}, kinds
-            self._learn(fresh)
-            head = self._part(first) if first.isalpha() else self._ids(first).tobytes() if first else b""
-            out.append(head + b"".join(map(self._cache.__getitem__, pieces)))
+            first, *pieces = text.split(" ")
+            head = (self._parts[first] if first.isalpha() else self._ids(first)) if first else b""
+            out.append(head + b"".join(map(self._pieces.__getitem__, pieces)))
         return out
 
 

@@ -72,13 +72,15 @@ def _writer(path: str | None, end_id: int, block_ids: int):
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of every text (null: empty), each followed by end_id, in ascending order of id_col.
 
-    Null ids come first; rows that repeat an id come by a hash of their text, then by it.  An empty
-    table gives files without rows.  vocabulary: a tokenizers file, else the public byte BPE.
+    Null ids come first; rows that repeat an id go to one task and come by a hash of their text, then
+    by it.  An empty table gives files without rows; other columns of docs, whatever their names, are
+    ignored.  A text is held whole, with the ids of its block, by the task that encodes it.
+    vocabulary: a tokenizers file, else the public byte BPE.
     """
     ship(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
     order = [F.col("d_id").asc_nulls_first(), F.xxhash64("d_text"), F.col("d_text")]
-    ranged = slim.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    ranged = slim.repartitionByRange(order[0]).sortWithinPartitions(*order)
     ranged.select("d_id", "d_text").mapInArrow(_writer(vocabulary, end_id, block_ids), BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
