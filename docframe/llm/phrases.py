@@ -1,39 +1,46 @@
-"""Substring dedup: passages that recur are confirmed, compiled to automata and located everywhere.
-
-A window is k consecutive words.  Every window has an anchor, the run of ``anchor`` words in it whose
-hash is least; equal windows have equal anchors.  So windows are only counted where their anchor
-recurs.  Documents are dealt into chunks of bounded size, and every count goes back to the one chunk
-that needs it, which takes partial sums and no joins:
-
-1. anchors are counted; a chunk is told which of its anchors stand nowhere else;
-2. chunks count the windows of their other anchors; a chunk is told which of these are alone;
-3. the remaining windows recur.  Each chunk compiles its maximal recurring passages into an
-   Aho-Corasick automaton over its words (one shard), and streams all its documents through it;
-   every word under an occurrence goes.
+"""Substring dedup: recurring passages are confirmed, compiled to sharded automata and located everywhere.
+
+A window is k consecutive words.  Its anchor is the run of ``anchor`` words in it whose hash is least;
+equal windows have equal anchors, and neighbouring windows mostly share one.  The windows around one
+anchor, from the first word of the first to the last word of the last, are a piece.
+
+1. Anchors are counted.  Documents are dealt into chunks; a chunk is told which of its anchors stand
+   nowhere else, and gives the pieces of its other anchors, as words.
+2. Pieces are counted by their words.  A window recurs if the pieces of its anchor hold its words twice
+   or more.  So the maximal runs of recurring windows of each distinct piece are confirmed once, on
+   words, for all documents: these are the passages.  Hashes only choose what is compared.
+3. Passages go to the chunks that asked about their piece.  A chunk compiles its shard of them into an
+   Aho-Corasick automaton over words and streams all its documents through it; what lies under an
+   occurrence goes.  Nothing but the automaton tells where passages stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.common import stage
 from docframe.llm.shingles import Words
 from docframe.session import ship
 
 WINDOW, ANCHOR = 35, 20
-#: Characters of a chunk, about; a single longer text is a chunk's excess.
-CHUNK_CHARS = 4_000_000
-#: Bytes hashed at a time: arrays of 8 bytes for each byte, and for powers of the base, stay small.
+#: Characters of a chunk and of the chunks of a task, about; a single longer text is a chunk's excess.
+CHUNK_CHARS, TASK_CHARS = 1_000_000, 48_000_000
+#: Bytes hashed at a time.
 BATCH_BYTES = 1 << 18
-_SIDE = "chunk long, kind int, h1 long, h2 long"
+#: Distinct pieces of one anchor that a task compares; beyond them its windows are counted by a shuffle.
+VARIANTS = 10_000
+#: Anchors beyond VARIANTS are at most so many: VARIANTS grows with the pieces where they would be more.
+HOT_ANCHORS = 1_000_000
+_KEPT = bytes([1, 0]).ljust(256, b"\0")
 
 
 def anchors_of_windows(words: Words, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +52,7 @@ def anchors_of_windows(words: Words, k: int, anchor: int) -> tuple[np.ndarray, n
     if not len(starts):
         return starts, np.zeros(0, np.uint64), starts
     # sliding minima by doubling: spans of 1, 2, 4 ... anchors, then two spans that cover the window's
-    best, arg, span, wanted = words.hash_runs(at, anchor, 0), np.arange(len(at)), 1, k - anchor + 1
+    best, arg, span, wanted = words.runs(anchor)[at], np.arange(len(at)), 1, k - anchor + 1
     while span < wanted:
         step = min(span, wanted - span)
         less = best[step:] <= best[:-step]
@@ -73,123 +80,153 @@ def _bytes(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _count_anchors(k: int, anchor: int):
+def _anchors(words: Words, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every anchor once: its hash, its text's number, and the first and last window that it stands in."""
+    starts, hashes, at = anchors_of_windows(words, k, anchor)
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(new[1:], len(at)) - 1 if len(new) else new
+    return hashes[new].view(np.int64), np.searchsorted(words.ends, at[new], side="right"), starts[new], starts[last]
+
+
+def _give_anchors(k: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks, texts, done = np.array(batch.column(0), np.int64), _bytes(batch.column(1)), 0
             for some in _batches(texts):
-                words = Words(some)
-                starts, hashes, at = anchors_of_windows(words, k, anchor)
-                mine = chunks[done : done + len(some)]
+                hashes, text, _, _ = _anchors(Words(some), k, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(chunks[done : done + len(some)][text])], names=["h", "chunk"])
                 done += len(some)
-                once = np.flatnonzero(np.diff(at, prepend=-1))  # neighbouring windows share their anchor
-                chunk = mine[np.searchsorted(words.ends, at[once], side="right")]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[once].view(np.int64)), pa.array(chunk)], names=["h1", "chunk"])
 
     return run
 
 
-def _told(side: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 128-bit hashes of one kind that the chunk was told, in order of their first halves."""
-    mine = side.filter(pc.equal(side["kind"], kind))
-    first, second = mine["h1"].to_numpy(), mine["h2"].to_numpy()
-    order = np.argsort(first, kind="stable")
-    return first[order], second[order]
+def _give_pieces(k: int, anchor: int):
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        alone, found = np.sort(side["h"].to_numpy()), Counter()
+        for some in _batches(_bytes(docs["d_text"])):
+            words = Words(some)
+            hashes, text, first, last = _anchors(words, k, anchor)
+            at = np.minimum(np.searchsorted(alone, hashes), max(0, len(alone) - 1))
+            shared = np.flatnonzero(alone[at] != hashes) if len(alone) else np.arange(len(hashes))
+            begin = words.begins[text[shared]]
+            for h, t, a, b in zip(hashes[shared].tolist(), text[shared].tolist(), (first[shared] - begin).tolist(), (last[shared] - begin).tolist()):
+                found[h, b" ".join(words.lists[t][a : b + k])] += 1
+        chunk = np.full(len(found), docs["chunk"][0].as_py() if docs.num_rows else 0, np.int64)
+        return pa.table({"chunk": chunk, "h": pa.array([h for h, _ in found], pa.int64()), "piece": pa.array([p for _, p in found], pa.binary()), "n": pa.array(found.values(), pa.int64())})
 
+    return run
 
-def _among(first: np.ndarray, second: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of these hashes the chunk was told."""
-    hit = np.zeros(len(first), bool)
-    if len(told[0]):
-        at, more = np.searchsorted(told[0], first), len(first) > 0
-        while more:  # once, unless first halves are equal
-            k = np.minimum(at, len(told[0]) - 1)
-            same = told[0][k] == first
-            hit |= same & (told[1][k] == second)
-            at = at + 1
-            more = bool((same & ~hit & (at < len(told[0]))).any())
-    return hit
 
+def recurring_runs(pieces: list[tuple[bytes, int]], k: int) -> list[list[int]]:
+    """Of each distinct piece of one anchor, with how often it stands: begin and end of its passages, by word.
 
-def _candidates(words: Words, k: int, anchor: int, alone: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words and both hash halves of the windows whose anchor isn't alone in the corpus."""
-    starts, hashes, at = anchors_of_windows(words, k, anchor)
-    new = np.flatnonzero(np.diff(at, prepend=-1))  # neighbouring windows share their anchor
-    heads = hashes[new].view(np.int64)
-    starts = starts[np.repeat(~_among(heads, np.zeros_like(heads), alone), np.diff(new, append=len(at)))]
-    return starts, words.hash_runs(starts, k, 2).view(np.int64), words.hash_runs(starts, k, 3).view(np.int64)
+    A passage is a maximal run of words under windows that follow each other and recur.
+    """
+    windows, seen = [], Counter()
+    for piece, n in pieces:
+        words = piece.split(b" ")
+        mine = [b" ".join(words[s : s + k]) for s in range(len(words) - k + 1)] if len(pieces) > 1 else [b""] * (len(words) - k + 1)
+        windows.append(mine)
+        for w in set(mine):
+            seen[w] += n
+    out = []
+    for mine in windows:
+        runs: list[int] = []
+        for s, w in enumerate(mine):
+            if seen[w] > 1:
+                if s and seen[mine[s - 1]] > 1:
+                    runs[-1] = s + k
+                else:
+                    runs += [s, s + k]
+        out.append(runs)
+    return out
+
+
+def _confirm(k: int):
+    """Rows h, piece, n in order of h -> those with passages; one anchor's pieces are held at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
 
-def _count_windows(k: int, anchor: int):
-    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("chunk", "h1", "h2", "n")})
-        alone = _told(side, 0)
-        found = [_candidates(Words(some), k, anchor, alone)[1:] for some in _batches(_bytes(docs["d_text"]))]
-        first, second = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(first, kind="stable")
-        first, second = first[order], second[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)])) if len(first) else np.zeros(0, np.int64)
-        chunk = np.full(len(new), docs["chunk"][0].as_py(), np.int64)
-        return pa.table({"chunk": chunk, "h1": first[new], "h2": second[new], "n": np.diff(new, append=len(first)).astype(np.int64)})
+        def close():
+            for (piece, _), runs in zip(held, recurring_runs(held, k)):
+                if runs:
+                    out.append((now, piece, runs))
 
-    return run
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["h", "piece", "runs"])
 
+        for batch in batches:
+            for h, piece, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != now and held:
+                    close()
+                    held = []
+                now = h
+                held.append((piece, n))
+            if len(out) > 1000:
+                yield batch_of(out)
+                out.clear()
+        if held:
+            close()
+        if out:
+            yield batch_of(out)
 
-def _passages(starts: np.ndarray, k: int, total: int) -> np.ndarray:
-    """Begin and end of the maximal runs of words that windows at these starts cover end to end.
+    return run
 
-    Windows that overlap or touch without every window between them recurring stay apart.
-    """
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    breaks = np.flatnonzero(np.diff(starts) > 1)
-    first = starts[np.concatenate([[0], breaks + 1])]
-    last = starts[np.concatenate([breaks, [len(starts) - 1]])]
-    return np.stack([first, last + k], axis=1)
-
-
-def locate(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, passages: np.ndarray) -> np.ndarray:
-    """Which words lie under an occurrence of a passage (all given as ranges of codes), by one automaton."""
-    covered = np.zeros(len(codes) + 1, np.int64)
-    if not len(passages):
-        return covered[:-1] > 0
+
+def _confirmed(pieces: DataFrame, k: int, variants: int) -> DataFrame:
+    """h, piece, runs: the passages of every distinct piece that has some."""
+    distinct = stage(pieces.groupBy("h", "piece").agg(F.sum("n").alias("n")), "phrase-pieces")
+    most = max(variants, distinct.count() // HOT_ANCHORS)
+    # fewer than HOT_ANCHORS rows, as each stands for more than `most` pieces
+    hot = F.broadcast(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most).select("h"))
+    few = distinct.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+    runs = few.mapInArrow(_confirm(k), "h long, piece binary, runs array<int>")
+    words = F.split(F.col("piece").cast("string"), " ")
+    spans = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda s: F.array_join(F.slice(words, s + 1, F.lit(k)), " "))
+    many = distinct.join(hot, "h", "left_semi").select("h", "piece", "n", F.posexplode(spans).alias("s", "span"))
+    again = many.groupBy("h", "span").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
+    at = many.drop("n").join(again, ["h", "span"]).groupBy("h", "piece").agg(F.array_sort(F.collect_list("s")).alias("at"))
+    return runs.unionByName(at.select("h", "piece", F.flatten(F.transform("at", lambda s: F.array(s, s + k))).alias("runs")))
+
+
+def automaton(passages: list[list[bytes]]) -> tuple[ahocorasick.Automaton | None, dict[bytes, int]]:
+    """An automaton over the numbers of words, and these numbers (0 is any other word)."""
+    numbers: dict[bytes, int] = {}
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for a, b in passages:
-        machine.add_word(tuple(codes[a:b].tolist()), int(b - a))
+    for words in passages:
+        machine.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]), len(words))
+    if not passages:
+        return None, numbers
     machine.make_automaton()
-    for a, b in zip(begins.tolist(), ends.tolist()):
-        if b > a:
-            for end, length in machine.iter(tuple(codes[a:b].tolist())):
-                covered[a + end + 1 - length] += 1
-                covered[a + end + 1] -= 1
-    return np.cumsum(covered[:-1]) > 0
+    return machine, numbers
+
 
+def covered(words: list[bytes], machine: ahocorasick.Automaton | None, numbers: dict[bytes, int]) -> bytearray:
+    """1 for each word under an occurrence of a passage, else 0."""
+    mask = bytearray(len(words))
+    if machine is not None and words:
+        number = numbers.get
+        for end, length in machine.iter(tuple([number(w, 0) for w in words])):
+            mask[end + 1 - length : end + 1] = b"\1" * length
+    return mask
 
-def _remove(k: int, anchor: int, spans: bool):
+
+def _remove(spans: bool):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        ids, texts = docs["d_id"].to_pylist(), _bytes(docs["d_text"])
-        alone, single = _told(side, 0), _told(side, 1)
-        hashes, bounds, starts, done = [], [], [], 0
-        for some in _batches(texts):
-            words = Words(some)
-            at, first, second = _candidates(words, k, anchor, alone)
-            starts.append(at[~_among(first, second, single)] + done)
-            hashes.append(words.hashes)
-            bounds.append(np.stack([words.begins, words.ends]) + done)
-            done += len(words.hashes)
-        codes = np.unique(np.concatenate(hashes), return_inverse=True)[1] if texts else np.zeros(0, np.int64)
-        begins, ends = np.concatenate(bounds, axis=1) if texts else np.zeros((2, 0), np.int64)
-        at = np.concatenate(starts) if texts else np.zeros(0, np.int64)
-        # a passage ends with its text: two windows of neighbouring texts never follow each other by one word
-        gone = locate(codes, begins, ends, _passages(at, k, len(codes)))
+        passages = []
+        for piece, runs in zip(side["piece"].to_pylist(), side["runs"].to_pylist()):
+            words = piece.split(b" ")
+            passages += [words[a:b] for a, b in zip(runs[::2], runs[1::2])]
+        machine, numbers = automaton(passages)
         rows = []
-        for doc, text, a, b in zip(ids, texts, begins.tolist(), ends.tolist()):
-            words, mask = text.split(), gone[a:b]
-            removed = int(mask.sum())
-            kept = b" ".join(compress(words, (~mask).tolist()) if removed else words)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist() if removed and spans else []
-            rows.append((doc, b - a, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if spans else None, edges))
+        for doc, text in zip(docs["d_id"].to_pylist(), _bytes(docs["d_text"])):
+            words = text.split()
+            mask = covered(words, machine, numbers)
+            removed = mask.count(1)
+            kept = b" ".join(compress(words, mask.translate(_KEPT)) if removed else words)
+            edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + mask + b"\0", np.int8))).tolist() if removed and spans else []
+            rows.append((doc, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if spans else None, edges))
         cols = list(zip(*rows)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"])
@@ -197,28 +234,28 @@ def _remove(k: int, anchor: int, spans: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, chunk_chars: int = CHUNK_CHARS, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, chunk_chars: int = CHUNK_CHARS, variants: int = VARIANTS, texts: bool = True) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256, kept_text, removed_spans.
 
     A word goes if a window over it has words that also start a window anywhere else, the same text
     included; windows are judged on the input.  Words are runs of anything but white space, kept ones
     are joined by one space.  removed_spans lists begin and end (exclusive) of each removed run of
     words, by word number; texts=False leaves the last two columns null and empty.  A null or empty
-    text has no words.  Rows that repeat an id are documents of their own; an empty table gives none.
+    text has no words.  Rows that repeat an id are documents of their own; an empty table gives none;
+    other columns of docs, whatever their names, are ignored.  A text is held whole by one task, as a
+    list of its words.
     """
     spark = docs.sparkSession
     ship(spark)
     chars = docs.agg(F.sum(F.length(docs[text_col]))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
     chunks = max(2 * parts, -(-chars // chunk_chars))
-    slim = docs.select(F.pmod(F.xxhash64(docs[id_col], docs[text_col].isNull(), F.length(docs[text_col])), F.lit(chunks)).alias("chunk"), docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
-    anchors = slim.select("chunk", "d_text").mapInArrow(_count_anchors(window, anchor), "h1 long, chunk long")
-    alone = anchors.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk")).filter("n = 1")
-    alone = alone.select("chunk", F.lit(0).alias("kind"), "h1", F.lit(0).cast("long").alias("h2"))
-    dealt = slim.groupBy("chunk")
-    windows = dealt.cogroup(alone.groupBy("chunk")).applyInArrow(_count_windows(window, anchor), "chunk long, h1 long, h2 long, n long")
-    single = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")).filter("n = 1")
-    side = alone.unionByName(single.select("chunk", F.lit(1).alias("kind"), "h1", "h2"))
+    slim = docs.select(F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(chunks)).alias("chunk"), docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
+    anchors = slim.select("chunk", "d_text").mapInArrow(_give_anchors(window, anchor), "h long, chunk long")
+    alone = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk")).filter("n = 1").select("chunk", "h")
+    dealt = slim.repartition(parts, "chunk").groupBy("chunk")
+    pieces = stage(dealt.cogroup(alone.groupBy("chunk")).applyInArrow(_give_pieces(window, anchor), "chunk long, h long, piece binary, n long"), "phrase-asked")
+    passages = pieces.join(_confirmed(pieces, window, variants), ["h", "piece"]).select("chunk", "piece", "runs")
     schema = "d_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans array<long>"
-    out = dealt.cogroup(side.groupBy("chunk")).applyInArrow(_remove(window, anchor, texts), schema)
+    out = dealt.cogroup(passages.groupBy("chunk")).applyInArrow(_remove(texts), schema)
     return out.withColumnRenamed("d_id", id_col)

@@ -1,19 +1,21 @@
-"""Hashes of words and of runs of words, for many texts at once, with numpy.
+"""Words of texts and hashes of runs of words, for many texts at once.
 
-A hash is a polynomial over the bytes (or word hashes) modulo 2^64, so those of all runs of one
-length come from one running sum; a final mix spreads the bits.  ``seed`` gives independent families.
+A word's hash is keyed BLAKE2b; runs of words are hashed by doubling, each step mixing two halves
+without a common base, so no wording of a text makes runs collide by structure.  Hashes only propose:
+operators that merge or remove anything compare the words themselves afterwards.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_KEY = b"words of docframe"
+#: Words that a worker remembers the hash of, and the longest that it remembers.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,58 +28,63 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(_ODD) + _U(seed * 0x51ED27 + 1))
 
 
-@lru_cache(maxsize=8)
-def _powers(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, 2^bits of each."""
-    base = int(seeds(1, seed + 77)[0]) | 1
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(1 << bits, b, _U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=_U))
-    return out[0], out[1]
+class _WordHashes(dict):
+    """word -> signed 64-bit hash, bounded in number and length of words."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little", signed=True)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
 
-def _run_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of values[begin:end] for each pair; equal runs get equal hashes wherever they stand."""
-    bits = max(16, int(len(values)).bit_length())
-    up, down = _powers(bits, seed)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(_U) * _U(_ODD))
+
+_hash_of = _WordHashes()
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _U(_ODD) + (b ^ (b >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(29))
 
 
 class Words:
-    """The words of a batch of texts: their hashes, and where each text's words begin and end."""
-
-    def __init__(self, texts: list[bytes], seed: int = 0):
-        joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        inside = ~_SPACE[joined]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-        begins, ends = edges[0::2], edges[1::2]
-        self.hashes = _run_hashes(seeds(256, seed)[joined], begins, ends, seed)
-        lens = np.array([len(t) + 1 for t in texts], np.int64)
-        self.ends = np.searchsorted(begins, np.cumsum(lens))
-        self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+    """The words of a batch of texts, their hashes, and where each text's words begin and end."""
+
+    def __init__(self, texts: list[bytes]):
+        self.lists = [t.split() for t in texts]
+        counts = np.fromiter(map(len, self.lists), np.int64, len(texts))
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        self.hashes = np.empty(int(counts.sum()), _U)
+        for words, begin, end in zip(self.lists, self.begins.tolist(), self.ends.tolist()):
+            self.hashes[begin:end] = np.fromiter(map(_hash_of.__getitem__, words), np.int64, len(words)).view(_U)
 
     def starts(self, k: int) -> np.ndarray:
         """First words of all runs of k words that lie in one text."""
         left = np.repeat(self.ends, self.ends - self.begins) - np.arange(len(self.hashes))
         return np.flatnonzero(left >= k)
 
-    def hash_runs(self, at: np.ndarray, k: int, seed: int) -> np.ndarray:
-        """Hashes of the runs of k words that begin at these words."""
-        return _run_hashes(self.hashes, at, at + k, seed + 1)
+    def runs(self, k: int) -> np.ndarray:
+        """Hash of the k words from each word on, as far as the batch reaches (runs may cross texts)."""
+        h, size = self.hashes, 1
+        if len(h) < k:
+            return h[:0]
+        while 2 * size <= k:
+            h, size = _joined(h[:-size], h[size:]), 2 * size
+        return _joined(h[: len(h) - (k - size)], h[k - size :]) if size < k else h
 
-    def shingles(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-word shingles of all texts, text by text, and how many each has.
 
         A text of fewer words has one shingle of all of them; one without words has none.
         """
         counts = self.ends - self.begins
-        short = (counts > 0) & (counts < k)
-        per = np.where(short, 1, np.maximum(counts - k + 1, 0))
+        per = np.where((counts > 0) & (counts < k), 1, np.maximum(counts - k + 1, 0))
         first = np.repeat(self.begins - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        last = np.minimum(first + k, np.repeat(self.ends, per))
-        return _run_hashes(self.hashes, first, last, seed + 1), per
+        runs = self.runs(k)
+        out = runs[np.minimum(first, len(runs) - 1)] if len(runs) else np.zeros(len(first), _U)
+        at = np.cumsum(per) - per
+        for t in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+            out[at[t]] = int.from_bytes(hashlib.blake2b(b" ".join(self.lists[t]), digest_size=8, key=_KEY).digest(), "little")
+        return out, per
