@@ -17,9 +17,14 @@ from docframe.llm.shingles import Words, mix, seeds
 from docframe.session import ship
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
-#: Hash functions at most, bytes hashed at a time, documents and shingles of a block at most (about).
-HASHES, CHUNK_BYTES, BLOCK_DOCS, BLOCK_SHINGLES = 128, 1 << 18, 256, 1 << 20
-COLUMNS = 4096
+#: Hash functions at most, and bytes hashed at a time.
+HASHES, CHUNK_BYTES = 128, 1 << 18
+#: Documents and words of a block at most (about); two blocks of a bucket meet in one task.
+BLOCK_DOCS, BLOCK_WORDS = 512, 1 << 18
+#: Tasks that the members of one bucket are spread over while they are counted and joined.
+SALTS = 16
+#: Columns of an incidence matrix that are multiplied at a time; groups up to FEW are compared set by set.
+COLUMNS, FEW = 4096, 6
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -32,9 +37,9 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int
     return best
 
 
-def _digest(text: bytes) -> bytes:
+def _digest(words: list[bytes]) -> bytes:
     """Of the words: texts of the same words have the same n-grams."""
-    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -50,10 +55,10 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield begin, held
 
 
-def signatures(texts: list[bytes], n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of each text (texts x bands) and its number of shingles, repeats counted."""
-    shingles, per = Words(texts).shingles(n)
-    out = np.zeros((len(texts), bands), np.uint64)
+def signatures(words: Words, n: int, bands: int, rows: int) -> np.ndarray:
+    """Band hashes of each text (texts x bands)."""
+    shingles, per = words.shingles(n)
+    out = np.zeros((len(per), bands), np.uint64)
     full = np.flatnonzero(per)
     if len(full):
         begins = (np.cumsum(per) - per)[full]
@@ -63,31 +68,58 @@ def signatures(texts: list[bytes], n: int, bands: int, rows: int) -> tuple[np.nd
             for k in range(b * rows, (b + 1) * rows):
                 h = mix(h * np.uint64(31) + np.minimum.reduceat((shingles ^ salt[k]) * odd[k], begins))
             out[full, b] = h
-    return out, per
+    return out
 
 
 def _sign(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _chunks(batch, 1):
-                signs, per = signatures(texts, n, bands, rows)
-                flat = pa.array(signs.astype(np.int64).ravel())
+                words = Words(texts)
+                flat = pa.array(signatures(words, n, bands, rows).view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array([_digest(t) for t in texts], pa.binary()), pa.array(per.astype(np.int64)), pa.ListArray.from_arrays(np.arange(0, flat.__len__() + 1, bands, dtype=np.int32), flat)],
+                    [batch.column(0).slice(begin, len(texts)), pa.array([_digest(w) for w in words.lists], pa.binary()), pa.array(words.ends - words.begins), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)],
                     names=["d_id", "digest", "n", "bands"],
                 )
 
     return run
 
 
+def ngram_sets(lists: list[list[bytes]], n: int) -> list[np.ndarray]:
+    """The set of n-grams of each list of words, as numbers: equal n-grams have equal numbers, and only they.
+
+    Words are numbered, then n-grams by pairing numbers, so nothing is hashed.  A list of fewer than n
+    words has one n-gram of all of them, filled up with a number that is no word's.
+    """
+    numbers: dict[bytes, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64) for words in lists]
+    coded = [np.concatenate([c, np.zeros(max(0, n - len(c)), np.int64)]) if len(c) else c for c in coded]
+    counts = np.array([len(c) for c in coded], np.int64)
+    every = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(every))
+    at = np.flatnonzero(left >= n)
+    gram = every[at]
+    for k in range(1, n):
+        # pairs of numbers below 2^31 each, so a pair is one number below 2^62
+        gram = np.unique(gram * (len(numbers) + 1) + every[at + k], return_inverse=True)[1]
+    per = np.maximum(counts - n + 1, 0) * (counts > 0)
+    return [np.unique(g) for g in np.split(gram, np.cumsum(per)[:-1])] if len(lists) else []
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, from products of their incidence columns."""
     m = len(sets)
+    out = np.zeros((m, m), np.float64)
+    if m <= FEW:
+        as_sets = [set(s.tolist()) for s in sets]
+        for i in range(m):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(as_sets[i] & as_sets[j])
+        return out
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
     owner, column = owner[shared], column[shared]
-    out = np.zeros((m, m), np.float64)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
@@ -109,39 +141,82 @@ def _least_labels(linked: np.ndarray) -> np.ndarray:
         label = now
 
 
+def first_shared(buckets: list[list[int]], here: int) -> np.ndarray:
+    """Which pairs share this bucket as the least of the buckets that they share."""
+    every = sorted({b for mine in buckets for b in mine if b < here})
+    place = {b: k for k, b in enumerate(every)}
+    member = np.zeros((len(buckets), len(every)), np.float32)
+    for row, mine in zip(member, buckets):
+        row[[place[b] for b in mine if b < here]] = 1
+    return member @ member.T == 0
+
+
+def verified(bucket: int, docs: list[tuple], n: int, threshold: float) -> list[tuple[int, int, int]]:
+    """rep, links, root of the documents of two blocks of a bucket: (rep, copies, block, buckets, words) each.
+
+    Pairs count in the least bucket that they share, and pairs of one block where that block meets
+    itself, so every pair is judged once.
+    """
+    reps, copies, block, buckets, words = zip(*docs)
+    wanted = first_shared(buckets, bucket)
+    if len(set(block)) > 1:
+        wanted &= np.array(block)[:, None] != np.array(block)[None, :]
+    np.fill_diagonal(wanted, False)
+    asked = np.flatnonzero(wanted.any(axis=1))
+    if not len(asked):
+        return []
+    wanted, reps, copies = wanted[np.ix_(asked, asked)], [reps[k] for k in asked], [copies[k] for k in asked]
+    sets = ngram_sets([words[k] for k in asked], n)
+    sizes, common = np.array([len(s) for s in sets], np.float64), overlaps(sets)
+    linked = wanted & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
+    links = (linked * np.array(copies)[None, :]).sum(axis=1).astype(np.int64).tolist()
+    return [(r, c, reps[k]) for r, c, k in zip(reps, links, _least_labels(linked).tolist()) if c]
+
+
 def _verify(n: int, threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        docs = {}
-        for rep, digest, copies, block, text in zip(*(table[c].to_pylist() for c in ("rep", "digest", "copies", "block", "d_text"))):
-            body = (text or "").encode()
-            if (rep, digest) not in docs and _digest(body) == digest:
-                docs[rep, digest] = (rep, copies, block, body)
-        found = sorted(docs.values())
-        if len(found) < 2:
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        sets, held, size = [], [], 0
-        for k, (_, _, _, body) in enumerate(found):
-            held.append(body)
-            size += len(body)
-            if size >= CHUNK_BYTES or k == len(found) - 1:
-                shingles, per = Words(held).shingles(n)
-                sets += [np.unique(s) for s in np.split(shingles, np.cumsum(per)[:-1])]
-                held, size = [], 0
-        sizes = np.array([len(s) for s in sets], np.float64)
-        common = overlaps(sets)
-        linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-        np.fill_diagonal(linked, False)
-        if x != y:
-            block = np.array([b for _, _, b, _ in found])
-            linked &= block[:, None] != block[None, :]
-        copies = np.array([c for _, c, _, _ in found])
-        reps = np.array([r for r, _, _, _ in found])
-        return pa.table({"rep": pa.array(reps), "links": pa.array((linked * copies[None, :]).sum(axis=1).astype(np.int64)), "root": pa.array(reps[_least_labels(linked)])})
+    """Rows in order of bucket, x, y, rep -> rep, links, root; the documents of one x, y are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, out = None, {}, []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rep", "links", "root"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]] + [batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            for bucket, x, y, rep, digest, copies, block, buckets, text in zip(*columns):
+                if (bucket, x, y) != now:
+                    if len(docs) > 1:
+                        out += verified(now[0], list(docs.values()), n, threshold)
+                    now, docs = (bucket, x, y), {}
+                words = (text or b"").split()
+                if (rep, digest) not in docs and _digest(words) == digest:
+                    docs[rep, digest] = (rep, copies, block, buckets, words)
+            if len(out) > 1000:
+                yield batch_of(out)
+                out = []
+        if len(docs) > 1:
+            out += verified(now[0], list(docs.values()), n, threshold)
+        if out:
+            yield batch_of(out)
 
     return run
 
 
+def _buckets(members: DataFrame) -> DataFrame:
+    """h, salt, blocks of the buckets that hold two texts or more; of buckets with the same members, one.
+
+    members: h, rep, digest, n.  A bucket is counted and joined in SALTS parts, so a common band hash is no
+    hot key.  Two hashes, the count and the words of all members name a set of them.
+    """
+    one = F.struct("rep", "digest")
+    parts = members.groupBy("h", "salt").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64(one)).alias("a"), F.bit_xor(F.xxhash64(one, F.lit(1))).alias("b"))
+    whole = parts.groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.collect_list("salt").alias("salts")).filter("c > 1")
+    kept = whole.groupBy("c", "n", "a", "b").agg(F.min_by(F.struct("h", "salts"), "h").alias("one"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_WORDS)).alias("blocks")
+    return kept.select(F.col("one.h").alias("h"), F.explode("one.salts").alias("salt"), blocks)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: id, class_id, n_links, copy_of.
 
@@ -149,12 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold.  n_links counts the documents that one links to, copies included; class_id is the
     least id of its connected component; copy_of the least id of the documents of its very words.
 
-    Texts of the same words are first merged to one, so copies cost nothing.  Buckets of equal band
-    hashes become stars, not pairs; their components are cut into blocks of bounded size, and every
-    pair of blocks of a component is verified on the full shingle sets within a task, which returns
-    counts and a spanning forest.  A text without words links to nothing.  Rows of one id with
-    different words count as linked by that id; rows with a null id take part under the id null: they
-    get class_id null and no links, unless a copy of theirs has an id.
+    Texts of the same words are first merged to one, so copies cost nothing.  Texts that share a band
+    hash share a bucket.  Buckets are cut into blocks of bounded size, and every pair of blocks is
+    verified on the full n-gram sets within a task, which returns counts and a spanning forest of the
+    links; components are those of verified links only.  A text without words links to nothing.  Rows
+    of one id with different words count as linked by that id; rows with a null id take part under
+    the id null: they get class_id null and no links, unless a copy of theirs has an id.  An empty
+    table gives no rows; other columns of docs, whatever their names, are ignored.  A text is held
+    whole, as a list of its words, by the tasks that sign and compare it.
     """
     ship(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
@@ -162,18 +239,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage(slim.mapInArrow(_sign(n, bands, rows), "d_id long, digest binary, n long, bands array<long>"), "ngram-signs")
     classes = stage(signed.filter("n > 0").groupBy("digest").agg(F.min("d_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "ngram-classes")
     named = classes.filter("rep IS NOT NULL")
-    members = named.select("rep", F.explode("bands").alias("h"))
-    buckets = members.groupBy("h").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    near = components(members.join(buckets, "h").select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    near = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct())
-    placed = named.select("rep", "digest", "copies", "n").join(near.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep")
-    sized = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = stage(placed.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).drop("n"), "ngram-placed")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    members = named.select("rep", "digest", "n", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"), F.explode("bands").alias("h"))
+    held = members.join(_buckets(members), ["h", "salt"]).select("rep", "digest", F.struct("h", "blocks").alias("bucket"))
+    placed = stage(held.groupBy("rep", "digest").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).join(named.select("rep", "digest", "copies"), ["rep", "digest"]), "ngram-placed")
     # the texts are shuffled at every size: a plan that turns to it as the table grows can't be foreseen
-    texts = slim.join(placed.hint("shuffle_hash"), F.col("d_id") == F.col("rep")).withColumn("other", other)
-    groups = texts.select("rep", "digest", "copies", "block", "d_text", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    checked = stage(groups.groupBy("comp", "x", "y").applyInArrow(_verify(n, threshold), "rep long, links long, root long"), "ngram-links")
+    texts = slim.join(placed.hint("shuffle_hash"), F.col("d_id") == F.col("rep")).withColumn("at", F.explode("buckets"))
+    block = F.pmod(F.xxhash64("rep"), F.col("at.blocks"))
+    met = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at.blocks") - 1)))
+    met = met.select(F.col("at.h").alias("h"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "digest", "copies", "block", F.col("buckets.h").alias("buckets"), "d_text")
+    sorted_met = met.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "rep")
+    checked = stage(sorted_met.mapInArrow(_verify(n, threshold), "rep long, links long, root long"), "ngram-links")
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("rep"), F.col("v").alias("root"))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links")).join(roots, "rep", "left")
     found = classes.select("digest", "rep", "copies").join(links, "rep", "left")
@@ -192,4 +267,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Ids name documents here; see near_duplicates.
     """
     gone = near_duplicates(docs, id_col, text_col, **how).filter(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(stage(gone, "ngram-gone"), docs[id_col] == F.col("gone_id"), "left_anti")
+    cols = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    kept = docs.select(*cols, docs[id_col].cast("long").alias("d_id")).join(stage(gone, "ngram-gone"), F.col("d_id") == F.col("gone_id"), "left_anti")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
