@@ -1,17 +1,21 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The dimensions of the vectors are cut into ``lists`` slices; a candidate's score is the sum of its
-partial scores in them.  Blocks of candidates meet blocks of queries, so no task holds a whole side:
-
-1. every block gathers the k best candidates of each local list and scores them;
-2. a query's k-th best of all these scores is a safe cutoff, sent to the blocks with the query;
-3. a candidate that reaches the cutoff must reach cutoff / lists in one list at least: those entries
-   are collected, their remaining scores resolved, and the k best of each block are ranked globally.
+The dimensions of the vectors are cut into ``lists`` slices: a candidate has one local score a slice,
+and its score is their sum.  Candidates stay in place, packed in blocks; queries go to them in rounds
+of at most ROUND, a broadcast whose size is bounded by that number.
+
+1. gather: every task takes the k best candidates of each of its local score lists, for every query,
+   and their whole scores; the k-th best of all these is a safe cutoff;
+2. broadcast: queries go out again with their cutoffs.  A candidate whose whole score reaches the
+   cutoff has a local score of cutoff / lists at least in one list: those entries are collected;
+3. resolve: the other local scores of these entries alone are computed and added, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,95 +26,157 @@ from docframe.llm.common import stage
 from docframe.session import ship
 
 SCALE = 256.0
-CANDIDATES = 8192
-QUERIES = 256
-NO_CUTOFF = -(2**63)
-_BLOCK = "ids binary, cuts binary, dims long, data binary"
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Candidates of a block, queries that meet a block at a time, and queries of a round.
+CANDIDATES, QUERIES, ROUND = 4096, 256, 1 << 15
+_BLOCK = "ids binary, dims long, data binary"
 _HITS_SQL = "query_id long, vec_id long, score long"
 
 
-def _quantised(vectors: list) -> np.ndarray:
+def quantised(vectors: list) -> np.ndarray:
+    """floor(256 x) of each component; shorter vectors are filled up with zeros.
+
+    Numbers of 2^62 and over are kept as Python integers, so nothing is clipped.
+    """
     dims = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), dims), np.int64)
+    out = np.zeros((len(vectors), dims), np.float64)
     for row, v in zip(out, vectors):
-        row[: len(v)] = np.clip(np.floor(np.asarray(v, np.float64) * SCALE), -(2.0**62), 2.0**62)
-    return out
+        row[: len(v)] = np.floor(np.asarray(v, np.float64) * SCALE)
+    return out.astype(np.int64) if not len(vectors) or np.abs(out).max(initial=0) < 2.0**62 else np.array([[int(x) for x in row] for row in out], object)
 
 
-def _block(ids: list[int], vectors: list, cuts: list[int]) -> dict:
-    q = _quantised(vectors)
-    return {"ids": np.array(ids, "<i8").tobytes(), "cuts": np.array(cuts, "<i8").tobytes(), "dims": q.shape[1], "data": q.astype("<i8").tobytes()}
+def _to_bytes(q: np.ndarray) -> bytes:
+    return q.astype("<i8").tobytes() if q.dtype != object else b"big" + repr(q.tolist()).encode()
 
 
-def _pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_matrix(n: int, dims: int, data: bytes) -> np.ndarray:
+    if data[:3] == b"big" and len(data) != 8 * n * dims:
+        return np.array([[int(x) for x in row.split(",")] for row in data[5:-2].decode().split("], [")], object)
+    return np.frombuffer(data, "<i8").reshape(n, dims)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, CANDIDATES):
             part = batch.slice(at, CANDIDATES)
-            yield pa.RecordBatch.from_pylist([_block(part.column(0).to_pylist(), part.column(1).to_pylist(), [])])
+            q = quantised(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_pylist([{"ids": part.column(0).to_numpy().astype("<i8").tobytes(), "dims": q.shape[1], "data": _to_bytes(q)}])
+
 
+@dataclass
+class Queries:
+    """A round of queries, in order of their ids; cuts is None before there are cutoffs."""
 
-def _pack_queries(table: pa.Table) -> pa.Table:
-    t = table.sort_by("v_id")
-    return pa.Table.from_pylist([{"qb": t["qb"][0].as_py()} | _block(t["v_id"].to_pylist(), t["vector"].to_pylist(), t["cut"].to_pylist())])
+    ids: np.ndarray
+    matrix: np.ndarray
+    cuts: list[int | None] | None = None
 
 
-def _matrix(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = np.frombuffer(ids, "<i8")
-    return n, np.frombuffer(data, "<i8").reshape(len(n), dims)
+def slices(dims: int, lists: int) -> list[slice]:
+    return [slice(dims * k // lists, dims * (k + 1) // lists) for k in range(lists)]
 
 
-def _partials(queries: np.ndarray, candidates: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores in each list, exact: floating point only where every sum stays below 2^53."""
+def _alike(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both with the same dimensions and a type in which every sum of products is exact."""
     dims = max(queries.shape[1], candidates.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (queries, candidates))
-    most = max(1, dims) * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    most = max(1, dims) * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
     kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
-    q, c = q.astype(kind), c.astype(kind)
-    return [q[:, s] @ c[:, s].T for s in (slice(dims * k // lists, dims * (k + 1) // lists) for k in range(lists))]
+    return q.astype(kind), c.astype(kind)
+
+
+def gather(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int, lists: int) -> np.ndarray:
+    """Query and candidate of the k best entries of each local score list (own entries are none)."""
+    q, c = _alike(queries, candidates)
+    free, found = np.where(own, -np.inf, 0.0), []
+    for s in slices(q.shape[1], lists):
+        local = (q[:, s] @ c[:, s].T).astype(np.float64) + free
+        top = np.argpartition(-local, k - 1, axis=1)[:, :k] if local.shape[1] > k else np.tile(np.arange(local.shape[1]), (len(local), 1))
+        found.append((np.arange(len(local))[:, None] * len(c) + top).ravel())
+    at = np.unique(np.concatenate(found))
+    pairs = np.stack([at // max(1, len(c)), at % max(1, len(c))])
+    return pairs[:, ~own[pairs[0], pairs[1]]]
+
+
+def collect(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, cuts: list[int | None], lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, candidate and list of the entries that reach cutoff / lists: in the first list that they reach it."""
+    q, c = _alike(queries, candidates)
+    cut = np.array([-np.inf if x is None else x for x in cuts], object if q.dtype == object else np.float64)[:, None]
+    # whole cutoffs of 2^53 and over lose their last bits as floating point numbers: leave room for that
+    cut = cut - np.abs(cut) * 2.0**-50 if q.dtype != object and len(cut) and np.abs(cut[np.isfinite(cut)]).max(initial=0) >= 2.0**53 else cut
+    open_, found = ~own, []
+    for k, s in enumerate(slices(q.shape[1], lists)):
+        reach = open_ & ((q[:, s] @ c[:, s].T) * lists >= cut).astype(bool)
+        open_ &= ~reach
+        a, b = np.nonzero(reach)
+        found.append((a, b, np.full(len(a), k)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def resolve(queries: np.ndarray, candidates: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The whole scores of these entries, summed over all lists."""
+    q, c = _alike(queries, candidates)
+    if q.dtype == object:
+        return np.array([int(sum(x * y for x, y in zip(q[i], c[j]))) for i, j in zip(a, b)], object)
+    out = np.zeros(len(a), q.dtype)
+    for at in range(0, len(a), 1 << 14):
+        out[at : at + (1 << 14)] = np.einsum("ij,ij->i", q[a[at : at + (1 << 14)]], c[b[at : at + (1 << 14)]])
+    return out.astype(np.int64)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of every query, ties to the smaller id."""
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(query)), key=lambda i: (query[i], -scores[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    new = np.flatnonzero(np.diff(query, prepend=-1))
+    nth = np.arange(len(query)) - np.repeat(new, np.diff(new, append=len(query)))
+    return query[nth < k], ids[nth < k], scores[nth < k]
+
+
+def _meet(sent, k: int, lists: int):
+    """Every task: the k best entries of its candidates for each query of the round, by gather or by collect."""
 
-
-def _best(query: int, ids: np.ndarray, at: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    at = at[np.lexsort((ids[at], -scores[at]))[:k]] if scores.dtype != object else np.array(sorted(at, key=lambda i: (-scores[i], ids[i]))[:k], int)
-    return [(query, int(ids[i]), int(np.clip(scores[i], -(2**63), 2**63 - 1) if scores.dtype == object else scores[i])) for i in at]
-
-
-def _pairs(k: int, lists: int, resolve: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Queries = sent.value
+        best: dict[int, tuple] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, c = _matrix(row["ids"], row["dims"], row["data"])
-                queries, q = _matrix(row["q_ids"], row["q_dims"], row["q_data"])
-                cuts = np.frombuffer(row["q_cuts"], "<i8")
-                parts = _partials(q, c, lists)
-                full, hits = sum(parts), []
-                own = ids[None, :] == queries[:, None]
-                if resolve:
-                    reach = np.zeros(full.shape, bool)
-                    for p in parts:
-                        reach |= (p * lists >= cuts[:, None]).astype(bool)
-                    reach &= ~own & (full >= cuts[:, None]).astype(bool)
-                    for n, query in enumerate(queries.tolist()):
-                        if len(at := np.flatnonzero(reach[n])):
-                            hits += _best(query, ids, at, full[n], k)
-                else:
-                    for n, query in enumerate(queries.tolist()):
-                        free = np.flatnonzero(~own[n])
-                        got = [free[np.argpartition(-p[n][free], k - 1)[:k]] if len(free) > k and p.dtype != object else np.array(sorted(free, key=lambda i: -p[n][i])[:k], int) for p in parts]
-                        hits += _best(query, ids, np.unique(np.concatenate(got)), full[n], k)
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*hits)], schema=_HITS)
+                ids = np.frombuffer(row["ids"], "<i8")
+                c = _to_matrix(len(ids), row["dims"], row["data"])
+                for at in range(0, len(asked.ids), QUERIES):
+                    q = asked.matrix[at : at + QUERIES]
+                    own = asked.ids[at : at + QUERIES, None] == ids[None, :]
+                    a, b = gather(q, c, own, k, lists) if asked.cuts is None else collect(q, c, own, asked.cuts[at : at + QUERIES], lists)[:2]
+                    if len(a):
+                        now = (a, ids[b], resolve(q, c, a, b))
+                        old = best.get(at)
+                        if old is not None:
+                            now = tuple(np.concatenate(x) for x in zip(old, now))
+                        best[at] = _best(*now, k)
+        for at, (query, ids, scores) in best.items():
+            if scores.dtype == object and any(not -(2**63) <= s < 2**63 for s in scores):
+                raise OverflowError("a score is no 64-bit integer")
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[at + query]), pa.array(ids), pa.array(scores.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", round_size: int = ROUND) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of vectors for each of queries, ties to the smaller id.
 
-    A component x counts as floor(256 x); the score is the integer inner product.  Rows whose id is
-    null, or whose vector is null or holds null or non-finite components, take no part; shorter
-    vectors are padded with zeros.  A query never finds rows of its own id; of rows that repeat a
-    query's id, the least vector asks.  Repeated candidate rows count each.
+    A component x counts as floor(256 x); the score is the integer inner product, an error if one of a
+    result is no 64-bit integer.  Rows whose id is null, or whose vector is null or holds null or
+    non-finite components, take no part; shorter vectors are padded with zeros.  A query never finds
+    rows of its own id; of rows that repeat a query's id, the least vector asks.  Repeated candidate
+    rows count each.  Empty tables give no rows; other columns are ignored.
+
+    Rounds of ``round_size`` queries run one after another, each over all candidates in place.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -118,23 +184,23 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int =
         fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
         return df.select(df[id_col].cast("long").alias("v_id"), v.cast("array<double>").alias("vector")).filter(fine & F.col("v_id").isNotNull())
 
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     asked = stage(valid(queries).groupBy("v_id").agg(F.min("vector").alias("vector")), "topk-queries")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("v_id"), F.lit(blocks)))
-    candidates = stage(valid(vectors).mapInArrow(_pack_candidates, _BLOCK), "topk-candidates")
-    met = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def met_by(with_cuts: DataFrame, resolve: bool) -> DataFrame:
-        packed = with_cuts.groupBy("qb").applyInArrow(_pack_queries, f"qb long, {_BLOCK}")
-        packed = packed.select("qb", *[F.col(c).alias(f"q_{c}") for c in ("ids", "cuts", "dims", "data")])
-        columns = ("ids", "dims", "data", "q_ids", "q_dims", "q_data", "q_cuts")
-        return met.join(packed, "qb").select(*columns).mapInArrow(_pairs(k, lists, resolve), _HITS_SQL)
-
-    def ranked(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-
-    gathered = met_by(asked.withColumn("cut", F.lit(NO_CUTOFF)), False)
-    cutoffs = ranked(gathered).filter(F.col("rank") == k).select(F.col("query_id").alias("v_id"), F.col("score").alias("cut"))
-    cut = asked.join(cutoffs, "v_id", "left").withColumn("cut", F.coalesce("cut", F.lit(NO_CUTOFF)))
-    return ranked(met_by(cut, True)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rounds = max(1, -(-asked.count() // (round_size // 2 or 1)))
+    candidates = stage(valid(vectors).mapInArrow(_pack, _BLOCK), "topk-candidates")
+    results = []
+    for r in range(rounds):
+        rows = asked.filter(F.pmod(F.xxhash64("v_id"), F.lit(rounds)) == r).orderBy("v_id").collect()  # about round_size / 2 queries
+        ids, matrix = np.array([x.v_id for x in rows], np.int64), quantised([x.vector for x in rows])
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast(Queries(ids, matrix))
+        cutoffs = _ranked(candidates.mapInArrow(_meet(sent, k, lists), _HITS_SQL)).filter(F.col("rank") == k).select("query_id", "score")
+        cut = dict(map(tuple, cutoffs.collect()))  # one number a query of the round
+        sent = spark.sparkContext.broadcast(Queries(ids, matrix, [cut.get(i) for i in ids.tolist()]))
+        found = _ranked(candidates.mapInArrow(_meet(sent, k, lists), _HITS_SQL)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        results.append(found if rounds == 1 else stage(found, "topk-round"))
+    if not results:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, results)

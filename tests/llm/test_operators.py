@@ -139,8 +139,8 @@ def repeats(texts, k):
 def test_repeated_phrases(spark, odd, none):
     rows = odd_rows()
     want = sorted((str(r[0]), *x) for r, x in zip(rows, repeats([r[1] for r in rows], 35)))
-    for chunk in (4_000_000, 500):
-        got = remove_repeats(odd.withColumn("chunk", F.lit(1)), chunk_chars=chunk)
+    for chunk in (4_000_000, 500, 1):
+        got = remove_repeats(odd.withColumn("chunk", F.lit(1)), chunk_chars=chunk, variants=chunk)
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
     r = next(x for x in got.collect() if x.doc_id == 8)
     assert r.removed_spans == [9, 69] and hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
@@ -155,6 +155,22 @@ def test_repeated_phrases_of_few_words(spark):
     assert [got[k] for k in range(len(texts))] == repeats(texts, 7)
 
 
+def test_words_that_differ_late_are_no_repeats(spark):
+    """Words of the Thue-Morse kind: no polynomial over their letters tells them apart."""
+    rows = []
+    for k, n in enumerate((256, 512, 4096)):
+        one = "".join("b" if bin(i).count("1") % 2 else "a" for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        around = [f"u{k}x{i}" for i in range(34)]
+        rows += [(10 * k, " ".join([*around[:17], one, *around[17:]])), (10 * k + 1, " ".join([*around[:17], two, *around[17:]]))]
+        rows += [(10 * k + 2, " ".join([one] * 40)), (10 * k + 3, " ".join([two] * 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert [got[k] for k, _ in rows] == repeats([t for _, t in rows], 35)
+    assert not any(got[10 * k + j][1] for k in range(3) for j in (0, 1))
+    assert {r.n_links for r in near_duplicates(df).collect()} == {0}
+
+
 def shingles(text, n=5):
     w = (text or "").split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -233,6 +249,15 @@ def test_top_k(spark, scale):
     assert got == brute_top(rows, {0, 20, 40, 60, 200, 220, 300}, 5)
     assert exact_top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
     assert exact_top_k(df.limit(0), df.limit(0)).count() == 0
+    assert sorted(map(tuple, exact_top_k(df, asked, lists=3, round_size=4).collect())) == got
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(k, [2.0**k, 1.0]) for k in range(40)] + [(50, [1e30, 0.0]), (51, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    got = exact_top_k(df.filter("vec_id < 24 OR vec_id = 51"), df.filter("vec_id = 20"), k=3).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(23, 256 * 256 * (2**43 + 1)), (22, 256 * 256 * (2**42 + 1)), (21, 256 * 256 * (2**41 + 1))]
+    with pytest.raises(Exception, match="64-bit"):
+        exact_top_k(df, df.filter("vec_id = 20")).collect()
 
 
 def brute_ids(end):

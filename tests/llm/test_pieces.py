@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docframe.llm import language, ngram_join, phrases, quality, simple8b
+from docframe.llm import language, ngram_join, phrases, quality, simple8b, topk
 from docframe.llm.bpe import PieceEncoder, vocabulary_path
 from docframe.llm.packing import Packer
 from docframe.llm.shingles import Words
@@ -77,7 +77,7 @@ def test_levels_keep_the_squares_least():
 
 def test_run_hashes_depend_on_the_words_alone():
     a, b = Words([b"x a b c  d", b"", b"q"]), Words([b"a\tb c d", b"a b c e"])
-    ra, rb = (w.hash_runs(w.starts(4), 4, 0) for w in (a, b))
+    ra, rb = (w.runs(4)[w.starts(4)] for w in (a, b))
     assert ra[1] == rb[0] and ra[0] != rb[0] and rb[0] != rb[1]
     assert a.shingles(5)[1].tolist() == [1, 0, 1] and Words([b"a b c d", b"a b c d"]).shingles(9)[0].tolist()[0] == Words([b"z", b"a b c d"]).shingles(9)[0].tolist()[1]
     assert Words([]).shingles(5)[1].tolist() == [] and Words([b"", b" "]).shingles(5)[1].tolist() == [0, 0]
@@ -94,11 +94,30 @@ def test_equal_windows_have_equal_anchors():
         assert by[100 + k] == by[300 + 7 + k]
 
 
-def test_locate_by_automaton():
-    codes = np.array([1, 2, 3, 4, 9, 2, 3, 4, 5, 2, 3])
-    found = phrases.locate(codes, np.array([0, 5]), np.array([5, 11]), np.array([[1, 4]]))
-    assert found.tolist() == [False, True, True, True, False, True, True, True, False, False, False]
-    assert not phrases.locate(codes, np.array([0]), np.array([11]), np.zeros((0, 2), np.int64)).any()
+def test_automata_locate_passages():
+    machine, numbers = phrases.automaton([[b"b", b"c", b"d"], [b"c", b"d", b"e", b"f"]])
+    assert list(phrases.covered(b"a b c d x b c b c d e f c".split(), machine, numbers)) == [0, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1, 0]
+    assert list(phrases.covered([b"a"], *phrases.automaton([]))) == [0] and not phrases.covered([], machine, numbers)
+
+
+def test_passages_of_an_anchor_are_confirmed_on_words():
+    runs = lambda *pieces: phrases.recurring_runs([(p.encode(), n) for p, n in pieces], 3)
+    assert runs(("a b c d", 1)) == [[]] and runs(("a b c d", 2)) == [[0, 4]]
+    assert runs(("a b c d", 1), ("b c d e", 1)) == [[1, 4], [0, 3]]
+    assert runs(("a b c d e f", 1), ("a b c", 1), ("d e f", 1)) == [[0, 3, 3, 6], [0, 3], [0, 3]]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 4096])
+def test_words_of_one_structure_have_hashes_of_their_own(n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    w = Words([f"x {one}".encode(), f"x {two}".encode(), " ".join(one).encode(), " ".join(two).encode()])
+    assert w.hashes[1] != w.hashes[3]
+    long = w.runs(n)
+    assert long[4] != long[4 + n]
 
 
 def test_bands_reach_the_recall():
@@ -106,9 +125,48 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99999 and bands * rows <= 128
 
 
-def test_overlaps():
-    sets = [np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64), np.array([9], np.uint64), np.array([1, 2, 3, 4], np.uint64)]
-    assert ngram_join.overlaps(sets).tolist() == [[3 if i == j == 0 else len(set(a.tolist()) & set(b.tolist())) if i != j or len(a) > 1 else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), min_size=1, max_size=9), st.integers(1, 4))
+def test_ngram_sets_and_overlaps(texts, n):
+    want = [{tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} if t else set() for t in texts]
+    sets = ngram_join.ngram_sets([[w.encode() for w in t] for t in texts], n)
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    got = ngram_join.overlaps(sets)
+    assert all(got[i, j] == len(a & b) for i, a in enumerate(want) for j, b in enumerate(want) if i != j)
+
+
+def test_a_pair_counts_in_the_least_bucket_it_shares():
+    buckets = [[1, 5, 9], [5, 9], [1, 9], [9]]
+    pairs = [{(i, j) for i in range(4) for j in range(i) if ngram_join.first_shared(buckets, h)[i, j] and h in buckets[i] and h in buckets[j]} for h in (1, 5, 9)]
+    assert pairs == [{(2, 0)}, {(1, 0)}, {(2, 1), (3, 0), (3, 1), (3, 2)}]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 3), st.integers(1, 4), st.sampled_from([5, 2**27, 2**40]))
+def test_threshold_leaves_few_entries_and_loses_none(seed, lists, k, most):
+    rng = np.random.default_rng(seed)
+    q, c = rng.integers(-most, most, (3, 7)), rng.integers(-most, most, (30, 7))
+    own = np.zeros((3, 30), bool)
+    own[0, 0] = True
+    every = q.astype(object) @ c.astype(object).T
+    a, b = topk.gather(q, c, own, k, lists)
+    cuts = [sorted([int(every[i, j]) for j in b[a == i]])[-k] for i in range(3)]
+    a, b, which = topk.collect(q, c, own, cuts, lists)
+    best = {(i, j) for i in range(3) for j in range(30) if every[i, j] >= sorted(x for m, x in enumerate(every[i]) if not own[i, m])[-k] and not own[i, j]}
+    assert best <= set(zip(a.tolist(), b.tolist())) and len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    part = np.abs(np.array(cuts, np.float64)).max() * 2.0**-40
+    assert all(sum(int(q[i, d]) * int(c[j, d]) for d in range(7)[topk.slices(7, lists)[s]]) * lists >= cuts[i] - part for i, j, s in zip(a, b, which))
+    assert topk.resolve(q, c, a, b).tolist() == [every[i, j] for i, j in zip(a, b)]
+
+
+def test_the_cutoff_saves_work():
+    rng = np.random.default_rng(1)
+    q, c = rng.integers(-256, 256, (50, 64)), rng.integers(-256, 256, (4000, 64))
+    own = np.zeros((50, 4000), bool)
+    a, b = topk.gather(q, c, own, 5, 2)
+    scores = topk.resolve(q, c, a, b)
+    a2, _, _ = topk.collect(q, c, own, [int(np.sort(scores[a == i])[-5]) for i in range(50)], 2)
+    assert len(a) <= 50 * 10 and len(a2) < 0.15 * 50 * 4000
 
 
 def test_networks_learn():
