@@ -14,27 +14,49 @@ from docframe.llm.quality import drop_low_quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored like others, repeated rows alike; equal scores share one fate; a
+    long text is scored whole; columns of any name are kept; an empty table gives no rows.
+    """
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the smallest id."""
+    """Of equal texts, the document of the smallest id.
+
+    Null counts as empty text; a null id stays only where all ids of a text are null; of rows that
+    repeat id and text one stays; long texts are compared whole; columns of any name are kept; an
+    empty table gives no rows.
+    """
     return drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id."""
+    """Of each group of near duplicates, the document of the smallest id.
+
+    Texts without words and rows without an id stay; rows that repeat an id stay or go together; long
+    texts are compared whole; columns of any name are kept; an empty table gives no rows.
+    """
     return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A null source is a source of its own; null and empty texts count no words; rows that repeat id,
+    source and size share one fate, equal keys go by id and size; columns of any name are kept; an
+    empty table gives no rows.
+    """
     return mix(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Pieces of windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null texts count as empty; rows that repeat an id, or have none, are documents of their own; long
+    texts span windows; other columns are ignored; an empty table gives no rows.
+    """
     return pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -13,15 +13,18 @@ TRUE_TOKENS = ("true", "t", "yes", "y", "1")
 FALSE_TOKENS = ("false", "f", "no", "n", "0")
 CURRENCY = r"(?U)[$€£¥,\s]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+TYPED = {"integer": "bigint", "float": "double", "boolean": "boolean"}
 MARKER = r"--- Page (\d+) ---"
-#: Patterns that to_date looks for, and how each is read; month first.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+#: Forms of a date that to_date looks for, and which group is year, month and day; month before day where both fit.
 DATES = (
-    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
-    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
-    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
-    (r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, \d{4}", "MMM d, yyyy"),
-    (r"(?i)\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4}", "d MMM yyyy"),
+    (r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", (1, 2, 3)),
+    (r"(?<!\d)(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?!\d)", (4, 1, 3)),
+    (r"(?<!\d)(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?!\d)", (4, 3, 1)),
+    (rf"(?i)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})", (3, 1, 2)),
+    (rf"(?i)(?<!\d){_DAY}\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})", (3, 2, 1)),
 )
 
 
@@ -62,16 +65,45 @@ def to_bool(v: Column) -> Column:
     return F.when(word.isin(*TRUE_TOKENS), F.lit(True)).when(word.isin(*FALSE_TOKENS), F.lit(False))
 
 
+def _year(y: Column) -> Column:
+    """Four digits as they are; of two the year less than 50 years ahead."""
+    near = y.try_cast("int") + 2000
+    return F.when(F.length(y) == 2, near - F.when(near >= F.year(F.current_date()) + 50, 100).otherwise(0)).otherwise(y.try_cast("int"))
+
+
 def to_date(v: Column) -> Column:
     """SC6: the first date of a known form anywhere in the text, month before day where both fit."""
-    text = null_tokens(v)
-    found = [F.try_to_timestamp(F.nullif(F.regexp_extract(text, p, 0), F.lit("")), F.lit(f)).cast("date") for p, f in DATES]
+    text, number = null_tokens(v), F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, str(k + 1))])
+    found = []
+    for pattern, (year, month, day) in DATES:
+        y, m, d = (F.regexp_extract(text, pattern, k) for k in (year, month, day))
+        m = number[F.lower(m)] if "jan" in pattern else m
+        found.append(F.when(y != "", F.try_to_timestamp(F.concat_ws("-", _year(y).cast("string"), m, d), F.lit("yyyy-M-d")).cast("date")))
     return F.coalesce(*found)
 
 
 COERCE = {"string": to_string, "integer": to_int, "float": to_float, "boolean": to_bool, "date": to_date}
 
 
+def coerce(v: Column, kind: str, source: str = "string") -> Column:
+    """SC7: a value of Spark type ``source`` as a declared kind.
+
+    Texts are read by the rules above.  A boolean counts as 1 or 0, a number is true unless it is 0,
+    and either becomes a text as it is written; only texts and dates become dates.
+    """
+    if source == "string":
+        return COERCE[kind](v)
+    if kind == "string":
+        return to_string(F.initcap(v.cast("string")) if source == "boolean" else F.to_json(v) if source.startswith(("array", "map", "struct")) else v.cast("string"))
+    if kind == "date":
+        return v.cast("date") if source.startswith(("date", "timestamp")) else F.lit(None).cast("date")
+    if source == "boolean":
+        return v if kind == "boolean" else v.cast(TYPED[kind])
+    if source in ("tinyint", "smallint", "int", "bigint", "float", "double") or source.startswith("decimal"):
+        return v != 0 if kind == "boolean" else v.try_cast(TYPED[kind])
+    return F.lit(None).cast(TYPED[kind])
+
+
 def key_part(v: Column, kind: str = "string") -> Column:
     """How a value counts in a natural key: text without case or outer space, else as it is."""
     return F.lower(strip(v)) if kind == "string" else v

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.scalars import COERCE
-
-ROUNDS = 50
+from docframe.functions.scalars import coerce
 
 
 def unique_violations(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
@@ -22,13 +20,13 @@ def unique_survivors(df: DataFrame, columns: Sequence[str], order: Sequence[str]
     """CON1 for several columns: rows that load when each is unique by itself.
 
     Row-atomic in load order: a skipped row uses up no value.  Rounds of: rows that are first for all
-    their values survive, rows that share a value with a survivor fall.  ``materialise`` cuts the
-    lineage between rounds (a function DataFrame -> DataFrame); without it, DataFrame.checkpoint.
+    their values survive, rows that share a value with a survivor fall.  Each round settles the first
+    row that is left, so rounds end by themselves.  ``materialise`` cuts the lineage between rounds (a function DataFrame -> DataFrame); without it, DataFrame.checkpoint.
     """
     cut = materialise or (lambda d: d.checkpoint())
     place = F.struct(*order)
     live, kept = cut(df), None
-    for _ in range(ROUNDS):
+    while True:
         marked = live
         for c in columns:
             w = Window.partitionBy(c)
@@ -45,7 +43,6 @@ def unique_survivors(df: DataFrame, columns: Sequence[str], order: Sequence[str]
         live = cut(rest.select(*df.columns))
         if live.isEmpty():
             return kept.select(*df.columns)
-    raise RuntimeError(f"unique_survivors: collisions chain through more than {ROUNDS} rounds")
 
 
 def fk_violations(child: DataFrame, fk: str, surviving: DataFrame, pk: str) -> DataFrame:
@@ -60,8 +57,9 @@ def fk_survivors(child: DataFrame, fk: str, surviving: DataFrame, pk: str) -> Da
 
 
 def type_violations(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """CON3: rows with a text that its column's type can't take, and the first such column."""
-    bad = F.coalesce(*[F.when(F.col(c).isNotNull() & COERCE[k](F.col(c)).isNull(), F.lit(c)) for c, k in kinds.items()])
+    """CON3: rows with a value that its column's type can't take, and the first such column."""
+    types = dict(df.dtypes)
+    bad = F.coalesce(*[F.when(F.col(c).isNotNull() & coerce(F.col(c), k, types[c]).isNull(), F.lit(c)) for c, k in kinds.items()])
     return df.withColumn("bad_column", bad).filter("bad_column IS NOT NULL")
 
 

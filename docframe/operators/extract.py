@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,15 +35,26 @@ def extract_regex(chunks: DataFrame, table: str, rules: dict[str, str], *keys: s
 
     Columns are aligned by position; a row has null where a pattern matched less often.
     """
-    found = [F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(c) for c, p in rules.items()]
-    rows = chunks.select(*keys, "chunk_index", F.posexplode(F.arrays_zip(*found)).alias("row_no", "r"))
-    row = F.create_map(*[x for c in rules for x in (F.lit(c), F.col(f"r.{c}"))])
-    return rows.select(*keys, F.lit(table).alias("table_name"), "chunk_index", "row_no", row.alias("row"))
+    return extract_tables(chunks, {table: rules}, *keys)
+
+
+def extract_tables(chunks: DataFrame, tables: dict[str, dict[str, str]], *keys: str) -> DataFrame:
+    """extract_regex for several tables in one pass over the chunks."""
+    found = []
+    for table, rules in tables.items():
+        zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(rules.values())])
+        row = lambda z, rules=rules: F.create_map(*[x for k, c in enumerate(rules) for x in (F.lit(c), z[f"m{k}"])])
+        found.append(F.transform(zipped, _placed(table, row)))
+    return chunks.select(*keys, "chunk_index", F.explode(F.concat(*found)).alias("m")).select(*keys, "m.table_name", "chunk_index", "m.row_no", "m.row")
+
+
+def _placed(table: str, row: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda z, n: F.struct(F.lit(table).alias("table_name"), n.alias("row_no"), row(z).alias("row"))
 
 
 def extract_labelled(chunks: DataFrame, table: str, columns: list[str], *keys: str) -> DataFrame:
     """UD3, 'label: value' lines: at most one row per chunk with the first value of each label."""
-    value = lambda c: F.nullif(F.regexp_extract("text", rf"(?im)^[ \t]*{c}[ \t]*:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
+    value = lambda c: F.nullif(F.regexp_extract("text", rf"(?im)^[ \t]*{re.escape(c)}[ \t]*:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
     row = F.create_map(*[x for c in columns for x in (F.lit(c), value(c))])
     rows = chunks.select(*keys, F.lit(table).alias("table_name"), "chunk_index", F.lit(0).alias("row_no"), row.alias("row"))
     return rows.filter(F.exists(F.map_values("row"), lambda v: v.isNotNull()))
@@ -93,8 +105,9 @@ def filter_bad_entries(results: DataFrame) -> DataFrame:
 def drop_orphan_buckets(rows: DataFrame, model_tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FLT4: rows of the model's tables, and a note per job and table that isn't in the model."""
     keys = ["job_id", "table_name"]
-    kept = rows.join(model_tables.select(*keys), keys, "left_semi")
-    lost = rows.join(model_tables.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    split = rows.join(model_tables.select(*keys, F.lit(True).alias("_known")).distinct(), keys, "left")
+    kept = split.filter("_known").drop("_known")
+    lost = split.filter("_known IS NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return kept, lost.select(*keys, F.format_string("dropped %d rows of unknown table %s", "n", "table_name").alias("note"))
 
 
@@ -108,7 +121,3 @@ def token_usage(texts: DataFrame, prompt: str, completion: str, *keys: str) -> D
 def row_index(rows: DataFrame, *keys: str, order: tuple[str, ...] = ("chunk_index", "row_no")) -> DataFrame:
     """WN5: position of a row in its table, from 0."""
     return rows.withColumn("row_index", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-
-
-def extracted_value(column: str) -> Column:
-    return F.col("row").getItem(column)

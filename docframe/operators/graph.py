@@ -27,6 +27,7 @@ class NodeTable:
     pk: dict[str, str]  # column -> logical type
     order: tuple[str, ...]
     links: tuple[Link, ...] = field(default=())
+    declared: tuple[str, ...] = ()  # columns of texts and payloads; all of df's where empty
 
 
 def nodes(tables: dict[str, NodeTable], scope: str) -> DataFrame:
@@ -39,6 +40,17 @@ def nodes(tables: dict[str, NodeTable], scope: str) -> DataFrame:
     return out
 
 
+def merged_nodes(tables: dict[str, NodeTable], scope: str) -> DataFrame:
+    """One node per key of a table, as it is stored: of rows that share one, the last in load order."""
+    out = None
+    for name, t in tables.items():
+        props = to_payload({c: F.col(c) for c in t.df.columns})
+        part = with_keys(name, t).groupBy("__row_key").agg(F.max_by(props, F.struct(*t.order)).alias("props"))
+        part = part.select(F.lit(scope).alias("__job_scope"), F.lit(name).alias("__table"), "__row_key", "props")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def with_keys(name: str, t: NodeTable) -> DataFrame:
     """A table with __row_key; a row without a whole key is told apart by its place in load order."""
     place = F.concat_ws(",", *[F.col(c).cast("string") for c in t.order])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.session import stage
+
 # Job statuses, which of them allow what, and the phase that each shows as.
 DELETABLE = ("MODEL_PROPOSED", "AWAITING_REVIEW", "AWAITING_QUERY", "COMPLETED", "FAILED")
 IDLE = ("COMPLETED", "FAILED", "MODEL_PROPOSED", "AWAITING_REVIEW", "AWAITING_QUERY")
@@ -24,11 +26,16 @@ PHASES = {
 def dense_index(df: DataFrame, group: str, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Position of each row, from 0, in the order of ``order``, whose first column is ``group``.
 
-    Groups are counted and their counts summed up; rows are numbered within their group only, so no
-    task sees all rows.
+    Groups are counted and ranged by their order; counts are summed up within each range, and the
+    ranges' totals, one row each, in one small window.  Rows are numbered within their group only, so
+    no task sees all rows or all groups.
     """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col(group).alias("_g"), (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_before"))
+    ranged = stage(counts.repartitionByRange(group).withColumn("_range", F.spark_partition_id()), "index-groups")
+    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_t"))
+    offsets = totals.select("_range", (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_offset"))
+    mine = F.sum("_n").over(Window.partitionBy("_range").orderBy(group)) - F.col("_n")
+    before = ranged.join(offsets, "_range").select(F.col(group).alias("_g"), (F.col("_offset") + mine).alias("_before"))
     out = df.join(before, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     return out.withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).drop("_before")
 
@@ -114,10 +121,28 @@ def progress_phase(status: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv])[status]
 
 
-def until_terminal(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """SM2 for stored events: those up to a job's first terminal one."""
-    ends = events.filter(terminal(F.col("status"))).groupBy(key).agg(F.min("ts").alias("_end"))
-    return events.join(ends, key, "left").filter(F.col("_end").isNull() | (F.col("ts") <= F.col("_end"))).drop("_end")
+def until_terminal(events: DataFrame, key: str = "job_id", order: Sequence[str] = ("ts",)) -> DataFrame:
+    """SM2 for stored events: those up to a job's first terminal one, in the order of ``order``.
+
+    Of events that tie, the terminal ones come last, and one of those passes.
+    """
+    place = _place(order)
+    ends = events.filter(terminal(F.col("status"))).groupBy(key).agg(F.min(place).alias("_end"))
+    return events.join(ends, key, "left").filter(F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end")
+
+
+def _place(order: Sequence[str]) -> Column:
+    return F.struct(*order, terminal(F.col("status")).alias("_last"), F.col("status").alias("_status"))
+
+
+def status_feed(events: DataFrame, since: Column, key: str = "job_id", order: Sequence[str] = ("ts",)) -> DataFrame:
+    """SM2: what a job's reader gets who comes at ``since``: its state by then, then its later events up to a terminal one.
+
+    The rows of the state have ``current`` true; a job that is at its end by then has that row only.
+    """
+    passed, early = until_terminal(events, key, order), F.col(order[0]) <= since
+    state = passed.filter(early).groupBy(key).agg(F.max_by(F.struct(*events.columns), _place(order)).alias("e"))
+    return state.select("e.*", F.lit(True).alias("current")).unionByName(passed.filter(~early).withColumn("current", F.lit(False)))
 
 
 def latest_status(events: DataFrame, key: str = "job_id", carried: Sequence[str] = ("error_message", "connection_string")) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from docframe import schemas
 from docframe.functions.scalars import namespace, snake_case, to_bool, to_date, to_float, to_int
+from docframe.session import stage
 
 # Words that may not name a table or column, and columns that every table gets.
 RESERVED = (
@@ -83,7 +84,10 @@ def identifier_errors(models: DataFrame) -> DataFrame:
 
 
 def downgrade_relationships(models: DataFrame) -> DataFrame:
-    """MD4: relationships with enabled and note; the first failing check disables one, which is kept."""
+    """MD4: relationships with enabled and note; the first failing check disables one, which is kept.
+
+    The notes are fixed values: users of such systems search their logs for these words.
+    """
     rel, cols = model_relationships(models), model_columns(models)
     pk = cols.groupBy("job_id", "table_name", "column_name").agg(F.max("is_primary_key").alias("pk"))
     tables = model_tables(models).select("job_id", "table_name").distinct()
@@ -148,13 +152,15 @@ def load_order(models: DataFrame, relationships: DataFrame) -> DataFrame:
     sizes = tables.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     edges = relationships.filter("enabled AND source_table <> references_table").select("job_id", F.col("source_table").alias("child"), F.col("references_table").alias("parent")).distinct()
     known = tables.select("job_id", F.col("table_name").alias("child"))
-    edges = edges.join(known, ["job_id", "child"], "left_semi").join(known.withColumnRenamed("child", "parent"), ["job_id", "parent"], "left_semi").join(sizes, "job_id").cache()
+    edges = edges.join(known, ["job_id", "child"], "left_semi").join(known.withColumnRenamed("child", "parent"), ["job_id", "parent"], "left_semi").join(sizes, "job_id")
+    edges = stage(edges, "model-edges")
     placed = tables.select("job_id", "table_name", F.lit(0).alias("depth"))
-    level, frontier = 1, edges.select("job_id", F.col("child").alias("table_name")).distinct().cache()
+    level, frontier = 1, edges.select("job_id", F.col("child").alias("table_name")).distinct()
     while not frontier.isEmpty():
         placed = placed.unionByName(frontier.withColumn("depth", F.lit(level)))
         reached = frontier.withColumnRenamed("table_name", "parent")
-        frontier = edges.filter(F.col("n") > level).join(reached, ["job_id", "parent"], "left_semi").select("job_id", F.col("child").alias("table_name")).distinct().cache()
+        frontier = edges.filter(F.col("n") > level).join(reached, ["job_id", "parent"], "left_semi").select("job_id", F.col("child").alias("table_name")).distinct()
+        frontier = stage(frontier, "model-level")
         level += 1
     depth = placed.groupBy("job_id", "table_name").agg(F.max("depth").alias("depth"))
     out = tables.join(depth, ["job_id", "table_name"]).join(sizes, "job_id")

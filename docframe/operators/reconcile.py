@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe import schemas
-from docframe.functions.scalars import COERCE, fingerprint, key_part, natural_key, strip, token_set
+from docframe.functions.scalars import coerce, fingerprint, key_part, natural_key, strip, token_set
 from docframe.session import stage
 
 ORDER = ("chunk_index", "row_no")
@@ -30,9 +30,9 @@ def _order(order: Sequence[str] = ORDER) -> Column:
 
 
 def normalize_row(df: DataFrame, columns: Sequence[Declared]) -> DataFrame:
-    """SC7: declared columns coerced from text by their types, all others as they are."""
-    kinds = {c.name: c.type for c in columns}
-    return df.select(*[COERCE[kinds[n]](F.col(n).cast("string")).alias(n) if n in kinds else F.col(n) for n in df.columns])
+    """SC7: declared columns coerced by their types, from whatever type they have; all others as they are."""
+    kinds, types = {c.name: c.type for c in columns}, dict(df.dtypes)
+    return df.select(*[coerce(F.col(n), kinds[n], types[n]).alias(n) if n in kinds else F.col(n) for n in df.columns])
 
 
 def project_declared(df: DataFrame, columns: Sequence[Declared]) -> DataFrame:
@@ -58,92 +58,103 @@ def _key(columns: Sequence[Declared]) -> Column:
     return natural_key([(F.col(c.name), c.type) for c in columns if c.pk])
 
 
-def merge_by_natural_key(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER) -> DataFrame:
+def merge_by_natural_key(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = (), counted: str | None = None) -> DataFrame:
     """AG6: one row per natural key: the first row's values, its nulls filled from later rows in order.
 
-    Rows without a whole key are all kept.  Every column is a partial minimum by order, so a hot key
-    costs one row per task in the shuffle.
+    Rows without a whole key are all kept.  Rows of different ``scope`` (job, document) never merge.
+    Every column is a partial minimum by order, so a hot key costs one row per task in the shuffle.
+    ``counted`` names a column for the number of rows merged.
     """
-    values = [c for c in df.columns if c not in order]
+    values = [c for c in df.columns if c not in (*order, *scope)]
     keyed = df.withColumn("_key", _key(columns))
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), _order(order))).alias(c) for c in values]
-    place = F.min(_order(order)).alias("_first")
-    merged = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(*first, place)
-    merged = merged.select(*values, *[F.col(f"_first.{o}").alias(o) for o in order])
-    return merged.unionByName(keyed.filter("_key IS NULL").select(*values, *order))
+    place, n = F.min(_order(order)).alias("_first"), [F.count(F.lit(1)).alias(counted)] if counted else []
+    merged = keyed.filter("_key IS NOT NULL").groupBy(*scope, "_key").agg(*first, place, *n)
+    merged = merged.select(*scope, *values, *[F.col(f"_first.{o}").alias(o) for o in order], *([counted] if counted else []))
+    return merged.unionByName(keyed.filter("_key IS NULL").select(*scope, *values, *order, *([F.lit(1).cast("long").alias(counted)] if counted else [])))
 
 
-def merge_notes(df: DataFrame, table: str, columns: Sequence[Declared], order: Sequence[str] = ORDER) -> DataFrame:
+def merge_notes(df: DataFrame, table: str, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
     """AG7: a note for each row that merge_by_natural_key merges into an earlier one, or keeps for want of a key."""
     fields = [c.name for c in columns]
     keyed = df.withColumn("_key", _key(columns))
-    before = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*scope, "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     later = keyed.filter("_key IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(before))
     filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (F.count(F.col(f)).over(before) == 0), F.lit(f)) for f in fields]))
     parts = [F.col(f"_key.k{n}").cast("string") for n in range(sum(c.pk for c in columns))]
     later = later.withColumn("_filled", filled).filter("_n > 0").withColumn("_text", F.concat_ws("|", *parts))
     text = F.when(F.size("_filled") > 0, F.concat(F.lit(f"merged {table} duplicate for key "), F.col("_text"), F.lit(": filled "), F.array_join("_filled", ", "))).otherwise(F.concat(F.lit(f"duplicate {table} row for key "), F.col("_text"), F.lit(" had no new fields")))
-    nokey = keyed.filter("_key IS NULL").select(*order, F.lit("row missing primary-key component(s) " + ", ".join(c.name for c in columns if c.pk)).alias("note"))
-    return later.select(*order, text.alias("note")).unionByName(nokey)
+    nokey = keyed.filter("_key IS NULL").select(*scope, *order, F.lit("row missing primary-key component(s) " + ", ".join(c.name for c in columns if c.pk)).alias("note"))
+    return later.select(*scope, *order, text.alias("note")).unionByName(nokey)
 
 
-def dedupe_by_fingerprint(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER) -> DataFrame:
-    """AG8: the first row of each fingerprint; for tables without a key."""
+def dedupe_by_fingerprint(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
+    """AG8: the first row of each fingerprint within a scope; for tables without a key."""
     strings = [F.col(c.name) for c in columns if c.type == "string"]
     mark = fingerprint(strings, [F.col(c.name) for c in columns])
     values = [c for c in df.columns if c not in order]
-    first = df.withColumn("_mark", mark).groupBy("_mark").agg(F.min_by(F.struct(*df.columns), _order(order)).alias("r"))
+    first = df.withColumn("_mark", mark).groupBy(*scope, "_mark").agg(F.min_by(F.struct(*df.columns), _order(order)).alias("r"))
     return first.select(*[F.col(f"r.{c}").alias(c) for c in [*values, *order]])
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
-    """WN2: the first row of each key in order of arrival."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    """WN2: the first row of each key in order of arrival, as a partial minimum."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), _order(order)).alias("r"))
+    return first.select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
-def last_parent(parents: DataFrame, column: str, kind: str = "string", order: Sequence[str] = ORDER) -> DataFrame:
-    """WN3: _norm, _canonical: of parents that share a key, the last one's spelling."""
+def last_parent(parents: DataFrame, column: str, kind: str = "string", order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
+    """WN3: _norm, _canonical: of parents that share a key, the last one's spelling, in each scope."""
     kept = parents.filter(F.col(column).isNotNull())
-    return kept.groupBy(key_part(F.col(column), kind).alias("_norm")).agg(F.max_by(F.col(column), _order(order)).alias("_canonical"))
+    return kept.groupBy(*scope, key_part(F.col(column), kind).alias("_norm")).agg(F.max_by(F.col(column), _order(order)).alias("_canonical"))
 
 
-def repair_fk(child: DataFrame, fk: str, parents: DataFrame, pk: str, label: str, kind: str = "string", order: Sequence[str] = ORDER) -> DataFrame:
+def repair_fk(child: DataFrame, fk: str, parents: DataFrame, pk: str, label: str, kind: str = "string", order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
     """JN1-JN4: child with fk rewritten to its parent's spelling, and fk_note.
 
     Texts match first without case and outer space (no note), then by their token set (noted); other
-    types match by value.  A miss is noted and the row kept; null keys stay as they are.  Parents
-    enter a join once per key, so the child's rows never multiply.
+    types match by value.  A miss is noted and the row kept; null keys stay as they are, and so do
+    all rows of a scope whose parent table is empty.  ``label`` and ``pk`` name the two columns in
+    notes; pk may be 'table.column'.  Parents enter a join once per key, so the child's rows never
+    multiply.
     """
-    exact = last_parent(parents, pk, kind, order)
-    out = child.withColumn("_norm", key_part(F.col(fk), kind)).join(exact, "_norm", "left")
+    column = pk.split(".")[-1]
+    exact = last_parent(parents, column, kind, order, scope)
+    out = child.withColumn("_norm", key_part(F.col(fk), kind)).join(exact, [*scope, "_norm"], "left")
     if kind == "string":
-        sets = parents.filter(F.col(pk).isNotNull()).groupBy(token_set(F.col(pk)).alias("_tokens")).agg(F.max_by(F.col(pk), _order(order)).alias("_by_tokens"))
-        out = out.withColumn("_tokens", F.when(F.col("_canonical").isNull(), token_set(F.col(fk)))).join(sets.filter(F.size("_tokens") > 0), "_tokens", "left")
-        repaired = F.format_string(f"FK {label}: repaired '%s' → '%s' via token-set match", F.col(fk), F.col("_by_tokens"))
+        sets = parents.filter(F.col(column).isNotNull()).groupBy(*scope, token_set(F.col(column)).alias("_tokens")).agg(F.max_by(F.col(column), _order(order)).alias("_by_tokens"))
+        out = out.withColumn("_tokens", F.when(F.col("_canonical").isNull(), token_set(F.col(fk)))).join(sets.filter(F.size("_tokens") > 0), [*scope, "_tokens"], "left")
+        repaired, said = F.format_string(f"FK {label}: repaired '%s' → '%s' via token-set match", F.col(fk), F.col("_by_tokens")), "'%s'"
     else:
         out = out.withColumn("_by_tokens", F.lit(None).cast(child.schema[fk].dataType))
-        repaired = F.lit(None).cast("string")
-    missed = F.format_string(f"FK {label}='%s' has no matching {pk}", F.col(fk).cast("string"))
-    known = F.col(fk).isNull() | F.col("_canonical").isNotNull()
+        repaired, said = F.lit(None).cast("string"), "%s"
+    some = parents.groupBy(*scope).agg((F.count(F.lit(1)) > 0).alias("_some"))
+    out = out.join(some, list(scope), "left") if scope else out.crossJoin(F.broadcast(some))  # one row
+    missed = F.format_string(f"FK {label}={said} has no matching {pk}", F.col(fk).cast("string"))
+    known = F.col(fk).isNull() | F.col("_canonical").isNotNull() | ~F.coalesce("_some", F.lit(False))
     note = F.when(known, F.lit(None)).when(F.col("_by_tokens").isNotNull(), repaired).otherwise(missed)
-    return out.withColumn("fk_note", note).withColumn(fk, F.coalesce("_canonical", "_by_tokens", F.col(fk))).drop("_norm", "_canonical", "_tokens", "_by_tokens")
+    return out.withColumn("fk_note", note).withColumn(fk, F.coalesce("_canonical", "_by_tokens", F.col(fk))).drop("_norm", "_canonical", "_tokens", "_by_tokens", "_some")
 
 
-def fk_misses(child: DataFrame, fk: str, parents: DataFrame, pk: str, kind: str = "string") -> DataFrame:
-    """JN3: the child's rows whose key isn't null and matches no parent exactly or by tokens."""
-    keys = parents.select(key_part(F.col(pk), kind).alias("_norm")).filter("_norm IS NOT NULL").distinct()
-    lost = child.filter(F.col(fk).isNotNull()).withColumn("_norm", key_part(F.col(fk), kind)).join(keys, "_norm", "left_anti").drop("_norm")
+def fk_misses(child: DataFrame, fk: str, parents: DataFrame, pk: str, kind: str = "string", scope: Sequence[str] = ()) -> DataFrame:
+    """JN3: the child's rows whose key isn't null and matches no parent exactly or by tokens; none in a scope without parents."""
+    keys = parents.select(*scope, key_part(F.col(pk), kind).alias("_norm")).filter("_norm IS NOT NULL").distinct()
+    some = parents.select(*scope).distinct() if scope else parents.select(F.lit(1).alias("_one")).limit(1)
+    asked = child.filter(F.col(fk).isNotNull())
+    asked = asked.join(some, list(scope), "left_semi") if scope else asked.withColumn("_one", F.lit(1)).join(some, "_one", "left_semi").drop("_one")
+    lost = asked.withColumn("_norm", key_part(F.col(fk), kind)).join(keys, [*scope, "_norm"], "left_anti").drop("_norm")
     if kind != "string":
         return lost
-    sets = parents.select(token_set(F.col(pk)).alias("_tokens")).filter("size(_tokens) > 0").distinct()
-    return lost.withColumn("_tokens", token_set(F.col(fk))).join(sets, "_tokens", "left_anti").drop("_tokens")
+    sets = parents.select(*scope, token_set(F.col(pk)).alias("_tokens")).filter("size(_tokens) > 0").distinct()
+    return lost.withColumn("_tokens", token_set(F.col(fk))).join(sets, [*scope, "_tokens"], "left_anti").drop("_tokens")
+
 
+def attach_pages(rows: DataFrame, chunk_pages: DataFrame, keys: Sequence[str] = ("table_name", "chunk_index")) -> DataFrame:
+    """JN8: source_page_numbers from the row's chunk: null if the chunk is unknown, [] if it has no marker.
 
-def attach_pages(rows: DataFrame, chunk_pages: DataFrame) -> DataFrame:
-    """JN8: source_page_numbers from the row's chunk: null if the chunk is unknown, [] if it has no marker."""
-    pages = chunk_pages.select("table_name", "chunk_index", F.col("pages").alias("source_page_numbers"))
-    return rows.join(pages, ["table_name", "chunk_index"], "left")
+    keys name a chunk: over many jobs or documents they are part of it.
+    """
+    return rows.join(chunk_pages.select(*keys, F.col("pages").alias("source_page_numbers")), list(keys), "left")
 
 
 def join_notes(notes: Column) -> Column:
@@ -169,11 +180,12 @@ def entity_id(columns: Sequence[Declared]) -> Column:
     return F.when(some, F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
-def fuzzy_entities(names: DataFrame, column: str, threshold: float = 0.7, rounds: int = 20) -> DataFrame:
+def fuzzy_entities(names: DataFrame, column: str, threshold: float = 0.7) -> DataFrame:
     """UD5, option: column, entity_id: names whose letter trigrams are alike, and names alike to those.
 
-    Distinct names meet by MinHash; the least name of a component stands for it, spread by minima over
-    the pairs until nothing changes.
+    Distinct names meet by MinHash; the least name of a component stands for it.  In each round a name
+    takes the least label among its neighbours' and then the label that this label itself has, so
+    rounds grow with the logarithm of a chain's length; they end when nothing changes.
     """
     text = F.concat(F.lit("  "), F.lower(strip(F.col(column))), F.lit(" "))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
@@ -182,40 +194,46 @@ def fuzzy_entities(names: DataFrame, column: str, threshold: float = 0.7, rounds
     near = MinHashLSH(inputCol="_f", outputCol="_h", numHashTables=8, seed=3).fit(hashed).approxSimilarityJoin(hashed, hashed, 1 - threshold)
     pairs = stage(near.select(F.col(f"datasetA.{column}").alias("a"), F.col(f"datasetB.{column}").alias("b")))
     label = stage(kinds.select(F.col(column).alias("a"), F.col(column).alias("label")))
-    for _ in range(rounds):
+    while True:
         least = pairs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        now = stage(label.join(least, "a", "left").select("a", F.least("label", "least").alias("label")))
-        if now.join(label, ["a", "label"], "left_anti").isEmpty():
-            return now.select(F.col("a").alias(column), F.col("label").alias("entity_id"))
-        label = now
-    raise RuntimeError(f"fuzzy_entities: names chain through more than {rounds} rounds")
+        # the labels are names too: those whose label fell are told by name, so each is hooked to the least that is known
+        step = stage(label.join(least, "a", "left").select("a", "label", F.least("label", "least").alias("now")))
+        if step.filter("now < label").isEmpty():
+            return label.select(F.col("a").alias(column), F.col("label").alias("entity_id"))
+        hooked = step.select(F.col("label").alias("a"), F.col("now").alias("h")).groupBy("a").agg(F.min("h").alias("h"))
+        hung = step.join(hooked, "a", "left").select("a", F.least("now", "h").alias("now"))
+        jump = hung.select(F.col("a").alias("now"), F.col("now").alias("then"))
+        label = stage(hung.join(jump, "now", "left").select("a", F.least("now", "then").alias("label")))
+
 
+def absorb_partial_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_no",)) -> DataFrame:
+    """WN6: rows without an entity take that of the nearest row before them in their chunk.
 
-def absorb_partial_rows(df: DataFrame, keys: Sequence[str] = ("chunk_index",), order: Sequence[str] = ("row_no",)) -> DataFrame:
-    """WN6: rows without an entity take that of the nearest row before them in their chunk."""
+    keys name a chunk: job, document and chunk_index.
+    """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("entity_id", F.last("entity_id", ignorenulls=True).over(w))
 
 
-def entity_merge(df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """AG9: one row per entity_id; of a column's values the longest, of equals the first; markers (__*)
+def entity_merge(df: DataFrame, order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
+    """AG9: one row per entity_id of a scope; of a column's values the longest, of equals the first; markers (__*)
     and place from the row with the most values.  Rows without an entity pass as they are."""
-    skip = {"entity_id", *order}
+    skip = {"entity_id", *order, *scope}
     values = [c for c in df.columns if c not in skip and not c.startswith("__")]
     marks = [c for c in df.columns if c.startswith("__")] + list(order)
     rank = [(-F.col(o)).alias(o) for o in order]
     filled = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
     best = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.length(F.col(c).cast("string")).alias("n"), *rank))).alias(c) for c in values]
     fullest = F.max_by(F.struct(*marks), F.struct(filled.alias("n"), *rank)).alias("_m")
-    merged = df.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(*best, fullest)
-    merged = merged.select("entity_id", *values, *[F.col(f"_m.{m}").alias(m) for m in marks])
-    return merged.unionByName(df.filter("entity_id IS NULL").select("entity_id", *values, *marks))
+    merged = df.filter("entity_id IS NOT NULL").groupBy(*scope, "entity_id").agg(*best, fullest)
+    merged = merged.select(*scope, "entity_id", *values, *[F.col(f"_m.{m}").alias(m) for m in marks])
+    return merged.unionByName(df.filter("entity_id IS NULL").select(*scope, "entity_id", *values, *marks))
 
 
-def entity_notes(df: DataFrame, table: str) -> DataFrame:
+def entity_notes(df: DataFrame, table: str, scope: Sequence[str] = ()) -> DataFrame:
     """AG10."""
-    n = df.agg(F.count("entity_id").alias("n"), F.count_distinct("entity_id").alias("m"))
-    return n.select(F.format_string(f"entity_resolution({table}): %d rows → %d entities", "n", "m").alias("note"))
+    n = df.groupBy(*scope).agg(F.count("entity_id").alias("n"), F.count_distinct("entity_id").alias("m"))
+    return n.select(*scope, F.format_string(f"entity_resolution({table}): %d rows → %d entities", "n", "m").alias("note"))
 
 
 def unaccounted_rows(rows: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
@@ -223,3 +241,43 @@ def unaccounted_rows(rows: DataFrame, assigned: DataFrame, key: str) -> DataFram
     return rows.join(assigned.select(key).distinct(), key, "left_anti")
 
 
+
+
+@dataclass(frozen=True)
+class ForeignKey:
+    """An enabled relationship: table.column refers to parent.parent_column."""
+
+    table: str
+    column: str
+    parent: str
+    parent_column: str
+
+
+def reconcile(tables: dict[str, DataFrame], declared: dict[str, Sequence[Declared]], links: Sequence[ForeignKey] = (), chunk_pages: DataFrame | None = None, scope: Sequence[str] = ("job_id",), order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """Extracted rows of many jobs to finished tables, in the fixed order: values, entities, foreign keys, natural keys, provenance.
+
+    tables: by name, with the scope's and order's columns (the first of order being chunk_index), the
+    declared ones, and others as they are.  A name that isn't declared is left out.  Tables with a key
+    have their rows of one entity merged, then of one key; those without are deduplicated by
+    fingerprint.  chunk_pages: scope, table_name, chunk_index, pages.  A row's notes are joined in
+    reconciliation_notes.
+    """
+    kept = {name: normalize_row(df, declared[name]) for name, df in tables.items() if name in declared}
+    for name, df in kept.items():
+        if any(c.pk for c in declared[name]):
+            known = df.withColumn("entity_id", entity_id(declared[name]))
+            kept[name] = entity_merge(absorb_partial_rows(known, [*scope, order[0]], order[1:]), order, scope).drop("entity_id")
+        kept[name] = kept[name].withColumn("_notes", F.array().cast("array<string>"))
+    for link in links:
+        kinds = {c.name: c.type for c in declared.get(link.parent, ())}
+        if link.table in kept and link.parent in kept and link.parent_column in kinds:
+            label = f"{link.table}.{link.column}"
+            mended = repair_fk(kept[link.table], link.column, kept[link.parent], f"{link.parent}.{link.parent_column}", label, kinds[link.parent_column], order, scope)
+            kept[link.table] = mended.withColumn("_notes", F.concat("_notes", F.array_compact(F.array("fk_note")))).drop("fk_note")
+    for name, df in kept.items():
+        key = any(c.pk for c in declared[name])
+        df = merge_by_natural_key(df, declared[name], order, scope) if key else dedupe_by_fingerprint(df, declared[name], order, scope)
+        if chunk_pages is not None:
+            df = attach_pages(df, chunk_pages.filter(F.col("table_name") == name), [*scope, order[0]])
+        kept[name] = finish_rows(df.withColumn("reconciliation_notes", join_notes(F.col("_notes"))).drop("_notes"))
+    return kept

@@ -44,8 +44,11 @@ def _joined(order: str, text: str, sep: str) -> Column:
 
 
 def page_text(regions: DataFrame) -> DataFrame:
-    """AG3: doc_id, page_number, page_text: the page's texts that aren't blank, by region, a line each."""
-    return drop_blank_regions(regions).groupBy("doc_id", "page_number").agg(_joined("region_no", "text", "\n").alias("page_text"))
+    """AG3: doc_id, page_number, page_text: the page's texts that aren't blank, by region, a line each.
+
+    Regions are dealt by document, which full_text needs as well, so both take one shuffle.
+    """
+    return drop_blank_regions(regions).repartition("doc_id").groupBy("doc_id", "page_number").agg(_joined("region_no", "text", "\n").alias("page_text"))
 
 
 def full_text(pages: DataFrame) -> DataFrame:
@@ -101,7 +104,9 @@ def profile_context(regions: DataFrame, picked: DataFrame) -> DataFrame:
     return pages.withColumn("block", head).groupBy("doc_id").agg(_joined("page_number", "block", "\n\n").alias("context"))
 
 
-_OUT = "array<struct<text:string,start_char:int,end_char:int>>"
+def _kept_lines(parts: Column) -> Column:
+    """The stripped parts that aren't blank."""
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -111,57 +116,66 @@ def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = C
     and before page markers; stripped paragraphs are packed until the next would exceed the size, and
     a new chunk begins with the last ``overlap`` characters of the one before.  Offsets count two
     characters per gap, so they are near, not exact.  A paragraph is never cut.
+
+    Every chunk is a span of the joined paragraphs, so the fold runs over their lengths and texts are
+    cut once, at the end.
     """
     text = F.col("full_text")
     paras = F.split(text, r"\n{2,}|(?=--- Page \d+)")
     paras = F.when(text.rlike(r"^--- Page \d+"), F.concat(F.array(F.lit("")), paras)).otherwise(paras)  # a cut before the first character leaves an empty part
-    zero = F.expr(f"named_struct('out', cast(array() as {_OUT}), 'cur', '', 'start', 0, 'pos', 0)")
+    one = F.length(text) <= size
+    split = texts.select("doc_id", "full_text", one.alias("one"), F.when(~one, F.transform(paras, strip)).alias("p"))
+    split = split.withColumn("joined", F.array_join(F.filter("p", lambda p: p != ""), "\n\n")).withColumn("lengths", F.transform("p", F.length)).drop("p")
+    zero = F.expr("named_struct('out', cast(array() as array<struct<s:int,e:int,start_char:int,end_char:int>>), 's', 0, 'e', 0, 'start', 0, 'pos', 0)")
 
-    def flushed(acc, end):
-        return F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("text"), acc["start"].alias("start_char"), end.alias("end_char"))))
+    def flushed(acc):
+        return F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"), acc["start"].alias("start_char"), acc["pos"].alias("end_char"))))
 
-    def step(acc, raw):
-        p = strip(raw)
-        over = (F.length(acc["cur"]) + F.length(p) + 2 > size) & (acc["cur"] != "")
-        kept = F.when(F.length(acc["cur"]) > overlap, F.right(acc["cur"], F.lit(overlap))).otherwise(acc["cur"])
-        cur = F.when(over, F.concat(kept, F.lit("\n\n"), p)).when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
-        start = F.when(over, F.greatest(F.lit(0), acc["pos"] - overlap)).when(acc["cur"] == "", acc["pos"]).otherwise(acc["start"])
-        moved = F.struct(F.when(over, flushed(acc, acc["pos"])).otherwise(acc["out"]).alias("out"), cur.alias("cur"), start.alias("start"), (acc["pos"] + F.length(p) + 2).alias("pos"))
-        skipped = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), acc["start"].alias("start"), (acc["pos"] + 2).alias("pos"))
-        return F.when(p == "", skipped).otherwise(moved)
+    def step(acc, n):
+        held = acc["e"] - acc["s"]
+        over = (held > 0) & (held + n + 2 > size)
+        s = F.when(over & (held > overlap), acc["e"] - overlap).otherwise(acc["s"])
+        start = F.when(over, F.greatest(F.lit(0), acc["pos"] - overlap)).when(held == 0, acc["pos"]).otherwise(acc["start"])
+        end = F.when(held == 0, n).otherwise(acc["e"] + 2 + n)
+        put = F.struct(F.when(over, flushed(acc)).otherwise(acc["out"]).alias("out"), s.alias("s"), end.alias("e"), start.alias("start"), (acc["pos"] + n + 2).alias("pos"))
+        return F.when(n > 0, put).otherwise(acc.withField("pos", acc["pos"] + 2))
 
-    folded = F.aggregate(paras, zero, step, lambda acc: F.when(strip(acc["cur"]) == "", acc["out"]).otherwise(flushed(acc, acc["pos"])))
-    whole = F.array(F.struct(text.alias("text"), F.lit(0).alias("start_char"), F.length(text).alias("end_char")))
-    chunks = texts.select("doc_id", F.posexplode(F.when(F.length(text) <= size, whole).otherwise(folded)).alias("chunk_index", "c"), (F.length(text) <= size).alias("one"))
-    shown = F.when(F.col("one"), F.col("c.text")).otherwise(strip(F.col("c.text")))
-    return chunks.select("doc_id", "chunk_index", shown.alias("text"), "c.start_char", "c.end_char", page_markers(F.col("c.text")).alias("pages"))
+    folded = F.aggregate("lengths", zero, step, lambda acc: F.when(acc["e"] > acc["s"], flushed(acc)).otherwise(acc["out"]))
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), F.lit(0).alias("start_char"), F.length(text).alias("end_char")))
+    spans = split.select("doc_id", F.when(F.col("one"), text).otherwise(F.col("joined")).alias("body"), "one", F.posexplode(F.when(F.col("one"), whole).otherwise(folded)).alias("chunk_index", "c"))
+    chunks = spans.select("doc_id", "chunk_index", "one", F.substring("body", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")).alias("raw"), "c.start_char", "c.end_char")
+    shown = F.when(F.col("one"), F.col("raw")).otherwise(strip(F.col("raw")))
+    return chunks.select("doc_id", "chunk_index", shown.alias("text"), "start_char", "end_char", page_markers(F.col("raw")).alias("pages"))
 
 
 def chunk_lines(texts: DataFrame, size: int = LINE_CHARS, overlap: int = LINE_OVERLAP) -> DataFrame:
     """CH2, WN7: doc_id, chunk_index, chunk_text, page_number of doc_id, full_text.
 
     Stripped lines are packed greedily with an overlap; marker lines only set the running page, 1 at
-    first.  A chunk has the page that runs when it is closed.
+    first.  A chunk has the page that runs when it is closed.  As in chunk_paragraphs the fold runs
+    over lengths, here with the markers' pages.
     """
-    zero = F.expr("named_struct('out', cast(array() as array<struct<text:string,page:int>>), 'cur', '', 'page', 1)")
+    is_marker = lambda p: p.startswith("--- Page ") & p.endswith("---")
+    page_of = lambda p: F.regexp_extract(p, r"^--- Page ([0-9]+)-* ?", 1).try_cast("int")
+    lines = texts.select("doc_id", _kept_lines(F.split("full_text", "\n")).alias("p"))
+    lines = lines.withColumn("joined", F.array_join(F.filter("p", lambda p: ~is_marker(p)), "\n"))
+    lines = lines.withColumn("marks", F.transform("p", lambda p: F.struct(F.when(is_marker(p), 0).otherwise(F.length(p)).alias("n"), page_of(p).alias("page")))).drop("p")
+    zero = F.expr("named_struct('out', cast(array() as array<struct<s:int,e:int,page:int>>), 's', 0, 'e', 0, 'page', 1)")
 
     def flushed(acc):
-        return F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("text"), acc["page"].alias("page"))))
-
-    def step(acc, raw):
-        line = strip(raw)
-        marker = line.startswith("--- Page ") & line.endswith("---")
-        page = F.coalesce(F.regexp_extract(line, r"^--- Page ([0-9]+)-* ?", 1).try_cast("int"), acc["page"])
-        over = (F.length(acc["cur"]) + F.length(line) + 1 > size) & (acc["cur"] != "")
-        kept = F.when(F.length(acc["cur"]) > overlap, F.right(acc["cur"], F.lit(overlap))).otherwise(acc["cur"])
-        cur = F.when(over, F.concat(kept, F.lit("\n"), line)).when(acc["cur"] == "", line).otherwise(F.concat(acc["cur"], F.lit("\n"), line))
-        moved = F.struct(F.when(over, flushed(acc)).otherwise(acc["out"]).alias("out"), cur.alias("cur"), acc["page"].alias("page"))
-        same = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), acc["page"].alias("page"))
-        turned = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), page.alias("page"))
-        return F.when(line == "", same).when(marker, turned).otherwise(moved)
-
-    folded = F.aggregate(F.split("full_text", "\n"), zero, step, lambda acc: F.when(strip(acc["cur"]) == "", acc["out"]).otherwise(flushed(acc)))
-    return texts.select("doc_id", F.posexplode(folded).alias("chunk_index", "c")).select("doc_id", "chunk_index", strip(F.col("c.text")).alias("chunk_text"), F.col("c.page").alias("page_number"))
+        return F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"), acc["page"].alias("page"))))
+
+    def step(acc, mark):
+        held, n = acc["e"] - acc["s"], mark["n"]
+        over = (held > 0) & (held + n + 1 > size)
+        s = F.when(over & (held > overlap), acc["e"] - overlap).otherwise(acc["s"])
+        end = F.when(held == 0, n).otherwise(acc["e"] + 1 + n)
+        put = F.struct(F.when(over, flushed(acc)).otherwise(acc["out"]).alias("out"), s.alias("s"), end.alias("e"), acc["page"].alias("page"))
+        return F.when(n > 0, put).otherwise(acc.withField("page", F.coalesce(mark["page"], acc["page"])))
+
+    folded = F.aggregate("marks", zero, step, lambda acc: F.when(acc["e"] > acc["s"], flushed(acc)).otherwise(acc["out"]))
+    spans = lines.select("doc_id", "joined", F.posexplode(folded).alias("chunk_index", "c"))
+    return spans.select("doc_id", "chunk_index", strip(F.substring("joined", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("chunk_text"), F.col("c.page").alias("page_number"))
 
 
 def chunks_from_retrieval(ranked: DataFrame) -> DataFrame:

@@ -306,23 +306,15 @@ SELECT doc_id, table_name, arg_min(value, (chunk_index, row_no)) AS value, arg_m
 FROM m GROUP BY doc_id, table_name, lower(value)""")
 def e2e_contacts(spark, d):
     """Contacts and hosts by document: extracted from overlapping chunks, merged by key, with their pages."""
-    c = chunks(spark, d)
-    found = extract.union_chunk_results(
-        *[extract.extract_regex(c, t, {"value": p}, "doc_id").withColumn("value", F.col("row")["value"]).drop("row") for t, p in (("contact", EMAIL), ("host", IPV4))]
-    )
-    found = found.join(c.select("doc_id", "chunk_index", F.col("pages").alias("source_page_numbers")), ["doc_id", "chunk_index"], "left")
-    columns = [reconcile.Declared("doc_id", "integer", True), reconcile.Declared("table_name", "string", True), reconcile.Declared("value", "string", True)]
-    merged = reconcile.merge_by_natural_key(found, columns)
-    key = F.lower("value").alias("k")
-    n = found.groupBy("doc_id", "table_name", key).agg(F.count(F.lit(1)).alias("n_mentions"))
-    out = merged.withColumn("k", F.lower("value")).join(n, ["doc_id", "table_name", "k"])
-    return out.select("doc_id", "table_name", "value", F.array_join(F.col("source_page_numbers").cast("array<string>"), ",").alias("source_page_numbers"), "n_mentions")
+    found = extract.extract_tables(chunks(spark, d), {"contact": {"value": EMAIL}, "host": {"value": IPV4}}, "doc_id", "pages")
+    found = found.withColumn("value", F.col("row")["value"]).drop("row")
+    merged = reconcile.merge_by_natural_key(found, [reconcile.Declared("value", "string", True)], scope=("doc_id", "table_name"), counted="n_mentions")
+    return merged.select("doc_id", "table_name", "value", F.array_join(F.col("pages").cast("array<string>"), ",").alias("source_page_numbers"), "n_mentions")
 
 
 @query("AG12_table_counts", rf"WITH {CONTACTS} SELECT t AS table_name, (SELECT count(*) FROM mentions m WHERE m.table_name = t) AS n_rows FROM (VALUES ('contact'), ('host'), ('secret')) x(t)")
 def ag12(spark, d):
-    c = chunks(spark, d)
-    found = extract.extract_regex(c, "contact", {"v": EMAIL}, "doc_id").unionByName(extract.extract_regex(c, "host", {"v": IPV4}, "doc_id"))
+    found = extract.extract_tables(chunks(spark, d), {"contact": {"v": EMAIL}, "host": {"v": IPV4}}, "doc_id")
     return table_counts(found, spark.createDataFrame([("contact",), ("host",), ("secret",)], "table_name string"))
 
 
@@ -342,11 +334,10 @@ def jn6(spark, d):
 FROM mentions m LEFT JOIN (SELECT doc_id AS dd, chunk_index AS ci, text FROM chunks WHERE chunk_index % 5 <> 1) c ON dd = doc_id AND ci = m.chunk_index""")
 def jn8(spark, d):
     c = chunks(spark, d)
-    rows = extract.extract_regex(c, "contact", {"v": EMAIL}, "doc_id").unionByName(extract.extract_regex(c, "host", {"v": IPV4}, "doc_id"))
-    keyed = F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_index")
-    known = c.filter("chunk_index % 5 <> 1").select(F.explode(F.array(F.lit("contact"), F.lit("host"))).alias("table_name"), keyed.alias("chunk_index"), "pages")
-    out = reconcile.attach_pages(rows.withColumn("ci", F.col("chunk_index")).withColumn("chunk_index", keyed), known)
-    return out.select("doc_id", "table_name", F.col("ci").alias("chunk_index"), "row_no", F.array_join(F.col("source_page_numbers").cast("array<string>"), ",").alias("source_page_numbers"))
+    rows = extract.extract_tables(c, {"contact": {"v": EMAIL}, "host": {"v": IPV4}}, "doc_id")
+    known = c.filter("chunk_index % 5 <> 1").select("doc_id", F.explode(F.array(F.lit("contact"), F.lit("host"))).alias("table_name"), "chunk_index", "pages")
+    out = reconcile.attach_pages(rows, known, ["doc_id", "table_name", "chunk_index"])
+    return out.select("doc_id", "table_name", "chunk_index", "row_no", F.array_join(F.col("source_page_numbers").cast("array<string>"), ",").alias("source_page_numbers"))
 
 
 @query("ST6_unique_pages", f"WITH {TEXTS} SELECT doc_id, {PAGE_LIST.format('full_text || full_text')} AS pages FROM texts")

@@ -108,7 +108,17 @@ def sm1(spark, d):
 
 @query("SM2_until_terminal", f"WITH {EVENTS}, t AS (SELECT job_id, min((ts, event_id)) AS e FROM ev WHERE status IN ('COMPLETED', 'FAILED') GROUP BY 1) SELECT ev.job_id, event_id, status FROM ev LEFT JOIN t ON t.job_id = ev.job_id WHERE e IS NULL OR (ts, event_id) <= e")
 def sm2(spark, d):
-    return J.until_terminal(job_events(spark, d).withColumn("ts", F.struct("ts", "event_id"))).select("job_id", "event_id", "status")
+    return J.until_terminal(job_events(spark, d), order=("ts", "event_id")).select("job_id", "event_id", "status")
+
+
+@query("SM2_feed", f"""WITH {EVENTS}, t AS (SELECT job_id, min((ts, event_id)) AS e FROM ev WHERE status IN ('COMPLETED', 'FAILED') GROUP BY 1),
+p AS (SELECT ev.* FROM ev LEFT JOIN t ON t.job_id = ev.job_id WHERE e IS NULL OR (ts, event_id) <= e)
+SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status, 1 AS current FROM p WHERE ts <= TIMESTAMP '2024-01-01 12:00:00' GROUP BY job_id
+UNION ALL SELECT job_id, event_id, status, 0 FROM p WHERE ts > TIMESTAMP '2024-01-01 12:00:00'""")
+def sm2_feed(spark, d):
+    """What readers get who come at noon of the first day."""
+    feed = J.status_feed(job_events(spark, d), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), order=("ts", "event_id"))
+    return feed.select("job_id", "event_id", "status", F.col("current").cast("int").alias("current"))
 
 
 @query("SM3_failed_events", "SELECT CAST(user_id AS VARCHAR) AS job_id, 'FAILED' AS status, 0.0::DOUBLE AS progress, 'Task failed: ' || event_type || ': ' || props AS error_message FROM events WHERE event_type = 'error'")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe.functions import scalars as S
 from docframe.operators import constraints, extract, graph, reconcile, vectors
 from docframe.operators.jobs import dense_index
+from docframe.operators.model import model_to_schema
 from docframe.operators.reconcile import Declared
+from docframe.operators.text import chunks_from_retrieval
+from docframe.plans.documents import EMAIL
 from docframe.plans.registry import query, table
 from docframe.session import shared_path, stage
 from docframe.sources import sinks
@@ -90,15 +93,15 @@ FK = rf"""WITH {NAMED}, j AS (SELECT s_suppkey, nation, (SELECT max(n_name) FROM
 @query("JN1_fk_exact", f"{FK} SELECT s_suppkey, exact AS nation FROM j WHERE exact IS NOT NULL")
 def jn1(spark, d):
     child, parents = named(spark, d)
-    return reconcile.repair_fk(child, "nation", parents, "n_name", "supplier.nation").filter("fk_note IS NULL AND nation IS NOT NULL").select("s_suppkey", "nation")
+    return reconcile.repair_fk(child, "nation", parents, "nation.n_name", "supplier.nation").filter("fk_note IS NULL AND nation IS NOT NULL").select("s_suppkey", "nation")
 
 
 @query("JN2_fk_tokenset", f"""{FK} SELECT s_suppkey, coalesce(exact, tokens, nation) AS nation, CASE WHEN nation IS NULL OR exact IS NOT NULL THEN NULL
   WHEN tokens IS NOT NULL THEN 'FK supplier.nation: repaired ''' || nation || ''' → ''' || tokens || ''' via token-set match'
-  ELSE 'FK supplier.nation=''' || nation || ''' has no matching n_name' END AS fk_note FROM j""")
+  ELSE 'FK supplier.nation=''' || nation || ''' has no matching nation.n_name' END AS fk_note FROM j""")
 def jn2(spark, d):
     child, parents = named(spark, d)
-    return reconcile.repair_fk(child, "nation", parents, "n_name", "supplier.nation").select("s_suppkey", "nation", "fk_note")
+    return reconcile.repair_fk(child, "nation", parents, "nation.n_name", "supplier.nation").select("s_suppkey", "nation", "fk_note")
 
 
 @query("JN3_fk_misses", f"{FK} SELECT s_suppkey, nation FROM j WHERE nation IS NOT NULL AND exact IS NULL AND tokens IS NULL")
@@ -107,11 +110,11 @@ def jn3(spark, d):
     return reconcile.fk_misses(child, "nation", parents, "n_name").select("s_suppkey", "nation")
 
 
-@query("JN4_fk_typed", "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 5 = 0 THEN 'FK customer.nation=''' || c_nationkey || ''' has no matching n_nationkey' END AS fk_note FROM customer")
+@query("JN4_fk_typed", "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 5 = 0 THEN 'FK customer.nation=' || c_nationkey || ' has no matching nation.n_nationkey' END AS fk_note FROM customer")
 def jn4(spark, d):
     parents = table(spark, d, "nation").filter("n_nationkey % 5 <> 0").select("n_nationkey", F.lit(0).alias("chunk_index"), F.col("n_nationkey").alias("row_no"))
     child = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    return reconcile.repair_fk(child, "c_nationkey", parents, "n_nationkey", "customer.nation", "integer").select("c_custkey", "c_nationkey", "fk_note")
+    return reconcile.repair_fk(child, "c_nationkey", parents, "nation.n_nationkey", "customer.nation", "integer").select("c_custkey", "c_nationkey", "fk_note")
 
 
 PARTS = r"""pa AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || '.' END AS p_name,
@@ -127,7 +130,30 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
         key, F.when(key % 7 == 0, None).when(key % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("."))).alias("p_name"), F.when(key % 3 > 0, F.col("p_type")).alias("p_type"),
         F.when(key % 4 > 0, F.col("p_size")).alias("p_size"), F.floor(key / 50).cast("int").alias("chunk_index"), key.alias("row_no"),
     )
-    return reconcile.absorb_partial_rows(p.withColumn("entity_id", reconcile.entity_id(PART)))
+    return reconcile.absorb_partial_rows(p.withColumn("entity_id", reconcile.entity_id(PART)), ["chunk_index"])
+
+
+# the suppliers' nations again, in a job for each region; every seventh supplier is in the next job, and the last job has no nations
+JOBS = rf"""WITH {NAMED}, nj AS (SELECT ns.n_name, n_regionkey AS job_id FROM ns JOIN nation USING (n_nationkey)),
+cj AS (SELECT cs.s_suppkey, trim(cs.nation) AS nation, n_regionkey + CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END AS job_id FROM cs JOIN supplier USING (s_suppkey) JOIN nation ON s_nationkey = n_nationkey),
+j AS (SELECT cj.*, (SELECT max(n_name) FROM nj WHERE nj.job_id = cj.job_id AND lower(n_name) = lower(nation)) AS exact, (SELECT max(n_name) FROM nj WHERE nj.job_id = cj.job_id AND {TOKENS.format('n_name')} = {TOKENS.format('nation')}) AS tokens,
+  EXISTS (SELECT 1 FROM nj WHERE nj.job_id = cj.job_id) AS has FROM cj)"""
+
+
+@query("REC_many_jobs", f"""{JOBS} SELECT job_id, s_suppkey, coalesce(exact, tokens, nation) AS nation, CASE WHEN nation IS NULL OR exact IS NOT NULL OR NOT has THEN NULL
+  WHEN tokens IS NOT NULL THEN 'FK supplier.nation: repaired ' || chr(39) || nation || chr(39) || ' → ' || chr(39) || tokens || chr(39) || ' via token-set match' ELSE 'FK supplier.nation=' || chr(39) || nation || chr(39) || ' has no matching nation.n_name' END AS reconciliation_notes, job_id || ',' || s_suppkey % 3 AS pages FROM j""")
+def rec_many_jobs(spark, d):
+    """Reconciliation as a whole, over all jobs at once."""
+    child, nation = named(spark, d)
+    region = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("job_id"))
+    home = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(region, "n_nationkey")
+    rows = child.join(home, "s_suppkey").withColumn("job_id", F.col("job_id") + (F.col("s_suppkey") % 7 == 0).cast("int"))
+    rows = rows.select("job_id", "s_suppkey", "nation", (F.col("s_suppkey") % 3).cast("int").alias("chunk_index"), F.col("s_suppkey").alias("row_no"))
+    nations = nation.join(region, "n_nationkey").select("job_id", "n_name", "chunk_index", "row_no")
+    pages = rows.select("job_id", F.lit("supplier").alias("table_name"), "chunk_index").distinct().withColumn("pages", F.array(F.col("job_id").cast("int"), F.col("chunk_index")))
+    declared = {"supplier": [Declared("s_suppkey", "integer", True), Declared("nation")], "nation": [Declared("n_name", "string", True)]}
+    done = reconcile.reconcile({"supplier": rows, "nation": nations, "orphans": nations}, declared, [reconcile.ForeignKey("supplier", "nation", "nation", "n_name")], pages)
+    return done["supplier"].select("job_id", "s_suppkey", "nation", "reconciliation_notes", F.array_join(F.col("source_page_numbers").cast("array<string>"), ",").alias("pages"))
 
 
 @query("WN6_absorb", f"WITH {PARTS} SELECT p_partkey, entity_id FROM absorbed")
@@ -258,6 +284,33 @@ def sc7(spark, d):
     return reconcile.normalize_row(p, [Declared("size", "integer"), Declared("raw")])
 
 
+@query("SC7_typed", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_extendedprice) AS BIGINT) AS f2i, CAST(l_linenumber <> 1 AS INTEGER) AS n2b, CAST(l_quantity <> 1 AS INTEGER) AS f2b, CAST(l_linenumber = 1 AS BIGINT) AS b2i,
+  CAST(l_linenumber = 1 AS DOUBLE) AS b2f, CASE WHEN l_linenumber = 1 THEN 'True' ELSE 'False' END AS b2s, CAST(l_linenumber AS VARCHAR) AS n2s, CAST(NULL AS VARCHAR) AS n2d, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS d2d FROM lineitem""")
+def sc7_typed(spark, d):
+    """Values that have a type already."""
+    one, n = F.col("l_linenumber") == 1, F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", n, "l_partkey", F.col("l_extendedprice").alias("f2i"), (n - 1).alias("n2b"), (F.col("l_quantity") - 1).alias("f2b"), one.alias("b2i"), one.alias("b2f"), one.alias("b2s"), n.alias("n2s"), n.alias("n2d"), F.col("l_shipdate").alias("d2d"),
+    )
+    kinds = {"f2i": "integer", "n2b": "boolean", "f2b": "boolean", "b2i": "integer", "b2f": "float", "b2s": "string", "n2s": "string", "n2d": "date", "d2d": "date"}
+    out = reconcile.normalize_row(rows, [Declared(c, k) for c, k in kinds.items()])
+    return out.withColumns({c: F.col(c).cast("int") for c in ("n2b", "f2b")} | {c: F.col(c).cast("string") for c in ("n2d", "d2d")})
+
+
+# what a date is written as, by o_orderkey: a format of Spark's and one of DuckDB's
+DATE_FORMS = (
+    ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"), ("MMM d yyyy", "%b %-d %Y"), ("MM-dd-yyyy", "%m-%d-%Y"), ("M.d.yyyy", "%-m.%-d.%Y"), ("M/d/yy", "%-m/%-d/%y"), ("yyyy.MM.dd", "%Y.%m.%d"), ("'the 'd' of 'MMMM, yyyy", "the %-d of %B, %Y"),
+)
+
+
+@query("SC6_date_forms", f"""WITH t AS (SELECT o_orderkey, o_orderdate, CASE o_orderkey % {len(DATE_FORMS)} {" ".join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, (_, f) in enumerate(DATE_FORMS))} END AS said FROM orders)
+SELECT o_orderkey, said, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS v FROM t""")
+def sc6_forms(spark, d):
+    """Dates as people write them; the years of two digits are near ours."""
+    said = F.coalesce(*[F.when(F.col("o_orderkey") % len(DATE_FORMS) == k, F.date_format("o_orderdate", f)) for k, (f, _) in enumerate(DATE_FORMS)])
+    return table(spark, d, "orders").select("o_orderkey", said.alias("said"), S.to_date(said).cast("string").alias("v"))
+
+
 @query("SC8_natural_key", "SELECT lower(trim(p_name)) || '#' || p_size AS k, count(*) AS n FROM part GROUP BY 1")
 def sc8(spark, d):
     p = table(spark, d, "part").withColumn("k", S.natural_key([(F.concat(F.lit(" "), F.upper("p_name")), "string"), (F.col("p_size"), "integer")]))
@@ -303,9 +356,13 @@ def con1(spark, d):
     return constraints.unique_violations(table(spark, d, "part"), "p_name", ["p_partkey"]).select("p_partkey")
 
 
-@query("CON1_unique_columns")
+@query("CON1_unique_columns", """WITH RECURSIVE o AS (SELECT p_partkey, p_name, p_size, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS sizes, false AS ok
+  UNION ALL SELECT o.i, CASE WHEN list_contains(names, p_name) OR list_contains(sizes, p_size) THEN names ELSE list_append(names, p_name) END,
+    CASE WHEN list_contains(names, p_name) OR list_contains(sizes, p_size) THEN sizes ELSE list_append(sizes, p_size) END, NOT (list_contains(names, p_name) OR list_contains(sizes, p_size)) FROM f JOIN o ON o.i = f.i + 1)
+SELECT p_partkey, p_name, p_size FROM f JOIN o USING (i) WHERE ok""")
 def con1_columns(spark, d):
-    """Parts that load when name and size must each be unique: greedy by key, so without SQL twin (tests hold it against a loop)."""
+    """Parts that load when name and size must each be unique, in order of their keys."""
     return constraints.unique_survivors(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), ["p_name", "p_size"], ["p_partkey"], stage)
 
 
@@ -369,19 +426,29 @@ def ag18(spark, d):
     return graph.graph_counts(graph.nodes(t, "job_1"), graph.graph_edges(t, "job_1"))
 
 
-@query("SC15_row_keys")
+def uuid5(name: str) -> str:
+    """A version 5 UUID in SQL, by its definition."""
+    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || (['8', '9', 'a', 'b'])[CAST('0x' || substr({h}, 17, 1) AS INTEGER) % 4 + 1] || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query("SC15_row_keys", f"SELECT s_suppkey, 'row:' || {uuid5("'supplier␟' || s_suppkey || '␟s_acctbal=' || s_acctbal || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS row_key FROM supplier")
 def sc15(spark, d):
-    """Keys of rows without a natural key: UUIDs of their content and place (tests hold them against Python's)."""
+    """Keys of rows without a natural key: UUIDs of their content and place."""
     t = graph.NodeTable(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), {}, ("s_suppkey",))
     return graph.with_keys("supplier", t).select("s_suppkey", F.col("__row_key").alias("row_key"))
 
 
-@query("SNK3_points", r"""SELECT 'job_1' AS collection, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS row_index, 'table: customer' || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment AS text FROM customer""")
+@query("SNK3_points", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS row_index FROM customer)
+SELECT 'job_1' AS collection, row_index, {uuid5("'customer␟' || row_index || '␟c_mktsegment=' || c_mktsegment || '␟c_name=' || c_name")} AS point_id,
+  'table: customer' || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment AS text, '{{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS payload FROM p""")
 def snk3(spark, d):
-    return vectors.points(table(spark, d, "customer"), "customer", "job_1", ["c_name", "c_mktsegment"], ["c_nationkey", "c_custkey"]).select("collection", "row_index", "text")
+    return vectors.points(table(spark, d, "customer"), "customer", "job_1", ["c_name", "c_mktsegment"], ["c_nationkey", "c_custkey"])
 
 
-@query("SC20_point_ids")
+@query("SC20_point_ids", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS row_index FROM supplier)
+SELECT 'job_1' AS collection, row_index, {uuid5("'supplier␟' || row_index || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS point_id,
+  'table: supplier' || chr(10) || 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || s_name AS text, '{{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}}' AS payload FROM p""")
 def sc20(spark, d):
     return vectors.points(table(spark, d, "supplier"), "supplier", "job_1", ["s_suppkey", "s_name"], ["s_nationkey", "s_suppkey"])
 
@@ -403,20 +470,43 @@ def tk2(spark, d):
     return vectors.retrieve_approx(e.withColumnRenamed("vec_id", "chunk_id"), e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
-@query("TK3_context", """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, md5(text)) AS n FROM conversations)
-SELECT conv_id AS query_id, md5(string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS context FROM r WHERE n <= 3 GROUP BY 1""")
-def tk3(spark, d):
-    from pyspark.sql import Window
+@query("CH3_retrieved_chunks", """WITH r AS (SELECT conv_id, turn, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, md5(text)) AS INTEGER) AS n FROM conversations)
+SELECT conv_id AS query_id, n - 1 AS chunk_index, text, CASE WHEN turn % 4 = 0 THEN '' ELSE CAST(turn AS VARCHAR) END AS pages FROM r WHERE n <= 3""")
+def ch3(spark, d):
+    top = retrieved_turns(spark, d).withColumn("page_number", F.when(F.col("page_number") % 4 > 0, F.col("page_number")))
+    return chunks_from_retrieval(top).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
 
+@query("E2E_targeted", rf"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INTEGER) AS rank FROM s),
+m AS (SELECT query_id, rank - 1 AS chunk_index, unnest(regexp_extract_all(text, '{EMAIL}')) AS value, generate_subscripts(regexp_extract_all(text, '{EMAIL}'), 1) AS n FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10)
+SELECT query_id, arg_min(value, (chunk_index, n)) AS email, count(*) AS n_mentions FROM m GROUP BY query_id, lower(value)""")
+def e2e_targeted(spark, d):
+    """Targeted mode: the chunks nearest to each query (here whole documents, a vector each), contacts from these alone."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.lit(None).cast("int").alias("page_number"))
+    found = chunks_from_retrieval(tk1(spark, d).join(texts, "chunk_id"))
+    rows = extract.extract_regex(found, "contact", {"email": EMAIL}, "query_id").withColumn("email", F.col("row")["email"]).drop("row", "table_name")
+    merged = reconcile.merge_by_natural_key(rows, [Declared("email", "string", True)], scope=("query_id",), counted="n_mentions")
+    return merged.select("query_id", "email", "n_mentions")
+
+
+def retrieved_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The last three turns of a conversation, as retrieved chunks."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.md5(F.col("text").cast("binary")))
     top = table(spark, d, "conversations").withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
-    top = top.select(F.col("conv_id").alias("query_id"), "rank", F.col("turn").alias("page_number"), F.col("text").alias("chunk_text"))
-    return vectors.retrieval_context(top).withColumn("context", F.md5(F.col("context").cast("binary")))
+    return top.select(F.col("conv_id").alias("query_id"), "rank", F.col("turn").alias("page_number"), F.col("text").alias("chunk_text"))
+
+
+@query("TK3_context", """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, md5(text)) AS n FROM conversations)
+SELECT conv_id AS query_id, md5(string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS context FROM r WHERE n <= 3 GROUP BY 1""")
+def tk3(spark, d):
+    return vectors.retrieval_context(retrieved_turns(spark, d)).withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
 @query("UD4_hash_embed")
 def ud4(spark, d):
-    return vectors.hash_embed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dimension"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+    """Whole vectors (tests hold them against plain loops)."""
+    return vectors.hash_embed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
 @query("ST5_missing_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -430,7 +520,7 @@ def snk2(spark, d):
     t, path = node_tables(spark, d), shared_path(spark)
     sink = sinks.GraphSink(spark, path)
     for _ in range(2):
-        sink.provision_graph(graph.nodes(t, "job_1"), graph.graph_edges(t, "job_1"))
+        sink.provision(t, "job_1")
     return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__table").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -439,7 +529,7 @@ def snk6(spark, d):
     t, path = node_tables(spark, d), shared_path(spark)
     sink = sinks.GraphSink(spark, path)
     for scope in ("job_1", "job_2"):
-        sink.provision_graph(graph.nodes(t, scope), graph.graph_edges(t, scope))
+        sink.provision(t, scope)
     sink.delete_output("job_2")
     return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__job_scope").alias("job_scope")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -468,3 +558,12 @@ def snk1(spark, d):
 def ud5_fuzzy(spark, d):
     """Part names by likeness (tests hold small names against their groups)."""
     return reconcile.fuzzy_entities(table(spark, d, "part"), "p_name")
+
+
+@query("MD7_schema", f"""WITH m AS (SELECT p_partkey, {MESSY} AS size, p_name, p_brand FROM part) SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 10 IN (5, 6, 9) THEN size END AS DOUBLE) AS size, p_brand AS brand FROM m""")
+def md7(spark, d):
+    """Rows as JSON, read back by the schema of their locked table; the brand links to another table and isn't declared."""
+    part = table(spark, d, "part").withColumn("size", messy())
+    number = F.when((F.col("p_partkey") % 10).isin(5, 6, 9), F.col("size")).try_cast("double")
+    raw = part.select(F.to_json(F.struct("p_partkey", number.alias("size"), F.col("p_brand").alias("brand"))).alias("raw"))
+    return raw.select(F.from_json("raw", model_to_schema([("p_partkey", "integer"), ("size", "float")], ["brand"])).alias("r")).select("r.*")

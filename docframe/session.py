@@ -26,6 +26,8 @@ def session(name: str = "docframe", **conf: str) -> SparkSession:
 
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,18 +43,29 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def shared_path(spark: SparkSession) -> str:
+def shared_path(spark: SparkSession, name: str = "stage") -> str:
     """A new path in the folder of spark.checkpoint.dir (a temporary one on a local master where that is unset)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="docframe-")
-    return f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
+        shared = _own_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docframe-"))
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what this application has staged in the shared folder; call it when no result that reads it is needed any more."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

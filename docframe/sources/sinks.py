@@ -2,44 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.functions.scalars import coerce
 from docframe.operators.constraints import fk_survivors, unique_survivors
+from docframe.operators.graph import NodeTable, graph_edges, merged_nodes
 from docframe.operators.jobs import latest_per_job
+from docframe.operators.vectors import points
+from docframe.session import stage
 
 
 class Sink(Protocol):
-    """UD6: where finished tables go."""
+    """UD6: where finished tables go.  Provisioning a scope again replaces what it held."""
 
-    def provision(self, tables: dict[str, DataFrame], scope: str) -> dict[str, int]: ...
+    def provision(self, tables: dict[str, NodeTable], scope: str) -> dict[str, int]: ...
 
     def delete_output(self, scope: str) -> None: ...
 
 
+def sink_for(target: str, **sinks: Callable[[], Sink]) -> Sink:
+    """UD6: the sink that a job names (sql, graph, vector, or any other that is given)."""
+    try:
+        return sinks[target.lower()]()
+    except KeyError:
+        raise ValueError(f"no sink for {target!r}; there are {', '.join(sorted(sinks))}") from None
+
+
+def _frame(t: NodeTable | DataFrame) -> DataFrame:
+    return t.df if isinstance(t, NodeTable) else t
+
+
 class SqlSink:
     """SNK1, SNK6: a database per scope, parents before children, rows that break a constraint left out.
 
-    keys: unique columns by table; links: (table, column, parent, parent column); order: load order of
-    the columns that place a row.  Tables must come parents first.
+    keys: unique columns by table; links: (table, column, parent, parent column); kinds: logical types
+    by table and column, rows whose values don't fit are left out; order: load order of the columns
+    that place a row.  Survivors are staged, so a parent's are found once.
     """
 
-    def __init__(self, spark: SparkSession, keys: dict[str, Sequence[str]], links: Sequence[tuple[str, str, str, str]] = (), order: Sequence[str] = ("chunk_index", "row_no"), materialise=None):
-        self.spark, self.keys, self.links, self.order, self.materialise = spark, keys, links, order, materialise
+    def __init__(self, spark: SparkSession, keys: dict[str, Sequence[str]], links: Sequence[tuple[str, str, str, str]] = (), order: Sequence[str] = ("chunk_index", "row_no"), materialise=None, kinds: dict[str, dict[str, str]] | None = None):
+        self.spark, self.keys, self.links, self.order, self.materialise, self.kinds = spark, keys, links, order, materialise or stage, kinds or {}
 
-    def survivors(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def load_order(self, names: Iterable[str]) -> list[str]:
+        """Parents before children, else as given; tables of a cycle come last, as given."""
+        left, done = list(names), []
+        while left:
+            free = [n for n in left if not any(t == n and p != n and p in left for t, _, p, _ in self.links)] or left
+            done += free
+            left = [n for n in left if n not in free]
+        return done
+
+    def survivors(self, tables: dict[str, NodeTable | DataFrame]) -> dict[str, DataFrame]:
         done: dict[str, DataFrame] = {}
-        for name, df in tables.items():
+        for name in self.load_order(tables):
+            df = _frame(tables[name])
+            if self.kinds.get(name):
+                types = dict(df.dtypes)
+                for column, kind in self.kinds[name].items():
+                    df = df.filter(F.col(column).isNull() | coerce(F.col(column), kind, types[column]).isNotNull())
+                df = df.withColumns({c: coerce(F.col(c), k, types[c]) for c, k in self.kinds[name].items()})
             for table, column, parent, pk in self.links:
                 if table == name and parent in done:
                     df = fk_survivors(df, column, done[parent], pk)
-            done[name] = unique_survivors(df, self.keys[name], self.order, self.materialise) if self.keys.get(name) else df
+            done[name] = unique_survivors(df, self.keys[name], self.order, self.materialise) if self.keys.get(name) else self.materialise(df)
         return done
 
-    def provision(self, tables: dict[str, DataFrame], scope: str) -> dict[str, int]:
+    def provision(self, tables: dict[str, NodeTable | DataFrame], scope: str) -> dict[str, int]:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{scope}`")
         counts = {}
         for name, df in self.survivors(tables).items():
@@ -57,8 +89,10 @@ class _ScopedFiles:
     def __init__(self, spark: SparkSession, path: str, by: Sequence[str]):
         self.spark, self.path, self.by = spark, path, by
 
-    def replace(self, df: DataFrame) -> None:
-        df.write.partitionBy(*self.by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
+    def replace(self, df: DataFrame, scope: str) -> None:
+        """The scope's rows are gone, then these are there; no rows leave an empty scope."""
+        self.drop(scope)
+        df.write.partitionBy(*self.by).mode("append").parquet(self.path)
 
     def drop(self, scope: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -67,15 +101,24 @@ class _ScopedFiles:
 
 
 class GraphSink:
-    """SNK2: nodes and edges by scope and table; running again replaces, never doubles."""
+    """SNK2: nodes and edges by scope and table; running again replaces, never doubles.
+
+    Of rows that share a key the last in load order is the node.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
         self.nodes = _ScopedFiles(spark, f"{path}/nodes", ("__job_scope", "__table"))
         self.edges = _ScopedFiles(spark, f"{path}/edges", ("__job_scope", "type"))
 
-    def provision_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.nodes.replace(nodes.groupBy("__job_scope", "__table", "__row_key").agg(F.max("props").alias("props")))
-        self.edges.replace(edges.dropDuplicates(["__job_scope", "edge_key"]))
+    def provision(self, tables: dict[str, NodeTable], scope: str) -> dict[str, int]:
+        nodes, edges = merged_nodes(tables, scope), graph_edges(tables, scope)
+        self.nodes.replace(nodes, scope)
+        if edges is not None:
+            self.edges.replace(edges.dropDuplicates(["__job_scope", "edge_key"]), scope)
+        stored = self.spark.read.schema("props string, __job_scope string, __table string").parquet(f"{self.path}/nodes")
+        counts = stored.filter(F.col("__job_scope") == scope).groupBy("__table").count().collect()  # a row a table
+        return dict.fromkeys(tables, 0) | {r[0]: r[1] for r in counts}
 
     def delete_output(self, scope: str) -> None:
         self.nodes.drop(scope)
@@ -83,15 +126,29 @@ class GraphSink:
 
 
 class VectorSink:
-    """SNK3: points of a collection, replaced as a whole; every text needs its vector."""
+    """SNK3: points of a collection, replaced as a whole; every text needs its vector.
 
-    def __init__(self, spark: SparkSession, path: str):
+    embed gives a DataFrame of points (text) its column ``vector``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.path, self.embed = spark, path, embed
         self.points = _ScopedFiles(spark, path, ("collection",))
 
-    def provision_points(self, points: DataFrame) -> None:
-        if not points.filter("vector IS NULL").isEmpty():
+    def provision(self, tables: dict[str, NodeTable], scope: str) -> dict[str, int]:
+        counts, every = {}, None
+        for name, t in tables.items():
+            made = points(t.df, name, scope, list(t.declared or t.df.columns), list(t.order))
+            made = stage(self.embed(made) if self.embed else made.withColumn("vector", F.lit(None).cast("array<float>")))
+            counts[name], every = made.count(), made if every is None else every.unionByName(made)
+        if every is not None:
+            self.provision_points(every, scope)
+        return counts
+
+    def provision_points(self, rows: DataFrame, scope: str) -> None:
+        if not rows.filter("vector IS NULL").isEmpty():
             raise ValueError("points without a vector")
-        self.points.replace(points)
+        self.points.replace(rows, scope)
 
     def delete_output(self, scope: str) -> None:
         self.points.drop(scope)

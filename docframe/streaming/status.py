@@ -34,10 +34,11 @@ class _UntilTerminal(StatefulProcessor):
         self.closed = handle.getValueState("closed", "closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        batch = pd.concat(list(rows))
         if self.closed.exists():
             return
-        batch = batch.reset_index(drop=True)
+        # of events that tie, terminal ones come last
+        batch = batch.assign(_last=batch["status"].isin(TERMINAL)).sort_values(["ts", "_last", "status"], kind="stable").drop(columns="_last").reset_index(drop=True)
         ends = batch.index[batch["status"].isin(TERMINAL)]
         if len(ends):
             batch = batch.iloc[: ends[0] + 1]

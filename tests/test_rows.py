@@ -45,7 +45,7 @@ def test_fk_repair(spark):
 def test_entities(spark):
     rows = [("Roe, Jane", None, 1, 0, 0), ("Jane Roe", "long", 1, 0, 1), (None, "longest one", None, 0, 2), ("Bob", "b", 2, 1, 1), (None, "z", None, 1, 0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("entity_id", reconcile.entity_id(COLS))
-    out = {r.entity_id: r for r in reconcile.entity_merge(reconcile.absorb_partial_rows(df)).collect()}
+    out = {r.entity_id: r for r in reconcile.entity_merge(reconcile.absorb_partial_rows(df, ["chunk_index"])).collect()}
     assert set(out) == {"jane roe", "bob", None}
     assert (out["jane roe"].k, out["jane roe"].a, out["jane roe"].row_no) == ("Roe, Jane", "longest one", 1)
     assert out[None].a == "z"
@@ -82,3 +82,35 @@ def test_fuzzy_entities(spark):
     names = spark.createDataFrame([(n,) for n in ("Acme Corporation", "acme corporation ", "Acme Corporations", "Globex Industries", None)], "name string")
     got = {r.name: r.entity_id for r in reconcile.fuzzy_entities(names, "name").collect()}
     assert len(set(got.values())) == 2 and got["Acme Corporation"] == got["acme corporation "] == got["Acme Corporations"]
+    chain = spark.createDataFrame([("".join(chr(97 + (k + j) % 26) for j in range(20)),) for k in range(60)], "name string")
+    assert {r.entity_id for r in reconcile.fuzzy_entities(chain, "name", 0.6).collect()} == {chain.agg(F.min("name")).first()[0]}
+
+
+def test_jobs_and_documents_stay_apart(spark):
+    schema = "job_id int, k string, a string, b long, chunk_index int, row_no int"
+    rows = [(1, "x", "p", None, 0, 0), (1, "X", None, 5, 0, 1), (2, "x", "q", 7, 0, 0), (2, None, "late", None, 0, 1), (1, None, None, None, 1, 0)]
+    df = spark.createDataFrame(rows, schema)
+    merged = reconcile.merge_by_natural_key(df, COLS, scope=["job_id"], counted="n")
+    assert sorted((r.job_id, r.k, r.a, r.b, r.n) for r in merged.filter("k IS NOT NULL").collect()) == [(1, "x", "p", 5, 2), (2, "x", "q", 7, 1)]
+    assert sorted((r.job_id, r.note) for r in reconcile.merge_notes(df, "t", COLS, scope=["job_id"]).filter("note LIKE 'merged%'").collect()) == [(1, "merged t duplicate for key x: filled b")]
+    known = reconcile.absorb_partial_rows(df.withColumn("entity_id", reconcile.entity_id(COLS)), ["job_id", "chunk_index"])
+    assert sorted((r.job_id, r.chunk_index, r.row_no, r.entity_id) for r in known.collect()) == [(1, 0, 0, "x"), (1, 0, 1, "x"), (1, 1, 0, None), (2, 0, 0, "x"), (2, 0, 1, "x")]
+    out = {(r.job_id, r.entity_id): r for r in reconcile.entity_merge(known, scope=["job_id"]).collect()}
+    assert out[2, "x"].a == "late" and out[1, "x"].b == 5 and len(out) == 3
+    pages = spark.createDataFrame([(1, "t", 0, [3]), (2, "t", 0, [4])], "job_id int, table_name string, chunk_index int, pages array<int>")
+    assert sorted({(r.job_id, r.chunk_index, str(r.source_page_numbers)) for r in reconcile.attach_pages(df, pages, ["job_id", "chunk_index"]).collect()}) == [(1, 0, "[3]"), (1, 1, "None"), (2, 0, "[4]")]
+
+
+def test_reconcile_in_order(spark):
+    people = spark.createDataFrame([(1, "Jane Roe", "$5", 0, 0), (1, "Roe, Jane", None, 1, 0), (2, "Bob", "x", 0, 0)], "job_id int, name string, age string, chunk_index int, row_no int")
+    bills = spark.createDataFrame([(1, "b1", "roe. jane", 0, 0), (1, "b2", "nobody", 0, 1), (2, "b1", "nobody", 0, 0), (3, "b1", "alone", 0, 0)], "job_id int, bill string, who string, chunk_index int, row_no int")
+    declared = {"people": [Declared("name", "string", True), Declared("age", "integer")], "bills": [Declared("bill", "string", True), Declared("who")]}
+    pages = spark.createDataFrame([(1, "bills", 0, [7])], "job_id int, table_name string, chunk_index int, pages array<int>")
+    done = reconcile.reconcile({"people": people, "bills": bills, "unknown": bills}, declared, [reconcile.ForeignKey("bills", "who", "people", "name"), reconcile.ForeignKey("bills", "who", "nowhere", "x")], pages)
+    assert set(done) == {"people", "bills"}
+    assert sorted((r.job_id, r.name, r.age) for r in done["people"].collect()) == [(1, "Roe, Jane", 5), (2, "Bob", None)]
+    got = {(r.job_id, r.bill): (r.who, r.reconciliation_notes, r.source_page_numbers) for r in done["bills"].collect()}
+    assert got == {
+        (1, "b1"): ("Roe, Jane", "FK bills.who: repaired 'roe. jane' → 'Roe, Jane' via token-set match", [7]), (1, "b2"): ("nobody", "FK bills.who='nobody' has no matching people.name", [7]),
+        (2, "b1"): ("nobody", "FK bills.who='nobody' has no matching people.name", None), (3, "b1"): ("alone", None, None),
+    }

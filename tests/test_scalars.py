@@ -29,6 +29,16 @@ def test_booleans_and_dates(spark):
     d = datetime.date
     texts = ["2024-03-04", "03/04/2024", "13/04/2024", "Invoice dated 2024-03-04 paid", "garbage", "May 5, 2024", "n/a"]
     assert values(spark, texts, S.to_date) == [d(2024, 3, 4), d(2024, 3, 4), d(2024, 4, 13), d(2024, 3, 4), None, d(2024, 5, 5), None]
+    texts = ["March 5, 2024", "5 March 2024", "Mar 5 2024", "03-04-2024", "4.3.2024", "3/4/24", "the 1st of may, 1999", "Sept. 9th, 2001", "2024.12.31", "3/4-2024", "99/99/2024", "12024-03-04"]
+    assert values(spark, texts, S.to_date) == [*[d(2024, 3, 5)] * 3, d(2024, 3, 4), d(2024, 4, 3), d(2024, 3, 4), d(1999, 5, 1), d(2001, 9, 9), d(2024, 12, 31), None, None, None]
+
+
+def test_typed_values(spark):
+    typed = lambda items, kind, source: values(spark, items, lambda v: S.coerce(v, kind, source), source)
+    assert typed([5, 0, None], "boolean", "bigint") == [True, False, None] and typed([2.5, 0.0], "boolean", "double") == [True, False]
+    assert typed([True, False, None], "integer", "boolean") == [1, 0, None] and typed([True], "float", "boolean") == [1.0] and typed([True], "string", "boolean") == ["True"]
+    assert typed([2.9, -2.9, 1e30, float("nan")], "integer", "double") == [2, -2, None, None] and typed([7], "date", "int") == [None]
+    assert typed([datetime.date(2024, 1, 2)], "date", "date") == [datetime.date(2024, 1, 2)] and typed([["a"]], "string", "array<string>") == ['["a"]']
 
 
 def test_strings(spark):

@@ -58,6 +58,19 @@ def test_sql_sink(spark):
     assert sink.provision({"parent": parent, "child": child}, "job_x") == {"parent": 2, "child": 2}
     sink.delete_output("job_x")
     assert not spark.catalog.databaseExists("job_x")
+    # children given first, and a value that its column can't take
+    sink = sinks.SqlSink(spark, {"parent": ["k"]}, [("child", "k", "parent", "k")], materialise=stage, kinds={"parent": {"n": "integer"}})
+    assert sink.load_order(["child", "parent"]) == ["parent", "child"]
+    typed = spark.createDataFrame([("a", "x", 0, 0), ("b", "7", 0, 1)], "k string, n string, chunk_index int, row_no int")
+    got = sink.survivors({"child": child, "parent": typed})
+    assert [r.n for r in got["parent"].collect()] == [7] and sorted(r.i for r in got["child"].collect()) == [3]
+
+
+def test_a_sink_is_chosen_by_name(spark, tmp_path):
+    choices = {"sql": lambda: sinks.SqlSink(spark, {}), "graph": lambda: sinks.GraphSink(spark, str(tmp_path))}
+    assert isinstance(sinks.sink_for("GRAPH", **choices), sinks.GraphSink)
+    with pytest.raises(ValueError, match="graph, sql"):
+        sinks.sink_for("tape", **choices)
 
 
 def test_graph_sink(spark, tmp_path):
@@ -66,24 +79,33 @@ def test_graph_sink(spark, tmp_path):
     tables = {"company": company, "invoice": invoice}
     sink = sinks.GraphSink(spark, str(tmp_path))
     for scope in ("job_123", "job_123", "job_789"):
-        sink.provision_graph(graph.nodes(tables, scope), graph.graph_edges(tables, scope))
+        assert sink.provision(tables, scope) == {"company": 1, "invoice": 1}
     assert spark.read.parquet(f"{tmp_path}/nodes").filter("__job_scope = 'job_123'").count() == 2
     assert [r.type for r in spark.read.parquet(f"{tmp_path}/edges").filter("__job_scope = 'job_123'").collect()] == ["INVOICE_TO_COMPANY"]
     sink.delete_output("job_789")
     assert {r[0] for r in spark.read.parquet(f"{tmp_path}/nodes").select("__job_scope").collect()} == {"job_123"}
+    # of rows of one key the last in load order is the node
+    twice = NodeTable(spark.createDataFrame([("acme", "zzz", 0), ("ACME", "aaa", 1)], "company_id string, name string, n int"), {"company_id": "string"}, ("n",))
+    assert sink.provision({"company": twice}, "job_5") == {"company": 1}
+    assert [r.props for r in spark.read.parquet(f"{tmp_path}/nodes").filter("__job_scope = 'job_5'").collect()] == ['{"company_id":"ACME","name":"aaa","n":1}']
 
 
 def test_vector_sink(spark, tmp_path):
     rows = spark.createDataFrame([("inv-1", 10.5), ("inv-2", 25.0)], "invoice_id string, total double")
     embedded = vectors.embed_with(rows, lambda texts: [[0.1, 0.2, 0.3, 0.4] for _ in texts], "invoice_id")
     p = vectors.points(embedded, "invoice", "job_456", ["invoice_id", "total"], ["invoice_id"], "embedding")
-    sink = sinks.VectorSink(spark, str(tmp_path))
-    sink.provision_points(p)
-    sink.provision_points(p)
+    sink = sinks.VectorSink(spark, str(tmp_path), lambda made: vectors.embed_with(made, lambda texts: [[0.5] for _ in texts]).withColumnRenamed("embedding", "vector"))
+    sink.provision_points(p, "job_456")
+    sink.provision_points(p, "job_456")
     got = spark.read.parquet(str(tmp_path)).collect()
     assert len(got) == 2 and {r.text for r in got} == {"table: invoice\ninvoice_id: inv-1\ntotal: 10.5", "table: invoice\ninvoice_id: inv-2\ntotal: 25.0"}
     with pytest.raises(ValueError):
-        sink.provision_points(p.withColumn("vector", F.lit(None).cast("array<float>")))
+        sink.provision_points(p.withColumn("vector", F.lit(None).cast("array<float>")), "job_456")
+    invoices = NodeTable(rows, {}, ("invoice_id",))
+    assert sink.provision({"invoice": invoices}, "job_7") == {"invoice": 2}
+    # a collection that is provisioned again without rows is empty, others stay
+    assert sink.provision({"invoice": NodeTable(rows.limit(0), {}, ("invoice_id",))}, "job_7") == {"invoice": 0}
+    assert {r[0] for r in spark.read.parquet(str(tmp_path)).select("collection").collect()} == {"job_456"}
 
 
 def test_approximate_retrieval(spark):
@@ -161,3 +183,44 @@ def test_user_reader(spark):
     files = spark.createDataFrame([("a.pdf", bytearray(b"x y"))], "path string, content binary")
     got = read_with(files, lambda path, content: [{"page_number": 1, "region_type": "text", "text": w} for w in content.decode().split()]).collect()
     assert [(r.region_no, r.text, r.x1) for r in got] == [(0, "x", 0), (1, "y", 0)]
+
+
+def test_status_feed(spark):
+    from docframe.operators.jobs import status_feed, until_terminal
+
+    rows = [("a", "EXTRACTING", 1), ("a", "COMPLETED", 2), ("a", "FAILED", 2), ("a", "MERGING", 2), ("a", "MERGING", 3), ("b", "PROFILING", 1), ("b", "EXTRACTING", 3), ("b", "FAILED", 4)]
+    df = spark.createDataFrame(rows, "job_id string, status string, ts int")
+    feed = lambda since: sorted((r.job_id, r.ts, r.status, r.current) for r in status_feed(df, F.lit(since)).collect())
+    assert sorted((r.job_id, r.ts, r.status) for r in until_terminal(df).collect()) == [("a", 1, "EXTRACTING"), ("a", 2, "COMPLETED"), ("a", 2, "MERGING"), ("b", 1, "PROFILING"), ("b", 3, "EXTRACTING"), ("b", 4, "FAILED")]
+    assert feed(2) == [("a", 2, "COMPLETED", True), ("b", 1, "PROFILING", True), ("b", 3, "EXTRACTING", False), ("b", 4, "FAILED", False)]
+    assert feed(0) == sorted((j, t, s, False) for j, t, s in [("a", 1, "EXTRACTING"), ("a", 2, "MERGING"), ("a", 2, "COMPLETED"), ("b", 1, "PROFILING"), ("b", 3, "EXTRACTING"), ("b", 4, "FAILED")])
+
+
+def test_hashed_embedding(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["a b a", "b c", "", None, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.embedding for r in vectors.hash_embed(df, dimension=16).collect()}
+    place = HashingTF(numFeatures=16).indexOf
+    counts = [Counter(map(place, (t or "").split())) for t in texts]
+    for i, tf in enumerate(counts):
+        v = [tf[d] * math.log((len(texts) + 1) / (1 + sum(d in c for c in counts))) for d in range(16)]
+        norm = math.sqrt(sum(x * x for x in v))
+        assert got[i] == pytest.approx([x / norm if norm else 0 for x in v], abs=1e-6)
+
+
+def test_stages_can_be_cleared(spark, tmp_path):
+    import os
+
+    from docframe import session
+
+    df = stage(spark.range(3), "kept")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert df.count() == 3 and os.path.isdir(folder)
+    kept, session._paths[spark.sparkContext.applicationId] = session._paths[spark.sparkContext.applicationId], [folder]
+    assert session.clear_stages(spark) == 1 and not os.path.isdir(folder)
+    session._paths[spark.sparkContext.applicationId] = kept

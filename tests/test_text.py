@@ -11,34 +11,33 @@ def documents(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
 
 
-def greedy_lines(full, size, overlap):
-    """What the line chunker must give, told as a plain loop."""
-    out, cur, page = [], "", 1
-    for line in (x.strip() for x in full.split("\n")):
-        if not line:
-            continue
-        if line.startswith("--- Page ") and line.endswith("---"):
-            number = line.split("Page ")[1].split(" ")[0].rstrip("-")
-            page = int(number) if number.isdigit() else page
-        elif cur and len(cur) + len(line) + 1 > size:
-            out.append((cur.strip(), page))
-            cur = (cur[-overlap:] if len(cur) > overlap else cur) + "\n" + line
-        else:
-            cur = f"{cur}\n{line}" if cur else line
-    return out + ([(cur.strip(), page)] if cur.strip() else [])
-
-
-def test_line_chunks(spark):
-    rng = random.Random(4)
-    texts = ["", "  \n", "--- Page x ---\na", "é" * 50]
-    for _ in range(30):
-        lines = [rng.choice(["--- Page %d ---" % rng.randint(1, 9), "x" * rng.randint(0, 40), " wörd " * rng.randint(1, 5), ""]) for _ in range(rng.randint(1, 30))]
-        texts.append("\n".join(lines))
+def test_line_chunks_by_hand(spark):
+    full = "--- Page 2 ---\n  first line \n\nsecond\n--- Page 3 ---\n" + "x" * 70 + "\nlast\n--- Page 9 ---"
+    rows = text.chunk_lines(documents(spark, [full, "", "  \n", "--- Page x ---\na"]), 60, 10).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, r.chunk_text, r.page_number) for r in rows] == [
+        (0, 0, "first line\nsecond", 3), (0, 1, "ine\nsecond\n" + "x" * 70, 3), (0, 2, "x" * 10 + "\nlast", 9), (3, 0, "a", 1),
+    ]
+
+
+def test_line_chunks_hold_every_line_once(spark):
+    """Chunks overlap by the end of the one before; without overlaps they are the lines in order, and only a line too long by itself exceeds the size."""
+    rng, size, overlap = random.Random(4), 60, 10
+    texts = ["\n".join("".join(rng.choices("abé ", k=rng.randint(0, 45))) if rng.random() < 0.9 else f"--- Page {rng.randint(1, 9)} ---" for _ in range(rng.randint(1, 40))) for _ in range(30)]
     got = {}
-    for r in text.chunk_lines(documents(spark, texts), 60, 10).orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append((r.chunk_text, r.page_number))
-    for k, t in enumerate(texts):
-        assert got.get(k, []) == greedy_lines(t, 60, 10), t
+    for r in text.chunk_lines(documents(spark, texts), size, overlap).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, full in enumerate(texts):
+        lines = [x.strip() for x in full.split("\n") if x.strip() and not x.startswith("--- Page")]
+        chunks, at = got.get(k, []), 0
+        assert [r.chunk_index for r in chunks] == list(range(len(chunks)))
+        for n, r in enumerate(chunks):
+            body = r.chunk_text
+            own = max(m for m in range(1, len(lines) - at + 1) if body.endswith("\n".join(lines[at : at + m])))
+            tail = body[: len(body) - len("\n".join(lines[at : at + own]))].rstrip("\n")
+            at += own
+            assert (n == 0 and tail == "") or (n > 0 and chunks[n - 1].chunk_text.endswith(tail) and len(tail) <= overlap)
+            assert len(body) <= size or own == 1
+        assert at == len(lines)
 
 
 def test_paragraph_chunks(spark):
@@ -52,24 +51,30 @@ def test_paragraph_chunks(spark):
     assert chunks[2].text == "b" * 10 + "\n\n--- Page 2 ---\n" + "c" * 20 and chunks[2].pages == [2]
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 5, 15, 16, 40, 200])
-def test_sampler(spark, n):
-    kinds = {p: 1 + (p * 7) % 4 for p in range(1, n + 1)}
+def sampled(spark, kinds):
     df = spark.createDataFrame([(1, p, k) for p, k in kinds.items()], "doc_id int, page_number int, n_types int")
-    got = sorted(r.page_number for r in text.sample_pages(df).collect())
-    if n <= 15:
-        assert got == list(range(1, n + 1))
-        return
-    chosen = {1, 2, 3, n - 1, n}
-    for p in sorted(kinds, key=lambda p: (-kinds[p], p)):
-        if sum(3 < q < n - 1 for q in chosen) >= 3:
-            break
-        chosen.add(p)
-    stride = max(1, n // (15 - len(chosen) + 1))
-    for p in range(stride, n, stride):
-        if len(chosen) < 15:
-            chosen.add(p)
-    assert got == sorted(chosen)
+    return sorted(r.page_number for r in text.sample_pages(df).collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 5, 15])
+def test_short_documents_are_sampled_whole(spark, n):
+    assert sampled(spark, {p: 1 for p in range(1, n + 1)}) == list(range(1, n + 1))
+
+
+def test_sampled_pages_by_hand(spark):
+    # 20 pages: the ends, the three most diverse between them (7, 9, then the lower of 11 and 13), and every second page until there are 15
+    kinds = {p: 1 for p in range(1, 21)} | {7: 4, 9: 4, 11: 3, 13: 3}
+    assert sampled(spark, kinds) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19, 20]
+    # diversity at the ends takes no place of the inner ones
+    assert {4, 5, 6} <= set(sampled(spark, {p: 9 if p in (1, 2, 40) else 1 for p in range(1, 41)}))
+
+
+@pytest.mark.parametrize("n", [16, 40, 200])
+def test_sampled_pages_have_ends_diversity_and_a_bound(spark, n):
+    kinds = {p: 1 + (p * 7) % 4 for p in range(1, n + 1)}
+    got = sampled(spark, kinds)
+    inner = sorted((p for p in kinds if 3 < p < n - 1), key=lambda p: (-kinds[p], p))[:3]
+    assert {1, 2, 3, n - 1, n, *inner} <= set(got) and len(set(got)) == len(got) <= 15
 
 
 def test_page_route(spark):
@@ -101,6 +106,6 @@ def test_user_extractor(spark):
 
 
 def test_labelled_rows(spark):
-    chunks = spark.createDataFrame([(0, "Name: Ada \n Total : 7"), (1, "nothing")], "chunk_index int, text string")
-    rows = extract.extract_labelled(chunks, "t", ["name", "total"]).collect()
-    assert [r.row for r in rows] == [{"name": "Ada", "total": "7"}]
+    chunks = spark.createDataFrame([(0, "Name: Ada \n Total : 7\namount (usd): 5\naxb: no"), (1, "nothing")], "chunk_index int, text string")
+    rows = extract.extract_labelled(chunks, "t", ["name", "total", "amount (usd)", "a.b"]).collect()
+    assert [r.row for r in rows] == [{"name": "Ada", "total": "7", "amount (usd)": "5", "a.b": None}]
