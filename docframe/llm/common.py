@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe import session
+from docframe.session import shared_path
+
 #: White space and words of the operators' contracts, for Java's and DuckDB's regex alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset.
-
-    Unset on a local master: a temporary folder.  Unset on a cluster: beside the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docframe-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+#: Tasks that the rows of one key are spread over where a key may be common.
+SALTS = 16
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; see docframe.session.shared_path."""
+    return shared_path(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: it survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return session.stage(df, name)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, which has one row a key or none.
+
+    The rows of one key are spread over SALTS tasks by the partition that they come from, which a task
+    that runs again finds alike.  The column ``salt`` is the function's own.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return left.withColumn("salt", F.spark_partition_id() % SALTS).join(right.withColumn("salt", salts), [key, "salt"], "left").drop("salt")
 
 
 def word_count(text: Column) -> Column:
