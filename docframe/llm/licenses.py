@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.common import stage
+from docframe.llm.common import join_spread, stage
 from docframe.llm.license_notices import TEMPLATES
 
 #: A line or paragraph without one of these is no notice.
@@ -64,7 +64,7 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     dots = weighed.select("unit", "w", F.explode("in").alias("t")).groupBy("unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
     scored = dots.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
     best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    return marked.join(best, "unit").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    return join_spread(marked, best, "unit").filter("best IS NOT NULL").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -73,7 +73,9 @@ def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     license_from is 'own', 'inherited' (from a licence file in the nearest directory above that has
     one; of several there the best score, then the least name) or null, where no licence is known.
     A null path or text has none of its own and a null path inherits none; rows that repeat a path
-    share the best notice of all; ties go to the licence that comes first by name.
+    share the best notice of all; ties go to the licence that comes first by name.  Columns of files
+    that have one of the three names are replaced, all others kept, whatever their names.  An empty
+    table gives no rows; texts of any length are read whole, by built-in functions.
     """
     slim = files.select(F.col("path"), F.col("text"))
     own = stage(scan_notices(slim, cosine), "license-own")
@@ -84,10 +86,11 @@ def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     steps = F.sequence(F.lit(0), F.size(parts))
     ancestors = folders.select("folder", F.explode(steps).alias("depth"), parts.alias("parts")).withColumn("above", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
     nearest = ancestors.join(spread, "above").groupBy("folder").agg(F.max_by("spread", "depth").alias("near"))
-    cols = [F.col(f"`{c}`") for c in files.columns if c not in ("license", "license_score", "license_from")]
+    names = [c for c in files.columns if c not in ("license", "license_score", "license_from")]
+    cols = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
     out = files.select(*cols, F.col("path").alias("_path"), _directory(F.col("path")).alias("_folder"))
-    out = out.join(own.select(F.col("path").alias("_path"), F.struct((-F.col("score")).alias("minus"), "license").alias("_own")), "_path", "left")
-    out = out.join(nearest.select(F.col("folder").alias("_folder"), F.col("near").alias("_near")), "_folder", "left")
+    out = join_spread(out, own.select(F.col("path").alias("_path"), F.struct((-F.col("score")).alias("minus"), "license").alias("_own")), "_path")
+    out = join_spread(out, nearest.select(F.col("folder").alias("_folder"), F.col("near").alias("_near")), "_folder")
     got = F.coalesce("_own", "_near")
     origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_near").isNotNull(), "inherited")
-    return out.select(*cols, got["license"].alias("license"), (-got["minus"]).alias("license_score"), origin.alias("license_from"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], got["license"].alias("license"), (-got["minus"]).alias("license_score"), origin.alias("license_from"))
