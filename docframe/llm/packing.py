@@ -25,8 +25,9 @@ class Packer:
 
     levels[h] counts the open windows that are filled to h.  A whole window of a document is a
     sequence of its own; what is left of it goes to the fill level that keeps the sum of the squared
-    counts least (a new window is level 0), the fullest of equals.  flush() fills the windows that
-    are still open from the emptiest ones, cutting pieces, so one window at most is padded.
+    counts least (a new window is level 0), the fullest of equals.  flush() takes the emptiest open
+    windows apart and places their pieces by the same rule, only that a piece may be cut to fill a
+    window and none is opened; so one window at most is padded.
     """
 
     def __init__(self, first_sequence: int, window: int = WINDOW):
@@ -76,23 +77,38 @@ class Packer:
                 self.levels[level + rest] += 1
         return out
 
+    def fill_for(self, size: int) -> int:
+        """The fill level to put a piece on if it may be cut to what fits; 0 if no window is open."""
+        n, w = self.levels, self.window
+        open_ = np.flatnonzero(n)
+        if not len(open_):
+            return 0
+        to = np.where(open_ + size < w, 2 * n[np.minimum(open_ + size, w)] + 1, 0)
+        gains = to - 2 * n[open_] + 1
+        return int(open_[len(open_) - 1 - int(np.argmin(gains[::-1]))])
+
     def flush(self) -> list[tuple]:
-        bins = [[level, pieces] for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
-        self.open, out, i, j = {}, [], 0, len(bins) - 1
-        self.levels[:] = 0
-        while i < j:
-            gap = self.window - bins[i][0]
-            doc, start, ids, total = bins[j][1].pop()
-            n = min(gap, len(ids) // 4)
-            bins[i][1].append((doc, start, ids[: 4 * n], total))
-            if 4 * n < len(ids):
-                bins[j][1].append((doc, start + n, ids[4 * n :], total))
-            bins[i][0] += n
-            bins[j][0] -= n
-            i += bins[i][0] == self.window
-            j -= not bins[j][1]
-        for _, pieces in bins[: j + 1]:
-            out += self._close(pieces)
+        out = []
+        while self.levels.any():
+            least = int(np.flatnonzero(self.levels)[0])
+            pieces = self.open[least].pop()
+            self.levels[least] -= 1
+            while pieces:
+                doc, start, ids, total = pieces.pop()
+                level = self.fill_for(len(ids) // 4)
+                if not level:
+                    return out + self._close([*pieces, (doc, start, ids, total)])
+                n = min(self.window - level, len(ids) // 4)
+                held = self.open[level].pop()
+                self.levels[level] -= 1
+                held.append((doc, start, ids[: 4 * n], total))
+                if 4 * n < len(ids):
+                    pieces.append((doc, start + n, ids[4 * n :], total))
+                if level + n == self.window:
+                    out += self._close(held)
+                else:
+                    self.open.setdefault(level + n, []).append(held)
+                    self.levels[level + n] += 1
         return out
 
 
@@ -106,7 +122,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, win
     A document is the ids of its text (null: none) and end_id.  Each partition packs its own rows as
     they come, without a shuffle: memory is one open window per fill level at most a few times over,
     and a lost partition is packed alike again.  Sequence ids are unique, not dense.  Rows that repeat
-    an id are documents of their own; an empty table gives no pieces.
+    an id, and rows whose id is null, are documents of their own; of fill levels that tie the fullest
+    takes the piece.  An empty table gives no pieces; other columns of docs, whatever their names, are
+    ignored.  A long text is held whole, with its ids, by the task that encodes it.
     """
 
     ship(docs.sparkSession)
