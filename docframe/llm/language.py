@@ -17,8 +17,8 @@ from docframe.session import ship
 WINDOW = 256
 #: Filter widths, filters of each width, and numbers that stand for one byte.
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 6
-#: Bounds of the training sample: documents of a language and of all, characters of a span of each.
-TRAIN_PER_LANG, TRAIN_DOCS, TRAIN_CHARS = 800, 8000, 1024
+#: Bounds of the training sample: documents of a language and of all, whose whole texts are read.
+TRAIN_PER_LANG, TRAIN_DOCS = 800, 8000
 UNKNOWN = "und"
 #: Windows that go through the network at a time.
 BATCH = 512
@@ -81,21 +81,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, steps: int = 900, bat
         x = np.concatenate([p[rng.integers(0, len(p), each)] for p in pools]).copy()
         for k in np.flatnonzero(rng.random(len(x)) < 0.34):
             x[k, rng.integers(8, WINDOW) :] = 0
-        cols = net.columns(x)
-        maps = (cols.reshape(len(x) * WINDOW, -1) @ net.filters).reshape(len(x), WINDOW, total)
-        top = maps.argmax(axis=1)
-        best = np.take_along_axis(maps, top[:, None, :], 1)[:, 0, :] + net.bias
-        pooled = np.maximum(best, 0)
-        slope = _softmax(pooled @ net.out + net.out_bias)
-        slope[np.arange(len(x)), y] -= 1
-        slope /= len(x)
-        back = (slope @ net.out.T) * (best > 0)
-        under = cols[np.arange(len(x))[:, None], top]  # windows x filters x wide
-        to_embed = (back[:, :, None] * net.filters.T[None]).reshape(len(x), total, max(WIDTHS), EMBED)
-        hit = np.pad(x, ((0, 0), (0, max(WIDTHS) - 1)))[np.arange(len(x))[:, None, None], top[:, :, None] + np.arange(max(WIDTHS))]
-        g_embed = np.zeros_like(net.embed)
-        np.add.at(g_embed, hit.ravel(), to_embed.reshape(-1, EMBED))
-        grads = [g_embed, np.einsum("bf,bfk->kf", back, under) * mask, back.sum(0), pooled.T @ slope, slope.sum(0)]
+        grads = gradients(net, x, y)
+        grads[1] *= mask
         for k, g in enumerate(grads):
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.001 * (g * g - v[k])
@@ -103,29 +90,50 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, steps: int = 900, bat
     return net
 
 
+def gradients(net: ByteConvNet, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss of windows x with languages y, by the net's five arrays."""
+    cols, (n, width), total = net.columns(x), x.shape, net.filters.shape[1]
+    maps = (cols.reshape(n * width, -1) @ net.filters).reshape(n, width, total)
+    top = maps.argmax(axis=1)
+    best = np.take_along_axis(maps, top[:, None, :], 1)[:, 0, :] + net.bias
+    pooled = np.maximum(best, 0)
+    slope = _softmax(pooled @ net.out + net.out_bias)
+    slope[np.arange(n), y] -= 1
+    slope /= n
+    back = (slope @ net.out.T) * (best > 0)
+    under = cols[np.arange(n)[:, None], top]  # windows x filters x the embedded bytes under each filter's best place
+    to_embed = (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    hit = np.pad(x, ((0, 0), (0, max(WIDTHS) - 1)))[np.arange(n)[:, None, None], top[:, :, None] + np.arange(max(WIDTHS))].ravel()
+    by_embed = np.stack([np.bincount(hit, to_embed[:, d], 256) for d in range(EMBED)], 1).astype(net.embed.dtype)
+    return [by_embed, np.einsum("bf,bfk->kf", back, under), back.sum(0), pooled.T @ slope, slope.sum(0)]
+
+
 def train(docs: DataFrame, folds: int = 5, held_fold: int = 0, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_DOCS) -> ByteConvNet | None:
-    """Fit on a bounded sample of rows outside the held-out fold whose lang is known.
+    """Fit on the whole texts of a bounded sample of rows outside the held-out fold whose lang is known.
 
-    About per_lang documents of each language, chosen by a hash of the id, and most in all; of each a
-    random span of TRAIN_CHARS characters.  Without such rows there is no network.
+    About per_lang documents of each language, chosen by a hash of the id, and ``most`` in all; of more
+    than ``most`` languages those with the most documents, ties by name.  Null texts, null langs and
+    empty texts teach nothing; rows that repeat an id are chosen together; other columns are ignored.
+    Without such rows there is no network.
     """
-    known = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id"), folds) != held_fold)
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.select(docs["doc_id"].alias("d_id"), docs["text"].alias("d_text"), docs["lang"].alias("d_lang")).filter("d_text IS NOT NULL AND d_lang IS NOT NULL").filter(fold_of(F.col("d_id"), folds) != held_fold)
+    counts = {r["d_lang"]: r["n"] for r in known.groupBy("d_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d_lang").limit(most).collect()}
     if not counts:
         return None
     each = min(per_lang, max(1, most // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, each / n) * (1 << 30)))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share[F.col("lang")])
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(10)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1)
-    got = chosen.select("doc_id", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("span"), "lang").collect()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["span"], r["lang"]))
-    return fit([r["span"] for r in got], [r["lang"] for r in got])
+    chosen = known.filter(F.pmod(F.xxhash64("d_id", F.lit(9)), F.lit(1 << 30)) < share[F.col("d_lang")])
+    got = sorted(map(tuple, chosen.select(F.col("d_id").cast("string"), "d_text", "d_lang").collect()), key=lambda r: (r[0] or "", *r[1:]))
+    return fit([text for _, text, _ in got], [lang for _, _, lang in got])
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """doc_id, lang_pred, score: the mean of the windows' probabilities, weighted by their bytes.
 
-    Null texts and texts without letters are UNKNOWN with score 0, and so is all without a network.
+    Null texts and texts without letters are UNKNOWN with score 0, and so is all without a network; of
+    languages that tie, the first by name.  Rows are judged one by one, so repeated rows get one answer
+    each; other columns of docs, whatever their names, are ignored; an empty table gives no rows.  A
+    long text is read whole, as all the windows that it fills.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -157,6 +165,6 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs; see train and predict."""
+    """doc_id, held_out, lang_pred, score for every row of docs, odd ones included; see train and predict."""
     found = predict(docs, train(docs))
     return found.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
