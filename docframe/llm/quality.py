@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from docframe.llm.common import fold_of, stage
 from docframe.session import ship
 
-#: Bounds of the training sample: labelled rows, and characters of one random span of each.
+#: Bound of the training sample: labelled rows, whose whole texts are read.
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 6000
-#: Words with a vector of their own; others share that of their form.  It bounds the broadcast model.
-VOCABULARY = 20_000
+#: Words that the sample holds as often have a vector of their own; others share that of their form.
+LEAST_COUNT = 3
 DIMS, NONZERO, REACH, HIDDEN = 64, 6, 2, 24
 THRESHOLD = 0.7
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -102,16 +101,19 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Random indexing: a word's vector sums the index vectors of its neighbours and its own."""
     tokens = [tokens_of(t) for t in texts]
     counts = Counter(w for ts in tokens for w in ts)
-    common = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))[:VOCABULARY]
-    names = common + sorted({form(w) for w in counts})
+    names = sorted(w for w, n in counts.items() if n >= LEAST_COUNT) + sorted({form(w) for w in counts})
     rows = {w: k for k, w in enumerate(names)}
     own = np.array([index_vector(w) for w in names] + [np.zeros(DIMS)], np.float32)
+    place = {w: rows.get(w, rows.get(form(w))) for w in counts}
+    # texts apart by rows of zeros, so that neighbours are of one text
+    gap = [len(names)] * REACH
+    ids = np.array([k for ts in tokens for k in [*map(place.__getitem__, ts), *gap]], np.int64)
     context = np.zeros_like(own)
-    for ts in tokens:
-        ids = np.array([rows.get(w, -2) if w in rows else rows[form(w)] for w in ts], np.int64)
-        for step in range(1, REACH + 1):
-            np.add.at(context, ids[:-step], own[ids[step:]])
-            np.add.at(context, ids[step:], own[ids[:-step]])
+    for step in range(1, REACH + 1):
+        left, right = ids[:-step], ids[step:]
+        for d in range(DIMS):
+            context[:, d] += np.bincount(left, own[right, d], len(own)) + np.bincount(right, own[left, d], len(own))
+    context[-1] = 0
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-6)
     return rows, (own + context).astype(np.float32)
@@ -134,11 +136,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 60, l
         order = rng.permutation(len(ys))
         for at in range(0, len(order), 64):
             xb, yb = xs[order[at : at + 64]], ys[order[at : at + 64]]
-            pre = xb @ params[0] + params[1]
-            hidden = np.maximum(pre, 0)
-            slope = (_sigmoid(hidden @ params[2] + params[3]) - yb) / len(yb)
-            back = slope[:, None] * params[2] * (pre > 0)
-            grads = [xb.T @ back + 1e-4 * params[0], back.sum(0), hidden.T @ slope + 1e-4 * params[2], slope.sum(keepdims=True)]
+            grads = gradients(params, xb, yb)
             step += 1
             for k, g in enumerate(grads):
                 m[k] += 0.1 * (g - m[k])
@@ -152,27 +150,37 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 60, l
     return model
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean log loss, with a small penalty on the weights, by both layers' weights and biases."""
+    pre = x @ params[0] + params[1]
+    hidden = np.maximum(pre, 0)
+    slope = (_sigmoid(hidden @ params[2] + params[3]) - y) / len(y)
+    back = slope[:, None] * params[2] * (pre > 0)
+    return [x.T @ back + decay * params[0], back.sum(0), hidden.T @ slope + decay * params[2], slope.sum(keepdims=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2, rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit on at most about ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id.
+    """Fit on the whole texts of at most about ``rows`` labelled documents outside the held-out fold.
 
-    Of each a random span of TRAIN_CHARS characters is read.  The bound is the parameter, whatever
-    the size of the tables.  Null labels and ids teach nothing; of several labels of an id the
-    smallest counts.
+    They are chosen by a hash of the id; the bound is the parameter, whatever the size of the tables.
+    Null labels, ids and texts teach nothing; of several labels of an id the smallest counts; rows that
+    repeat an id teach as often.  Other columns are ignored; empty tables give a model that scores all alike.
     """
     known = labels.select(labels["doc_id"].alias("l_id"), labels[label_col].cast("int").alias("label"))
     known = known.filter("l_id IS NOT NULL AND label IS NOT NULL").filter(fold_of(F.col("l_id"), folds) != held_fold).groupBy("l_id").agg(F.min("label").alias("label"))
     share = min(1.0, rows / max(1, known.count()))
     chosen = stage(known.filter(F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))), "quality-sample")
-    n = F.length("text")
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(n - TRAIN_CHARS, F.lit(0)) + 1)
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("l_id"))
-    texts = texts.select("doc_id", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("span"), "label")
-    got = sorted(texts.collect(), key=lambda r: (r["doc_id"], r["span"]))
-    return fit([r["span"] for r in got], [r["label"] for r in got])
+    texts = docs.select(docs["doc_id"].alias("d_id"), docs["text"].alias("d_text")).filter("d_text IS NOT NULL").join(chosen, F.col("d_id") == F.col("l_id"))
+    got = sorted(texts.select("d_id", "d_text", "label").collect(), key=lambda r: (r["d_id"], r["d_text"]))
+    return fit([r["d_text"] for r in got], [r["label"] for r in got])
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, score, predicted of every whole text; null counts as empty, and empty texts have a score."""
+    """doc_id, score, predicted of every whole text; null counts as empty, and empty texts have a score.
+
+    Rows are scored one by one, so repeated rows and equal texts score alike; other columns are
+    ignored.  A long text is split into tokens as a whole by its task.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,7 +202,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text scores THRESHOLD at least, with all their columns."""
+    """The rows of docs whose text scores THRESHOLD at least, with all their columns, whatever their names.
+
+    Null and empty texts, repeated rows and empty tables are treated as in score.
+    """
     ship(docs.sparkSession)
     model = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
