@@ -140,7 +140,7 @@ def test_repeated_phrases(spark, odd, none):
     rows = odd_rows()
     want = sorted((str(r[0]), *x) for r, x in zip(rows, repeats([r[1] for r in rows], 35)))
     for chunk in (4_000_000, 500, 1):
-        got = remove_repeats(odd.withColumn("chunk", F.lit(1)), chunk_chars=chunk, variants=chunk)
+        got = remove_repeats(odd.withColumn("chunk", F.lit(1)), chunk_chars=chunk, common=chunk)
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
     r = next(x for x in got.collect() if x.doc_id == 8)
     assert r.removed_spans == [9, 69] and hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
@@ -300,8 +300,16 @@ def test_pack(odd, none):
     for doc, text, *_ in odd_rows():
         want[str(doc)] += ids(text)
     for doc, w in want.items():
-        assert [x for p in sorted(by[doc], key=lambda p: (p[0], p[1])) for x in p[2]] == w or doc == "5"
+        pieces = sorted(by[doc], key=lambda p: (p[0], p[1]))
+        if doc == "5":  # two rows of one text: each of their ids lies in two pieces
+            assert sorted(x for p in pieces for x in p[2]) == sorted(w) and w == 2 * w[: len(w) // 2]
+        else:
+            assert [x for p in pieces for x in p[2]] == w
     assert sum(n for p in fill.values() for _, n in p) == sum(map(len, want.values())) and pack(none).count() == 0
+    totals = Counter((str(doc), len(ids(text))) for doc, text, *_ in odd_rows())
+    assert {(doc, n) for doc, found in by.items() for _, _, _, n in found} == set(totals)
+    short = sorted(sum(n for _, n in p) for p in fill.values())
+    assert sum(n < 2048 for n in short) <= odd.rdd.getNumPartitions() and short[-1] == 2048
 
 
 def test_language(spark, odd, none):
@@ -342,6 +350,60 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+CLASHES = ("gone_id", "digest", "rep", "c0", "c1", "salt", "key", "grp", "d_id", "d_text", "copy", "lo", "last", "_path", "a b", "group_size", "score", "ids")
+
+
+def clashing(df):
+    return df.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, odd, none, labels, tmp_path, empty):
+    """Every stage takes nulls, long texts, ties, repeats, clashing names and empty tables, and keeps the columns."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = clashing(none if empty else odd)
+    counts = [docs.count()]
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, clashing(none if empty else odd)):
+            out = step(spark, given, str(tmp_path))
+            assert out.columns == [*odd.columns, *CLASHES] and {r["a b"] for r in out.collect()} <= {"a b"}
+        docs = step(spark, docs, str(tmp_path)).cache()
+        counts.append(docs.count())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert pieces.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    assert counts == [0] * 5 and pieces.count() == 0 if empty else counts[1] >= counts[2] >= counts[3] and pieces.count() >= counts[4] > 0
+
+
+def test_rows_without_words_are_mixed_once_at_most_per_epoch(spark):
+    """A source whose target is its cap takes every document twice, those without words too."""
+    rows = [(k, "w " * 30, "big") for k in range(50)] + [(100 + k, "x y z" if k % 2 else None, "small") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = Counter(r.doc_id for r in mix(docs, weights=(1, 5)).collect())
+    assert {copies[100 + k] for k in range(20)} == {2}
+
+
+def test_mixing_narrows_spans_of_keys(spark, odd, monkeypatch):
+    from docframe.llm import mixing
+
+    docs = spark.createDataFrame([(k, "w%d " % k * (1 + k % 7) + "#" * (k % 3 * 9), "ab"[k % 5 == 0]) for k in range(400)] + [(None, "same", "a")] * 60, "doc_id long, text string, source string")
+    whole = sorted(map(repr, mix_plan(docs).collect()))
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    monkeypatch.setattr(mixing, "SPAN_ROWS", 3)
+    assert sorted(map(repr, mix_plan(docs).collect())) == whole
+    assert mixing.stage is not None and len(whole) == 460
+
+
+def test_clashing_names(spark, odd, labels):
+    docs = clashing(odd)
+    for plain, named in (
+        (exact_groups(odd), exact_groups(docs)), (mix_plan(odd), mix_plan(docs)), (near_duplicates(odd), near_duplicates(docs)), (remove_repeats(odd, texts=False), remove_repeats(docs, texts=False)),
+        (quality.quality_scores(odd, labels), quality.quality_scores(docs, labels)), (language.identify(odd), language.identify(docs)), (pack(odd).drop("sequence_id", "offset"), pack(docs).drop("sequence_id", "offset")),
+    ):
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, named.collect()))
+    files = docs.select(F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"), "text", *CLASHES)
+    assert scan_licenses(files).columns == ["path", "text", *CLASHES, "license", "license_score", "license_from"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     seen = {r.doc_id: r.text for r in docs.collect()}

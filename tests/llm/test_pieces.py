@@ -58,6 +58,17 @@ def test_packing_places_every_id_once(sizes):
     assert sum(fill.values()) == sum(sizes)
 
 
+def test_flush_keeps_the_squares_least():
+    """The pieces of the emptiest window go where the squares fall most, the fullest of equals."""
+    p = Packer(0, 20)
+    p.levels[[5, 12, 15]] = [1, 3, 1]
+    assert p.fill_for(8) == 12 and p.fill_for(5) == 12 and p.fill_for(2) == 12
+    p.levels[12] = 1
+    assert p.fill_for(5) == 15 and p.fill_for(9) == 15
+    p.levels[:] = 0
+    assert p.fill_for(3) == 0
+
+
 def test_levels_keep_the_squares_least():
     rng = np.random.default_rng(0)
     p = Packer(0, 20)
@@ -181,6 +192,89 @@ def test_networks_learn():
     assert language.fit([], []) is None
 
 
+def small_net(rng, filters=5, langs=3):
+    wide = max(language.WIDTHS) * language.EMBED
+    return language.ByteConvNet(list("abc")[:langs], rng.normal(size=(256, language.EMBED)), rng.normal(size=(wide, filters)), rng.normal(size=filters), rng.normal(size=(filters, langs)), rng.normal(size=langs))
+
+
+def plain_probabilities(net, window):
+    """The network as loops: embed, slide, take the best place, rectify, softmax."""
+    e = [net.embed[b] for b in window] + [net.embed[0]] * (max(language.WIDTHS) - 1)
+    pooled = []
+    for f in range(net.filters.shape[1]):
+        best = max(sum(e[i + j][d] * net.filters[j * language.EMBED + d, f] for j in range(max(language.WIDTHS)) for d in range(language.EMBED)) for i in range(len(window)))
+        pooled.append(max(best + net.bias[f], 0))
+    z = [sum(p * net.out[f, k] for f, p in enumerate(pooled)) + net.out_bias[k] for k in range(len(net.langs))]
+    total = sum(np.exp(x) for x in z)
+    return [np.exp(x) / total for x in z]
+
+
+def test_convolution_is_that_of_plain_loops():
+    rng = np.random.default_rng(5)
+    net, x = small_net(rng), rng.integers(0, 256, (4, 12)).astype(np.uint8)
+    assert np.allclose(net.probabilities(x), [plain_probabilities(net, w) for w in x])
+
+
+def differences(loss, params, tries, rng, step=1e-6):
+    """Slopes of the loss by small steps, at some places of each array."""
+    for k, p in enumerate(params):
+        for _ in range(tries):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            old = p[at]
+            p[at] = old + step
+            up = loss()
+            p[at] = old - step
+            down = loss()
+            p[at] = old
+            yield k, at, (up - down) / (2 * step)
+
+
+def test_gradients_of_the_language_network():
+    rng = np.random.default_rng(6)
+    net, x, y = small_net(rng), rng.integers(0, 4, (6, 10)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(6), y]).mean()
+    grads = language.gradients(net, x, y)
+    for k, at, slope in differences(loss, [net.embed[:4], net.filters, net.bias, net.out, net.out_bias], 12, rng):
+        assert grads[k][at] == pytest.approx(slope, abs=1e-5)
+
+
+def test_gradients_of_the_quality_network():
+    rng = np.random.default_rng(7)
+    params = [rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    x, y = rng.normal(size=(8, 5)), rng.integers(0, 2, 8).astype(float)
+
+    def loss():
+        p = 1 / (1 + np.exp(-(np.maximum(x @ params[0] + params[1], 0) @ params[2] + params[3])))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.5e-4 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    grads = quality.gradients(params, x, y)
+    for k, at, slope in differences(loss, params, 8, rng):
+        assert grads[k][at] == pytest.approx(slope, abs=1e-6)
+
+
+def test_word_vectors_are_those_of_plain_loops():
+    texts = ["the cat sat on the mat , the cat", "a cat and the dog 12 sat", "", "dog dog dog the cat"]
+    rows, vectors = quality.word_vectors(texts)
+    tokens = [quality.tokens_of(t) for t in texts]
+    counts = {w: sum(ts.count(w) for ts in tokens) for ts in tokens for w in ts}
+    name = lambda w: w if counts[w] >= quality.LEAST_COUNT else quality.form(w)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-6)
+    assert {w for w in rows if not w.startswith(" ")} == {w for w in counts if counts[w] >= quality.LEAST_COUNT and not w.startswith(" ")}
+    for w, k in rows.items():
+        context = np.zeros(quality.DIMS)
+        for ts in tokens:
+            for i, a in enumerate(ts):
+                if name(a) == w:
+                    for j in range(max(0, i - quality.REACH), min(len(ts), i + quality.REACH + 1)):
+                        if j != i:
+                            context += quality.index_vector(name(ts[j]))
+        assert np.allclose(vectors[k], unit(quality.index_vector(w)) + unit(context), atol=1e-5)
+    model = quality.QualityModel(rows, vectors, *[None] * 6)
+    for text, got in zip(texts, model.pooled(texts, {})):
+        ts = quality.tokens_of(text)
+        assert np.allclose(got, np.mean([vectors[model.row(t)] for t in ts], axis=0) if ts else 0, atol=1e-5)
+
+
 def test_crc_is_of_the_ids():
     p = PieceEncoder(vocabulary_path())
     ids = p.encode(["some text"])[0]
