@@ -5,10 +5,11 @@ equal windows have equal anchors, and neighbouring windows mostly share one.  Th
 anchor, from the first word of the first to the last word of the last, are a piece.
 
 1. Anchors are counted.  Documents are dealt into chunks; a chunk is told which of its anchors stand
-   nowhere else, and gives the pieces of its other anchors, as words.
-2. Pieces are counted by their words.  A window recurs if the pieces of its anchor hold its words twice
-   or more.  So the maximal runs of recurring windows of each distinct piece are confirmed once, on
-   words, for all documents: these are the passages.  Hashes only choose what is compared.
+   nowhere else, and gives the distinct pieces of its other anchors, as words.
+2. The pieces of an anchor meet.  A window recurs if they hold its words twice or more.  So the maximal
+   runs of recurring windows of every piece are confirmed on words, over all documents: these are the
+   passages.  Hashes only choose what is compared.  Anchors that are very common are taken apart: each
+   of their windows is counted by its own words, in a shuffle with partial sums.
 3. Passages go to the chunks that asked about their piece.  A chunk compiles its shard of them into an
    Aho-Corasick automaton over words and streams all its documents through it; what lies under an
    occurrence goes.  Nothing but the automaton tells where passages stand.
@@ -24,6 +25,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,14 @@ from docframe.llm.common import stage
 from docframe.llm.shingles import Words
 from docframe.session import ship
 
-WINDOW, ANCHOR = 35, 20
+WINDOW, ANCHOR = 35, 12
 #: Characters of a chunk and of the chunks of a task, about; a single longer text is a chunk's excess.
 CHUNK_CHARS, TASK_CHARS = 1_000_000, 48_000_000
 #: Bytes hashed at a time.
 BATCH_BYTES = 1 << 18
-#: Distinct pieces of one anchor that a task compares; beyond them its windows are counted by a shuffle.
-VARIANTS = 10_000
-#: Anchors beyond VARIANTS are at most so many: VARIANTS grows with the pieces where they would be more.
-HOT_ANCHORS = 1_000_000
+#: How often an anchor stands at most for its pieces to meet in one task.  It grows with the corpus
+#: where more than about HOT_ANCHORS would stand as often, so a list of those stays small.
+COMMON, HOT_ANCHORS = 100_000, 1_000_000
 _KEPT = bytes([1, 0]).ljust(256, b"\0")
 
 
@@ -100,23 +101,49 @@ def _give_anchors(k: int, anchor: int):
     return run
 
 
-def _give_pieces(k: int, anchor: int):
+def _give_pieces(k: int, anchor: int, common: Broadcast):
+    """A chunk's distinct pieces, and how often it holds each, of the anchors that are neither alone nor common."""
+
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        alone, found = np.sort(side["h"].to_numpy()), Counter()
+        skipped, found = np.sort(np.concatenate([side["h"].to_numpy(), common.value])), Counter()
         for some in _batches(_bytes(docs["d_text"])):
             words = Words(some)
-            hashes, text, first, last = _anchors(words, k, anchor)
-            at = np.minimum(np.searchsorted(alone, hashes), max(0, len(alone) - 1))
-            shared = np.flatnonzero(alone[at] != hashes) if len(alone) else np.arange(len(hashes))
-            begin = words.begins[text[shared]]
-            for h, t, a, b in zip(hashes[shared].tolist(), text[shared].tolist(), (first[shared] - begin).tolist(), (last[shared] - begin).tolist()):
-                found[h, b" ".join(words.lists[t][a : b + k])] += 1
+            hashes, _, first, last = _anchors(words, k, anchor)
+            shared = np.flatnonzero(~_among(hashes, skipped))
+            for h, a, b in zip(hashes[shared].tolist(), first[shared].tolist(), last[shared].tolist()):
+                found[h, words.words(a, b + k)] += 1
         chunk = np.full(len(found), docs["chunk"][0].as_py() if docs.num_rows else 0, np.int64)
         return pa.table({"chunk": chunk, "h": pa.array([h for h, _ in found], pa.int64()), "piece": pa.array([p for _, p in found], pa.binary()), "n": pa.array(found.values(), pa.int64())})
 
     return run
 
 
+def _give_spans(k: int, anchor: int, common: Broadcast):
+    """chunk, span, n: the windows of common anchors, as words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, texts, done = batch.column(0).to_pylist(), _bytes(batch.column(1)), 0
+            for some in _batches(texts):
+                words, found = Words(some), Counter()
+                hashes, text, first, last = _anchors(words, k, anchor)
+                for at in np.flatnonzero(_among(hashes, common.value)).tolist():
+                    for s in range(int(first[at]), int(last[at]) + 1):
+                        found[chunks[done + int(text[at])], words.words(s, s + k)] += 1
+                done += len(some)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["chunk", "span", "n"])
+
+    return run
+
+
+def _among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
+
+
 def recurring_runs(pieces: list[tuple[bytes, int]], k: int) -> list[list[int]]:
     """Of each distinct piece of one anchor, with how often it stands: begin and end of its passages, by word.
 
@@ -143,53 +170,39 @@ def recurring_runs(pieces: list[tuple[bytes, int]], k: int) -> list[list[int]]:
 
 
 def _confirm(k: int):
-    """Rows h, piece, n in order of h -> those with passages; one anchor's pieces are held at a time."""
+    """Rows h, piece, chunk, n in order of h -> chunk, piece, runs of those with passages; one anchor's rows are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
 
         def close():
-            for (piece, _), runs in zip(held, recurring_runs(held, k)):
-                if runs:
-                    out.append((now, piece, runs))
+            if len(held) == 1 and held[0][2] == 1:
+                return
+            times = Counter()
+            for piece, _, n in held:
+                times[piece] += n
+            runs = dict(zip(times, recurring_runs(list(times.items()), k)))
+            out.extend((chunk, piece, runs[piece]) for piece, chunk, _ in held if runs[piece])
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["h", "piece", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["chunk", "piece", "runs"])
 
         for batch in batches:
-            for h, piece, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != now and held:
+            for h, piece, chunk, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != now:
                     close()
-                    held = []
-                now = h
-                held.append((piece, n))
+                    now, held = h, []
+                held.append((piece, chunk, n))
             if len(out) > 1000:
                 yield batch_of(out)
-                out.clear()
-        if held:
-            close()
+                out = []
+        close()
         if out:
             yield batch_of(out)
 
     return run
 
 
-def _confirmed(pieces: DataFrame, k: int, variants: int) -> DataFrame:
-    """h, piece, runs: the passages of every distinct piece that has some."""
-    distinct = stage(pieces.groupBy("h", "piece").agg(F.sum("n").alias("n")), "phrase-pieces")
-    most = max(variants, distinct.count() // HOT_ANCHORS)
-    # fewer than HOT_ANCHORS rows, as each stands for more than `most` pieces
-    hot = F.broadcast(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most).select("h"))
-    few = distinct.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    runs = few.mapInArrow(_confirm(k), "h long, piece binary, runs array<int>")
-    words = F.split(F.col("piece").cast("string"), " ")
-    spans = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda s: F.array_join(F.slice(words, s + 1, F.lit(k)), " "))
-    many = distinct.join(hot, "h", "left_semi").select("h", "piece", "n", F.posexplode(spans).alias("s", "span"))
-    again = many.groupBy("h", "span").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
-    at = many.drop("n").join(again, ["h", "span"]).groupBy("h", "piece").agg(F.array_sort(F.collect_list("s")).alias("at"))
-    return runs.unionByName(at.select("h", "piece", F.flatten(F.transform("at", lambda s: F.array(s, s + k))).alias("runs")))
-
-
 def automaton(passages: list[list[bytes]]) -> tuple[ahocorasick.Automaton | None, dict[bytes, int]]:
     """An automaton over the numbers of words, and these numbers (0 is any other word)."""
     numbers: dict[bytes, int] = {}
@@ -234,7 +247,7 @@ def _remove(spans: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, chunk_chars: int = CHUNK_CHARS, variants: int = VARIANTS, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, chunk_chars: int = CHUNK_CHARS, common: int = COMMON, texts: bool = True) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256, kept_text, removed_spans.
 
     A word goes if a window over it has words that also start a window anywhere else, the same text
@@ -251,11 +264,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
     chunks = max(2 * parts, -(-chars // chunk_chars))
     slim = docs.select(F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(chunks)).alias("chunk"), docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("d_text"))
-    anchors = slim.select("chunk", "d_text").mapInArrow(_give_anchors(window, anchor), "h long, chunk long")
-    alone = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk")).filter("n = 1").select("chunk", "h")
+    slim_texts = slim.select("chunk", "d_text")
+    anchors = slim_texts.mapInArrow(_give_anchors(window, anchor), "h long, chunk long")
+    most = max(common, chars // (2 * HOT_ANCHORS))
+    told = stage(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk")).filter((F.col("n") == 1) | (F.col("n") > most)), "phrase-anchors")
+    hot = np.array(sorted(r.h for r in told.filter(F.col("n") > most).select("h").collect()), np.int64)  # HOT_ANCHORS at most, about
+    sent = spark.sparkContext.broadcast(hot)
     dealt = slim.repartition(parts, "chunk").groupBy("chunk")
-    pieces = stage(dealt.cogroup(alone.groupBy("chunk")).applyInArrow(_give_pieces(window, anchor), "chunk long, h long, piece binary, n long"), "phrase-asked")
-    passages = pieces.join(_confirmed(pieces, window, variants), ["h", "piece"]).select("chunk", "piece", "runs")
+    alone = told.filter("n = 1").select("chunk", "h").groupBy("chunk")
+    pieces = dealt.cogroup(alone).applyInArrow(_give_pieces(window, anchor, sent), "chunk long, h long, piece binary, n long")
+    passages = pieces.select("h", "piece", "chunk", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_confirm(window), "chunk long, piece binary, runs array<int>")
+    if len(hot):
+        spans = stage(slim_texts.mapInArrow(_give_spans(window, anchor, sent), "chunk long, span binary, n long").groupBy("chunk", "span").agg(F.sum("n").alias("n")), "phrase-spans")
+        again = spans.groupBy("span").agg(F.sum("n").alias("n")).filter("n > 1").select("span")
+        passages = passages.unionByName(spans.join(again, "span").select("chunk", F.col("span").alias("piece"), F.array(F.lit(0), F.lit(window)).alias("runs")))
     schema = "d_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans array<long>"
     out = dealt.cogroup(passages.groupBy("chunk")).applyInArrow(_remove(texts), schema)
     return out.withColumnRenamed("d_id", id_col)

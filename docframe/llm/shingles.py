@@ -1,8 +1,8 @@
-"""Words of texts and hashes of runs of words, for many texts at once.
+"""Words of texts and hashes of runs of words, for many texts at once, with numpy.
 
-A word's hash is keyed BLAKE2b; runs of words are hashed by doubling, each step mixing two halves
-without a common base, so no wording of a text makes runs collide by structure.  Hashes only propose:
-operators that merge or remove anything compare the words themselves afterwards.
+A word is hashed by mixing its blocks of 8 bytes in turn, and runs of words by doubling, each step
+mixing two halves.  No step is linear, so no wording of a text makes hashes collide by structure.
+Hashes only propose: operators that merge or remove anything compare the words themselves afterwards.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import numpy as np
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _KEY = b"words of docframe"
-#: Words that a worker remembers the hash of, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of a word from which on it is hashed by BLAKE2b instead.
+LONG = 1024
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The first n bytes of a block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,19 +32,29 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(_ODD) + _U(seed * 0x51ED27 + 1))
 
 
-class _WordHashes(dict):
-    """word -> signed 64-bit hash, bounded in number and length of words."""
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=_KEY).digest(), "little")
 
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little", signed=True)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+
+def _stirred(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    h = (h ^ block) * _U(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> _U(32))) * _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(29))
 
 
-_hash_of = _WordHashes()
+def _word_hashes(data: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[begin:end]; 8 bytes must follow the last of them."""
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    sizes = ends - begins
+    h = _stirred(mix(sizes.astype(_U) * _U(_ODD)), blocks[begins] & _FIRST[np.minimum(sizes, 8)])
+    at, more = 8, np.flatnonzero((sizes > 8) & (sizes < LONG))
+    while len(more):
+        h[more] = _stirred(h[more], blocks[begins[more] + at] & _FIRST[np.minimum(sizes[more] - at, 8)])
+        at += 8
+        more = more[sizes[more] > at]
+    for k in np.flatnonzero(sizes >= LONG).tolist():
+        h[k] = _digest(data[begins[k] : ends[k]])
+    return h
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,16 +63,21 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch of texts, their hashes, and where each text's words begin and end."""
+    """The words of a batch of texts: their hashes, and where each text's words begin and end."""
 
     def __init__(self, texts: list[bytes]):
-        self.lists = [t.split() for t in texts]
-        counts = np.fromiter(map(len, self.lists), np.int64, len(texts))
-        self.ends = np.cumsum(counts)
-        self.begins = self.ends - counts
-        self.hashes = np.empty(int(counts.sum()), _U)
-        for words, begin, end in zip(self.lists, self.begins.tolist(), self.ends.tolist()):
-            self.hashes[begin:end] = np.fromiter(map(_hash_of.__getitem__, words), np.int64, len(words)).view(_U)
+        self._data = b"\n".join([*texts, bytes(8)])
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        inside = ~_SPACE[np.frombuffer(self._data, np.uint8)[: int(lens.sum())]]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+        self._first, self._last = edges[0::2], edges[1::2]
+        self.hashes = _word_hashes(self._data, self._first, self._last)
+        self.ends = np.searchsorted(self._first, np.cumsum(lens))
+        self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if texts else self.ends
+
+    def words(self, begin: int, end: int) -> bytes:
+        """These words, of one text, joined by one space."""
+        return b" ".join(self._data[self._first[begin] : self._last[end - 1]].split()) if end > begin else b""
 
     def starts(self, k: int) -> np.ndarray:
         """First words of all runs of k words that lie in one text."""
@@ -86,5 +105,5 @@ class Words:
         out = runs[np.minimum(first, len(runs) - 1)] if len(runs) else np.zeros(len(first), _U)
         at = np.cumsum(per) - per
         for t in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-            out[at[t]] = int.from_bytes(hashlib.blake2b(b" ".join(self.lists[t]), digest_size=8, key=_KEY).digest(), "little")
+            out[at[t]] = _digest(self.words(int(self.begins[t]), int(self.ends[t])))
         return out, per
