@@ -20,7 +20,7 @@ NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Hash functions at most, and bytes hashed at a time.
 HASHES, CHUNK_BYTES = 128, 1 << 18
 #: Documents and words of a block at most (about); two blocks of a bucket meet in one task.
-BLOCK_DOCS, BLOCK_WORDS = 512, 1 << 18
+BLOCK_DOCS, BLOCK_WORDS = 256, 1 << 18
 #: Tasks that the members of one bucket are spread over while they are counted and joined.
 SALTS = 16
 #: Columns of an incidence matrix that are multiplied at a time; groups up to FEW are compared set by set.
@@ -78,7 +78,7 @@ def _sign(n: int, bands: int, rows: int):
                 words = Words(texts)
                 flat = pa.array(signatures(words, n, bands, rows).view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array([_digest(w) for w in words.lists], pa.binary()), pa.array(words.ends - words.begins), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)],
+                    [batch.column(0).slice(begin, len(texts)), pa.array([_digest(t.split()) for t in texts], pa.binary()), pa.array(words.ends - words.begins), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)],
                     names=["d_id", "digest", "n", "bands"],
                 )
 
