@@ -15,16 +15,18 @@ CURRENCY = r"(?U)[$€£¥,\s]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TYPED = {"integer": "bigint", "float": "double", "boolean": "boolean"}
 MARKER = r"--- Page (\d+) ---"
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_MONTH = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
+_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
-#: Forms of a date that to_date looks for, and which group is year, month and day; month before day where both fit.
+_LONG, _SHORT = (rf"(?<!\d)(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{{n}}})(?!\d)" for n in (4, 2))
+#: Forms of a date that to_date looks for, how one is written anew, and how that is read; month before day where both fit.
 DATES = (
-    (r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", (1, 2, 3)),
-    (r"(?<!\d)(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?!\d)", (4, 1, 3)),
-    (r"(?<!\d)(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?!\d)", (4, 3, 1)),
-    (rf"(?i)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})", (3, 1, 2)),
-    (rf"(?i)(?<!\d){_DAY}\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})", (3, 2, 1)),
+    (r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", "$1-$2-$3", "yyyy-M-d"),
+    (_LONG, "$4-$1-$3", "yyyy-M-d"),
+    (_LONG, "$4-$3-$1", "yyyy-M-d"),
+    (rf"(?i)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})", "$3-$1-$2", "yyyy-MMM-d"),
+    (rf"(?i)(?<!\d){_DAY}\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})", "$3-$2-$1", "yyyy-MMM-d"),
+    (_SHORT, "$4-$1-$3", "yy-M-d"),
+    (_SHORT, "$4-$3-$1", "yy-M-d"),
 )
 
 
@@ -65,21 +67,15 @@ def to_bool(v: Column) -> Column:
     return F.when(word.isin(*TRUE_TOKENS), F.lit(True)).when(word.isin(*FALSE_TOKENS), F.lit(False))
 
 
-def _year(y: Column) -> Column:
-    """Four digits as they are; of two the year less than 50 years ahead."""
-    near = y.try_cast("int") + 2000
-    return F.when(F.length(y) == 2, near - F.when(near >= F.year(F.current_date()) + 50, 100).otherwise(0)).otherwise(y.try_cast("int"))
-
-
 def to_date(v: Column) -> Column:
-    """SC6: the first date of a known form anywhere in the text, month before day where both fit."""
-    text, number = null_tokens(v), F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, str(k + 1))])
-    found = []
-    for pattern, (year, month, day) in DATES:
-        y, m, d = (F.regexp_extract(text, pattern, k) for k in (year, month, day))
-        m = number[F.lower(m)] if "jan" in pattern else m
-        found.append(F.when(y != "", F.try_to_timestamp(F.concat_ws("-", _year(y).cast("string"), m, d), F.lit("yyyy-M-d")).cast("date")))
-    return F.coalesce(*found)
+    """SC6: the first date of a known form anywhere in the text, month before day where both fit.
+
+    Years of two digits are those less than 50 years ahead.
+    """
+    text = null_tokens(v)
+    found = {y: [F.try_to_timestamp(F.regexp_replace(F.regexp_extract(text, p, 0), p, new), F.lit(form)).cast("date") for p, new, form in DATES if form.startswith("yyyy") == y] for y in (True, False)}
+    near = F.coalesce(*found[False])
+    return F.coalesce(*found[True], F.when(F.year(near) >= F.year(F.current_date()) + 50, F.add_months(near, -1200)).otherwise(near))
 
 
 COERCE = {"string": to_string, "integer": to_int, "float": to_float, "boolean": to_bool, "date": to_date}

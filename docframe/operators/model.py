@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,11 +183,11 @@ def model_to_schema(columns: Sequence[tuple[str, str]], link_columns: Sequence[s
 
 
 def _column_facts(df: DataFrame, table: str, table_no: int) -> DataFrame:
-    """One pass over a table: type and uniqueness of each column."""
+    """One pass over a table: the type of each column, and whether it is whole (no nulls).  Nested columns count as texts."""
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for k, name in enumerate(df.columns):
-        text = F.col(f"`{name}`").cast("string")
-        aggs += [F.count(text).alias(f"n{k}"), F.count_distinct(text).alias(f"d{k}")]
+    for k, (name, dtype) in enumerate(df.dtypes):
+        text = F.when(F.col(f"`{name}`").isNotNull(), "x") if dtype.startswith(("array", "map", "struct")) else F.col(f"`{name}`").cast("string")
+        aggs += [F.count(text).alias(f"n{k}"), F.approx_count_distinct(text).alias(f"d{k}")]
         aggs += [F.count_if(f(text).isNotNull()).alias(f"{tag}{k}") for tag, f in (("i", to_int), ("f", to_float), ("b", to_bool), ("t", to_date))]
         aggs.append(F.count_if(F.coalesce(to_float(text) != to_int(text), F.lit(False))).alias(f"frac{k}"))
     facts = df.agg(*aggs)
@@ -194,28 +196,48 @@ def _column_facts(df: DataFrame, table: str, table_no: int) -> DataFrame:
         n = F.col(f"n{k}")
         whole = (F.col(f"i{k}") == n) & (F.col(f"frac{k}") == 0)
         kind = F.when(n == 0, "string").when((F.col(f"b{k}") == n) & (F.col(f"d{k}") <= 2) & ~whole, "boolean").when(whole, "integer").when(F.col(f"f{k}") == n, "float").when(F.col(f"t{k}") == n, "date").otherwise("string")
-        per.append(F.struct(F.lit(k).alias("column_no"), F.lit(name).alias("column_name"), kind.alias("type"), ((n == F.col("rows")) & (F.col(f"d{k}") == n) & (n > 0)).alias("is_unique")))
+        per.append(F.struct(F.lit(k).alias("column_no"), F.lit(name).alias("column_name"), kind.alias("type"), ((n == F.col("rows")) & (n > 0)).alias("whole")))
     return facts.select(F.lit(table).alias("table_name"), F.lit(table_no).alias("table_no"), F.explode(F.array(*per)).alias("c")).select("table_name", "table_no", "c.*")
 
 
-def propose_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """MD8, columns: type of each, and the first unique column of a table as its primary key."""
-    out = None
-    for k, (name, df) in enumerate(tables.items()):
-        facts = _column_facts(df, name, k)
-        out = facts if out is None else out.unionByName(facts)
-    key = F.min(F.when(F.col("is_unique"), F.col("column_no"))).over(Window.partitionBy("table_name"))
-    return out.withColumn("is_primary_key", F.coalesce(F.col("column_no") == key, F.lit(False)))
+def smallest_key(df: DataFrame, columns: Sequence[str], most: int = 3) -> tuple[str, ...]:
+    """The first of the smallest sets of columns, in their order, whose values together are unique; () if there is none.
+
+    Sets are told apart by approximate counts, many in a pass; the few that may be unique are counted
+    exactly, one by one.  The loops run over column names, not over data.
+    """
+    rows = df.count()
+    for size in range(1, most + 1):
+        sets = list(combinations(columns, size))
+        for at in range(0, len(sets), 16):
+            some = sets[at : at + 16]
+            near = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in s])).alias(f"d{k}") for k, s in enumerate(some)]).first()
+            for k, s in enumerate(some):
+                if rows and near[k] >= 0.8 * rows and df.groupBy(*[F.col(f"`{c}`") for c in s]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+                    return s
+    return ()
+
+
+def propose_columns(tables: dict[str, DataFrame], most: int = 3) -> DataFrame:
+    """MD8, columns: type of each, and the smallest set of columns, without nulls, that is unique as the primary key (``most`` columns at most)."""
+    found = []
+    for no, (name, df) in enumerate(tables.items()):
+        facts = _column_facts(df, name, no).collect()  # a row a column
+        key = smallest_key(df, [r.column_name for r in facts if r.whole], most)
+        found += [(r.table_name, no, r.column_no, r.column_name, r.type, r.column_name in key) for r in facts]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(found, "table_name string, table_no int, column_no int, column_name string, type string, is_primary_key boolean")
 
 
 def propose_relationships(tables: dict[str, DataFrame], columns: DataFrame) -> DataFrame:
     """MD8, links: columns whose every value is a value of another table's primary key of the same type.
 
     Candidates share their name from the first underscore on.  Inclusion is one left anti join each;
-    the loop runs over column names, not over data.
+    the loop runs over column names, not over data.  Keys of several columns are no targets.
     """
     facts = {(r["table_name"], r["column_name"]): r for r in columns.collect()}
-    keys = [k for k, r in facts.items() if r["is_primary_key"]]
+    single = Counter(t for (t, _), r in facts.items() if r["is_primary_key"])
+    keys = [k for k, r in facts.items() if r["is_primary_key"] and single[k[0]] == 1]
     found = []
     for (table, column), fact in facts.items():
         for parent, pk in keys:

@@ -76,13 +76,15 @@ def merge_by_natural_key(df: DataFrame, columns: Sequence[Declared], order: Sequ
 
 def merge_notes(df: DataFrame, table: str, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
     """AG7: a note for each row that merge_by_natural_key merges into an earlier one, or keeps for want of a key."""
-    fields = [c.name for c in columns]
+    fields, place = [c.name for c in columns], _order(order)
     keyed = df.withColumn("_key", _key(columns))
-    before = Window.partitionBy(*scope, "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    later = keyed.filter("_key IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(before))
-    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (F.count(F.col(f)).over(before) == 0), F.lit(f)) for f in fields]))
+    # a row fills a field if it is the first with a value: partial minima and a join, no window over a hot key
+    firsts = [F.min(F.when(F.col(f).isNotNull(), place)).alias(f"_at{k}") for k, f in enumerate(fields)]
+    known = keyed.filter("_key IS NOT NULL").groupBy(*scope, "_key").agg(F.min(place).alias("_first"), *firsts)
+    later = keyed.filter("_key IS NOT NULL").join(known, [*scope, "_key"]).filter(place > F.col("_first"))
+    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (place == F.col(f"_at{k}")), F.lit(f)) for k, f in enumerate(fields)]))
     parts = [F.col(f"_key.k{n}").cast("string") for n in range(sum(c.pk for c in columns))]
-    later = later.withColumn("_filled", filled).filter("_n > 0").withColumn("_text", F.concat_ws("|", *parts))
+    later = later.withColumn("_filled", filled).withColumn("_text", F.concat_ws("|", *parts))
     text = F.when(F.size("_filled") > 0, F.concat(F.lit(f"merged {table} duplicate for key "), F.col("_text"), F.lit(": filled "), F.array_join("_filled", ", "))).otherwise(F.concat(F.lit(f"duplicate {table} row for key "), F.col("_text"), F.lit(" had no new fields")))
     nokey = keyed.filter("_key IS NULL").select(*scope, *order, F.lit("row missing primary-key component(s) " + ", ".join(c.name for c in columns if c.pk)).alias("note"))
     return later.select(*scope, *order, text.alias("note")).unionByName(nokey)

@@ -145,32 +145,45 @@ def jn7(spark, d):
     return link_targets(M.downgrade_relationships(M.normalize_identifiers(models(spark, d))))
 
 
+# all columns of these tables
 SOURCES = {
-    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
-    "supplier": ("s_suppkey", "s_name", "s_nationkey"), "part": ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"),
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text"),
 }
+#: Its key has two columns.
+PAIRED = "conversations"
 
 
 def sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {t: table(spark, d, t).select(*cols) for t, cols in SOURCES.items()}
+    return {t: table(spark, d, t) for t in SOURCES}
 
 
 _NUM = r"CASE WHEN regexp_matches(v, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(v AS DOUBLE) END"
+_UNIQUE = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS column_no, count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AND count(*) > 0 AS u FROM {t}" for t, cols in SOURCES.items() for k, c in enumerate(cols))
+_PAIRS = " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, count({a}) = count(*) AND count({b}) = count(*) AND count(DISTINCT ({a}, {b})) = count(*) AS u FROM {PAIRED}" for i, a in enumerate(SOURCES[PAIRED]) for j, b in enumerate(SOURCES[PAIRED]) if i < j
+)
 _FACTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS column_no, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cols in SOURCES.items() for k, c in enumerate(cols))
 
 
-@query("MD8_propose_model", rf"""WITH v AS ({_FACTS}), f AS (SELECT table_name, column_no, column_name, count(*) AS n, count(DISTINCT v) AS dv, count({_NUM}) AS nums, count(*) FILTER (({_NUM}) <> trunc({_NUM})) AS frac,
+@query("MD8_propose_model", rf"""WITH v AS ({_FACTS}), u AS ({_UNIQUE}), k AS (SELECT table_name, min(column_no) AS key FROM u WHERE u GROUP BY 1), p AS (SELECT min((i, j)) AS key FROM ({_PAIRS}) WHERE u),
+f AS (SELECT table_name, column_no, column_name, count(v) AS n, count(DISTINCT v) AS dv, count({_NUM}) AS nums, count(*) FILTER (({_NUM}) <> trunc({_NUM})) AS frac,
   count(*) FILTER (lower(v) IN ('true','t','yes','y','1','false','f','no','n','0')) AS bools, count(*) FILTER (regexp_matches(v, '\d{{4}}-\d{{1,2}}-\d{{1,2}}')) AS dates FROM v GROUP BY ALL)
 SELECT table_name, column_name, CASE WHEN bools = n AND dv <= 2 AND NOT (nums = n AND frac = 0) THEN 'boolean' WHEN nums = n AND frac = 0 THEN 'integer' WHEN nums = n THEN 'float' WHEN dates = n THEN 'date' ELSE 'string' END AS type,
-  CAST(coalesce(column_no = min(CASE WHEN dv = n THEN column_no END) OVER (PARTITION BY table_name), false) AS INTEGER) AS is_primary_key FROM f""")
+  CAST(CASE WHEN k.key IS NOT NULL THEN column_no = k.key ELSE f.table_name = '{PAIRED}' AND coalesce(column_no = p.key[1] OR column_no = p.key[2], false) END AS INTEGER) AS is_primary_key FROM f LEFT JOIN k USING (table_name), p""")
 def md8(spark, d):
     return M.propose_columns(sources(spark, d)).select("table_name", "column_name", "type", F.col("is_primary_key").cast("int").alias("is_primary_key"))
 
 
-@query("MD8_propose_links", """SELECT 'nation' AS source_table, 'n_regionkey' AS source_column, 'region' AS references_table, 'r_regionkey' AS references_column WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))
-UNION ALL SELECT 'customer', 'c_nationkey', 'nation', 'n_nationkey' WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))
-UNION ALL SELECT 'supplier', 's_nationkey', 'nation', 'n_nationkey' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation))
-UNION ALL SELECT 'orders', 'o_custkey', 'customer', 'c_custkey' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))""")
+# columns of the tables above whose names agree with those of keys of one column
+LIKELY = (
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("benchmark", "item_id", "labels", "doc_id"), ("labels", "doc_id", "benchmark", "item_id"), ("conversations", "conv_id", "benchmark", "item_id"), ("conversations", "conv_id", "labels", "doc_id"),
+)
+
+
+@query("MD8_propose_links", " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS source_column, '{p}' AS references_table, '{k}' AS references_column WHERE NOT EXISTS (SELECT 1 FROM {t} WHERE {c} NOT IN (SELECT {k} FROM {p}))" for t, c, p, k in LIKELY))
 def md8_links(spark, d):
     t = sources(spark, d)
     return M.propose_relationships(t, M.propose_columns(t))

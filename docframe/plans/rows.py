@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -332,17 +334,21 @@ def sc11(spark, d):
     return table(spark, d, "part").select("p_partkey", S.snake_case(F.concat("p_brand", F.lit("--"), "p_type", F.lit("!"))).alias("v"))
 
 
-@query("SC13_bbox", "SELECT vec_id, CAST(trunc(100 * list_min([embedding[1], embedding[3]])) AS INTEGER) AS x1, CAST(trunc(100 * list_max([embedding[2], embedding[4]])) AS INTEGER) AS y2 FROM embeddings")
+_HALF = "list_transform(range({0}, len(embedding) + 1, 2), lambda i: embedding[i])"
+
+
+@query("SC13_bbox", f"SELECT vec_id, CAST(trunc(100 * list_min({_HALF.format(1)})) AS INTEGER) AS x1, CAST(trunc(100 * list_min({_HALF.format(2)})) AS INTEGER) AS y1, CAST(trunc(100 * list_max({_HALF.format(1)})) AS INTEGER) AS x2, CAST(trunc(100 * list_max({_HALF.format(2)})) AS INTEGER) AS y2 FROM embeddings")
 def sc13(spark, d):
-    e = F.col("embedding")
-    point = lambda x, y: F.array(e[x] * F.lit(100).cast("float"), e[y] * F.lit(100).cast("float"))
-    box = S.poly_to_bbox(F.array(point(0, 1), point(2, 3)))
-    return table(spark, d, "embeddings").select("vec_id", box["x1"].alias("x1"), box["y2"].alias("y2"))
+    """A vector as a polygon: every two components are a point."""
+    scaled = lambda k: F.get("embedding", k) * F.lit(100).cast("float")
+    box = S.poly_to_bbox(F.transform(F.sequence(F.lit(0), F.size("embedding") - 2, F.lit(2)), lambda k: F.array(scaled(k), scaled(k + 1))))
+    return table(spark, d, "embeddings").select("vec_id", *[box[c].alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("SC18_identifiers", "SELECT doc_id, regexp_matches(split_part(text, ' ', 1), '^[A-Za-z_][A-Za-z0-9_]*$') AS ok FROM documents")
+@query("SC18_identifiers", "SELECT doc_id, CAST(coalesce(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*$'))), 0) AS INTEGER) AS n FROM documents")
 def sc18(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.is_identifier(F.split_part("text", F.lit(" "), F.lit(1))).alias("ok"))
+    """How many words of a text could name a column as they stand."""
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.size(F.filter(F.split("text", " "), S.is_identifier)), F.lit(0)).alias("n"))
 
 
 @query("SC22_names", "SELECT page_id, 'job_' || replace(split_part(url, '/', 3), '-', '_') AS namespace, regexp_extract(url, '^(.*/)', 1) AS prefix, '--- Page ' || page_id || ' ---' AS header FROM pages")
@@ -426,13 +432,13 @@ def ag18(spark, d):
     return graph.graph_counts(graph.nodes(t, "job_1"), graph.graph_edges(t, "job_1"))
 
 
-def uuid5(name: str) -> str:
+def uuid5_sql(name: str) -> str:
     """A version 5 UUID in SQL, by its definition."""
     h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || (['8', '9', 'a', 'b'])[CAST('0x' || substr({h}, 17, 1) AS INTEGER) % 4 + 1] || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-@query("SC15_row_keys", f"SELECT s_suppkey, 'row:' || {uuid5("'supplier␟' || s_suppkey || '␟s_acctbal=' || s_acctbal || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS row_key FROM supplier")
+@query("SC15_row_keys", f"SELECT s_suppkey, 'row:' || {uuid5_sql("'supplier␟' || s_suppkey || '␟s_acctbal=' || s_acctbal || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS row_key FROM supplier")
 def sc15(spark, d):
     """Keys of rows without a natural key: UUIDs of their content and place."""
     t = graph.NodeTable(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), {}, ("s_suppkey",))
@@ -440,14 +446,14 @@ def sc15(spark, d):
 
 
 @query("SNK3_points", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS row_index FROM customer)
-SELECT 'job_1' AS collection, row_index, {uuid5("'customer␟' || row_index || '␟c_mktsegment=' || c_mktsegment || '␟c_name=' || c_name")} AS point_id,
+SELECT 'job_1' AS collection, row_index, {uuid5_sql("'customer␟' || row_index || '␟c_mktsegment=' || c_mktsegment || '␟c_name=' || c_name")} AS point_id,
   'table: customer' || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment AS text, '{{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS payload FROM p""")
 def snk3(spark, d):
     return vectors.points(table(spark, d, "customer"), "customer", "job_1", ["c_name", "c_mktsegment"], ["c_nationkey", "c_custkey"])
 
 
 @query("SC20_point_ids", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS row_index FROM supplier)
-SELECT 'job_1' AS collection, row_index, {uuid5("'supplier␟' || row_index || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS point_id,
+SELECT 'job_1' AS collection, row_index, {uuid5_sql("'supplier␟' || row_index || '␟s_name=' || s_name || '␟s_suppkey=' || s_suppkey")} AS point_id,
   'table: supplier' || chr(10) || 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || s_name AS text, '{{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}}' AS payload FROM p""")
 def sc20(spark, d):
     return vectors.points(table(spark, d, "supplier"), "supplier", "job_1", ["s_suppkey", "s_name"], ["s_nationkey", "s_suppkey"])
@@ -549,9 +555,12 @@ def snk1(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name", F.lit(0).alias("chunk_index"), F.col("p_partkey").alias("row_no"))
     item = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.lit(0).alias("chunk_index"), F.col("l_orderkey").alias("row_no"))
     sink = sinks.SqlSink(spark, {"part": ["p_name"]}, [("lineitem", "l_partkey", "part", "p_partkey")], materialise=stage)
-    loaded = sink.survivors({"part": part, "lineitem": item})
-    counts = [df.select(F.lit(name).alias("table_name")) for name, df in loaded.items()]
-    return counts[0].unionByName(counts[1]).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    scope = "job_" + uuid.uuid4().hex
+    try:
+        loaded = sink.provision({"lineitem": item, "part": part}, scope)
+    finally:
+        sink.delete_output(scope)
+    return spark.createDataFrame(list(loaded.items()), "table_name string, n long")  # a row a table
 
 
 @query("UD5_fuzzy_entities")
