@@ -141,21 +141,21 @@ WITH t AS (
 ), f AS (
   SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE 'doc-' || doc_id || '.txt' END) AS path FROM documents
 ), df AS (
-  SELECT word, count(*) AS df FROM (SELECT DISTINCT path, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM f) WHERE word IN (SELECT word FROM tw) GROUP BY 1
+  SELECT word, count(*) AS df FROM (SELECT DISTINCT path, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM f) WHERE word <> '' GROUP BY 1
 ), n AS (
   SELECT count(text) AS n FROM f
-), idf AS (
-  SELECT v.word, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN df USING (word), n
-), known AS (
-  SELECT word, template, license, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM tw JOIN idf USING (word)
 ), u AS (
   SELECT DISTINCT path, unit FROM (
     SELECT path, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT path, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM f UNION ALL SELECT path, text FROM f WHERE doc_id % 25 = 0
   ) WHERE regexp_matches(unit, '{MARK}')
 ), c AS (
   SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS word FROM (SELECT DISTINCT unit FROM u)) WHERE word <> '' GROUP BY ALL
+), idf AS (
+  SELECT v.word, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT word FROM tw UNION SELECT word FROM c) v LEFT JOIN df USING (word), n
+), known AS (
+  SELECT word, template, license, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM tw JOIN idf USING (word)
 ), wt AS (
-  SELECT unit, word, tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1.0::DOUBLE) AS w FROM c LEFT JOIN idf USING (word), n
+  SELECT unit, word, tf * idf AS w FROM c JOIN idf USING (word)
 ), sc AS (
   SELECT unit, license, round(sum(wt.w * known.w) / any_value(norm), 6) AS score FROM wt JOIN known USING (word) JOIN (SELECT unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY unit) USING (unit) GROUP BY unit, template, license
 ), own AS (
