@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docframe.llm.common import join_spread, stage, word_count
 
 #: Parts that a span of keys is cut into at a time, and rows of a span that one task puts in order.
-CELLS, SPAN_ROWS = 1024, 50_000
+CELLS, SPAN_ROWS = 1024, 4096
 #: Characters that markup and junk are made of; their share lowers a document's weight.
 MARKS = "!#$%&*|<>{}"
 
