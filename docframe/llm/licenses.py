@@ -46,25 +46,29 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     pieces = F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t]*\n"), F.when(_name(F.col("path")).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")))
     found = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, lambda u: u.rlike(MARK)))).alias("body"))
     # a unit goes by its digest: its text isn't carried along with each of its words
-    found = stage(found.withColumn("unit", F.sha2(F.col("body").cast("binary"), 256)), "license-units")
-    marked = found.select("path", "unit")
-    counts = stage(found.select("unit", "body").dropDuplicates(["unit"]).select("unit", F.explode(_words(F.col("body"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf")), "license-counts")
-    per_template = _templates(files)
+    found = stage(found.withColumn("unit", F.unhex(F.sha2(F.col("body").cast("binary"), 256))), "license-units")
+    # all words of a unit stay in one place, so that sums by unit are whole before any shuffle
+    words = found.select("unit", "body").dropDuplicates(["unit"]).select("unit", F.explode(_words(F.col("body"))).alias("word"))
+    counts = stage(words.groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf")), "license-counts")
     n = files.agg(F.count("text").alias("texts"))
     df = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = per_template.select("word").union(counts.select("word")).distinct()
-    idf = vocabulary.join(df, "word", "left").crossJoin(F.broadcast(n)).select("word", (F.log((1.0 + F.col("texts")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
+    idf = df.crossJoin(F.broadcast(n)).select("word", (F.log((1.0 + F.col("texts")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row of texts
     idf = stage(idf, "license-idf")
-    known = per_template.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    none = n.select((F.log(1.0 + F.col("texts")) + 1.0).alias("none"))  # of a word that no text holds
+    known = _templates(files).join(idf, "word", "left").crossJoin(F.broadcast(none)).withColumn("idf", F.coalesce("idf", "none")).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    known = stage(known.select("word", "template", "license", (F.col("w") / norm).alias("tw")), "license-words")
-    per_word = F.broadcast(known.groupBy("word").agg(F.collect_list(F.struct("template", "license", "tw")).alias("in")))  # as many rows as the templates have words
-    weighed = counts.join(idf, "word").join(per_word, "word", "left").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.select("unit", "w", F.explode("in").alias("t")).groupBy("unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
-    scored = dots.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
+    known = stage(known.select("word", "template", "license", "idf", (F.col("w") / norm).alias("tw")), "license-words")
+    per_word = F.broadcast(known.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "tw")).alias("in")))  # as many rows as the templates have words
+    shared = counts.join(per_word, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = shared.select("unit", "w", F.explode("in").alias("t")).groupBy("unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
+    part = shared.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("part"))
+    # the words that it shares with templates are part of a unit's norm, so they bound its cosine from above
+    likely = stage(dots.join(part, "unit").filter(F.col("dot") >= (cosine - 1e-6) * F.col("part")).drop("part"), "license-likely")
+    norms = counts.join(likely.select("unit").distinct(), "unit", "left_semi").join(idf, "word")
+    norms = norms.groupBy("unit").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+    scored = likely.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
     best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    return join_spread(marked, best, "unit").filter("best IS NOT NULL").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    return join_spread(found.select("path", "unit"), best, "unit").filter("best IS NOT NULL").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
