@@ -44,12 +44,16 @@ def form(token: str) -> str:
     return f" N{min(len(token), 4)}" if token[0].isdigit() else f" P{token[:2]}"
 
 
+def index_entries(token: str) -> list[tuple[int, float]]:
+    """Places and signs of a word's sparse random vector, a function of the word alone."""
+    hashes = [xxhash.xxh64_intdigest(token, seed=k) for k in range(NONZERO)]
+    return [((h >> 1) % DIMS, 1.0 if h & 1 else -1.0) for h in hashes]
+
+
 def index_vector(token: str) -> np.ndarray:
-    """The sparse random vector of a word, a function of the word alone."""
     out = np.zeros(DIMS, np.float32)
-    for k in range(NONZERO):
-        h = xxhash.xxh64_intdigest(token, seed=k)
-        out[(h >> 1) % DIMS] += 1.0 if h & 1 else -1.0
+    for place, sign in index_entries(token):
+        out[place] += sign
     return out
 
 
@@ -97,36 +101,45 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Random indexing: a word's vector sums the index vectors of its neighbours and its own."""
-    tokens = [tokens_of(t) for t in texts]
-    counts = Counter(w for ts in tokens for w in ts)
-    names = sorted(w for w, n in counts.items() if n >= LEAST_COUNT) + sorted({form(w) for w in counts})
+def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray, list[np.ndarray]]:
+    """Random indexing: a word's vector sums the index vectors of its neighbours and its own.
+
+    Also the rows of each text's words.
+    """
+    numbers: dict[str, int] = {}
+    found = [np.array([numbers.setdefault(w, len(numbers)) for w in tokens_of(t)], np.int32) for t in texts]
+    counts = np.bincount(np.concatenate(found), minlength=len(numbers)) if found else []
+    names = sorted(w for w, n in zip(numbers, counts) if n >= LEAST_COUNT) + sorted({form(w) for w in numbers})
     rows = {w: k for k, w in enumerate(names)}
-    own = np.array([index_vector(w) for w in names] + [np.zeros(DIMS)], np.float32)
-    place = {w: rows.get(w, rows.get(form(w))) for w in counts}
+    place = np.array([rows[w] if w in rows else rows[form(w)] for w in numbers], np.int32)
+    ids = [place[f] for f in found]
+    entries = np.array([index_entries(w) for w in names] + [[(0, 0.0)] * NONZERO])  # the last row is that of unseen forms
+    dims, signs = entries[:, :, 0].astype(np.int64), entries[:, :, 1]
+    own = sum(np.bincount(np.arange(len(dims)) * DIMS + dims[:, k], signs[:, k], len(dims) * DIMS) for k in range(NONZERO))
     # texts apart by rows of zeros, so that neighbours are of one text
-    gap = [len(names)] * REACH
-    ids = np.array([k for ts in tokens for k in [*map(place.__getitem__, ts), *gap]], np.int64)
-    context = np.zeros_like(own)
+    gap = np.full(REACH, len(names), np.int32)
+    every = np.concatenate([x for i in ids for x in (i, gap)]).astype(np.int64) if ids else np.zeros(0, np.int64)
+    context = np.zeros(len(dims) * DIMS)
     for step in range(1, REACH + 1):
-        left, right = ids[:-step], ids[step:]
-        for d in range(DIMS):
-            context[:, d] += np.bincount(left, own[right, d], len(own)) + np.bincount(right, own[left, d], len(own))
+        for a, b in ((every[:-step], every[step:]), (every[step:], every[:-step])):
+            for k in range(NONZERO):
+                context += np.bincount(a * DIMS + dims[b, k], signs[b, k], len(context))
+    own, context = own.reshape(-1, DIMS), context.reshape(-1, DIMS)
     context[-1] = 0
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-6)
-    return rows, (own + context).astype(np.float32)
+    return rows, (own + context).astype(np.float32), ids
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 60, least_steps: int = 1500) -> QualityModel:
     """Train on all but every fifth row, over small samples more often; those rows calibrate the temperature."""
     rng = np.random.default_rng(seed)
-    rows, vectors = word_vectors(texts)
+    rows, vectors, ids = word_vectors(texts)
     model = QualityModel(rows, vectors, np.zeros(DIMS, np.float32), np.ones(DIMS, np.float32), rng.normal(0, 0.2, (DIMS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.2, HIDDEN).astype(np.float32), 0.0)
     if not texts:
         return model
-    x, y = model.pooled(texts, {}), np.array(labels, np.float32)
+    x = np.array([vectors[i].mean(axis=0) if len(i) else np.zeros(DIMS, np.float32) for i in ids])
+    y = np.array(labels, np.float32)
     held = np.arange(len(y)) % 5 == 4
     model.centre, model.spread = x[~held].mean(0), x[~held].std(0) + 1e-3
     xs, ys = ((x - model.centre) / model.spread)[~held], y[~held]

@@ -254,7 +254,7 @@ def test_gradients_of_the_quality_network():
 
 def test_word_vectors_are_those_of_plain_loops():
     texts = ["the cat sat on the mat , the cat", "a cat and the dog 12 sat", "", "dog dog dog the cat"]
-    rows, vectors = quality.word_vectors(texts)
+    rows, vectors, _ = quality.word_vectors(texts)
     tokens = [quality.tokens_of(t) for t in texts]
     counts = {w: sum(ts.count(w) for ts in tokens) for ts in tokens for w in ts}
     name = lambda w: w if counts[w] >= quality.LEAST_COUNT else quality.form(w)
