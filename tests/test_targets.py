@@ -215,11 +215,12 @@ def test_hashed_embedding(spark):
 
 def test_stages_can_be_cleared(spark, tmp_path):
     import os
+    import urllib.parse
 
     from docframe import session
 
     df = stage(spark.range(3), "kept")
-    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    folder = os.path.dirname(urllib.parse.urlparse(df.inputFiles()[0]).path)
     assert df.count() == 3 and os.path.isdir(folder)
     kept, session._paths[spark.sparkContext.applicationId] = session._paths[spark.sparkContext.applicationId], [folder]
     assert session.clear_stages(spark) == 1 and not os.path.isdir(folder)
