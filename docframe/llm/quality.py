@@ -44,16 +44,19 @@ def form(token: str) -> str:
     return f" N{min(len(token), 4)}" if token[0].isdigit() else f" P{token[:2]}"
 
 
-def index_entries(token: str) -> list[tuple[int, float]]:
-    """Places and signs of a word's sparse random vector, a function of the word alone."""
-    hashes = [xxhash.xxh64_intdigest(token, seed=k) for k in range(NONZERO)]
-    return [((h >> 1) % DIMS, 1.0 if h & 1 else -1.0) for h in hashes]
+def index_hashes(token: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(token, seed=k) for k in range(NONZERO)]
+
+
+def _entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs that hashes stand for."""
+    return ((hashes >> np.uint64(1)) % np.uint64(DIMS)).astype(np.int64), np.where(hashes & np.uint64(1), 1.0, -1.0)
 
 
 def index_vector(token: str) -> np.ndarray:
+    """The sparse random vector of a word, a function of the word alone."""
     out = np.zeros(DIMS, np.float32)
-    for place, sign in index_entries(token):
-        out[place] += sign
+    np.add.at(out, *_entries(np.array(index_hashes(token), np.uint64)))
     return out
 
 
@@ -113,8 +116,9 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray, list[np.
     rows = {w: k for k, w in enumerate(names)}
     place = np.array([rows[w] if w in rows else rows[form(w)] for w in numbers], np.int32)
     ids = [place[f] for f in found]
-    entries = np.array([index_entries(w) for w in names] + [[(0, 0.0)] * NONZERO])  # the last row is that of unseen forms
-    dims, signs = entries[:, :, 0].astype(np.int64), entries[:, :, 1]
+    del numbers, found, place, counts
+    hashes = np.fromiter((h for w in names for h in index_hashes(w)), np.uint64, len(names) * NONZERO).reshape(-1, NONZERO)
+    dims, signs = (np.concatenate([x, np.zeros((1, NONZERO), x.dtype)]) for x in _entries(hashes))  # the last row is that of unseen forms
     own = sum(np.bincount(np.arange(len(dims)) * DIMS + dims[:, k], signs[:, k], len(dims) * DIMS) for k in range(NONZERO))
     # texts apart by rows of zeros, so that neighbours are of one text
     gap = np.full(REACH, len(names), np.int32)
