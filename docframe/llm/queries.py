@@ -9,7 +9,9 @@ import corpus_pipeline
 from docframe.llm import language, quality
 from docframe.llm.common import new_path
 from docframe.llm.exact_dedup import exact_groups
+from docframe.llm.hard_negatives import hard_negatives
 from docframe.llm.licenses import MARK, TEMPLATES, scan_licenses
+from docframe.llm.line_rules import MAX_DOCS, MAX_SHARE, MIN_LEFT, line_rules
 from docframe.llm.mixing import mix_plan
 from docframe.llm.ngram_join import near_duplicates
 from docframe.llm.packing import pack
@@ -71,6 +73,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, label=label)
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
@@ -208,6 +220,62 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS host, coalesce(text, '') AS body FROM documents
+), x AS (
+  SELECT r, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d
+), l AS (
+  SELECT r, line, i, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words,
+         trim(regexp_replace(lower(line), '[ 	-
+]+', ' ', 'g')) AS norm
+  FROM x WHERE regexp_matches(line, '[^ 	-
+]')
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
+), texts AS (
+  SELECT host, body, min(r) AS r FROM d GROUP BY ALL
+), hosts AS (
+  SELECT host, count(*) AS all_docs FROM texts GROUP BY host
+), above AS (
+  SELECT host, norm FROM texts JOIN l USING (r) JOIN hosts USING (host) GROUP BY host, norm HAVING count(DISTINCT r) > {MAX_DOCS} AND count(DISTINCT r) > any_value(all_docs) * {MAX_SHARE!r}::DOUBLE
+), lost AS (
+  SELECT r, CAST(sum(words) AS BIGINT) AS n_removed FROM l JOIN d USING (r) JOIN above USING (host, norm) GROUP BY r
+), w AS (
+  SELECT r, regexp_extract_all(body, '[^ 	-
+]+') AS w FROM d
+), s AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, span) > 1 AS again
+  FROM (SELECT r, unnest(range(1, greatest(len(w) - 3, 1))) AS i, array_to_string(w[i:i + 4], ' ') AS span FROM w)
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM s, range(5) t(k) WHERE again GROUP BY r
+), f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+         CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed
+  FROM d JOIN w USING (r) LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN lost USING (r)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+)
+SELECT *, NOT base_failed AND n_words - n_removed >= 10 AND n_words - n_removed >= n_words * {MIN_LEFT!r}::DOUBLE AS kept FROM b
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pack_windows": op2_pack_windows,
@@ -219,6 +287,8 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_line_rules": op13_line_rules,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -229,4 +299,6 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_line_rules": OP13_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
