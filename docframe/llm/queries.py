@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docframe.llm import language, quality
-from docframe.llm.common import new_path
+from docframe.llm.common import new_path, stage
 from docframe.llm.exact_dedup import exact_groups
 from docframe.llm.hard_negatives import hard_negatives
 from docframe.llm.licenses import MARK, TEMPLATES, scan_licenses
@@ -16,6 +16,7 @@ from docframe.llm.mixing import mix_plan
 from docframe.llm.ngram_join import near_duplicates
 from docframe.llm.packing import pack
 from docframe.llm.phrases import remove_repeats
+from docframe.llm.prefix_trie import prefix_nodes, turn_sequences, with_shared_heads
 from docframe.llm.token_files import read_token_files, write_token_files
 from docframe.llm.topk import exact_top_k
 
@@ -73,6 +74,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = stage(turn_sequences(_table(spark, sf_dir, "conversations")), "turn-sequences")
+    return prefix_nodes(with_shared_heads(sequences))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -220,6 +226,33 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+         lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i < h UNION ALL SELECT conv_id, i, role, text FROM c JOIN t USING (conv_id) WHERE i >= h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER w) AS key, length(text) AS size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), l AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above, lead(key) OVER (PARTITION BY conv_id ORDER BY depth) AS below FROM p
+), n AS (
+  SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(above) AS above, count(*) AS n_convs, count(DISTINCT below) AS n_children, any_value(size) AS size,
+         string_agg(conv_id, ',' ORDER BY conv_id) FILTER (below IS NULL) AS ends
+  FROM l GROUP BY key
+), s AS (
+  SELECT a AS key, sum(n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT DISTINCT x.key AS a, y.key AS b FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.depth <= y.depth) JOIN n ON n.key = b GROUP BY a
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s USING (key) LEFT JOIN n m ON m.key = n.above
+"""
+
 OP12_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -287,6 +320,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_line_rules": op13_line_rules,
     "pipeline": corpus_pipeline.run,
@@ -299,6 +333,7 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_line_rules": OP13_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
