@@ -89,11 +89,12 @@ def bounds(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     """Least and greatest score that each anchor can have with a vector of each zone.
 
     A product lies between those with the zone's two ends; the sign of the anchor's component tells
-    which end gives which.  Rounding leaves room on both sides.
+    which end gives which.  Sums of 2^53 and over are rounded, so they get some room on both sides.
     """
     up, down = np.maximum(anchors, 0), np.minimum(anchors, 0)
     least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
-    room = (np.abs(anchors) @ np.maximum(np.abs(low), np.abs(high)).T) * 2.0**-45
+    room = np.abs(anchors) @ np.maximum(np.abs(low), np.abs(high)).T
+    room = np.where(room < 2.0**53, 0, room * 2.0**-45)
     return least - room, most + room
 
 
