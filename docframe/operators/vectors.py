@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docframe.functions.scalars import page_header, point_id, row_text, to_payload
 from docframe.operators.jobs import dense_index
-from docframe.session import ship, stage
+from docframe.operators.vector_index import SHARE, VectorIndex
+from docframe.session import shared_path, ship, stage
 
 EMBED_BATCH, TOP_K = 100, 10
 #: Rows and components of a block of vectors at most.
 BLOCK_ROWS, BLOCK_VALUES = 1024, 1 << 16
+#: Blocks of queries that go out at a time: 16 MB.
+ROUND_BLOCKS = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,12 +38,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, id, vector), cut into blocks of one bucket and one dimension, each by ascending id; vectors of length 0 are left out."""
+    """Rows (id, vector), cut into blocks of one dimension, each by ascending id; vectors of length 0 are left out."""
     for batch in batches:
         t = pa.Table.from_batches([batch]).append_column("dims", pc.list_value_length(batch.column("vector")))
-        t = t.take(pc.sort_indices(t, sort_keys=[("bucket", "ascending"), ("dims", "ascending"), ("id", "ascending")], null_placement="at_start")).combine_chunks()
-        bucket, dims = t["bucket"].to_numpy(), t["dims"].to_numpy()
-        ends = np.append(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(dims) != 0)) + 1, len(dims))
+        t = t.take(pc.sort_indices(t, sort_keys=[("dims", "ascending"), ("id", "ascending")], null_placement="at_start")).combine_chunks()
+        dims = t["dims"].to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(dims)) + 1, len(dims))
         at = 0
         while at < len(dims):
             size = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, int(dims[at]))))
@@ -50,10 +55,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kept.any():
                 ids = part["id"].filter(pa.array(kept)).combine_chunks()
                 ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket[at]], pa.int32()), pa.array([dims[at]], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([norms[kept].tobytes()], pa.binary()), pa.array([data[kept].tobytes()], pa.binary())],
-                    names=["bucket", "dims", "ids", "norms", "data"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([dims[at]], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([norms[kept].tobytes()], pa.binary()), pa.array([data[kept].tobytes()], pa.binary())], names=["dims", "ids", "norms", "data"])
             at = end
 
 
@@ -61,108 +63,93 @@ def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).astype(np.float64).reshape(-1, dims)
 
 
-def _assign(bits: int, probes: int, seed: int):
-    """Rows (id, vector) with the buckets nearest to each: a bucket is the vector's side of ``bits`` random planes.
+class _Block:
+    """A block as arrays."""
 
-    A bucket is as far as the planes that must be crossed, so one probe is the vector's own bucket.
-    """
-    codes = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    def __init__(self, ids: pa.Array, dims: int, norms: bytes, data: bytes):
+        self.ids, self.norms, self.data = ids, np.frombuffer(norms), np.frombuffer(data).reshape(-1, dims)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                lengths = pc.list_value_length(part.column("vector"))
-                for dims in pc.unique(lengths).to_pylist():
-                    own = pa.Table.from_batches([part]).filter(pc.equal(lengths, dims))
-                    side = _matrix(own["vector"], dims) @ np.random.default_rng([seed, dims]).normal(size=(dims, bits))
-                    far, up = side * side, side > 0
-                    cost = (far * up) @ (1 - codes).T + (far * ~up) @ codes.T
-                    near = np.argsort(cost, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                    own = own.take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))
-                    yield from own.add_column(0, "bucket", pa.array(near.ravel())).combine_chunks().to_batches()
 
-    return run
+def _pairs(q: _Block, c: _Block, k: int) -> pa.Table:
+    """The k best candidates for each query of a pair of blocks, by rounded cosine; no cosine (null) where the dimensions differ."""
+    same = c.data.shape[1] == q.data.shape[1]
+    if same:
+        with np.errstate(all="ignore"):
+            cosines = (q.data @ c.data.T) / np.outer(q.norms, c.norms)
+            cosines = np.copysign(np.floor(np.abs(cosines) * 1e6 + 0.5) / 1e6, cosines) + 0.0
+        key = np.where(np.isnan(cosines), np.inf, cosines)
+    else:
+        key = np.full((len(q.ids), len(c.ids)), -np.inf)
+    least = np.partition(key, len(c.ids) - k, axis=1)[:, len(c.ids) - k] if len(c.ids) > k else np.full(len(q.ids), -np.inf)
+    row, at = np.nonzero(key >= least[:, None])
+    found = pa.table({"row": row, "key": key[row, at], "id": c.ids.take(pa.array(at)), "similarity": pa.array(cosines[row, at]) if same else pa.nulls(len(row), pa.float64())})
+    return _top(found, k)
+
+
+def _top(found: pa.Table, k: int) -> pa.Table:
+    """The k best of every row, by key and id."""
+    found = found.take(pc.sort_indices(found, sort_keys=[("row", "ascending"), ("key", "descending"), ("id", "ascending")], null_placement="at_start"))
+    row = found["row"].to_numpy()
+    return found.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
 
 
-def _best(k: int):
-    """The k best of each pair of blocks, by rounded cosine and id; no cosine (null) where the dimensions differ."""
+def _meet(sent, k: int):
+    """Every task: the k best of its candidates for each query of the round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
         for batch in batches:
             for n in range(batch.num_rows):
-                cell = {name: batch.column(name)[n] for name in batch.schema.names}
-                (c, c_norms, c_ids), (q, q_norms, q_ids) = (
-                    (np.frombuffer(cell[f"{side}data"].as_buffer()).reshape(-1, cell[f"{side}dims"].as_py()), np.frombuffer(cell[f"{side}norms"].as_buffer()), cell[f"{side}ids"].values) for side in ("", "q_")
-                )
-                same = c.shape[1] == q.shape[1]
-                if same:
-                    with np.errstate(all="ignore"):
-                        cosines = (q @ c.T) / np.outer(q_norms, c_norms)
-                        cosines = np.copysign(np.floor(np.abs(cosines) * 1e6 + 0.5) / 1e6, cosines) + 0.0
-                    key = np.where(np.isnan(cosines), np.inf, cosines)
-                else:
-                    key = np.full((len(q), len(c)), -np.inf)
-                least = np.partition(key, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(q), -np.inf)
-                row, at = np.nonzero(key >= least[:, None])
-                order = np.lexsort((at, -key[row, at], row))
-                row, at = row[order], at[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, at = row[first], at[first]
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(at)), pa.array(cosines[row, at]) if same else pa.nulls(len(row), pa.float64())], names=["query_id", "chunk_id", "similarity"])
+                block = _Block(batch.column("ids")[n].values, *(batch.column(c)[n].as_py() for c in ("dims", "norms", "data")))
+                for at, queries in enumerate(sent.value):
+                    found = _pairs(queries, block, k)
+                    best[at] = _top(pa.concat_tables([best[at], found]), k) if at in best else found
+        for at, t in best.items():
+            yield from pa.table({"query_id": sent.value[at].ids.take(t["row"].combine_chunks()), "chunk_id": t["id"], "similarity": t["similarity"]}).combine_chunks().to_batches()
 
     return run
 
 
-def _vectors(df: DataFrame, name: str) -> DataFrame:
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """Blocks of rows, staged."""
     whole = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
-    return df.filter(whole).select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = df.filter(whole).select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return stage(rows.mapInArrow(_blocks, f"dims int, ids array<{rows.schema['id'].dataType.simpleString()}>, norms binary, data binary"))
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """Blocks of rows (bucket, id, vector), staged: they are read once per block that they meet."""
-    return stage(df.mapInArrow(_blocks, f"bucket int, dims int, ids array<{df.schema['id'].dataType.simpleString()}>, norms binary, data binary"))
-
-
-def _ranked(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double"
-    names = [f"{side}{c}" for side in ("", "q_") for c in ("dims", "ids", "norms", "data")]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return pairs.select(*names).mapInArrow(_best(k), kinds).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
     """TK1: query_id, rank, chunk_id, similarity: the k nearest chunks of each query by cosine.
 
-    chunks: chunk_id, embedding; queries: query_id, embedding, of any number.  Blocks of chunks meet
-    blocks of queries, and each pair of blocks keeps its k best of every query before the shuffle.
+    chunks: chunk_id, embedding; queries: query_id, embedding, of any number.  Chunks stay in place,
+    packed; queries go to them in rounds of ``round_blocks`` blocks of at most BLOCK_VALUES numbers, one
+    round after another, and a task keeps its k best of every query before the shuffle.
     """
-    ship(chunks.sparkSession)
-    c, q = (_packed(_vectors(df, name).select(F.lit(0).alias("bucket"), "id", "vector")) for df, name in ((chunks, "chunk_id"), (queries, "query_id")))
-    return _ranked(c.crossJoin(q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])), chunks, queries, k)
+    spark = chunks.sparkSession
+    ship(spark)
+    c, q = _packed(chunks, "chunk_id"), _packed(queries, "query_id")
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double"
+    rounds, results = max(1, -(-q.count() // round_blocks)), []
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
+    for r in range(rounds):
+        blocks = [_Block(pa.array(x["ids"], kind), x["dims"], x["norms"], x["data"]) for x in q.filter(F.pmod(F.xxhash64("data", "ids"), F.lit(rounds)) == r).collect()]
+        if blocks:
+            hits = c.mapInArrow(_meet(spark.sparkContext.broadcast(blocks), k), kinds)
+            found = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            results.append(found if rounds == 1 else stage(found, "retrieved"))
+    return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], f"{kinds}, rank int")
 
 
-def retrieve_approx(chunks: DataFrame, queries: DataFrame | list[float], k: int = TOP_K, bits: int = 6, share: float = 0.75, seed: int = 7) -> DataFrame:
-    """TK2: retrieve, where a query meets only the chunks of the ``share`` of hash buckets that are nearest to it.
+def retrieve_approx(chunks: DataFrame, queries: DataFrame | list[float], k: int = TOP_K, share: float = SHARE) -> DataFrame:
+    """TK2 without a kept index: one is built in the shared folder and asked at once, see VectorIndex.
 
-    A chunk is in one of 2^bits buckets, the side it has of random planes, so none is found twice;
-    found chunks are ranked by their exact cosines.  The share is that large because the neighbours
-    of vectors without clusters are hardly nearer than the rest.  Where queries is one vector, its
-    chunk_id and similarity only.
+    Where queries is one vector, its chunk_id and similarity only.
     """
+    spark = chunks.sparkSession
     if not isinstance(queries, DataFrame):
-        one = chunks.sparkSession.createDataFrame([(0, [float(x) for x in queries])], "query_id int, embedding array<double>")
-        return retrieve_approx(chunks, one, k, bits, share, seed).select("chunk_id", "similarity")
-    ship(chunks.sparkSession)
-
-    def hashed(df: DataFrame, name: str, probes: int) -> DataFrame:
-        rows = _vectors(df, name)
-        rows = rows.mapInArrow(_assign(bits, probes, seed), f"bucket int, id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
-        return _packed(rows.repartition("bucket").sortWithinPartitions("bucket"))
-
-    c, q = hashed(chunks, "chunk_id", 1), hashed(queries, "query_id", max(1, round(share * (1 << bits))))
-    q = q.select("bucket", "dims", *[F.col(x).alias(f"q_{x}") for x in q.columns if x != "bucket"])
-    return _ranked(c.join(q, ["bucket", "dims"]), chunks, queries, k)
+        one = spark.createDataFrame([(0, [float(x) for x in queries])], "query_id int, embedding array<double>")
+        return retrieve_approx(chunks, one, k, share).select("chunk_id", "similarity")
+    return VectorIndex.create(chunks, shared_path(spark, "vector-index")).search(queries, k, share)
 
 
 def retrieval_context(ranked: DataFrame) -> DataFrame:
