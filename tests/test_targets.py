@@ -145,18 +145,95 @@ def test_streams_equal_their_stored_twins(spark, tmp_path):
     assert sorted(map(tuple, spark.table("until").collect()), key=repr) == sorted(map(tuple, twin.select(*spark.table("until").columns).collect()), key=repr)
 
 
+def test_a_streamed_feed_equals_the_stored_one(spark, tmp_path):
+    """The present state first, then later events; what is kept in the end is that jobs have closed, and nothing of open ones."""
+    from docframe.operators.jobs import status_feed
+    from docframe.plans.jobs import job_events
+
+    source, since = str(tmp_path / "events"), datetime.datetime(2024, 1, 1, 12)
+    every = job_events(spark, "/root/testdata/sf0.001").select("job_id", "event_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    later = every.filter(F.col("ts") > F.lit(since))
+    cuts = [since + (later.agg(F.max("ts")).first()[0] - since) * k / 4 for k in range(5)]
+    for low, high in zip(cuts, cuts[1:]):
+        later.filter((F.col("ts") > F.lit(low)) & (F.col("ts") <= F.lit(high))).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    feed = status.stream_feed(stream, every, since, order=("ts", "event_id"), keep="40 days", late="1 minute")
+    seen = []
+
+    def note(batch, epoch):
+        seen.extend((epoch, tuple(r)) for r in batch.collect())
+
+    q = feed.writeStream.foreachBatch(note).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    twin = status_feed(every, F.lit(since), order=("ts", "event_id")).select("job_id", "event_id", "status", "ts", "current")
+    assert sorted(r for _, r in seen) == sorted(map(tuple, twin.collect()))
+    told = {}
+    for epoch, (job, _, _, _, current) in seen:
+        assert not (current and job in told), "the present state comes first"
+        told[job] = epoch
+
+
+def test_closed_jobs_are_forgotten(spark, tmp_path):
+    source, since = str(tmp_path / "events"), T0
+    rows = [(f"j{k}", "FAILED" if k % 2 else "PROFILING", T0 - datetime.timedelta(minutes=k)) for k in range(40)]
+    later = [[(f"j{k}", "COMPLETED", T0 + datetime.timedelta(minutes=1 + k)) for k in range(0, 30)], [("x", "PROFILING", T0 + datetime.timedelta(hours=3))], [("x", "FAILED", T0 + datetime.timedelta(hours=9))], [("y", "PROFILING", T0 + datetime.timedelta(hours=20))]]
+    frame = lambda r: spark.createDataFrame(r, "job_id string, status string, ts timestamp")
+    for r in later:
+        frame(r).coalesce(1).write.mode("append").parquet(source)
+    feed = status.stream_feed(spark.readStream.schema(frame([]).schema).option("maxFilesPerTrigger", 1).parquet(source), frame(rows), since, keep="2 hours", late="1 minute")
+    q = feed.writeStream.outputMode("append").format("memory").queryName("fed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    kept = [p["stateOperators"][0]["customMetrics"]["numValueStateVars"] and p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    got = {(r.job_id, r.status, r.current) for r in spark.table("fed").collect()}
+    assert got == {(j, s, True) for j, s, _ in rows} | {(f"j{k}", "COMPLETED", False) for k in range(0, 30, 2)} | {("x", "PROFILING", False), ("x", "FAILED", False), ("y", "PROFILING", False)}
+    assert max(kept) >= 40 and kept[-1] == 0, kept
+
+
 def test_document_stream(spark, tmp_path):
+    """Repeated and replayed documents change nothing, changed ones take the place of what they gave before."""
+    from docframe.sources.readers import regions_from_text
+
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
-    docs.write.parquet(source)
+    arrive = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string, day int").coalesce(1).write.mode("append").parquet(source)
+    latest = {}
+
+    def run(**options):
+        status.stream_documents(spark, source, "doc_id long, text string, day int", regions_from_text, out, check, order=["day"], **options).awaitTermination()
+        want = regions_from_text(spark.createDataFrame([(i, t) for i, t in latest.items()], "doc_id long, text string"))
+        got = status.read_processed(spark, out).select(*want.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+    arrive((1, "a\nb", 1), (2, "c", 1), (3, None, 1), (None, "nobody's", 1))
+    latest |= {1: "a\nb", 2: "c"}
+    run()
+    run()  # nothing new
+    arrive((1, "a\nb", 2), (2, "c", 9))  # as they were
+    run()
+    assert spark.read.parquet(f"{out}/versions").count() == 3
+    arrive((1, "z", 3), (1, "y\ny", 4), (4, "new", 3))  # changed, twice in one batch
+    latest |= {1: "y\ny", 4: "new"}
+    run()
+    arrive((2, "", 5))  # nothing is left of it
+    del latest[2]
+    run()
+    arrive((2, "c", 6))
+    latest[2] = "c"
+    run(files_per_batch=1)
+    assert spark.read.parquet(f"{out}/versions").filter("doc_id = 2").count() == 3
+
+
+def test_a_batch_of_documents_that_runs_again_changes_nothing(spark, tmp_path):
     from docframe.sources.readers import regions_from_text
 
-    for _ in range(2):  # nothing new arrives for the second run
-        status.stream_documents(spark, source, "doc_id long, text string", regions_from_text, out, check).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
-    docs.write.mode("append").parquet(source)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc_id long, text string").write.parquet(source)
+    broken = lambda df: regions_from_text(df).withColumn("text", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        status.stream_documents(spark, source, "doc_id long, text string", broken, out, check).awaitTermination()
     status.stream_documents(spark, source, "doc_id long, text string", regions_from_text, out, check).awaitTermination()
-    assert spark.read.parquet(out).count() == 4
+    assert sorted(r.text for r in status.read_processed(spark, out).collect()) == ["a", "b", "c"]
 
 
 def test_run_files(spark, tmp_path):
