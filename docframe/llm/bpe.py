@@ -4,7 +4,8 @@ A byte-level BPE never merges across its pre-tokens, and a space that is followe
 white space always opens a pre-token.  Texts are therefore cut before such spaces and each distinct
 piece is encoded once per worker; the joined ids equal those of the whole text.  A text with other
 spaces (doubled, before a line feed, at its end) is encoded in one go, and so is one that holds the
-content of an added token, which has the id of its own that the vocabulary file gives it.
+content of an added token, which has the id of its own that the vocabulary file gives it.  A line feed
+between a mark and a letter ends a pre-token, so texts are cut there as well.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from array import array
 
 #: A space that may not open a pre-token: it ends the text or white space follows.
 _UNSURE = re.compile("  | [\\s\u180e\u200b\ufeff]| $")
-#: Pieces kept per worker; beyond it the cache starts again, so memory stays bounded.
-CACHE_PIECES = 500_000
+#: Pieces kept per worker, about 200 MB; beyond it those not met lately go, so memory stays bounded.
+CACHE_PIECES = 1_200_000
 #: Pieces of more characters are encoded anew each time.
 LONGEST = 256
 #: Pieces of letter runs and marks whose parts are pre-tokens on their own, whatever follows (a piece of other parts goes to the whole encoder).
 _PARTS = re.compile(r"[^\W\d_]+|[^\w\s']+\n?|\n(?=[^\W\d_])")
+#: A line feed that ends a pre-token: what follows opens one without a space, which CUT notes.
+_LINE = re.compile(r"\n(?<=[^\w\s']\n)(?=[^\W\d_])")
+CUT = "\0"
 #: Marks that end a word most often.
 _MARKS = frozenset(".,;:!?")
 
@@ -46,16 +50,20 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class _Remembered(dict):
-    """What a function gives for a text, kept for a bounded number of texts."""
+    """What a function gives for a text, kept for a bounded number of texts: half of them new, half those before."""
 
     def __init__(self, find, limit: int):
         super().__init__()
-        self._find, self._limit = find, limit
+        self._find, self._limit, self._before = find, max(1, limit // 2), {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self._find(text)
-        if len(text) <= LONGEST:
+        found = self._before.get(text)
+        if found is None:
+            found = self._find(text)
+        # a word at the end of a line hardly comes again, and is put together from its parts
+        if len(text) <= 2 or len(text) <= LONGEST and text[-1] != "\n":
             if len(self) >= self._limit:
+                self._before = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -89,15 +97,21 @@ class PieceEncoder:
         return self._letters("", part) if part.isalpha() else self._ids(part)
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece as if a space stood before it."""
-        if piece.isalpha():
-            return self._letters(_SPACE, piece)
-        if piece[-1] in _MARKS and piece[:-1].isalpha():
-            return self._pieces[piece[:-1]] + self._parts[piece[-1]]
-        found = _PARTS.findall(piece)
-        if not found or sum(map(len, found)) != len(piece):
-            return self._ids(" " + piece)
-        head = self._pieces[found[0]] if found[0].isalpha() else self._parts[" " + found[0]]
+        """Ids of a piece as if a space stood before it, or nothing where CUT begins it."""
+        cut = piece[0] == CUT
+        word = piece[1:] if cut else piece
+        if word.isalpha():
+            return self._letters("" if cut else _SPACE, word)
+        end = word[-2:] if word[-1] == "\n" else word[-1]
+        if end[0] in _MARKS and word[: -len(end)].isalpha():
+            return self._pieces[piece[: -len(end)]] + self._parts[end]
+        found = _PARTS.findall(word)
+        if not found or sum(map(len, found)) != len(word):
+            return self._ids(word if cut else " " + word)
+        if found[0].isalpha():
+            head = self._pieces[CUT + found[0] if cut else found[0]]
+        else:
+            head = self._parts[found[0] if cut else " " + found[0]]
         return head + b"".join(map(self._parts.__getitem__, found[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -105,10 +119,10 @@ class PieceEncoder:
         out = []
         for text in texts:
             text = text or ""
-            if _UNSURE.search(text) or self._added and self._added.search(text):
+            if _UNSURE.search(text) or CUT in text or self._added and self._added.search(text):
                 out.append(self._ids(text))
                 continue
-            first, *pieces = text.split(" ")
+            first, *pieces = _LINE.sub("\n " + CUT, text).split(" ")
             head = (self._parts[first] if first.isalpha() else self._ids(first)) if first else b""
             out.append(head + b"".join(map(self._pieces.__getitem__, pieces)))
         return out
