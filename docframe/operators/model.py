@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 
 from docframe import schemas
 from docframe.functions.scalars import namespace, snake_case, to_bool, to_date, to_float, to_int
+from docframe.operators.keys import links_to_keys, smallest_key
 from docframe.session import stage
 
 # Words that may not name a table or column, and columns that every table gets.
@@ -200,59 +199,55 @@ def _column_facts(df: DataFrame, table: str, table_no: int) -> DataFrame:
     return facts.select(F.lit(table).alias("table_name"), F.lit(table_no).alias("table_no"), F.explode(F.array(*per)).alias("c")).select("table_name", "table_no", "c.*")
 
 
-def smallest_key(df: DataFrame, columns: Sequence[str], most: int = 3) -> tuple[str, ...]:
-    """The first of the smallest sets of columns, in their order, whose values together are unique; () if there is none.
-
-    Sets are told apart by approximate counts, many in a pass; the few that may be unique are counted
-    exactly, one by one.  The loops run over column names, not over data.
-    """
-    rows = df.count()
-    for size in range(1, most + 1):
-        sets = list(combinations(columns, size))
-        for at in range(0, len(sets), 16):
-            some = sets[at : at + 16]
-            near = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in s])).alias(f"d{k}") for k, s in enumerate(some)]).first()
-            for k, s in enumerate(some):
-                if rows and near[k] >= 0.8 * rows and df.groupBy(*[F.col(f"`{c}`") for c in s]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
-                    return s
-    return ()
-
-
-def propose_columns(tables: dict[str, DataFrame], most: int = 3) -> DataFrame:
-    """MD8, columns: type of each, and the smallest set of columns, without nulls, that is unique as the primary key (``most`` columns at most)."""
+def propose_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """MD8, columns: type of each, and the smallest set of columns, without nulls, that is unique as the primary key."""
     found = []
     for no, (name, df) in enumerate(tables.items()):
         facts = _column_facts(df, name, no).collect()  # a row a column
-        key = smallest_key(df, [r.column_name for r in facts if r.whole], most)
+        key = smallest_key(df, [r.column_name for r in facts if r.whole])
         found += [(r.table_name, no, r.column_no, r.column_name, r.type, r.column_name in key) for r in facts]
     spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(found, "table_name string, table_no int, column_no int, column_name string, type string, is_primary_key boolean")
 
 
-def propose_relationships(tables: dict[str, DataFrame], columns: DataFrame) -> DataFrame:
-    """MD8, links: columns whose every value is a value of another table's primary key of the same type.
+LINKS = "source_table string, source_columns array<string>, references_table string, references_columns array<string>, n_values long, n_keys long, alike boolean"
+
+
+def _alike(column: str, parent: str, key: str) -> bool:
+    """Whether a column's name speaks of a key: the same from the first underscore on, or with the table's name in it."""
+    tail = lambda name: name.split("_", 1)[-1].lower()
+    return tail(column) == tail(key) or parent.lower().rstrip("s") in column.lower()
 
-    Candidates share their name from the first underscore on.  Inclusion is one left anti join each;
-    the loop runs over column names, not over data.  Keys of several columns are no targets.
+
+def propose_links(tables: dict[str, DataFrame], columns: DataFrame) -> DataFrame:
+    """MD8, links: all columns, or sets of them, whose every value is a value of a primary key of the same types.
+
+    Names play no part in finding them, and a table's own key is no exception; ``alike`` tells whether
+    the names agree, n_values and n_keys how many different values both sides have.
     """
-    facts = {(r["table_name"], r["column_name"]): r for r in columns.collect()}
-    single = Counter(t for (t, _), r in facts.items() if r["is_primary_key"])
-    keys = [k for k, r in facts.items() if r["is_primary_key"] and single[k[0]] == 1]
-    found = []
-    for (table, column), fact in facts.items():
-        for parent, pk in keys:
-            same = column.split("_", 1)[-1] == pk.split("_", 1)[-1] and fact["type"] == facts[parent, pk]["type"]
-            if parent == table or not same:
-                continue
-            child = tables[table].select(F.col(column).alias("v")).filter("v IS NOT NULL")
-            lost = child.join(tables[parent].select(F.col(pk).alias("v")), "v", "left_anti").agg(F.count(F.lit(1)).alias("misses"))
-            found.append(lost.select(F.lit(table).alias("source_table"), F.lit(column).alias("source_column"), F.lit(parent).alias("references_table"), F.lit(pk).alias("references_column"), "misses"))
-    if not found:
-        return columns.sparkSession.createDataFrame([], "source_table string, source_column string, references_table string, references_column string")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter("misses = 0").drop("misses")
+    rows = columns.orderBy("table_no", "column_no").collect()  # a row a column
+    keys: dict[str, tuple[str, ...]] = {}
+    for r in rows:
+        if r.is_primary_key:
+            keys[r.table_name] = (*keys.get(r.table_name, ()), r.column_name)
+    found = links_to_keys(tables, {(r.table_name, r.column_name): r.type for r in rows}, keys)
+    out = [(t, list(c), p, list(k), n, m, all(_alike(x, p, y) for x, y in zip(c, k))) for t, c, p, k, n, m in found]
+    return columns.sparkSession.createDataFrame(out, LINKS)
+
+
+def propose_relationships(tables: dict[str, DataFrame], columns: DataFrame, cover: float = 0.5) -> DataFrame:
+    """MD8: of the links of each column to keys of one column the likeliest: of like names, or those that reach a share of ``cover`` of the keys.
+
+    Like names come first, then the larger share, then the first names; a key links to no other table
+    whose names are unlike its own, as numbers from one on are in each other.
+    """
+    own = columns.filter("is_primary_key").select(F.col("table_name").alias("source_table"), F.array("column_name").alias("source_columns"), F.lit(True).alias("is_key"))
+    share = F.col("n_values") / F.col("n_keys")
+    single = propose_links(tables, columns).filter(F.size("source_columns") == 1).join(F.broadcast(own), ["source_table", "source_columns"], "left")  # a row a column
+    likely = single.filter(F.col("alike") | (F.col("is_key").isNull() & (share >= cover)))
+    order = Window.partitionBy("source_table", "source_columns").orderBy(F.desc("alike"), F.desc(share), "references_table")
+    best = likely.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return best.select("source_table", F.col("source_columns")[0].alias("source_column"), "references_table", F.col("references_columns")[0].alias("references_column"))
 
 
 def propose_model(tables: dict[str, DataFrame], job_id: str, proposer: Callable[[dict[str, DataFrame]], DataFrame] | None = None) -> DataFrame:

@@ -176,14 +176,41 @@ def md8(spark, d):
     return M.propose_columns(sources(spark, d)).select("table_name", "column_name", "type", F.col("is_primary_key").cast("int").alias("is_primary_key"))
 
 
-# columns of the tables above whose names agree with those of keys of one column
-LIKELY = (
-    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-    ("benchmark", "item_id", "labels", "doc_id"), ("labels", "doc_id", "benchmark", "item_id"), ("conversations", "conv_id", "benchmark", "item_id"), ("conversations", "conv_id", "labels", "doc_id"),
-)
+_TYPED = rf"""v AS ({_FACTS}), u AS ({_UNIQUE}), k AS (SELECT table_name, min(column_no) AS key FROM u WHERE u GROUP BY 1), p AS (SELECT min((i, j)) AS key FROM ({_PAIRS}) WHERE u),
+f AS (SELECT table_name, column_no, column_name, count(v) AS n, count(DISTINCT v) AS dv, count({_NUM}) AS nums, count(*) FILTER (({_NUM}) <> trunc({_NUM})) AS frac,
+  count(*) FILTER (lower(v) IN ('true','t','yes','y','1','false','f','no','n','0')) AS bools, count(*) FILTER (regexp_matches(v, '\d{{4}}-\d{{1,2}}-\d{{1,2}}')) AS dates FROM v GROUP BY ALL),
+ty AS (SELECT table_name, column_no, column_name, CASE WHEN bools = n AND dv <= 2 AND NOT (nums = n AND frac = 0) THEN 'boolean' WHEN nums = n AND frac = 0 THEN 'integer' WHEN nums = n THEN 'float' WHEN dates = n THEN 'date' ELSE 'string' END AS type,
+  CASE WHEN k.key IS NOT NULL THEN column_no = k.key ELSE f.table_name = '{PAIRED}' AND coalesce(column_no = p.key[1] OR column_no = p.key[2], false) END AS pk FROM f LEFT JOIN k USING (table_name), p)"""
+_BOTH = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{a}' AS a, '{b}' AS b, CAST({a} AS VARCHAR) AS va, CAST({b} AS VARCHAR) AS vb FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for t, cols in SOURCES.items() for a in cols for b in cols if a != b)
+_TAIL = "regexp_replace(lower({}), '^[^_]*_', '')"
+
+
+def _names_agree(column: str, parent: str, key: str) -> str:
+    return f"({_TAIL.format(column)} = {_TAIL.format(key)} OR contains(lower({column}), regexp_replace(lower({parent}), 's+$', '')))"
+
+
+_LINKED = f"""{_TYPED}, nk AS (SELECT table_name, count(*) AS n_columns FROM ty WHERE pk GROUP BY 1),
+d AS (SELECT DISTINCT table_name, column_name, type, pk, v FROM v JOIN ty USING (table_name, column_name) WHERE v IS NOT NULL), n AS (SELECT table_name, column_name, count(*) AS n FROM d GROUP BY ALL),
+one AS (SELECT a.table_name AS st, a.column_name AS sc, b.table_name AS rt, b.column_name AS rc, any_value(a.pk) AS a_key, count(*) AS m FROM d a JOIN d b ON a.type = b.type AND a.v = b.v AND b.pk AND (a.table_name, a.column_name) <> (b.table_name, b.column_name) JOIN nk ON nk.table_name = b.table_name AND n_columns = 1 GROUP BY ALL),
+single AS (SELECT st, sc, rt, rc, m AS n_values, y.n AS n_keys, a_key, {_names_agree("sc", "rt", "rc")} AS alike FROM one JOIN n x ON x.table_name = st AND x.column_name = sc AND x.n = m JOIN n y ON y.table_name = rt AND y.column_name = rc)"""
+
+
+@query("MD8_inclusions", f"""WITH {_LINKED}, two AS ({_BOTH}), kinds AS (SELECT two.*, x.type AS ta, y.type AS tb FROM two JOIN ty x ON x.table_name = t AND x.column_name = a JOIN ty y ON y.table_name = t AND y.column_name = b),
+key2 AS (SELECT t.table_name AS rt, min(t.column_name) FILTER (t.column_no = p.key[1]) AS ra, min(t.column_name) FILTER (t.column_no = p.key[2]) AS rb FROM ty t JOIN nk USING (table_name), p WHERE pk AND n_columns = 2 GROUP BY 1),
+n2 AS (SELECT t, a, b, count(*) AS n FROM two GROUP BY ALL),
+pairs AS (SELECT x.t, x.a, x.b, rt, ra, rb, count(*) AS m FROM kinds x JOIN kinds y ON x.va = y.va AND x.vb = y.vb AND x.ta = y.ta AND x.tb = y.tb JOIN key2 ON y.t = rt AND y.a = ra AND y.b = rb WHERE (x.t, x.a, x.b) <> (rt, ra, rb) GROUP BY ALL)
+SELECT st AS source_table, sc AS source_columns, rt AS references_table, rc AS references_columns, n_values, n_keys, CAST(alike AS INTEGER) AS alike FROM single
+UNION ALL SELECT pairs.t, pairs.a || ', ' || pairs.b, rt, ra || ', ' || rb, m, k.n, CAST({_names_agree("pairs.a", "rt", "ra")} AND {_names_agree("pairs.b", "rt", "rb")} AS INTEGER)
+FROM pairs JOIN n2 c ON c.t = pairs.t AND c.a = pairs.a AND c.b = pairs.b AND c.n = m JOIN n2 k ON k.t = rt AND k.a = ra AND k.b = rb""")
+def md8_inclusions(spark, d):
+    """All columns, and pairs of columns, whose values are all values of a key."""
+    t = sources(spark, d)
+    names = [F.array_join(c, ", ").alias(c) for c in ("source_columns", "references_columns")]
+    return M.propose_links(t, M.propose_columns(t)).select("source_table", names[0], "references_table", names[1], "n_values", "n_keys", F.col("alike").cast("int").alias("alike"))
 
 
-@query("MD8_propose_links", " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS source_column, '{p}' AS references_table, '{k}' AS references_column WHERE NOT EXISTS (SELECT 1 FROM {t} WHERE {c} NOT IN (SELECT {k} FROM {p}))" for t, c, p, k in LIKELY))
+@query("MD8_propose_links", f"""WITH {_LINKED} SELECT st AS source_table, sc AS source_column, rt AS references_table, rc AS references_column FROM single WHERE alike OR (NOT a_key AND n_values / n_keys >= 0.5)
+QUALIFY row_number() OVER (PARTITION BY st, sc ORDER BY alike DESC, n_values / n_keys DESC, rt) = 1""")
 def md8_links(spark, d):
     t = sources(spark, d)
     return M.propose_relationships(t, M.propose_columns(t))
