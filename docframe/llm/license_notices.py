@@ -20,12 +20,15 @@ _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you m
 _APACHE_REST = 'You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
 
+#: What a sentence says that both licences share.
+_EITHER_BSD = "BSD-2-Clause OR BSD-3-Clause"
+
 #: The notices that were here first; their places are kept.
 _FIRST = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", _APACHE),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    (_EITHER_BSD, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    (_EITHER_BSD, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -84,7 +87,7 @@ def _gnu(name: str, title: str, version: str, date: str) -> list[str]:
 def _cc(code: str, title: str, version: str) -> list[str]:
     kind = "International" if version == "4.0" else "Unported"
     return [
-        f"Licensed under CC {code} {version}.", f"This work is licensed under CC {code} {version}.", f"Licensed under a Creative Commons {title} {version} {kind} License.", f"This work is licensed under a Creative Commons {title} {version} {kind} License.",
+        f"Licensed under CC {code} {version}.", f"Released under CC {code} {version}.", f"License: CC {code} {version}", f"Creative Commons {title} {version} {kind}", f"This work is licensed under CC {code} {version}.", f"Licensed under a Creative Commons {title} {version} {kind} License.", f"This work is licensed under a Creative Commons {title} {version} {kind} License.",
         f"Creative Commons {title} {version} {kind} Public License", f"This work is licensed under the Creative Commons {title} {version} {kind} License. To view a copy of this license, visit http://creativecommons.org/licenses/{code.lower()}/{version}/.", *_spdx(f"CC-{code}-{version}"),
     ]
 
@@ -104,7 +107,7 @@ def _all() -> tuple[tuple[str, str], ...]:
     found += [(row[0], text) for row in _GNU for text in _gnu(*row)]
     found += [(f"CC-{code}-{version}", text) for code, title in _CC for version in ("4.0", "3.0") for text in _cc(code, title, version)]
     found += [(name, text) for name, title in _TITLES for text in _titled(name, title)]
-    found += [("CC0-1.0", text) for text in ("Licensed under CC0 1.0.", "Creative Commons Zero 1.0 Universal License", "Released under the CC0 1.0 Universal public domain license.", *_spdx("CC0-1.0"))]
+    found += [("CC0-1.0", text) for text in ("Licensed under CC0 1.0.", "Released under CC0 1.0.", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal License", "Released under the CC0 1.0 Universal public domain license.", *_spdx("CC0-1.0"))]
     # an apostrophe is no part of a word, and SQL text needs none
     return tuple(dict.fromkeys((name, text.replace("'", " ").strip()) for name, text in found))
 

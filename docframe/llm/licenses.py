@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from docframe.llm.common import join_spread, stage
 from docframe.llm.license_notices import TEMPLATES
 
-#: A line or paragraph without one of these is no notice.
-MARK = r"(?i)licen[sc]e|permission|redistribut|copyright|spdx"
+#: A line or paragraph without one of these, of which every template holds one, is no notice; nor is one that denies it.
+MARK = r"(?i)licen[sc]e|permission|redistribut|copyright|spdx|creative commons|\bcc0|\bcc[ -]by\b|public domain|provided .as is"
+DENIAL = r"(?i)\bnot (licen[sc]ed|released) under\b"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)(\.[^/]*)?$"
 #: Least cosine of a notice.
 COSINE = 0.7
@@ -39,12 +40,20 @@ def _directory(path: Column) -> Column:
 def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     """path, license, score of the rows with a notice of their own.
 
-    files: path, text.  Units are the lines and the paragraphs of every whole text, and the whole text
-    of a licence file, as far as they hold a MARK.  idf is ln((1 + texts) / (1 + texts with the word))
-    + 1, counted over all texts for every word of a unit or a template.
+    files: path, text.  Units are the lines and the paragraphs of every whole text, all from its first
+    paragraph with a MARK to its last, and the whole text of a licence file, as far as they hold a MARK
+    and no DENIAL.  Of the units that reach the cosine the one that covers most decides: most words,
+    each counted by the unit's score.  idf is ln((1 + texts) / (1 + texts with the word)) + 1, counted
+    over all texts for every word of a unit or a template.
     """
-    pieces = F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t]*\n"), F.when(_name(F.col("path")).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")))
-    found = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, lambda u: u.rlike(MARK)))).alias("body"))
+    paragraphs = F.split("text", r"\n[ \t]*\n")
+    marked = F.transform(paragraphs, lambda p: p.rlike(MARK))
+    first, after = F.array_position(marked, True).cast("int"), F.array_position(F.reverse(marked), True).cast("int")
+    none = F.array().cast("array<string>")
+    span = F.when(first > 0, F.array(F.array_join(F.slice(paragraphs, first, F.size(marked) - after - first + 2), "\n\n"))).otherwise(none)
+    pieces = F.concat(F.split("text", r"\n"), paragraphs, span, F.when(_name(F.col("path")).rlike(LICENCE_FILE), F.array("text")).otherwise(none))
+    notice = lambda u: u.rlike(MARK) & ~u.rlike(DENIAL)
+    found = files.filter(F.col("text").rlike(MARK)).select("path", F.explode(F.array_distinct(F.filter(pieces, notice))).alias("body"))
     # a unit goes by its digest: its text isn't carried along with each of its words
     found = stage(found.withColumn("unit", F.unhex(F.sha2(F.col("body").cast("binary"), 256))), "license-units")
     # all words of a unit stay in one place, so that sums by unit are whole before any shuffle
@@ -65,9 +74,9 @@ def scan_notices(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     # the words that it shares with templates are part of a unit's norm, so they bound its cosine from above
     likely = stage(dots.join(part, "unit").filter(F.col("dot") >= (cosine - 1e-6) * F.col("part")).drop("part"), "license-likely")
     norms = counts.join(likely.select("unit").distinct(), "unit", "left_semi").join(idf, "word")
-    norms = norms.groupBy("unit").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+    norms = norms.groupBy("unit").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"), F.sum("tf").alias("size"))
     scored = likely.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score") * F.col("size")).alias("cover"), (-F.col("score")).alias("minus"), "license")).alias("best"))
     return join_spread(found.select("path", "unit"), best, "unit").filter("best IS NOT NULL").groupBy("path").agg(F.min("best").alias("best")).select("path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 

@@ -10,7 +10,7 @@ from docframe.llm import language, quality
 from docframe.llm.common import new_path, stage
 from docframe.llm.exact_dedup import exact_groups
 from docframe.llm.hard_negatives import hard_negatives
-from docframe.llm.licenses import MARK, TEMPLATES, scan_licenses
+from docframe.llm.licenses import DENIAL, MARK, TEMPLATES, scan_licenses
 from docframe.llm.line_rules import MAX_DOCS, MAX_SHARE, MIN_LEFT, line_rules
 from docframe.llm.mixing import mix_plan
 from docframe.llm.ngram_join import near_duplicates
@@ -165,7 +165,8 @@ WITH t AS (
 ), u AS (
   SELECT DISTINCT path, unit FROM (
     SELECT path, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT path, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM f UNION ALL SELECT path, text FROM f WHERE doc_id % 25 = 0
-  ) WHERE regexp_matches(unit, '{MARK}')
+    UNION ALL SELECT path, array_to_string(p[list_position(m, true):len(m) + 1 - list_position(list_reverse(m), true)], chr(10) || chr(10)) FROM (SELECT path, p, list_transform(p, lambda x: regexp_matches(x, '{MARK}')) AS m FROM (SELECT path, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM f)) WHERE list_contains(m, true)
+  ) WHERE regexp_matches(unit, '{MARK}') AND NOT regexp_matches(unit, '{DENIAL}')
 ), c AS (
   SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS word FROM (SELECT DISTINCT unit FROM u)) WHERE word <> '' GROUP BY ALL
 ), idf AS (
@@ -175,9 +176,9 @@ WITH t AS (
 ), wt AS (
   SELECT unit, word, tf * idf AS w FROM c JOIN idf USING (word)
 ), sc AS (
-  SELECT unit, license, round(sum(wt.w * known.w) / any_value(norm), 6) AS score FROM wt JOIN known USING (word) JOIN (SELECT unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY unit) USING (unit) GROUP BY unit, template, license
+  SELECT unit, license, round(sum(wt.w * known.w) / any_value(norm), 6) AS score, any_value(size) AS size FROM wt JOIN known USING (word) JOIN (SELECT unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY unit) USING (unit) JOIN (SELECT unit, sum(tf) AS size FROM c GROUP BY unit) USING (unit) GROUP BY unit, template, license
 ), own AS (
-  SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score FROM u JOIN sc USING (unit) WHERE score >= 0.7 GROUP BY path
+  SELECT path, arg_min(license, (-score * size, -score, license)) AS license, arg_min(score, (-score * size, -score, license)) AS score FROM u JOIN sc USING (unit) WHERE score >= 0.7 GROUP BY path
 ), spread AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS above, arg_min(license, (-score, license)) AS license, max(score) AS score FROM own WHERE path LIKE '%/LICENSE' GROUP BY 1
 ), up AS (
