@@ -15,19 +15,20 @@ CURRENCY = r"(?U)[$€£¥,\s]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TYPED = {"integer": "bigint", "float": "double", "boolean": "boolean"}
 MARKER = r"--- Page (\d+) ---"
-_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?"
-_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
-_LONG, _SHORT = (rf"(?<!\d)(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{{n}}})(?!\d)" for n in (4, 2))
-#: Forms of a date that to_date looks for, how one is written anew, and how that is read; month before day where both fit.
-DATES = (
-    (r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", "$1-$2-$3", "yyyy-M-d"),
-    (_LONG, "$4-$1-$3", "yyyy-M-d"),
-    (_LONG, "$4-$3-$1", "yyyy-M-d"),
-    (rf"(?i)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})", "$3-$1-$2", "yyyy-MMM-d"),
-    (rf"(?i)(?<!\d){_DAY}\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})", "$3-$2-$1", "yyyy-MMM-d"),
-    (_SHORT, "$4-$1-$3", "yy-M-d"),
-    (_SHORT, "$4-$3-$1", "yy-M-d"),
-)
+_MONTHS_SHORT = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# --- dates: what a date may look like, in lower case
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_NAME, _DAY, _GAP = rf"(?:{_MONTHS})(?![a-z])\.?", r"\d{1,2}(?:st|nd|rd|th)?(?!\d)", r"[\s,./-]*(?:of\s+)?"
+_YEAR, _SHORT_YEAR = r"\d{4}(?!\d)", r"'?\d{2}(?!\d)"
+#: Runs of parts that are a date, the fullest first; parts of digits alone need one separator.
+_RUNS = (
+    rf"{_DAY}{_GAP}{_NAME}{_GAP}(?:{_YEAR}|{_SHORT_YEAR})", rf"{_NAME}{_GAP}{_DAY}{_GAP}(?:{_YEAR}|{_SHORT_YEAR})", rf"{_YEAR}{_GAP}{_NAME}{_GAP}{_DAY}",
+    *(rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}" for sep in ("-", "/", r"\.")), *(rf"\d{{1,2}}{sep}\d{{1,2}}{sep}(?:\d{{4}}|\d{{2}})" for sep in ("-", "/", r"\.")), r"\d{8}",
+    rf"{_DAY}{_GAP}{_NAME}", rf"{_NAME}{_GAP}(?:{_YEAR}|{_DAY})", rf"{_YEAR}{_GAP}{_NAME}", r"\d{4}[-/]\d{1,2}", r"\d{1,2}[-/]\d{4}", r"\d{1,2}/\d{1,2}",
+)
+_RUN = rf"(?<![\w.])(?<!\d[-/])(?:{'|'.join(_RUNS)})(?!\w|[-/.]\d)"
+#: Times of day, which are no part of a date.
+_TIME = r"(?:(?<=\d)t|\bat\s+|(?<![\w:]))\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[ap]\.?m\b\.?)?\s*(?:z\b|utc\b|gmt\b|[+-]\d{2}:?\d{2}(?!\d))?"
 
 
 def strip(v: Column) -> Column:
@@ -41,8 +42,10 @@ def null_tokens(v: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
 
 
 def to_string(v: Column) -> Column:
-    """SC2 without the Unicode normal form; see udfs.nfc."""
-    return strip(null_tokens(v))
+    """SC2: stripped, in Unicode's composed form."""
+    from docframe.functions.udfs import composed
+
+    return composed(strip(null_tokens(v)))
 
 
 def _number(v: Column) -> Column:
@@ -67,15 +70,51 @@ def to_bool(v: Column) -> Column:
     return F.when(word.isin(*TRUE_TOKENS), F.lit(True)).when(word.isin(*FALSE_TOKENS), F.lit(False))
 
 
-def to_date(v: Column) -> Column:
-    """SC6: the first date of a known form anywhere in the text, month before day where both fit.
+def to_date(v: Column, reference: Column | None = None) -> Column:
+    """SC6: the first whole date of a text, else its first with a part missing.
 
-    Years of two digits are those less than 50 years ahead.
+    A date is a run of numbers and month names; weekdays, times and other words are passed over.  Of
+    numbers alone the month comes before the day where both fit, and a number of four digits or over 31
+    that stands first is the year; with a month's name the other short number is the day.  Years of two
+    digits are those within 50 years of ``reference`` (today, if not given).  A missing day or year is
+    the reference's, a day past the month's end its last one.  A lone number or name is no date.
     """
-    text = null_tokens(v)
-    found = {y: [F.try_to_timestamp(F.regexp_replace(F.regexp_extract(text, p, 0), p, new), F.lit(form)).cast("date") for p, new, form in DATES if form.startswith("yyyy") == y] for y in (True, False)}
-    near = F.coalesce(*found[False])
-    return F.coalesce(*found[True], F.when(F.year(near) >= F.year(F.current_date()) + 50, F.add_months(near, -1200)).otherwise(near))
+    reference = F.current_date() if reference is None else reference
+    text = F.regexp_replace(F.lower(null_tokens(v)), _TIME, " ")
+    atoms = F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda r: F.regexp_extract_all(r, F.lit(rf"\d+|{_MONTHS}"), F.lit(0)))
+    digits = lambda x: x.rlike(r"^\d")
+    runs = F.transform(atoms, lambda a: F.struct(F.get(F.filter(a, lambda x: ~digits(x)), F.lit(0)).alias("name"), F.filter(a, digits).alias("n")))
+    # eight digits are a year, a month and a day
+    runs = F.transform(runs, lambda r: F.struct(r["name"].alias("name"), F.when(F.length(r["n"][0]) == 8, F.array(F.substring(r["n"][0], 1, 4), F.substring(r["n"][0], 5, 2), F.substring(r["n"][0], 7, 2))).otherwise(r["n"]).alias("n")))
+    dates = F.transform(F.transform(runs, _parts), lambda p: _dated(p, reference))
+    first = lambda known: F.get(F.filter(dates, lambda d: d["date"].isNotNull() & (d["known"] >= known)), F.lit(0))["date"]
+    return F.coalesce(first(3), first(2))
+
+
+def _parts(run: Column) -> Column:
+    """year (a text), month, day of a run's name and numbers; null where it has none."""
+    n = [F.get(run["n"], F.lit(k)) for k in range(3)]
+    whole = [x.cast("int") for x in n]
+    count, named, year_first = F.size(run["n"]), run["name"].isNotNull(), (F.length(n[0]) == 4) | (whole[0] > 31)
+    pick = lambda *cases: F.coalesce(*[F.when(c, x) for c, x in cases])
+    month = F.array_position(F.lit(_MONTHS_SHORT), F.substring(run["name"], 1, 3)).cast("int")
+    year = pick((year_first, n[0]), (named & (count == 2), n[1]), (~named & (count == 3), n[2]), (~named & (count == 2) & (F.length(n[1]) == 4), n[1]))
+    # two numbers of a date without names, in their order
+    low, high = F.when(year_first, whole[1]).otherwise(whole[0]), F.when(year_first, whole[2]).otherwise(F.when((count == 2) & (F.length(n[1]) == 4), None).otherwise(whole[1]))
+    swapped = (low > 12) & (high <= 12)
+    day = F.when(named, F.when(year_first, whole[1]).otherwise(whole[0])).otherwise(F.when(swapped, low).otherwise(high))
+    return F.struct(year.alias("year"), F.when(named, month).otherwise(F.when(swapped, high).otherwise(low)).alias("month"), day.alias("day"))
+
+
+def _dated(p: Column, reference: Column) -> Column:
+    """date, known (parts): null where no such day is."""
+    now, short = F.year(reference), F.length(p["year"]) < 3
+    near = F.floor(now / 100).cast("int") * 100 + p["year"].cast("int")
+    year = F.coalesce(F.when(short, near + F.when(near >= now + 50, -100).when(near < now - 50, 100).otherwise(0)), p["year"].cast("int"), now)
+    first = F.try_to_timestamp(F.format_string("%04d-%02d-01", year, p["month"]), F.lit("yyyy-MM-dd")).cast("date")
+    day = F.coalesce(p["day"], F.least(F.dayofmonth(reference), F.dayofmonth(F.last_day(first))))
+    date = F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+    return F.struct(date.alias("date"), (p["year"].isNotNull().cast("int") + p["month"].isNotNull().cast("int") + p["day"].isNotNull().cast("int")).alias("known"))
 
 
 COERCE = {"string": to_string, "integer": to_int, "float": to_float, "boolean": to_bool, "date": to_date}

@@ -1,41 +1,19 @@
-"""The two functions that Spark has no expression for, as Arrow-batched UDFs."""
+"""The one function that Spark has no expression for, as an Arrow-batched UDF."""
 
 from __future__ import annotations
 
-import datetime
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from docframe.functions.scalars import to_string
+# a lambda goes to the workers as it is, so they need no package
+_nfc = pandas_udf(lambda s: s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t)), StringType())
 
 
-@pandas_udf(StringType())
-def _nfc(v: pd.Series) -> pd.Series:
-    return v.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-def nfc(v: Column) -> Column:
-    """SC2: stripped text in Unicode's composed form; ASCII text skips the UDF."""
-    text = to_string(v)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfc(text))
-
-
-def fuzzy_date(v: Column, default: datetime.datetime = datetime.datetime(2000, 1, 1)) -> Column:
-    """SC6 in its loose form: missing parts come from ``default``.  Needs the optional dateutil."""
-    try:
-        from dateutil import parser
-    except ImportError as e:
-        raise ImportError("fuzzy_date needs the dateutil package") from e
-
-    def read(text):
-        try:
-            return parser.parse(text, fuzzy=True, default=default).date() if text else None
-        except (ValueError, OverflowError):
-            return None
-
-    return pandas_udf(lambda s: s.map(read), "date")(v)
+def composed(text: Column) -> Column:
+    """SC2: text in Unicode's composed form; ASCII text, which is, doesn't go through the UDF."""
+    ascii_ = F.octet_length(text) == F.length(text)
+    return F.coalesce(_nfc(F.when(~ascii_, text)), text)

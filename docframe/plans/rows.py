@@ -252,9 +252,20 @@ def sc1(spark, d):
 
 @query("SC2_strings", f"WITH m AS (SELECT p_partkey, {MESSY} AS v FROM part) SELECT p_partkey, CASE WHEN lower(trim(v)) NOT IN ('', 'null', 'none', 'n/a', 'na', 'undefined') THEN trim(v) END AS v FROM m")
 def sc2(spark, d):
-    from docframe.functions.udfs import nfc
+    return table(spark, d, "part").select("p_partkey", S.to_string(messy()).alias("v"))
 
-    return table(spark, d, "part").select("p_partkey", nfc(messy()).alias("v"))
+
+# e acute and u umlaut, in one sign and in two
+BOTH_FORMS = ("caf\u00e9 M\u00fcller ", "cafe\u0301 Mu\u0308ller ")
+
+
+@query("SC2_composed", f"""WITH p AS (SELECT p_partkey, '{BOTH_FORMS[0]}' || p_partkey // 2 AS name FROM part WHERE p_partkey % 3 > 0)
+SELECT lower(name) AS k, name AS v, count(*) AS n FROM p GROUP BY ALL""")
+def sc2_composed(spark, d):
+    """Both spellings of a name are one value and one natural key."""
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, BOTH_FORMS[0]).otherwise(BOTH_FORMS[1]), F.floor(F.col("p_partkey") / 2).cast("string"))
+    p = reconcile.normalize_row(table(spark, d, "part").filter("p_partkey % 3 > 0").select("p_partkey", name.alias("v")), [Declared("v", pk=True)])
+    return p.groupBy(S.natural_key([(F.col("v"), "string")])["k0"].alias("k"), "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SC3_ints", f"{BARE} SELECT p_partkey, CAST(trunc({NUM}) AS BIGINT) AS v FROM b")
@@ -303,6 +314,7 @@ def sc7_typed(spark, d):
 # what a date is written as, by o_orderkey: a format of Spark's and one of DuckDB's
 DATE_FORMS = (
     ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"), ("MMM d yyyy", "%b %-d %Y"), ("MM-dd-yyyy", "%m-%d-%Y"), ("M.d.yyyy", "%-m.%-d.%Y"), ("M/d/yy", "%-m/%-d/%y"), ("yyyy.MM.dd", "%Y.%m.%d"), ("'the 'd' of 'MMMM, yyyy", "the %-d of %B, %Y"),
+    ("yyyyMMdd", "%Y%m%d"), ("d-MMM-yyyy", "%-d-%b-%Y"), ("ddMMMyyyy", "%d%b%Y"), ("'on 'EEEE', 'MMMM d, yyyy' at 'HH:mm", "on %A, %B %-d, %Y at %H:%M"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("yyyy MMM d", "%Y %b %-d"),
 )
 
 
@@ -314,6 +326,22 @@ def sc6_forms(spark, d):
     return table(spark, d, "orders").select("o_orderkey", said.alias("said"), S.to_date(said).cast("string").alias("v"))
 
 
+# forms of a date with a part missing: Spark's, DuckDB's, and what it says given a reference date
+REFERENCE = "1996-02-29"
+PARTIAL_FORMS = (
+    ("MMMM d", "%B %-d", "make_date(1996, month(o_orderdate), day(o_orderdate))"), ("MMM yyyy", "%b %Y", "make_date(year(o_orderdate), month(o_orderdate), least(29, day(last_day(o_orderdate))))"), ("yyyy-MM", "%Y-%m", "make_date(year(o_orderdate), month(o_orderdate), least(29, day(last_day(o_orderdate))))"),
+    ("M/d", "%-m/%-d", "make_date(1996, month(o_orderdate), day(o_orderdate))"), ("'due 'd MMM', 2 pcs'", "due %-d %b, 2 pcs", "make_date(1996, month(o_orderdate), day(o_orderdate))"), ("MMMM", "%B", "NULL"), ("d", "%-d", "NULL"),
+)
+
+
+@query("SC6_partial_dates", f"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % {len(PARTIAL_FORMS)} {" ".join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, (_, f, _) in enumerate(PARTIAL_FORMS))} END AS said,
+  CASE o_orderkey % {len(PARTIAL_FORMS)} {" ".join(f"WHEN {k} THEN {v}" for k, (_, _, v) in enumerate(PARTIAL_FORMS))} END AS v FROM orders) SELECT o_orderkey, said, CAST(v AS VARCHAR) AS v FROM t""")
+def sc6_partial(spark, d):
+    """Dates without a day or a year, which a reference date completes."""
+    said = F.coalesce(*[F.when(F.col("o_orderkey") % len(PARTIAL_FORMS) == k, F.date_format("o_orderdate", f)) for k, (f, _, _) in enumerate(PARTIAL_FORMS)])
+    return table(spark, d, "orders").select("o_orderkey", said.alias("said"), S.to_date(said, F.lit(REFERENCE).cast("date")).cast("string").alias("v"))
+
+
 @query("SC8_natural_key", "SELECT lower(trim(p_name)) || '#' || p_size AS k, count(*) AS n FROM part GROUP BY 1")
 def sc8(spark, d):
     p = table(spark, d, "part").withColumn("k", S.natural_key([(F.concat(F.lit(" "), F.upper("p_name")), "string"), (F.col("p_size"), "integer")]))

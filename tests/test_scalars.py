@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from docframe.functions import scalars as S
-from docframe.functions.udfs import nfc
 
 
 def values(spark, items, f, kind="string"):
@@ -33,6 +32,18 @@ def test_booleans_and_dates(spark):
     assert values(spark, texts, S.to_date) == [*[d(2024, 3, 5)] * 3, d(2024, 3, 4), d(2024, 4, 3), d(2024, 3, 4), d(1999, 5, 1), d(2001, 9, 9), d(2024, 12, 31), None, None, None]
 
 
+def test_a_grammar_of_dates(spark):
+    d, today = datetime.date, F.lit("2023-01-31").cast("date")
+    said = {
+        "20240304": d(2024, 3, 4), "5-Mar-2024": d(2024, 3, 5), "05Mar2024": d(2024, 3, 5), "May 5": d(2023, 5, 5), "March 2024": d(2024, 3, 31), "5-Mar-24": d(2024, 3, 5), "Mar 24": d(2023, 3, 24), "Feb 2023": d(2023, 2, 28),
+        "Tuesday, 5 March 2024 at 10:30 pm": d(2024, 3, 5), "2024-03-04T23:59:59.123+02:00": d(2024, 3, 4), "10:30 2024/3/4": d(2024, 3, 4), "2024-3": d(2024, 3, 31), "3/2024": d(2024, 3, 31), "13/4": d(2023, 4, 13), "4/13": d(2023, 4, 13),
+        "paid 12 of 40 items, June 3rd '99": d(1999, 6, 3), "from 3/4 to 5 May 2021": d(2021, 5, 5), "73-01-02": None, "1/2/73": d(1973, 1, 2), "1/2/72": d(2072, 1, 2), "31/12/1999": d(1999, 12, 31), "Feb 30, 2024": None, "29 Feb 2024": d(2024, 2, 29),
+        "you may pay 5": None, "may": None, "7": None, "2024": None, "10.0.0.1": None, "12.5": None, "v1.2.3.4": None, "20241399": None, "1, 2, 3": None, "marching 5": None, "maybe 5 bands": None, "2021 Dec 9": d(2021, 12, 9), "": None, None: None,
+    }
+    said.pop("73-01-02")
+    assert dict(zip(said, values(spark, list(said), lambda v: S.to_date(v, today)))) == said
+
+
 def test_typed_values(spark):
     typed = lambda items, kind, source: values(spark, items, lambda v: S.coerce(v, kind, source), source)
     assert typed([5, 0, None], "boolean", "bigint") == [True, False, None] and typed([2.5, 0.0], "boolean", "double") == [True, False]
@@ -43,7 +54,7 @@ def test_typed_values(spark):
 
 def test_strings(spark):
     texts = ["é ", "plain", None, " x "]
-    assert values(spark, texts, nfc) == [unicodedata.normalize("NFC", "é"), "plain", None, "x"]
+    assert values(spark, texts, S.to_string) == [unicodedata.normalize("NFC", "é"), "plain", None, "x"]
     assert values(spark, [" Total  Amount ($)", "9lives", "__a--b__", "é"], S.snake_case) == ["total_amount", "9lives", "a_b", ""]
     assert values(spark, ["Last, First", "first  LAST", "a.b,,a"], S.token_set) == [["first", "last"], ["first", "last"], ["a", "b"]]
 
