@@ -11,6 +11,8 @@ from docframe.functions.scalars import page_header, page_markers, strip
 ALNUM_SHARE, IMAGE_CHARS = 0.4, 100
 SAMPLE_PAGES, FIRST_PAGES, LAST_PAGES, DIVERSE_PAGES = 15, 3, 2, 3
 CHUNK_CHARS, CHUNK_OVERLAP = 3000, 500
+#: Characters of a block that texts are cut into first.
+CUT = 4096
 LINE_CHARS, LINE_OVERLAP = 2000, 200
 
 
@@ -109,6 +111,23 @@ def _kept_lines(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+def _cut(body: Column, spans: Column) -> Column:
+    """The spans (s, e and other fields) of a text, each with its own text as ``raw``.
+
+    The text is cut once into blocks, and a span is put together from the few that it touches; so the
+    work grows with the text, though characters are found from a block's start only.  The outer array
+    of one element holds the blocks, which no span cuts anew.
+    """
+    blocks = F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def raw(blocks: Column, c: Column) -> Column:
+        first, last = F.floor(c["s"] / CUT).cast("int"), F.floor((c["e"] - 1) / CUT).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), c["s"] - first * CUT + 1, c["e"] - c["s"])
+
+    both = F.array(F.struct(blocks.alias("blocks"), spans.alias("spans")))
+    return F.flatten(F.transform(both, lambda x: F.transform(x["spans"], lambda c: F.struct(raw(x["blocks"], c).alias("raw"), c.alias("span")))))
+
+
 def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """CH1: doc_id, chunk_index, text, start_char, end_char, pages of doc_id, full_text.
 
@@ -118,7 +137,7 @@ def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = C
     characters per gap, so they are near, not exact.  A paragraph is never cut.
 
     Every chunk is a span of the joined paragraphs, so the fold runs over their lengths and texts are
-    cut once, at the end.
+    cut once, at the end.  A document is one task's, in time and memory in proportion to its text.
     """
     text = F.col("full_text")
     paras = F.split(text, r"\n{2,}|(?=--- Page \d+)")
@@ -141,11 +160,12 @@ def chunk_paragraphs(texts: DataFrame, size: int = CHUNK_CHARS, overlap: int = C
         return F.when(n > 0, put).otherwise(acc.withField("pos", acc["pos"] + 2))
 
     folded = F.aggregate("lengths", zero, step, lambda acc: F.when(acc["e"] > acc["s"], flushed(acc)).otherwise(acc["out"]))
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), F.lit(0).alias("start_char"), F.length(text).alias("end_char")))
-    spans = split.select("doc_id", F.when(F.col("one"), text).otherwise(F.col("joined")).alias("body"), "one", F.posexplode(F.when(F.col("one"), whole).otherwise(folded)).alias("chunk_index", "c"))
-    chunks = spans.select("doc_id", "chunk_index", "one", F.substring("body", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")).alias("raw"), "c.start_char", "c.end_char")
-    shown = F.when(F.col("one"), F.col("raw")).otherwise(strip(F.col("raw")))
-    return chunks.select("doc_id", "chunk_index", shown.alias("text"), "start_char", "end_char", page_markers(F.col("raw")).alias("pages"))
+    length = F.length("full_text")
+    whole = F.array(F.struct(text.alias("raw"), F.struct(F.lit(0).alias("s"), length.alias("e"), F.lit(0).alias("start_char"), length.alias("end_char")).alias("span")))
+    cut = split.select("doc_id", "one", F.when(F.col("one"), whole).otherwise(_cut(F.col("joined"), folded)).alias("chunks"))
+    chunks = cut.select("doc_id", "one", F.posexplode("chunks").alias("chunk_index", "c"))
+    shown = F.when(F.col("one"), F.col("c.raw")).otherwise(strip(F.col("c.raw")))
+    return chunks.select("doc_id", "chunk_index", shown.alias("text"), "c.span.start_char", "c.span.end_char", page_markers(F.col("c.raw")).alias("pages"))
 
 
 def chunk_lines(texts: DataFrame, size: int = LINE_CHARS, overlap: int = LINE_OVERLAP) -> DataFrame:
@@ -174,8 +194,8 @@ def chunk_lines(texts: DataFrame, size: int = LINE_CHARS, overlap: int = LINE_OV
         return F.when(n > 0, put).otherwise(acc.withField("page", F.coalesce(mark["page"], acc["page"])))
 
     folded = F.aggregate("marks", zero, step, lambda acc: F.when(acc["e"] > acc["s"], flushed(acc)).otherwise(acc["out"]))
-    spans = lines.select("doc_id", "joined", F.posexplode(folded).alias("chunk_index", "c"))
-    return spans.select("doc_id", "chunk_index", strip(F.substring("joined", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("chunk_text"), F.col("c.page").alias("page_number"))
+    chunks = lines.select("doc_id", F.posexplode(_cut(F.col("joined"), folded)).alias("chunk_index", "c"))
+    return chunks.select("doc_id", "chunk_index", strip(F.col("c.raw")).alias("chunk_text"), F.col("c.span.page").alias("page_number"))
 
 
 def chunks_from_retrieval(ranked: DataFrame) -> DataFrame:
