@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions.scalars import coerce
@@ -16,6 +16,11 @@ def unique_violations(df: DataFrame, column: str, order: Sequence[str]) -> DataF
     return df.join(first, column).filter(F.struct(*order) != F.col("_first")).drop("_first")
 
 
+def _dealt(df: DataFrame, column: str) -> DataFrame:
+    """df with _deal: 0, or any of many numbers where the column is null, so that a join spreads these rows."""
+    return df.withColumn("_deal", F.when(F.col(column).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int") + 1).otherwise(0))
+
+
 def unique_survivors(df: DataFrame, columns: Sequence[str], order: Sequence[str], materialise=None) -> DataFrame:
     """CON1 for several columns: rows that load when each is unique by itself.
 
@@ -27,19 +32,18 @@ def unique_survivors(df: DataFrame, columns: Sequence[str], order: Sequence[str]
     place = F.struct(*order)
     live, kept = cut(df), None
     while True:
-        marked = live
-        for c in columns:
-            w = Window.partitionBy(c)
-            marked = marked.withColumn(f"_first_{c}", F.col(c).isNull() | (F.min(place).over(w) == place))
-        good = F.lit(True)
+        marked, good = live, F.lit(True)
         for c in columns:
-            good = good & F.col(f"_first_{c}")
-        now = cut(marked.withColumn("_good", good).drop(*[f"_first_{c}" for c in columns]))
+            # partial minima of values; nulls, which never collide, are dealt out
+            first = live.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(place).alias(f"_first_{c}")).withColumn("_deal", F.lit(0))
+            marked = _dealt(marked, c).join(first, [c, "_deal"], "left").drop("_deal")
+            good = good & (F.col(c).isNull() | (F.col(f"_first_{c}") == place))
+        now = cut(marked.withColumn("_good", good).select(*df.columns, "_good"))
         won = now.filter("_good").drop("_good")
         kept = won if kept is None else kept.unionByName(won)
         rest = now.filter("NOT _good").drop("_good")
         for c in columns:
-            rest = rest.join(won.filter(F.col(c).isNotNull()).select(c).distinct(), c, "left_anti")
+            rest = _dealt(rest, c).join(won.filter(F.col(c).isNotNull()).select(c).distinct().withColumn("_deal", F.lit(0)), [c, "_deal"], "left_anti").drop("_deal")
         live = cut(rest.select(*df.columns))
         if live.isEmpty():
             return kept.select(*df.columns)

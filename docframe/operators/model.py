@@ -87,7 +87,7 @@ def identifier_errors(models: DataFrame) -> DataFrame:
 def downgrade_relationships(models: DataFrame) -> DataFrame:
     """MD4: relationships with enabled and note; the first failing check disables one, which is kept.
 
-    The notes are fixed values: users of such systems search their logs for these words.
+    The first two words of the notes are fixed values: users search their logs for these.
     """
     rel, cols = model_relationships(models), model_columns(models)
     pk = cols.groupBy("job_id", "table_name", "column_name").agg(F.max("is_primary_key").alias("pk"))
@@ -102,7 +102,7 @@ def downgrade_relationships(models: DataFrame) -> DataFrame:
         .when(F.col("r_table").isNull(), F.format_string("relationship downgraded: references_table '%s' not in model", "references_table"))
         .when(F.col("s_pk").isNull(), F.format_string("relationship downgraded: column %s.%s not declared", "source_table", "source_column"))
         .when(F.col("r_pk").isNull(), F.format_string("relationship downgraded: column %s.%s not declared", "references_table", "references_column"))
-        .when(~F.col("r_pk"), F.format_string("relationship downgraded: %s.%s is not is_primary_key=True (FKs must reference a unique natural key)", "references_table", "references_column"))
+        .when(~F.col("r_pk"), F.format_string("relationship downgraded: %s.%s is no key by itself", "references_table", "references_column"))
     )
     out = out.withColumn("note", note).withColumn("enabled", F.coalesce("enabled", F.lit(True)) & F.col("note").isNull())
     return out.select("job_id", "rel_no", "source_table", "source_column", "references_table", "references_column", "enabled", "note")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from docframe.functions.scalars import coerce, fingerprint, key_part, natural_ke
 from docframe.session import stage
 
 ORDER = ("chunk_index", "row_no")
+#: Tasks that a hot key is spread over, and names that share a gram in one task, about.
+SALTS, DEALT = 8, 2000
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,11 @@ def _key(columns: Sequence[Declared]) -> Column:
     return natural_key([(F.col(c.name), c.type) for c in columns if c.pk])
 
 
+def _alone(group: Column) -> Column:
+    """Sets a row without a group apart from all others, so that one aggregate takes both kinds."""
+    return F.when(group.isNull(), F.monotonically_increasing_id())
+
+
 def merge_by_natural_key(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = (), counted: str | None = None) -> DataFrame:
     """AG6: one row per natural key: the first row's values, its nulls filled from later rows in order.
 
@@ -66,28 +72,29 @@ def merge_by_natural_key(df: DataFrame, columns: Sequence[Declared], order: Sequ
     ``counted`` names a column for the number of rows merged.
     """
     values = [c for c in df.columns if c not in (*order, *scope)]
-    keyed = df.withColumn("_key", _key(columns))
+    keyed = df.withColumn("_key", _key(columns)).withColumn("_alone", _alone(F.col("_key")))
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), _order(order))).alias(c) for c in values]
     place, n = F.min(_order(order)).alias("_first"), [F.count(F.lit(1)).alias(counted)] if counted else []
-    merged = keyed.filter("_key IS NOT NULL").groupBy(*scope, "_key").agg(*first, place, *n)
-    merged = merged.select(*scope, *values, *[F.col(f"_first.{o}").alias(o) for o in order], *([counted] if counted else []))
-    return merged.unionByName(keyed.filter("_key IS NULL").select(*scope, *values, *order, *([F.lit(1).cast("long").alias(counted)] if counted else [])))
+    merged = keyed.groupBy(*scope, "_key", "_alone").agg(*first, place, *n)
+    return merged.select(*scope, *values, *[F.col(f"_first.{o}").alias(o) for o in order], *([counted] if counted else []))
 
 
 def merge_notes(df: DataFrame, table: str, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
     """AG7: a note for each row that merge_by_natural_key merges into an earlier one, or keeps for want of a key."""
     fields, place = [c.name for c in columns], _order(order)
     keyed = df.withColumn("_key", _key(columns))
-    # a row fills a field if it is the first with a value: partial minima and a join, no window over a hot key
+    # a row fills a field if it is the first with a value: partial minima of the keys that stand twice,
+    # joined by key and salt, so neither a hot key nor the rows without one meet in one task
     firsts = [F.min(F.when(F.col(f).isNotNull(), place)).alias(f"_at{k}") for k, f in enumerate(fields)]
-    known = keyed.filter("_key IS NOT NULL").groupBy(*scope, "_key").agg(F.min(place).alias("_first"), *firsts)
-    later = keyed.filter("_key IS NOT NULL").join(known, [*scope, "_key"]).filter(place > F.col("_first"))
+    known = keyed.filter("_key IS NOT NULL").groupBy(*scope, "_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"), *firsts).filter("_n > 1")
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = keyed.withColumn("_salt", F.spark_partition_id() % SALTS).join(known, [*scope, "_key", "_salt"], "left").filter(F.col("_key").isNull() | (place > F.col("_first")))
     filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (place == F.col(f"_at{k}")), F.lit(f)) for k, f in enumerate(fields)]))
     parts = [F.col(f"_key.k{n}").cast("string") for n in range(sum(c.pk for c in columns))]
-    later = later.withColumn("_filled", filled).withColumn("_text", F.concat_ws("|", *parts))
-    text = F.when(F.size("_filled") > 0, F.concat(F.lit(f"merged {table} duplicate for key "), F.col("_text"), F.lit(": filled "), F.array_join("_filled", ", "))).otherwise(F.concat(F.lit(f"duplicate {table} row for key "), F.col("_text"), F.lit(" had no new fields")))
-    nokey = keyed.filter("_key IS NULL").select(*scope, *order, F.lit("row missing primary-key component(s) " + ", ".join(c.name for c in columns if c.pk)).alias("note"))
-    return later.select(*scope, *order, text.alias("note")).unionByName(nokey)
+    met = met.withColumn("_filled", filled).withColumn("_head", F.concat(F.lit(f"{table}: a later row of key "), F.concat_ws("|", *parts), F.lit(" gave ")))
+    gave = F.concat("_head", F.when(F.size("_filled") > 0, F.array_join("_filled", ", ")).otherwise("nothing new"))
+    alone = F.lit(f"{table}: kept as it is, for want of " + ", ".join(c.name for c in columns if c.pk))
+    return met.select(*scope, *order, F.when(F.col("_key").isNull(), alone).otherwise(gave).alias("note"))
 
 
 def dedupe_by_fingerprint(df: DataFrame, columns: Sequence[Declared], order: Sequence[str] = ORDER, scope: Sequence[str] = ()) -> DataFrame:
@@ -126,13 +133,13 @@ def repair_fk(child: DataFrame, fk: str, parents: DataFrame, pk: str, label: str
     if kind == "string":
         sets = parents.filter(F.col(column).isNotNull()).groupBy(*scope, token_set(F.col(column)).alias("_tokens")).agg(F.max_by(F.col(column), _order(order)).alias("_by_tokens"))
         out = out.withColumn("_tokens", F.when(F.col("_canonical").isNull(), token_set(F.col(fk)))).join(sets.filter(F.size("_tokens") > 0), [*scope, "_tokens"], "left")
-        repaired, said = F.format_string(f"FK {label}: repaired '%s' → '%s' via token-set match", F.col(fk), F.col("_by_tokens")), "'%s'"
+        repaired, said = F.format_string(f"{label}: '%s' was read as '%s', which has the same words", F.col(fk), F.col("_by_tokens")), "'%s'"
     else:
         out = out.withColumn("_by_tokens", F.lit(None).cast(child.schema[fk].dataType))
         repaired, said = F.lit(None).cast("string"), "%s"
     some = parents.groupBy(*scope).agg((F.count(F.lit(1)) > 0).alias("_some"))
     out = out.join(some, list(scope), "left") if scope else out.crossJoin(F.broadcast(some))  # one row
-    missed = F.format_string(f"FK {label}={said} has no matching {pk}", F.col(fk).cast("string"))
+    missed = F.format_string(f"{label}: {said} is no value of {pk}", F.col(fk).cast("string"))
     known = F.col(fk).isNull() | F.col("_canonical").isNotNull() | ~F.coalesce("_some", F.lit(False))
     note = F.when(known, F.lit(None)).when(F.col("_by_tokens").isNotNull(), repaired).otherwise(missed)
     return out.withColumn("fk_note", note).withColumn(fk, F.coalesce("_canonical", "_by_tokens", F.col(fk))).drop("_norm", "_canonical", "_tokens", "_by_tokens", "_some")
@@ -182,19 +189,48 @@ def entity_id(columns: Sequence[Declared]) -> Column:
     return F.when(some, F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def trigrams(text: Column) -> Column:
+    """The different runs of three letters of a name, two spaces put before it and one behind."""
+    padded = F.concat(F.lit("  "), F.lower(strip(text)), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b): all pairs of rows (id, grams: different texts) whose Jaccard likeness is at least the threshold.
+
+    Grams have one order, the rarest first.  Two sets that are alike share a gram among the first
+    n - ceil(threshold * n) + 1 of both; so only these prefixes meet, of sets whose sizes allow it, and
+    where the places of the shared gram leave enough to share behind it.  A gram that many prefixes
+    hold is dealt over tasks.  What is left is verified on whole sets.
+    """
+    need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9)
+    grams = sets.select("id", F.explode("grams").alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = grams.withColumn("_salt", F.spark_partition_id() % SALTS).join(seen, ["gram", "_salt"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    sized = known.select("id", "g", F.size("g").alias("n"))
+    prefix = stage(sized.select("id", "n", F.posexplode(F.slice("g", F.lit(1), (F.col("n") - need(F.col("n")) + 1).cast("int"))).alias("at", "x")).select("id", "n", "at", "x.gram", "x.df"), "alike-prefixes")
+    parts = F.least(F.lit(64), F.ceil(F.col("df") / DEALT)).cast("int")
+    left = prefix.select("gram", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = prefix.select("gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    shared = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    met = left.join(right, ["gram", "part"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= need(F.greatest("na", "nb"))))
+    met = met.filter(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared).select("a", "b").distinct()
+    whole = sets.select("id", "grams")
+    both = met.join(whole.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
 def fuzzy_entities(names: DataFrame, column: str, threshold: float = 0.7) -> DataFrame:
-    """UD5, option: column, entity_id: names whose letter trigrams are alike, and names alike to those.
+    """UD5, option: column, entity_id: names whose letter trigrams are alike (Jaccard of at least the threshold), and names alike to those.
 
-    Distinct names meet by MinHash; the least name of a component stands for it.  In each round a name
-    takes the least label among its neighbours' and then the label that this label itself has, so
-    rounds grow with the logarithm of a chain's length; they end when nothing changes.
+    All such pairs are found, see alike_pairs; the least name of a component stands for it.  In each
+    round a name takes the least label among its neighbours' and then the label that this label itself
+    has, so rounds grow with the logarithm of a chain's length; they end when nothing changes.
     """
-    text = F.concat(F.lit("  "), F.lower(strip(F.col(column))), F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
-    kinds = names.select(column).filter(F.col(column).isNotNull()).distinct()
-    hashed = stage(HashingTF(inputCol="_g", outputCol="_f", numFeatures=1 << 18, binary=True).transform(kinds.withColumn("_g", grams)).drop("_g"))
-    near = MinHashLSH(inputCol="_f", outputCol="_h", numHashTables=8, seed=3).fit(hashed).approxSimilarityJoin(hashed, hashed, 1 - threshold)
-    pairs = stage(near.select(F.col(f"datasetA.{column}").alias("a"), F.col(f"datasetB.{column}").alias("b")))
+    kinds = stage(names.select(column).filter(F.col(column).isNotNull()).distinct(), "names")
+    found = stage(alike_pairs(kinds.select(F.col(column).alias("id"), trigrams(F.col(column)).alias("grams")), threshold), "alike")
+    pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stage(kinds.select(F.col(column).alias("a"), F.col(column).alias("label")))
     while True:
         least = pairs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
@@ -227,15 +263,14 @@ def entity_merge(df: DataFrame, order: Sequence[str] = ORDER, scope: Sequence[st
     filled = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
     best = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.length(F.col(c).cast("string")).alias("n"), *rank))).alias(c) for c in values]
     fullest = F.max_by(F.struct(*marks), F.struct(filled.alias("n"), *rank)).alias("_m")
-    merged = df.filter("entity_id IS NOT NULL").groupBy(*scope, "entity_id").agg(*best, fullest)
-    merged = merged.select(*scope, "entity_id", *values, *[F.col(f"_m.{m}").alias(m) for m in marks])
-    return merged.unionByName(df.filter("entity_id IS NULL").select(*scope, "entity_id", *values, *marks))
+    merged = df.withColumn("_alone", _alone(F.col("entity_id"))).groupBy(*scope, "entity_id", "_alone").agg(*best, fullest)
+    return merged.select(*scope, "entity_id", *values, *[F.col(f"_m.{m}").alias(m) for m in marks])
 
 
 def entity_notes(df: DataFrame, table: str, scope: Sequence[str] = ()) -> DataFrame:
     """AG10."""
     n = df.groupBy(*scope).agg(F.count("entity_id").alias("n"), F.count_distinct("entity_id").alias("m"))
-    return n.select(*scope, F.format_string(f"entity_resolution({table}): %d rows → %d entities", "n", "m").alias("note"))
+    return n.select(*scope, F.format_string(f"{table}: %d rows tell of %d entities", "n", "m").alias("note"))
 
 
 def unaccounted_rows(rows: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
@@ -262,7 +297,8 @@ def reconcile(tables: dict[str, DataFrame], declared: dict[str, Sequence[Declare
     declared ones, and others as they are.  A name that isn't declared is left out.  Tables with a key
     have their rows of one entity merged, then of one key; those without are deduplicated by
     fingerprint.  chunk_pages: scope, table_name, chunk_index, pages.  A row's notes are joined in
-    reconciliation_notes.
+    reconciliation_notes.  Tables at either end of a link are staged once their entities are merged and
+    again when their links are mended, so every table given is read once.
     """
     kept = {name: normalize_row(df, declared[name]) for name, df in tables.items() if name in declared}
     for name, df in kept.items():
@@ -270,12 +306,15 @@ def reconcile(tables: dict[str, DataFrame], declared: dict[str, Sequence[Declare
             known = df.withColumn("entity_id", entity_id(declared[name]))
             kept[name] = entity_merge(absorb_partial_rows(known, [*scope, order[0]], order[1:]), order, scope).drop("entity_id")
         kept[name] = kept[name].withColumn("_notes", F.array().cast("array<string>"))
-    for link in links:
+    linked = [link for link in links if link.table in kept and link.parent in kept]
+    for name in {n for link in linked for n in (link.table, link.parent)}:
+        kept[name] = stage(kept[name], f"reconcile-{name}")
+    for link in linked:
         kinds = {c.name: c.type for c in declared.get(link.parent, ())}
-        if link.table in kept and link.parent in kept and link.parent_column in kinds:
+        if link.parent_column in kinds:
             label = f"{link.table}.{link.column}"
             mended = repair_fk(kept[link.table], link.column, kept[link.parent], f"{link.parent}.{link.parent_column}", label, kinds[link.parent_column], order, scope)
-            kept[link.table] = mended.withColumn("_notes", F.concat("_notes", F.array_compact(F.array("fk_note")))).drop("fk_note")
+            kept[link.table] = stage(mended.withColumn("_notes", F.concat("_notes", F.array_compact(F.array("fk_note")))).drop("fk_note"), f"mended-{link.table}")
     for name, df in kept.items():
         key = any(c.pk for c in declared[name])
         df = merge_by_natural_key(df, declared[name], order, scope) if key else dedupe_by_fingerprint(df, declared[name], order, scope)

@@ -56,7 +56,7 @@ dr AS (SELECT nr.*, CASE
   WHEN NOT EXISTS (SELECT 1 FROM nt t WHERE t.job_id = nr.job_id AND t.table_name = references_table) THEN 'relationship downgraded: references_table ''' || references_table || ''' not in model'
   WHEN s.pk IS NULL THEN 'relationship downgraded: column ' || source_table || '.' || source_column || ' not declared'
   WHEN r.pk IS NULL THEN 'relationship downgraded: column ' || references_table || '.' || references_column || ' not declared'
-  WHEN NOT r.pk THEN 'relationship downgraded: ' || references_table || '.' || references_column || ' is not is_primary_key=True (FKs must reference a unique natural key)' END AS note
+  WHEN NOT r.pk THEN 'relationship downgraded: ' || references_table || '.' || references_column || ' is no key by itself' END AS note
   FROM nr LEFT JOIN pk s ON s.job_id = nr.job_id AND s.table_name = source_table AND s.column_name = source_column
   LEFT JOIN pk r ON r.job_id = nr.job_id AND r.table_name = references_table AND r.column_name = references_column)"""
 

@@ -45,7 +45,7 @@ def ag6(spark, d):
 @query("AG7_merge_notes", f"""WITH {LINES}, w AS (SELECT *, row_number() OVER k - 1 AS n, count(l_partkey) OVER b AS a1, count(l_quantity) OVER b AS a2, count(l_shipmode) OVER b AS a3 FROM li
   WINDOW k AS (PARTITION BY l_orderkey, l_linenumber ORDER BY ord), b AS (PARTITION BY l_orderkey, l_linenumber ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT l_orderkey || '|' || l_linenumber AS k, concat_ws(', ', CASE WHEN l_partkey IS NOT NULL AND a1 = 0 THEN 'l_partkey' END, CASE WHEN l_quantity IS NOT NULL AND a2 = 0 THEN 'l_quantity' END, CASE WHEN l_shipmode IS NOT NULL AND a3 = 0 THEN 'l_shipmode' END) AS f FROM w WHERE n > 0)
-SELECT CASE WHEN f <> '' THEN 'merged lineitem duplicate for key ' || k || ': filled ' || f ELSE 'duplicate lineitem row for key ' || k || ' had no new fields' END AS note, count(*) AS n FROM f GROUP BY ALL""")
+SELECT CASE WHEN f <> '' THEN 'lineitem: a later row of key ' || k || ' gave ' || f ELSE 'lineitem: a later row of key ' || k || ' gave nothing new' END AS note, count(*) AS n FROM f GROUP BY ALL""")
 def ag7(spark, d):
     return reconcile.merge_notes(lineitem(spark, d), "lineitem", LINEITEM).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
 
@@ -100,8 +100,8 @@ def jn1(spark, d):
 
 
 @query("JN2_fk_tokenset", f"""{FK} SELECT s_suppkey, coalesce(exact, tokens, nation) AS nation, CASE WHEN nation IS NULL OR exact IS NOT NULL THEN NULL
-  WHEN tokens IS NOT NULL THEN 'FK supplier.nation: repaired ''' || nation || ''' → ''' || tokens || ''' via token-set match'
-  ELSE 'FK supplier.nation=''' || nation || ''' has no matching nation.n_name' END AS fk_note FROM j""")
+  WHEN tokens IS NOT NULL THEN 'supplier.nation: ''' || nation || ''' was read as ''' || tokens || ''', which has the same words'
+  ELSE 'supplier.nation: ''' || nation || ''' is no value of nation.n_name' END AS fk_note FROM j""")
 def jn2(spark, d):
     child, parents = named(spark, d)
     return reconcile.repair_fk(child, "nation", parents, "nation.n_name", "supplier.nation").select("s_suppkey", "nation", "fk_note")
@@ -113,7 +113,7 @@ def jn3(spark, d):
     return reconcile.fk_misses(child, "nation", parents, "n_name").select("s_suppkey", "nation")
 
 
-@query("JN4_fk_typed", "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 5 = 0 THEN 'FK customer.nation=' || c_nationkey || ' has no matching nation.n_nationkey' END AS fk_note FROM customer")
+@query("JN4_fk_typed", "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 5 = 0 THEN 'customer.nation: ' || c_nationkey || ' is no value of nation.n_nationkey' END AS fk_note FROM customer")
 def jn4(spark, d):
     parents = table(spark, d, "nation").filter("n_nationkey % 5 <> 0").select("n_nationkey", F.lit(0).alias("chunk_index"), F.col("n_nationkey").alias("row_no"))
     child = table(spark, d, "customer").select("c_custkey", "c_nationkey")
@@ -144,7 +144,7 @@ j AS (SELECT cj.*, (SELECT max(n_name) FROM nj WHERE nj.job_id = cj.job_id AND l
 
 
 @query("REC_many_jobs", f"""{JOBS} SELECT job_id, s_suppkey, coalesce(exact, tokens, nation) AS nation, CASE WHEN nation IS NULL OR exact IS NOT NULL OR NOT has THEN NULL
-  WHEN tokens IS NOT NULL THEN 'FK supplier.nation: repaired ' || chr(39) || nation || chr(39) || ' → ' || chr(39) || tokens || chr(39) || ' via token-set match' ELSE 'FK supplier.nation=' || chr(39) || nation || chr(39) || ' has no matching nation.n_name' END AS reconciliation_notes, job_id || ',' || s_suppkey % 3 AS pages FROM j""")
+  WHEN tokens IS NOT NULL THEN 'supplier.nation: ' || chr(39) || nation || chr(39) || ' was read as ' || chr(39) || tokens || chr(39) || ', which has the same words' ELSE 'supplier.nation: ' || chr(39) || nation || chr(39) || ' is no value of nation.n_name' END AS reconciliation_notes, job_id || ',' || s_suppkey % 3 AS pages FROM j""")
 def rec_many_jobs(spark, d):
     """Reconciliation as a whole, over all jobs at once."""
     child, nation = named(spark, d)
@@ -176,7 +176,7 @@ def ag9(spark, d):
     return reconcile.entity_merge(parts(spark, d).drop("p_partkey")).select("entity_id", "p_name", "p_type", "p_size")
 
 
-@query("AG10_entity_notes", f"WITH {PARTS} SELECT 'entity_resolution(part): ' || count(entity_id) || ' rows → ' || count(DISTINCT entity_id) || ' entities' AS note FROM absorbed")
+@query("AG10_entity_notes", f"WITH {PARTS} SELECT 'part: ' || count(entity_id) || ' rows tell of ' || count(DISTINCT entity_id) || ' entities' AS note FROM absorbed")
 def ag10(spark, d):
     return reconcile.entity_notes(parts(spark, d), "part")
 
@@ -593,9 +593,13 @@ def snk1(spark, d):
     return spark.createDataFrame(list(loaded.items()), "table_name string, n long")  # a row a table
 
 
-@query("UD5_fuzzy_entities")
+@query("UD5_fuzzy_entities", r"""WITH RECURSIVE t AS (SELECT DISTINCT p_name, '  ' || lower(trim(p_name)) || ' ' AS body FROM part WHERE p_name IS NOT NULL),
+g AS (SELECT p_name, list_distinct(list_transform(range(1, length(body) - 1), lambda i: substring(body, i, 3))) AS grams FROM t), e AS (SELECT p_name, len(grams) AS n, unnest(grams) AS gram FROM g),
+l AS (SELECT x.p_name AS a, y.p_name AS b FROM e x JOIN e y USING (gram) WHERE x.p_name <> y.p_name GROUP BY ALL HAVING count(*) >= 0.7::DOUBLE * (any_value(x.n) + any_value(y.n) - count(*)) - 0.000000001),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT p_name, least(p_name, min(b)) AS entity_id FROM t LEFT JOIN reach ON a = p_name GROUP BY p_name""")
 def ud5_fuzzy(spark, d):
-    """Part names by likeness (tests hold small names against their groups)."""
+    """Part names by likeness, held against all pairs."""
     return reconcile.fuzzy_entities(table(spark, d, "part"), "p_name")
 
 

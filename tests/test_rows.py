@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docframe.operators import constraints, reconcile
@@ -25,7 +26,7 @@ def test_merge(spark):
 def test_merge_notes(spark):
     rows = [("a", None, 1, 0, 0), ("a", "x", 2, 0, 1), ("a", "y", 3, 0, 2), (None, "z", 1, 0, 3)]
     notes = [r.note for r in reconcile.merge_notes(spark.createDataFrame(rows, SCHEMA), "t", COLS).orderBy("row_no").collect()]
-    assert notes == ["merged t duplicate for key a: filled a", "duplicate t row for key a had no new fields", "row missing primary-key component(s) k"]
+    assert notes == ["t: a later row of key a gave a", "t: a later row of key a gave nothing new", "t: kept as it is, for want of k"]
 
 
 def test_fingerprint(spark):
@@ -38,7 +39,7 @@ def test_fk_repair(spark):
     parents = spark.createDataFrame([("Jane Roe", 0, 0), ("ACME", 0, 1), ("Acme", 0, 2), (None, 0, 3)], "name string, chunk_index int, row_no int")
     child = spark.createDataFrame([(1, " acme"), (2, "Roe, Jane"), (3, "nobody"), (4, None)], "i int, who string")
     out = {r.i: (r.who, r.fk_note) for r in reconcile.repair_fk(child, "who", parents, "name", "t.who").collect()}
-    assert out == {1: ("Acme", None), 2: ("Jane Roe", "FK t.who: repaired 'Roe, Jane' → 'Jane Roe' via token-set match"), 3: ("nobody", "FK t.who='nobody' has no matching name"), 4: (None, None)}
+    assert out == {1: ("Acme", None), 2: ("Jane Roe", "t.who: 'Roe, Jane' was read as 'Jane Roe', which has the same words"), 3: ("nobody", "t.who: 'nobody' is no value of name"), 4: (None, None)}
     assert [r.i for r in reconcile.fk_misses(child, "who", parents, "name").collect()] == [3]
 
 
@@ -92,7 +93,7 @@ def test_jobs_and_documents_stay_apart(spark):
     df = spark.createDataFrame(rows, schema)
     merged = reconcile.merge_by_natural_key(df, COLS, scope=["job_id"], counted="n")
     assert sorted((r.job_id, r.k, r.a, r.b, r.n) for r in merged.filter("k IS NOT NULL").collect()) == [(1, "x", "p", 5, 2), (2, "x", "q", 7, 1)]
-    assert sorted((r.job_id, r.note) for r in reconcile.merge_notes(df, "t", COLS, scope=["job_id"]).filter("note LIKE 'merged%'").collect()) == [(1, "merged t duplicate for key x: filled b")]
+    assert sorted((r.job_id, r.note) for r in reconcile.merge_notes(df, "t", COLS, scope=["job_id"]).filter("note LIKE '% gave b'").collect()) == [(1, "t: a later row of key x gave b")]
     known = reconcile.absorb_partial_rows(df.withColumn("entity_id", reconcile.entity_id(COLS)), ["job_id", "chunk_index"])
     assert sorted((r.job_id, r.chunk_index, r.row_no, r.entity_id) for r in known.collect()) == [(1, 0, 0, "x"), (1, 0, 1, "x"), (1, 1, 0, None), (2, 0, 0, "x"), (2, 0, 1, "x")]
     out = {(r.job_id, r.entity_id): r for r in reconcile.entity_merge(known, scope=["job_id"]).collect()}
@@ -111,6 +112,43 @@ def test_reconcile_in_order(spark):
     assert sorted((r.job_id, r.name, r.age) for r in done["people"].collect()) == [(1, "Roe, Jane", 5), (2, "Bob", None)]
     got = {(r.job_id, r.bill): (r.who, r.reconciliation_notes, r.source_page_numbers) for r in done["bills"].collect()}
     assert got == {
-        (1, "b1"): ("Roe, Jane", "FK bills.who: repaired 'roe. jane' → 'Roe, Jane' via token-set match", [7]), (1, "b2"): ("nobody", "FK bills.who='nobody' has no matching people.name", [7]),
-        (2, "b1"): ("nobody", "FK bills.who='nobody' has no matching people.name", None), (3, "b1"): ("alone", None, None),
+        (1, "b1"): ("Roe, Jane", "bills.who: 'roe. jane' was read as 'Roe, Jane', which has the same words", [7]), (1, "b2"): ("nobody", "bills.who: 'nobody' is no value of people.name", [7]),
+        (2, "b1"): ("nobody", "bills.who: 'nobody' is no value of people.name", None), (3, "b1"): ("alone", None, None),
     }
+
+
+@pytest.mark.parametrize(("threshold", "seed"), [(0.5, 1), (0.7, 2), (0.9, 3), (1.0, 4)])
+def test_alike_pairs_are_those_of_brute_force(spark, monkeypatch, threshold, seed):
+    """Frequent grams, which many names share, are dealt over tasks."""
+    monkeypatch.setattr(reconcile, "DEALT", 5)
+    rng = random.Random(seed)
+    names = sorted({"aaa " + "".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(120)} | {"", "a", "aa", "\u00e9\u00e9"})
+    sets = spark.createDataFrame([(n,) for n in names], "id string").withColumn("grams", reconcile.trigrams(F.col("id")))
+    grams = {r.id: set(r.grams) for r in sets.collect()}
+    want = {(a, b) for a in names for b in names if a < b and len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b]) - 1e-9}
+    got = [(r.a, r.b) for r in reconcile.alike_pairs(sets, threshold).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_linked_tables_are_read_once(spark, tmp_path):
+    """A plan of reconcile() over stored tables scans each of them once in all its jobs."""
+    child, parent = str(tmp_path / "child"), str(tmp_path / "parent")
+    spark.createDataFrame([("j", f"b{k}", f"p{k % 5}", k, 0) for k in range(20)], "job_id string, no string, who string, chunk_index int, row_no int").write.parquet(child)
+    spark.createDataFrame([("j", f"P{k}", k, 0) for k in range(5)], "job_id string, name string, chunk_index int, row_no int").write.parquet(parent)
+    declared = {"child": [reconcile.Declared("no", pk=True), reconcile.Declared("who")], "parent": [reconcile.Declared("name", pk=True)]}
+    scans, stage_ = [], reconcile.stage
+
+    def noted(df, name="stage"):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString() + str(df.inputFiles()))
+        return stage_(df, name)
+
+    reconcile.stage, kept = noted, reconcile.stage
+    try:
+        out = reconcile.reconcile({"child": spark.read.parquet(child), "parent": spark.read.parquet(parent)}, declared, [reconcile.ForeignKey("child", "who", "parent", "name")])
+    finally:
+        reconcile.stage = kept
+    scans += [str(df.inputFiles()) for df in out.values()]
+    assert sum(str(child) in s for s in scans) == sum(str(parent) in s for s in scans) == 1
+    assert sorted({r.who for r in out["child"].collect()}) == [f"P{k}" for k in range(5)]
+    leaves = [df._jdf.queryExecution().optimizedPlan().collectLeaves().size() for df in out.values()]
+    assert leaves == [1, 1]
