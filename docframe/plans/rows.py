@@ -557,7 +557,7 @@ def snk2(spark, d):
     sink = sinks.GraphSink(spark, path)
     for _ in range(2):
         sink.provision(t, "job_1")
-    return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__table").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
+    return sink.read("nodes").groupBy(F.col("__table").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK6_drop_output", f"WITH {NODES} SELECT 'job_1' AS job_scope, count(*) AS n FROM nodes")
@@ -567,7 +567,7 @@ def snk6(spark, d):
     for scope in ("job_1", "job_2"):
         sink.provision(t, scope)
     sink.delete_output("job_2")
-    return spark.read.parquet(f"{path}/nodes").groupBy(F.col("__job_scope").alias("job_scope")).agg(F.count(F.lit(1)).alias("n"))
+    return sink.read("nodes").groupBy(F.col("__job_scope").alias("job_scope")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK4_buckets", "SELECT CAST(l_suppkey AS VARCHAR) AS job_id, count(*) AS n FROM lineitem GROUP BY 1")

@@ -14,6 +14,12 @@ from docframe.operators.graph import NodeTable, graph_edges, merged_nodes
 from docframe.operators.jobs import latest_per_job
 from docframe.operators.vectors import points
 from docframe.session import stage
+from docframe.sources.published import Published, count_rows
+
+
+#: Columns of what the graph and the vector sink store, beside the scope.
+GRAPH = {"nodes": "__row_key string, props string, __table string", "edges": "src string, dst string, edge_key string, type string"}
+POINTS = "point_id string, row_index long, text string, payload string, vector array<float>"
 
 
 class Sink(Protocol):
@@ -42,10 +48,15 @@ class SqlSink:
     keys: unique columns by table; links: (table, column, parent, parent column); kinds: logical types
     by table and column, rows whose values don't fit are left out; order: load order of the columns
     that place a row.  Survivors are staged, so a parent's are found once.
+
+    All tables of a scope are published at once, in ``path`` (the warehouse's own folder, if not given);
+    then the database's tables are made to point there, one by one.  ``read`` sees the former load or
+    the new one; ``register`` mends a database whose tables were left at the former.
     """
 
-    def __init__(self, spark: SparkSession, keys: dict[str, Sequence[str]], links: Sequence[tuple[str, str, str, str]] = (), order: Sequence[str] = ("chunk_index", "row_no"), materialise=None, kinds: dict[str, dict[str, str]] | None = None):
+    def __init__(self, spark: SparkSession, keys: dict[str, Sequence[str]], links: Sequence[tuple[str, str, str, str]] = (), order: Sequence[str] = ("chunk_index", "row_no"), materialise=None, kinds: dict[str, dict[str, str]] | None = None, path: str | None = None):
         self.spark, self.keys, self.links, self.order, self.materialise, self.kinds = spark, keys, links, order, materialise or stage, kinds or {}
+        self.published = Published(spark, path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published")
 
     def load_order(self, names: Iterable[str]) -> list[str]:
         """Parents before children, else as given; tables of a cycle come last, as given."""
@@ -72,32 +83,30 @@ class SqlSink:
         return done
 
     def provision(self, tables: dict[str, NodeTable | DataFrame], scope: str) -> dict[str, int]:
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{scope}`")
-        counts = {}
-        for name, df in self.survivors(tables).items():
-            df.write.mode("overwrite").saveAsTable(f"`{scope}`.`{name}`")
-            counts[name] = self.spark.table(f"`{scope}`.`{name}`").count()
-        return counts
-
-    def delete_output(self, scope: str) -> None:
-        self.spark.sql(f"DROP DATABASE IF EXISTS `{scope}` CASCADE")
-
+        loaded = self.survivors(tables)
+        self.published.replace(scope, {name: (df, []) for name, df in loaded.items()})
+        self.register(scope)
+        return {name: self.spark.table(f"`{scope}`.`{name}`").count() for name in loaded}
 
-class _ScopedFiles:
-    """A table of files, partitioned so that one scope is replaced or dropped by itself."""
+    def read(self, scope: str, name: str) -> DataFrame:
+        """A table of the scope's last load."""
+        return self.spark.read.parquet(self._place(scope, name))
 
-    def __init__(self, spark: SparkSession, path: str, by: Sequence[str]):
-        self.spark, self.path, self.by = spark, path, by
+    def register(self, scope: str) -> None:
+        """The database of the scope has the tables of its last load."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{scope}`")
+        wanted = self.published.current(scope)
+        for name in {t.name for t in self.spark.catalog.listTables(f"`{scope}`")} | set(wanted):
+            self.spark.sql(f"DROP TABLE IF EXISTS `{scope}`.`{name}`")
+            if name in wanted:
+                self.spark.sql(f"CREATE TABLE `{scope}`.`{name}` USING parquet LOCATION '{self._place(scope, name)}'")
 
-    def replace(self, df: DataFrame, scope: str) -> None:
-        """The scope's rows are gone, then these are there; no rows leave an empty scope."""
-        self.drop(scope)
-        df.write.partitionBy(*self.by).mode("append").parquet(self.path)
+    def _place(self, scope: str, name: str) -> str:
+        return self.published.folder(scope, name)
 
-    def drop(self, scope: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.by[0]}={scope}")
-        folder.getFileSystem(conf).delete(folder, True)
+    def delete_output(self, scope: str) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS `{scope}` CASCADE")
+        self.published.drop(scope)
 
 
 class GraphSink:
@@ -108,21 +117,20 @@ class GraphSink:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.nodes = _ScopedFiles(spark, f"{path}/nodes", ("__job_scope", "__table"))
-        self.edges = _ScopedFiles(spark, f"{path}/edges", ("__job_scope", "type"))
+        self.published = Published(spark, path, "__job_scope")
 
     def provision(self, tables: dict[str, NodeTable], scope: str) -> dict[str, int]:
         nodes, edges = merged_nodes(tables, scope), graph_edges(tables, scope)
-        self.nodes.replace(nodes, scope)
-        if edges is not None:
-            self.edges.replace(edges.dropDuplicates(["__job_scope", "edge_key"]), scope)
-        stored = self.spark.read.schema("props string, __job_scope string, __table string").parquet(f"{self.path}/nodes")
-        counts = stored.filter(F.col("__job_scope") == scope).groupBy("__table").count().collect()  # a row a table
-        return dict.fromkeys(tables, 0) | {r[0]: r[1] for r in counts}
+        made = {"nodes": (nodes, ["__table"])} | ({} if edges is None else {"edges": (edges.dropDuplicates(["__job_scope", "edge_key"]), ["type"])})
+        self.published.replace(scope, made)
+        return dict.fromkeys(tables, 0) | count_rows(self.read("nodes", [scope]), "__table")
+
+    def read(self, name: str, scopes: Sequence[str] | None = None) -> DataFrame:
+        """The published nodes or edges, of all scopes or of some."""
+        return self.published.read(name, GRAPH[name], scopes)
 
     def delete_output(self, scope: str) -> None:
-        self.nodes.drop(scope)
-        self.edges.drop(scope)
+        self.published.drop(scope)
 
 
 class VectorSink:
@@ -133,7 +141,7 @@ class VectorSink:
 
     def __init__(self, spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.path, self.embed = spark, path, embed
-        self.points = _ScopedFiles(spark, path, ("collection",))
+        self.published = Published(spark, path, "collection")
 
     def provision(self, tables: dict[str, NodeTable], scope: str) -> dict[str, int]:
         counts, every = {}, None
@@ -148,10 +156,14 @@ class VectorSink:
     def provision_points(self, rows: DataFrame, scope: str) -> None:
         if not rows.filter("vector IS NULL").isEmpty():
             raise ValueError("points without a vector")
-        self.points.replace(rows, scope)
+        self.published.replace(scope, {"points": (rows.withColumn("vector", F.col("vector").cast("array<float>")), [])})
+
+    def read(self, scopes: Sequence[str] | None = None) -> DataFrame:
+        """The published points, of all collections or of some."""
+        return self.published.read("points", POINTS, scopes)
 
     def delete_output(self, scope: str) -> None:
-        self.points.drop(scope)
+        self.published.drop(scope)
 
 
 def write_buckets(extracted: DataFrame, path: str) -> None:

@@ -80,14 +80,14 @@ def test_graph_sink(spark, tmp_path):
     sink = sinks.GraphSink(spark, str(tmp_path))
     for scope in ("job_123", "job_123", "job_789"):
         assert sink.provision(tables, scope) == {"company": 1, "invoice": 1}
-    assert spark.read.parquet(f"{tmp_path}/nodes").filter("__job_scope = 'job_123'").count() == 2
-    assert [r.type for r in spark.read.parquet(f"{tmp_path}/edges").filter("__job_scope = 'job_123'").collect()] == ["INVOICE_TO_COMPANY"]
+    assert sink.read("nodes").filter("__job_scope = 'job_123'").count() == 2
+    assert [r.type for r in sink.read("edges").filter("__job_scope = 'job_123'").collect()] == ["INVOICE_TO_COMPANY"]
     sink.delete_output("job_789")
-    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/nodes").select("__job_scope").collect()} == {"job_123"}
+    assert {r[0] for r in sink.read("nodes").select("__job_scope").collect()} == {"job_123"}
     # of rows of one key the last in load order is the node
     twice = NodeTable(spark.createDataFrame([("acme", "zzz", 0), ("ACME", "aaa", 1)], "company_id string, name string, n int"), {"company_id": "string"}, ("n",))
     assert sink.provision({"company": twice}, "job_5") == {"company": 1}
-    assert [r.props for r in spark.read.parquet(f"{tmp_path}/nodes").filter("__job_scope = 'job_5'").collect()] == ['{"company_id":"ACME","name":"aaa","n":1}']
+    assert [r.props for r in sink.read("nodes").filter("__job_scope = 'job_5'").collect()] == ['{"company_id":"ACME","name":"aaa","n":1}']
 
 
 def test_vector_sink(spark, tmp_path):
@@ -97,7 +97,7 @@ def test_vector_sink(spark, tmp_path):
     sink = sinks.VectorSink(spark, str(tmp_path), lambda made: vectors.embed_with(made, lambda texts: [[0.5] for _ in texts]).withColumnRenamed("embedding", "vector"))
     sink.provision_points(p, "job_456")
     sink.provision_points(p, "job_456")
-    got = spark.read.parquet(str(tmp_path)).collect()
+    got = sink.read().collect()
     assert len(got) == 2 and {r.text for r in got} == {"table: invoice\ninvoice_id: inv-1\ntotal: 10.5", "table: invoice\ninvoice_id: inv-2\ntotal: 25.0"}
     with pytest.raises(ValueError):
         sink.provision_points(p.withColumn("vector", F.lit(None).cast("array<float>")), "job_456")
@@ -105,7 +105,75 @@ def test_vector_sink(spark, tmp_path):
     assert sink.provision({"invoice": invoices}, "job_7") == {"invoice": 2}
     # a collection that is provisioned again without rows is empty, others stay
     assert sink.provision({"invoice": NodeTable(rows.limit(0), {}, ("invoice_id",))}, "job_7") == {"invoice": 0}
-    assert {r[0] for r in spark.read.parquet(str(tmp_path)).select("collection").collect()} == {"job_456"}
+    assert {r[0] for r in sink.read().select("collection").collect()} == {"job_456"}
+
+
+def test_loads_are_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A failure before the last table, or before the manifest, leaves the former output whole in all three sinks."""
+    from docframe.sources.published import Published
+
+    a = lambda n: spark.createDataFrame([(f"k{i}", "v", 0, i) for i in range(n)], "k string, v string, chunk_index int, row_no int")
+    node = lambda n: {"company": NodeTable(spark.createDataFrame([(f"c{i}", "x") for i in range(n)], "company_id string, name string"), {"company_id": "string"}, ("company_id",)), "invoice": NodeTable(spark.createDataFrame([(f"i{i}", "c0") for i in range(n)], "invoice_id string, company_id string"), {"invoice_id": "string"}, ("invoice_id",), (Link("company_id", "company", "company_id", 0),))}
+    embed = lambda made: vectors.embed_with(made, lambda texts: [[0.5] for _ in texts]).withColumnRenamed("embedding", "vector")
+    sql = sinks.SqlSink(spark, {"one": ["k"]}, path=str(tmp_path / "sql"))
+    graph_sink, points = sinks.GraphSink(spark, str(tmp_path / "graph")), sinks.VectorSink(spark, str(tmp_path / "points"), embed)
+
+    def state():
+        tables = {t: (sql.read("job_all", t).count(), spark.table(f"job_all.{t}").count()) for t in ("one", "two")}
+        return tables, graph_sink.read("nodes").count(), graph_sink.read("edges").count(), points.read().count()
+
+    def load(n):
+        done = []
+        for run in (lambda: sql.provision({"one": a(n), "two": a(n)}, "job_all"), lambda: graph_sink.provision(node(n), "g"), lambda: points.provision({"company": node(n)["company"]}, "p")):
+            try:
+                done.append(run())
+            except OSError:
+                done.append(None)
+        return done
+
+    assert load(3)[0] == {"one": 3, "two": 3}
+    before = state()
+    assert before == ({"one": (3, 3), "two": (3, 3)}, 6, 3, 3)
+    write, publish, n = Published._write, Published._publish, []
+
+    def breaks(self, df, folder, parts):
+        n.append(folder)
+        write(self, df, folder, parts)
+        if "/two/" in folder or "/edges/" in folder or "/points/" in folder:
+            raise OSError("disk full")
+
+    monkeypatch.setattr(Published, "_write", breaks)
+    assert load(5) == [None, None, None] and state() == before
+    monkeypatch.setattr(Published, "_write", write)
+
+    def silent(self, scope, versions):
+        raise OSError("gone")
+
+    monkeypatch.setattr(Published, "_publish", silent)
+    assert load(5) == [None, None, None] and state() == before
+    monkeypatch.setattr(Published, "_publish", publish)
+    load(4)
+    load(4)
+    load(2)
+    assert state() == ({"one": (2, 2), "two": (2, 2)}, 4, 2, 2)
+    assert len(list((tmp_path / "sql" / "one" / "scope=job_all").iterdir())) == 2, "the former version stays, older ones go"
+    sql.delete_output("job_all")
+    graph_sink.delete_output("g")
+    points.delete_output("p")
+    assert not spark.catalog.databaseExists("job_all") and graph_sink.read("nodes").count() == points.read().count() == 0
+
+
+def test_two_writers_of_a_scope(spark, tmp_path):
+    from docframe.sources.published import Published
+
+    one, two = (Published(spark, str(tmp_path)) for _ in range(2))
+    df = spark.range(2)
+    one.replace("a/b c", {"t": (df, [])})
+    numbers = two._numbers
+    two._numbers = lambda scope: numbers(scope)[:-1]  # it has looked before the other has published
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        two.replace("a/b c", {"t": (spark.range(9), [])})
+    assert one.read("t", "id long").count() == 2 and one.scopes() == ["a/b c"] and one.read("none", "id long").count() == 0
 
 
 def test_approximate_retrieval(spark):
