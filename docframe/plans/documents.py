@@ -343,3 +343,14 @@ def jn8(spark, d):
 @query("ST6_unique_pages", f"WITH {TEXTS} SELECT doc_id, {PAGE_LIST.format('full_text || full_text')} AS pages FROM texts")
 def st6(spark, d):
     return texts(spark, d).select("doc_id", F.array_join(page_markers(F.concat("full_text", "full_text")).cast("array<string>"), ",").alias("pages"))
+
+
+@query("UD1_custom_reader", "SELECT 'doc-' || doc_id || '.log' AS path, CAST(i AS INTEGER) AS page_number, CAST(0 AS INTEGER) AS region_no, md5(line) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE line <> ''")
+def ud1(spark, d):
+    """A user's reader of files: here a page a line."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    files = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".log")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    lines = lambda path, content: [{"page_number": k, "region_type": "text", "text": line} for k, line in enumerate(bytes(content).decode().split("\n"), 1) if line]
+    found = readers.read_with(files, lines)
+    # the reader numbers the regions of a file; a page has one
+    return found.select("path", "page_number", F.lit(0).alias("region_no"), F.md5(F.col("text").cast("binary")).alias("text"))

@@ -214,3 +214,21 @@ QUALIFY row_number() OVER (PARTITION BY st, sc ORDER BY alike DESC, n_values / n
 def md8_links(spark, d):
     t = sources(spark, d)
     return M.propose_relationships(t, M.propose_columns(t))
+
+
+@query("UD2_custom_proposer", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {k} AS column_no, (SELECT count(*) FROM {t}) AS n_rows" for t, cols in SOURCES.items() for k, c in enumerate(cols)))
+def ud2(spark, d):
+    """A user's proposer: a table for each source, all columns texts, its description the number of rows."""
+
+    def propose(tables):
+        one = None
+        for no, (name, df) in enumerate(tables.items()):
+            columns = F.array(*[F.struct(F.lit(c).alias("name"), F.lit("string").alias("type"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("is_primary_key")) for c in df.columns])
+            row = df.agg(F.count(F.lit(1)).cast("string").alias("description")).select(F.lit(no).alias("no"), F.struct(F.lit(name).alias("table_name"), "description", columns.alias("columns")).alias("t"))
+            one = row if one is None else one.unionByName(row)
+        kept = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]).alias("tables"))  # a row a table
+        return kept.select(F.lit("j").alias("job_id"), F.struct(F.lit("table_graph"), "tables", F.array().cast("array<struct<a:string,b:string,c:string,d:string,e:string,f:array<string>,g:boolean,h:boolean>>")).cast(schemas.MODEL).alias("model"))
+
+    model = M.propose_model(sources(spark, d), "j", propose)
+    rows = M.model_tables(model).join(M.model_columns(model), ["job_id", "table_name"])
+    return rows.select("table_name", "column_name", "column_no", F.col("description").cast("long").alias("n_rows"))

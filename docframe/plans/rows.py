@@ -18,6 +18,7 @@ from docframe.plans.documents import EMAIL
 from docframe.plans.registry import query, table
 from docframe.session import shared_path, stage
 from docframe.sources import sinks
+from docframe.sources.published import Published
 
 LINEITEM = [Declared("l_orderkey", "integer", True), Declared("l_linenumber", "integer", True), Declared("l_partkey", "integer"), Declared("l_quantity", "float"), Declared("l_shipmode", "string")]
 
@@ -610,3 +611,23 @@ def md7(spark, d):
     number = F.when((F.col("p_partkey") % 10).isin(5, 6, 9), F.col("size")).try_cast("double")
     raw = part.select(F.to_json(F.struct("p_partkey", number.alias("size"), F.col("p_brand").alias("brand"))).alias("raw"))
     return raw.select(F.from_json("raw", model_to_schema([("p_partkey", "integer"), ("size", "float")], ["brand"])).alias("r")).select("r.*")
+
+
+@query("UD6_custom_sink", "SELECT 'supplier' AS table_name, count(*) AS n FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation")
+def ud6(spark, d):
+    """A sink of a user's own, chosen by its name: it publishes every table as JSON rows."""
+
+    class JsonSink:
+        def __init__(self, path):
+            self.published = Published(spark, path, "scope")
+
+        def provision(self, tables, scope):
+            self.published.replace(scope, {name: (t.select(F.to_json(F.struct("*")).alias("row")), []) for name, t in tables.items()})
+            return {name: self.published.read(name, "row string", [scope]).count() for name in tables}
+
+        def delete_output(self, scope):
+            self.published.drop(scope)
+
+    sink = sinks.sink_for("json", json=lambda: JsonSink(shared_path(spark, "json-sink")))
+    loaded = sink.provision({t: table(spark, d, t) for t in ("supplier", "nation")}, "job_1")
+    return spark.createDataFrame(list(loaded.items()), "table_name string, n long")  # a row a table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,9 +48,11 @@ def shared_path(spark: SparkSession, name: str = "stage") -> str:
     """A new path in the folder of spark.checkpoint.dir (a temporary one on a local master where that is unset)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = _own_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docframe-"))
+        if spark.sparkContext.applicationId not in _own_folders:
+            _own_folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="docframe-")
+        shared = _own_folders[spark.sparkContext.applicationId]
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
