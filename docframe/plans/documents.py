@@ -354,3 +354,9 @@ def ud1(spark, d):
     found = readers.read_with(files, lines)
     # the reader numbers the regions of a file; a page has one
     return found.select("path", "page_number", F.lit(0).alias("region_no"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SRC4_page_order")
+def src4_order(spark, d):
+    """Elements in page order, nested and unclosed ones too (tests hold them against a plain parser)."""
+    return readers.regions_from_markup(table(spark, d, "pages")).select("doc_id", "page_number", "region_no", "region_type", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe import schemas
@@ -67,6 +67,60 @@ def regions_from_html(pages: DataFrame) -> DataFrame:
     return regions.select("doc_id", F.lit(1).alias("page_number"), "region_no", *_region(F.col("r.kind"), F.col("r.text"), F.col("region_no")))
 
 
+#: Elements whose inner elements are no regions of their own; those that open no region but begin a new line; and lists, in which an item ends the one before.
+WHOLE = ("nav", "table", "figure", "footer")
+LISTS = ("ul", "ol")
+BLOCKS = (*LISTS, "div", "article", "section", "main", "header", "aside", "blockquote", "form", "body", "dl", "pre", "hr", "h2", "h3", "h4", "h5", "h6")
+_TOKEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|[^<]+"
+
+
+def regions_from_markup(pages: DataFrame) -> DataFrame:
+    """SRC4 in page order: a region per marked-up element with text, by one pass over a page's tags with a stack.
+
+    A text belongs to the innermost open element of TAGS, or to the outermost of WHOLE around it; so
+    each text is in one region.  Elements are in order of their opening.  An item ends the item before
+    it in its list and a block ends an open paragraph, closed or not; an end tag closes what is open
+    within its element, one without an element is passed over, as are comments, scripts and styles.
+    White space is one space.  A page is one task's; entities stay as they are written.
+    """
+    region = {tag: kind for tag, kind in TAGS}
+    known = [*region, *BLOCKS]
+    tokens = F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))
+    tag = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    marks = F.transform(tokens, lambda t: F.struct((~t.startswith("<")).alias("text"), t.startswith("</").alias("end"), tag(t).alias("tag"), t.alias("raw")))
+    marks = F.filter(marks, lambda m: F.when(m["text"], m["raw"].rlike(r"\S")).otherwise(m["tag"].isin(*known)))
+    kinds = F.create_map(*[F.lit(x) for pair in region.items() for x in pair])
+    zero = F.expr("named_struct('stack', cast(array() as array<struct<tag:string,id:int,kind:string,whole:boolean>>), 'next', 0, 'out', cast(array() as array<struct<id:int,kind:string,text:string>>))")
+    nobody = F.struct(F.lit("").alias("tag"), F.lit(-1).alias("id"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("whole"))
+
+    def last(stack: Column) -> Column:
+        return F.coalesce(F.try_element_at(stack, F.lit(-1)), nobody)
+
+    def cut(stack: Column, wanted) -> Column:
+        """The stack below its last entry that is wanted."""
+        at = F.size(stack) - F.array_position(F.transform(F.reverse(stack), wanted), True).cast("int")
+        return F.when(F.exists(stack, wanted), F.slice(stack, F.lit(1), at)).otherwise(stack)
+
+    def step(acc: Column, m: Column) -> Column:
+        stack, top = acc["stack"], last(acc["stack"])
+        is_tag = lambda *names: lambda e: e["tag"].isin(*names)
+        # an item is open in this list if no list opens behind it
+        item = F.exists(stack, is_tag("li")) & (F.try_element_at(F.filter(stack, is_tag("li", *LISTS)), F.lit(-1))["tag"] == "li")
+        below = F.when((m["tag"] == "li") & item, cut(stack, is_tag("li"))).when(top["tag"] == "p", cut(stack, is_tag("p"))).otherwise(stack)
+        under = last(below)
+        opens = kinds[m["tag"]].isNotNull() & ~under["whole"]
+        entry = F.struct(m["tag"].alias("tag"), F.when(opens, acc["next"]).otherwise(under["id"]).alias("id"), F.when(opens, kinds[m["tag"]]).otherwise(under["kind"]).alias("kind"), (under["whole"] | m["tag"].isin(*WHOLE)).alias("whole"))
+        told = F.when(m["text"] & (top["id"] >= 0), F.concat(acc["out"], F.array(F.struct(top["id"].alias("id"), top["kind"].alias("kind"), m["raw"].alias("text"))))).otherwise(acc["out"])
+        moved = F.when(m["text"], stack).when(m["end"], cut(stack, lambda e: e["tag"] == m["tag"])).otherwise(F.concat(below, F.array(entry)))
+        return F.struct(moved.alias("stack"), (acc["next"] + F.when(~m["text"] & ~m["end"] & opens, 1).otherwise(0)).alias("next"), told.alias("out"))
+
+    pieces = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.aggregate(marks, zero, step, lambda acc: acc["out"])).alias("n", "r"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("r.text").alias("t")))), lambda x: x["t"]), " ")
+    found = pieces.groupBy("doc_id", F.col("r.id").alias("id")).agg(F.first("r.kind").alias("kind"), strip(F.regexp_replace(joined, r"(?U)\s+", " ")).alias("text")).filter("text <> ''")
+    regions = found.withColumn("region_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")) - 1)
+    return regions.select("doc_id", F.lit(1).alias("page_number"), "region_no", *_region(F.col("kind"), F.col("text"), F.col("region_no")))
+
+
 def read_with(files: DataFrame, reader: Callable[[str, bytes], list[dict]]) -> DataFrame:
     """UD1: regions by a user's reader (path, content) -> [{page_number, region_type, bbox, text, confidence}].
 
