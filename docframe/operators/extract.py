@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.functions.scalars import snake_case, strip
+
 CHARS_PER_TOKEN = 4
 
 
@@ -68,6 +70,44 @@ def extract_delimited(chunks: DataFrame, table: str, columns: list[str], *keys:
     return lines.select(*keys, F.lit(table).alias("table_name"), "chunk_index", "row_no", row.alias("row"))
 
 
+def _bands(boxes: DataFrame, keys: Sequence[str], low: str, high: str, name: str) -> DataFrame:
+    """boxes with the number, from 0, of the band that each lies in: a band ends where a gap is, behind the furthest end so far."""
+    order = Window.partitionBy(*keys).orderBy(low, high, "region_no")
+    furthest = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col(low) >= furthest, F.lit(False)).cast("int")
+    return boxes.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_opens")
+
+
+def layout_cells(regions: DataFrame, *keys: str) -> DataFrame:
+    """UD3 on layouts: keys, line_no, column_no, text: the cells of the table that the boxes of a page make.
+
+    regions: keys (a page, or a table of one), region_no, x1, y1, x2, y2, text.  Lines and columns are
+    found from the gaps between boxes alone, so no box may span two columns; boxes of one cell are joined
+    in reading order.  Regions without a box or without text are left out.  A page is one task's.
+    """
+    whole = F.lit(True)
+    for c in ("x1", "y1", "x2", "y2"):
+        whole = whole & F.col(c).isNotNull()
+    boxes = regions.filter(whole & (strip(F.coalesce("text", F.lit(""))) != "")).select(*keys, "region_no", "x1", "y1", "x2", "y2", strip(F.col("text")).alias("text"))
+    placed = _bands(_bands(boxes, keys, "y1", "y2", "line_no"), keys, "x1", "x2", "column_no")
+    words = F.array_sort(F.collect_list(F.struct("y1", "x1", "region_no", "text")))
+    return placed.groupBy(*keys, "line_no", "column_no").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"))
+
+
+def extract_layout(regions: DataFrame, table: str, *keys: str) -> DataFrame:
+    """UD3 on layouts: keys, table_name, row_no, row: the lines of layout_cells below the first, by the names in the first.
+
+    Names are in snake case; a column without one, or whose name stood before, gets its number.
+    """
+    cells = layout_cells(regions, *keys)
+    named = cells.filter("line_no = 0").withColumn("name", F.nullif(snake_case(F.col("text")), F.lit("")))
+    nth = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("column_no"))
+    names = named.withColumn("name", F.when(F.col("name").isNull() | (nth > 1), F.concat_ws("_", F.coalesce("name", F.lit("column")), F.col("column_no").cast("string"))).otherwise(F.col("name"))).select(*keys, "column_no", "name")
+    below = cells.filter("line_no > 0").join(names, [*keys, "column_no"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("column_"), F.col("column_no").cast("string"))))
+    row = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text"))))
+    return below.groupBy(*keys, "line_no").agg(row.alias("row")).select(*keys, F.lit(table).alias("table_name"), (F.col("line_no") - 1).alias("row_no"), "row")
+
+
 def extract_with(pairs: DataFrame, extractor: Callable[[str, str], list[dict]]) -> DataFrame:
     """UD3, a user's function (text, table) -> rows, over routed chunks, in Arrow batches.
 

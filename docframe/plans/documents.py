@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.scalars import cap_context, page_markers
+from docframe.functions.scalars import cap_context, coerce, page_markers
 from docframe.operators import extract, reconcile, text
 from docframe.operators.jobs import table_counts
 from docframe.plans.registry import query, table
@@ -360,3 +360,19 @@ def ud1(spark, d):
 def src4_order(spark, d):
     """Elements in page order, nested and unclosed ones too (tests hold them against a plain parser)."""
     return readers.regions_from_markup(table(spark, d, "pages")).select("doc_id", "page_number", "region_no", "region_type", "text")
+
+
+@query("UD3_layout", """SELECT n_nationkey AS page, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS row_no, s_suppkey AS supplier_no, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 100 AS DOUBLE) END AS balance
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def ud3_layout(spark, d):
+    """Suppliers as a table on each nation's page, boxes out of order and out of line, a head in two boxes; read back as typed rows."""
+    s = table(spark, d, "supplier").withColumn("line", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    box = lambda no, x, width, text, dy=0: F.struct(F.lit(no).alias("no"), F.lit(x).alias("x1"), F.lit(width).alias("width"), F.lit(dy).alias("dy"), text.alias("text"))
+    cells = F.array(box(0, 300, 60, F.when(F.col("s_suppkey") % 3 > 0, (F.col("s_suppkey") % 100).cast("string")), 3), box(1, 10, 40, F.col("s_suppkey").cast("string")), box(2, 100, 80, F.col("s_name"), 2))
+    body = s.select(F.col("s_nationkey").alias("page"), "line", F.explode(cells).alias("c"))
+    heads = s.select(F.col("s_nationkey").alias("page")).distinct().select("page", F.lit(0).alias("line"), F.explode(F.array(box(0, 305, 70, F.lit("Balance")), box(1, 5, 30, F.lit("Supplier")), box(3, 40, 20, F.lit("No.")), box(2, 110, 50, F.lit("Name")))).alias("c"))
+    y = F.col("line") * 20 + F.col("c.dy")
+    regions = body.unionByName(heads).select("page", (F.col("line") * 4 + F.col("c.no")).alias("region_no"), F.col("c.x1").alias("x1"), y.alias("y1"), (F.col("c.x1") + F.col("c.width")).alias("x2"), (y + 12).alias("y2"), "c.text")
+    rows = extract.extract_layout(regions, "supplier", "page")
+    value = lambda c, kind: coerce(F.col("row")[c], kind).alias(c)
+    return rows.select("page", "row_no", value("supplier_no", "integer"), value("name", "string"), value("balance", "float"))

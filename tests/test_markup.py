@@ -93,3 +93,15 @@ def test_pages_against_a_plain_parser(spark, sf):
         got.setdefault(r.doc_id, []).append((r.region_type, r.text))
     want = {r.page_id: plain(r.html) for r in pages.collect() if r.html}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_tables_from_boxes(spark):
+    """Lines and columns from gaps; pages apart; odd boxes left out."""
+    from docframe.operators.extract import extract_layout
+
+    page = [(0, 0, 0, 30, 10, "Item name"), (1, 50, 1, 70, 9, "Qty"), (2, 90, 0, 99, 9, "qty"), (3, 0, 20, 20, 30, "bolt"), (4, 22, 21, 35, 31, "M4"), (5, 55, 22, 60, 30, " 7 "), (6, 0, 40, 10, 50, "nut"), (7, 91, 41, 95, 50, "3"), (8, 1, 52, 2, 60, "  "), (9, None, 1, 2, 3, "lost"), (10, 120, 42, 130, 50, "odd")]
+    rows = [(p, *r) for p in (1, 2) for r in page] + [(3, 0, 0, 0, 9, 9, "alone")]
+    df = spark.createDataFrame(rows, "page int, region_no int, x1 int, y1 int, x2 int, y2 int, text string").repartition(3)
+    got = sorted((r.page, r.table_name, r.row_no, tuple(sorted(r.row.items()))) for r in extract_layout(df, "t", "page").collect())
+    assert got == [x for p in (1, 2) for x in [(p, "t", 0, (("item_name", "bolt M4"), ("qty", "7"))), (p, "t", 1, (("column_3", "odd"), ("item_name", "nut"), ("qty_2", "3")))]]
+    assert extract_layout(df.limit(0), "t", "page").count() == 0
