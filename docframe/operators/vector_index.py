@@ -121,7 +121,7 @@ class VectorIndex:
         There are about sqrt(n) cells, unless given or unless the sample has too few vectors for that many.
         """
         spark = chunks.sparkSession
-        rows = _unit(chunks, "chunk_id")
+        rows = stage(_unit(chunks, "chunk_id"), "index-vectors")
         n, low, high = rows.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
         if low != high:
             raise ValueError(f"an index holds vectors of one length, not of {low} to {high}")
