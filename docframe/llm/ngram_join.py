@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold.  n_links counts the documents that one links to, copies included; class_id is the
     least id of its connected component; copy_of the least id of the documents of its very words.
 
-    Texts of the same words are first merged to one, so copies cost nothing.  Texts that share a band
+    Texts of the same words are first merged to one, by a 128-bit digest of these, so copies cost
+    nothing.  Texts that share a band
     hash share a bucket.  Buckets are cut into blocks of bounded size, and every pair of blocks is
     verified on the full n-gram sets within a task, which returns counts and a spanning forest of the
     links; components are those of verified links only.  A text without words links to nothing.  Rows
