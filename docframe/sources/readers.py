@@ -15,6 +15,8 @@ from docframe.functions.scalars import strip
 UPLOAD_TYPES = ("pdf", "png", "jpg", "jpeg", "tiff", "bmp", "webp")
 UPLOAD_BYTES = 100 * 1024 * 1024
 LINES_PER_PAGE = 10
+#: Regions of a user's reader that go on together.
+REGIONS_AT_A_TIME = 4096
 #: Region type by tag.
 TAGS = (("title", "title"), ("h1", "title"), ("p", "text"), ("li", "header"), ("nav", "header"), ("table", "table"), ("figure", "figure"), ("footer", "footer"))
 
@@ -124,14 +126,20 @@ def regions_from_markup(pages: DataFrame) -> DataFrame:
 def read_with(files: DataFrame, reader: Callable[[str, bytes], list[dict]]) -> DataFrame:
     """UD1: regions by a user's reader (path, content) -> [{page_number, region_type, bbox, text, confidence}].
 
-    files: path, content (format binaryFile); the reader runs in the tasks, a file at a time.
+    files: path, content (format binaryFile); the reader runs in the tasks, a file at a time, and its
+    regions go on some thousands at a time.
     """
+    names = ["path", "page_number", "region_no", "region_type", "bbox", "text", "confidence"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = [(path, int(r["page_number"]), n, r.get("region_type"), list(r.get("bbox") or (0, 0, 0, 0)), r.get("text"), r.get("confidence")) for n, r in enumerate(reader(path, content))]
-                yield pd.DataFrame(rows, columns=["path", "page_number", "region_no", "region_type", "bbox", "text", "confidence"])
+                rows += [(path, int(r["page_number"]), n, r.get("region_type"), list(r.get("bbox") or (0, 0, 0, 0)), r.get("text"), r.get("confidence")) for n, r in enumerate(reader(path, content))]
+                if len(rows) >= REGIONS_AT_A_TIME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     found = files.select("path", "content").mapInPandas(run, "path string, page_number int, region_no int, region_type string, bbox array<int>, text string, confidence double")
     box = [F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
