@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import stage
+from docframe.llm.common import bound_batches, stage
 from docframe.llm.exact_dedup import drop_exact_copies
 from docframe.llm.mixing import mix
 from docframe.llm.ngram_join import drop_near_duplicates
 from docframe.llm.packing import pack
 from docframe.llm.quality import drop_low_quality
 
+#: Pieces of text that a worker remembers while it packs: half as many as by default, as its executor still holds the memory of the stages before.
+PACK_PIECES = 600_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
@@ -19,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored like others, repeated rows alike; equal scores share one fate; a
     long text is scored whole; columns of any name are kept; an empty table gives no rows.
     """
+    bound_batches(spark)
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,6 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words and rows without an id stay; rows that repeat an id stay or go together; long
     texts are compared whole; columns of any name are kept; an empty table gives no rows.
     """
+    bound_batches(spark)
     return drop_near_duplicates(docs)
 
 
@@ -57,7 +62,8 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null texts count as empty; rows that repeat an id, or have none, are documents of their own; long
     texts span windows; other columns are ignored; an empty table gives no rows.
     """
-    return pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    bound_batches(spark)
+    return pack(docs, cache_pieces=PACK_PIECES).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [

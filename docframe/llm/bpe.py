@@ -39,7 +39,7 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 _SPACE = _BYTE_CHARS[32]
 
-_loaded: dict[str, "PieceEncoder"] = {}
+_loaded: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -128,8 +128,8 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """One encoder per worker, vocabulary and size of the cache."""
+    if (path, cache_pieces) not in _loaded:
+        _loaded[path, cache_pieces] = PieceEncoder(path, cache_pieces)
+    return _loaded[path, cache_pieces]

@@ -12,6 +12,10 @@ from docframe.session import shared_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that a Python task is sent, about.  Spark's own bound is 64 MB; a task holds two batches, and Spark buffers of twice the size beside them.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Tasks that the rows of one key are spread over where a key may be common.
 SALTS = 16
 
@@ -26,6 +30,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return session.stage(df, name)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Python tasks of this session get batches of about BATCH_BYTES, or of one longer row; a bound that the user has set stays."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left with the columns of right, which has one row a key or none.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docframe.llm.bpe import encoder, vocabulary_path
+from docframe.llm.bpe import CACHE_PIECES, encoder, vocabulary_path
 from docframe.session import ship
 
 WINDOW = 2048
@@ -116,7 +116,7 @@ def _batch(pieces: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), PIECES)], schema=PIECES)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 1, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document is the ids of its text (null: none) and end_id.  Each partition packs its own rows as
@@ -124,13 +124,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, win
     and a lost partition is packed alike again.  Sequence ids are unique, not dense.  Rows that repeat
     an id, and rows whose id is null, are documents of their own; of fill levels that tie the fullest
     takes the piece.  An empty table gives no pieces; other columns of docs, whatever their names, are
-    ignored.  A long text is held whole, with its ids, by the task that encodes it.
+    ignored.  A long text is held whole, with its ids, by the task that encodes it.  cache_pieces bounds
+    what a worker remembers, which changes its memory and time, not the ids.
     """
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary or vocabulary_path()).encode
+        encode = encoder(vocabulary or vocabulary_path(), cache_pieces).encode
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         for batch in batches:
