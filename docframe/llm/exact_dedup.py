@@ -63,10 +63,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups, names = _groups(slim, digest, salts)
     cols = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     text = normalised(docs[text_col])
-    keyed = docs.select(*cols, docs[id_col].alias("d_id"), digest(text).alias("digest"), *([] if names == ["digest"] else [text.alias("d_text")]))
-    winners = groups.select(*[F.col(n).alias(f"g_{n}") for n in names], "keep_id")
-    same = F.col("d_id").eqNullSafe(F.col("keep_id"))
-    for n in names:
-        same = same & (F.col(n) == F.col(f"g_{n}"))
-    kept = keyed.join(winners, same).dropDuplicates(["digest", "keep_id", *names[1:]])
+    # a key without nulls: rows that repeat id and text become one within tasks first, and whole rows are shuffled once for that and the join
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    keyed = docs.select(*cols, key(docs[id_col]).alias("d_key"), digest(text).alias("digest"), *([] if names == ["digest"] else [text.alias("d_text")]))
+    winners = groups.select(*names, key(F.col("keep_id")).alias("d_key"))
+    kept = keyed.dropDuplicates([*names, "d_key"]).join(winners, [*names, "d_key"])
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from docframe.llm.bpe import PieceEncoder, encoder, vocabulary_path
 from docframe.llm.common import BATCH_BYTES
+from docframe.llm.exact_dedup import drop_exact_copies
 from docframe.llm.packing import pack
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +43,14 @@ def test_cache_size_changes_no_ids(spark):
     texts = [r.text for r in docs.collect()]
     assert small.encode(texts) == usual.encode(texts) and len(small._pieces) <= 40
     assert sorted(pack(docs, cache_pieces=40).collect()) == sorted(pack(docs).collect())
+
+
+def test_exact_copies_shuffle_whole_rows_once(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(1, "a b"), (1, "a b"), (None, "a  b"), (None, "only"), (None, "only"), (2, "a\tb"), (0, None), (3, ""), (1, "other")]
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    kept = drop_exact_copies(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # whole rows, and the groups' digests
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b"), (None, "only"), (0, None), (1, "other")], key=repr)
