@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docframe.llm.bpe import CACHE_PIECES, encoder, vocabulary_path
+from docframe.llm.bpe import CACHE_PIECES, encoder, slices, vocabulary_path
 from docframe.session import ship
 
 WINDOW = 2048
@@ -135,13 +135,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, win
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                out = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    out += packer.add(doc, ids + end)
-                if out:
-                    yield _batch(out)
+            for part in slices(batch, 1):
+                found = list(zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())))
+                for at in range(0, len(found), TEXTS):
+                    out = []
+                    for doc, ids in found[at : at + TEXTS]:
+                        out += packer.add(doc, ids + end)
+                    if out:
+                        yield _batch(out)
         if out := packer.flush():
             yield _batch(out)
 

@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe.llm import simple8b
-from docframe.llm.bpe import encoder, vocabulary_path
+from docframe.llm.bpe import encoder, slices, vocabulary_path
 from docframe.llm.common import stage
 from docframe.session import ship
 
 BLOCK_IDS = 1 << 16
 BLOCKS = "shard long, block long, first long, n_ids long, doc_ids binary, doc_null binary, doc_lens binary, words binary, raw binary"
-#: Texts that are encoded at a time, so a batch of long ones stays small.
-TEXTS = 64
 
 
 def _block(shard: int, block: int, first: int, docs: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -54,8 +52,7 @@ def _writer(path: str | None, end_id: int, block_ids: int):
         shard, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
         docs, ids = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in slices(batch, 1):
                 for doc, found in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     docs.append(doc)
                     ids.append(found + end)
