@@ -576,7 +576,7 @@ def snk4(spark, d):
     path = shared_path(spark)
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("job_id"), F.lit("lineitem").alias("table_name"), F.col("l_orderkey").alias("chunk_index"), F.col("l_linenumber").alias("row_no"))
     sinks.write_buckets(rows, path)
-    return spark.read.schema("table_name string, job_id string").json(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.read_buckets(spark, path, "table_name string, job_id string").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK1_load_sql", """WITH p AS (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part) WHERE k = 1)

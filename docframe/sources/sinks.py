@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions.scalars import coerce
@@ -20,6 +20,8 @@ from docframe.sources.published import Published, count_rows
 #: Columns of what the graph and the vector sink store, beside the scope.
 GRAPH = {"nodes": "__row_key string, props string, __table string", "edges": "src string, dst string, edge_key string, type string"}
 POINTS = "point_id string, row_index long, text string, payload string, vector array<float>"
+#: Folders that the jobs of a dump are dealt over; part of its layout, as read_buckets looks there.
+JOB_FOLDERS = 256
 
 
 class Sink(Protocol):
@@ -166,9 +168,26 @@ class VectorSink:
         self.published.drop(scope)
 
 
+def _job_folder(job_id: Column) -> Column:
+    return F.pmod(F.hash(job_id.cast("string")), F.lit(JOB_FOLDERS))
+
+
 def write_buckets(extracted: DataFrame, path: str) -> None:
-    """SNK4."""
-    extracted.write.partitionBy("job_id").mode("overwrite").json(path)
+    """SNK4: rows as JSON, those of a job in one folder and side by side.
+
+    A folder holds many jobs, so that the number of files depends on the size of the rows, not on the
+    number of jobs; a large folder, be it of one job, is written by several tasks.
+    """
+    dealt = extracted.withColumn("__job_folder", _job_folder(F.col("job_id"))).hint("rebalance", "__job_folder")
+    dealt.sortWithinPartitions("__job_folder", "job_id").write.partitionBy("__job_folder").mode("overwrite").json(path, compression="gzip")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, jobs: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a dump, of all jobs or of some, whose folders alone are read; schema: their columns, job_id among them."""
+    rows = spark.read.schema(f"{schema}, __job_folder int").json(path)
+    if jobs is not None:
+        rows = rows.filter(F.col("__job_folder").isin(*[_job_folder(F.lit(j)) for j in jobs]) & F.col("job_id").isin(*jobs))
+    return rows.drop("__job_folder")
 
 
 def run_notes(notes: DataFrame, counts: DataFrame) -> DataFrame:

@@ -313,6 +313,43 @@ def test_run_files(spark, tmp_path):
     assert tuple(sinks.read_audit(spark, str(tmp_path / "a")).first()) == ("j", "RUNNING", 5, 2)
 
 
+def test_a_dump_of_many_jobs_has_few_files_and_loses_none(spark, tmp_path):
+    from pathlib import Path
+
+    path, names = str(tmp_path / "b"), ["", None, "007", "7", "a/b=c", "é "]
+    many = spark.range(4000).select(F.concat(F.lit("job"), F.col("id") % 1000).alias("job_id"), F.col("id").cast("int").alias("row_no"))
+    odd = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "job_id string, row_no int")
+    rows = many.repartition(4).unionByName(odd)
+    for _ in range(2):  # a dump takes the place of the one before
+        sinks.write_buckets(rows, path)
+    files = [f for f in Path(path).rglob("part-*") if f.is_file()]
+    assert len(files) <= sinks.JOB_FOLDERS
+    plain = lambda df: sorted(((r.job_id, r.row_no) for r in df.collect()), key=repr)
+    schema = "job_id string, row_no int"
+    assert plain(sinks.read_buckets(spark, path, schema)) == plain(rows)
+    some = sinks.read_buckets(spark, path, schema, ["job5", "007", "", "none"])
+    assert plain(some) == plain(rows.filter("job_id IN ('job5', '007', '')"))
+    assert some.select(F.input_file_name()).distinct().count() <= 3
+    assert plain(sinks.read_buckets(spark, path, schema, [])) == []
+    sinks.write_buckets(rows.limit(0), path)
+    assert plain(sinks.read_buckets(spark, path, schema)) == []
+
+
+def test_a_job_of_many_rows_is_dumped_by_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit("j").alias("job_id"), F.md5(F.col("id").cast("string")).alias("row"))
+    kept = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "200k")
+        sinks.write_buckets(rows, str(tmp_path / "b"))
+    finally:
+        spark.conf.set(size, kept)
+    assert len([f for f in Path(tmp_path / "b").rglob("part-*") if f.is_file()]) > 2
+    assert sinks.read_buckets(spark, str(tmp_path / "b"), "job_id string, row string", ["j"]).exceptAll(rows).isEmpty()
+
+
 def test_proposed_model(spark):
     tables = {"p": spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-02-01")], "p_key int, p_name string, p_day string"), "c": spark.createDataFrame([(7, 1, 0.5), (8, 1, 2.0)], "c_id int, c_key int, c_v double")}
     model = M.propose_model(tables, "j").first().model
